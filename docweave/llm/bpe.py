@@ -5,8 +5,8 @@ at symbol i; every inner node holds the smaller of its children, the left one on
 the root names the leftmost pair of lowest rank.  A merge changes three leaves at most, each in
 logarithmic time, until no pair has a rank.
 
-Texts are first cut at added tokens, then at single spaces and newlines (where the splitting
-pattern always cuts), so most of the work is looking up words that were encoded before.
+Texts are cut at added tokens and then into pieces (see `pieces`); a worker remembers pieces it
+has met.  The new pieces of a batch are merged together, a tree for each in the rows of one array.
 """
 from __future__ import annotations
 
@@ -16,14 +16,12 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import slices, table
+from .pieces import PieceMemory
 
-#: Words that a worker remembers before it starts anew.
-REMEMBER = 400_000
 NONE = 1 << 60
 
 
@@ -34,10 +32,6 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
-#: Fixed value: how byte-level tokenizers of this kind cut text before merging.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-
-
 def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
     """Apply the merges: ranks gives (rank, new id) of a pair of ids."""
     n = len(symbols)
@@ -94,16 +88,85 @@ def merge(symbols: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) ->
     return [s for s in sym if s >= 0]
 
 
+def merge_many(symbols: np.ndarray, sizes: np.ndarray, pairs: Pairs) -> np.ndarray:
+    """`merge` of many short pieces at once: one tree a row, one merge a row and step.
+
+    symbols is (pieces, leaves + 1), filled with -1 behind each piece; leaves is a power of two.
+    Returns it merged, with -1 where a symbol went into the one before it.
+    """
+    n, leaves = len(symbols), symbols.shape[1] - 1
+    sym = symbols.copy()
+    tree = np.full((n, 2 * leaves), FREE, np.int32)
+    rank = pairs.rank(sym[:, :-1], sym[:, 1:])
+    place = np.arange(leaves, dtype=np.int32)
+    tree[:, leaves:] = np.where(rank >= 0, rank * leaves + place, FREE)
+    for k in range(leaves - 1, 0, -1):
+        tree[:, k] = np.minimum(tree[:, 2 * k], tree[:, 2 * k + 1])
+    after = np.tile(np.arange(1, leaves + 2, dtype=np.int32), (n, 1))
+    before = np.tile(np.arange(-1, leaves, dtype=np.int32), (n, 1))
+    rows = np.flatnonzero(tree[:, 1] != FREE)
+    while len(rows):
+        top = tree[rows, 1]
+        i = top % leaves
+        j = after[rows, i]
+        sym[rows, i] = pairs.made[top // leaves]
+        sym[rows, j] = -1
+        k = after[rows, j]
+        after[rows, i] = k
+        more = k <= leaves
+        before[rows[more], k[more]] = i[more]
+        end = np.minimum(k, leaves)
+        r = pairs.rank(sym[rows, i], np.where(more & (end < sizes[rows]), sym[rows, end], -1))
+        tree[rows, leaves + j] = FREE
+        tree[rows, leaves + i] = np.where(r >= 0, r * leaves + i, FREE)
+        left = before[rows, i]
+        p = np.maximum(left, 0)
+        r = pairs.rank(np.where(left >= 0, sym[rows, p], -1), sym[rows, i])
+        p = np.where(left >= 0, p, i)
+        tree[rows, leaves + p] = np.where(left >= 0, np.where(r >= 0, r * leaves + p, FREE), tree[rows, leaves + i])
+        spots = [(leaves + x) >> 1 for x in (i, j, p)]
+        while spots[0][0]:
+            for x in spots:
+                tree[rows, x] = np.minimum(tree[rows, 2 * x], tree[rows, 2 * x + 1])
+            spots = [x >> 1 for x in spots]
+        rows = rows[tree[rows, 1] != FREE]
+    return sym
+
+
+FREE = np.iinfo(np.int32).max
+
+
+class Pairs:
+    """Ranks of adjacent pairs as sorted keys."""
+
+    def __init__(self, ranks: dict[tuple[int, int], tuple[int, int]]):
+        n = len(ranks)
+        keys = np.fromiter((a << 32 | b for a, b in ranks), np.int64, n)
+        order = np.argsort(keys)
+        self.keys = np.append(keys[order], np.iinfo(np.int64).max)
+        self.ranks = np.append(np.fromiter((r for r, _ in ranks.values()), np.int32, n)[order], -1).astype(np.int32)
+        self.made = np.zeros(max((r for r, _ in ranks.values()), default=0) + 1, np.int32)
+        for r, made in ranks.values():
+            self.made[r] = made
+
+    def rank(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 32 | b.astype(np.int64)
+        key[(a < 0) | (b < 0)] = -1
+        at = np.searchsorted(self.keys, key)
+        return np.where(self.keys[at] == key, self.ranks[at], np.int32(-1))
+
+
 class Codec:
-    """Encoder and decoder of one vocabulary file; it remembers words within a bound."""
+    """Encoder and decoder of one vocabulary file."""
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
         vocab = spec["model"]["vocab"]
         merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.ranks = {(vocab[a], vocab[b]): (k, vocab[a + b]) for k, (a, b) in enumerate(merges)}
+        self.pairs = Pairs(self.ranks)
         letters = byte_letters()
-        self.of_byte = [vocab[letters[b]] for b in range(256)]
+        self.of_byte = np.array([vocab[letters[b]] for b in range(256)], np.int32)
         back = {c: b for b, c in letters.items()}
         self.bytes = [b""] * (1 + max([*vocab.values(), *(t["id"] for t in spec["added_tokens"])]))
         for t, i in vocab.items():
@@ -111,61 +174,45 @@ class Codec:
         self.added = {t["content"]: t["id"] for t in spec["added_tokens"]}
         for t, i in self.added.items():
             self.bytes[i] = t.encode()
-        marks = sorted(self.added, key=len, reverse=True)
-        self.cut = regex.compile("(" + "|".join(map(regex.escape, marks)) + ")") if marks else None
-        self.pattern = regex.compile(PATTERN)
-        self.odd = regex.compile(r"[^\S \n]|[ \n][ \n]|[ \n]\Z|\A[ \n]")
-        self.pieces: dict[str, np.ndarray] = {}
-        self.words: dict[str, bytes] = {}
-
-    def _piece(self, piece: str) -> list[int]:
-        got = self.pieces.get(piece)
-        if got is None:
-            got = merge([self.of_byte[b] for b in piece.encode("utf-8", "surrogatepass")], self.ranks)
-            if len(piece) <= 64:
-                if len(self.pieces) >= REMEMBER:
-                    self.pieces.clear()
-                self.pieces[piece] = tuple(got)
-        return got
-
-    def _word(self, word: str) -> bytes:
-        out = [i for piece in self.pattern.findall(word) for i in self._piece(piece)]
-        got = np.array(out, np.uint32).tobytes()
-        if len(word) <= 64:
-            if len(self.words) >= REMEMBER:
-                self.words.clear()
-            self.words[word] = got
-        return got
-
-    def _plain(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if self.odd.search(text):
-            # White space in runs or of other kinds: the pattern decides over the whole text.
-            return np.array([i for p in self.pattern.findall(text) for i in self._piece(p)], np.uint32).tobytes()
-        known, out = self.words.get, []
-        for k, line in enumerate(text.split("\n")):
-            if k:
-                out.append(known("\n") or self._word("\n"))
-            first, *rest = line.split(" ")
-            out.append(known(first) or self._word(first))
-            for w in rest:
-                w = " " + w
-                out.append(known(w) or self._word(w))
-        return b"".join(out)
+        self.memory = PieceMemory(self._merge, self.added)
+
+    def _merge(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """ids of new pieces: short ones merged together, long ones each alone."""
+        sizes = np.diff(bounds)
+        out, counts = [None] * len(sizes), np.zeros(len(sizes), np.int64)
+        done = []
+        for low, high in ((0, 8), (8, 16), (16, 32)):
+            some = np.flatnonzero((sizes > low) & (sizes <= high))
+            for k in range(0, len(some), 4096):
+                part = some[k : k + 4096]
+                inside = np.arange(high + 1) < sizes[part, None]
+                sym = np.full((len(part), high + 1), -1, np.int32)
+                sym[inside] = self.of_byte[data[(bounds[part, None] + np.arange(high + 1))[inside]]]
+                got = merge_many(sym, sizes[part], self.pairs)
+                counts[part] = (got >= 0).sum(1)
+                done.append((part, got))
+        for i in np.flatnonzero(sizes > 32).tolist():
+            out[i] = merge(self.of_byte[data[bounds[i] : bounds[i + 1]]].tolist(), self.ranks)
+            counts[i] = len(out[i])
+        at = np.append(0, np.cumsum(counts))
+        ids = np.zeros(at[-1], np.uint32)
+        for part, got in done:
+            n = counts[part]
+            ids[np.arange(n.sum()) + np.repeat(at[part] - np.append(0, np.cumsum(n)[:-1]), n)] = got[got >= 0]
+        for i in np.flatnonzero(sizes > 32).tolist():
+            ids[at[i] : at[i + 1]] = out[i]
+        return ids, at
 
     def encode(self, text: str) -> np.ndarray:
-        if self.cut is None or not any(t in text for t in self.added):
-            return np.frombuffer(self._plain(text), np.uint32)
-        out = []
-        for part in self.cut.split(text):
-            i = self.added.get(part)
-            out.append(self._plain(part) if i is None else np.uint32(i).tobytes())
-        return np.frombuffer(b"".join(out), np.uint32)
+        data = np.frombuffer(text.encode(), np.uint8)
+        return self.memory.encode(data, np.array([0, len(data)]))[0]
 
-    def decode(self, ids) -> str:
+    def decode_bytes(self, ids) -> bytes:
         table = self.bytes
-        return b"".join([table[i] for i in ids]).decode("utf-8", "replace")
+        return b"".join([table[i] for i in ids])
+
+    def decode(self, ids) -> str:
+        return self.decode_bytes(ids).decode("utf-8", "replace")
 
 
 @lru_cache(2)
@@ -186,10 +233,14 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
         sha = hashlib.sha256
         for batch in batches:
             rows = []
-            for text in batch.column("text"):
-                ids = own.encode(text.as_py() or "").tolist()
-                digest = sha(str(ids)[1:-1].replace(" ", "").encode()).hexdigest()
-                rows.append((len(ids), digest, sha(own.decode(ids).encode()).hexdigest(), ids if with_ids else None))
+            for _, _, data, offs in slices(batch.column("text"), 1 << 21):
+                flat, at = own.memory.encode(data, offs)
+                at = at.tolist()
+                for p, q in zip(at[:-1], at[1:], strict=True):
+                    ids = flat[p:q].tolist()
+                    digest = sha(str(ids)[1:-1].replace(" ", "").encode()).hexdigest()
+                    text = own.decode(ids).encode()
+                    rows.append((len(ids), digest, sha(text).hexdigest(), ids if with_ids else None))
             n, a, b, ids = zip(*rows, strict=True) if rows else ((),) * 4
             cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
