@@ -106,3 +106,29 @@ def apportion(rows: DataFrame, portion: float, limit: float, weights: tuple[int,
 def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def mixed(docs: DataFrame, portion: float = 1.5, limit: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), block: int = 64, seed: str = "mix") -> DataFrame:
+    """The documents of the mix, with the columns of docs.
+
+    A document comes out once for each time that it is taken whole, and once more cut to the words
+    that a quota's last block takes of it (joined by one space).  Documents without words have
+    nothing to take and stay once, as they cost no quota.
+    """
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    work = docs.withColumns({
+        "_mix_size": F.regexp_count(text, F.lit(WORD)).cast("long"),
+        "_mix_order": F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text)), 256),
+    })
+    keys = work.select("doc_id", "source", F.col("_mix_size").alias("size"), F.col("_mix_order").alias("order"))
+    taken = apportion(saved(keys, "mix-rows"), portion, limit, weights, block)
+    # Rows with one order are equal in id and text; what they take together is dealt over them.
+    taken = saved(taken.groupBy("order").agg(F.sum("taken").alias("_mix_taken"), F.count("*").alias("_mix_rows")), "mix-taken")
+    out = work.join(taken.withColumnRenamed("order", "_mix_order"), "_mix_order")
+    out = out.withColumn("_mix_taken", F.expr("_mix_taken div _mix_rows"))
+    whole = F.when(F.col("_mix_size") == 0, F.lit(1)).otherwise(F.expr("_mix_taken div _mix_size")).cast("int")
+    rest = F.when(F.col("_mix_size") == 0, F.lit(0)).otherwise(F.col("_mix_taken") % F.col("_mix_size"))
+    out = out.withColumn("_mix_left", F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
+    out = out.withColumn("_mix_part", F.explode(F.concat(F.array_repeat(F.col("_mix_size"), whole), F.col("_mix_left"))))
+    named = F.when(F.col("_mix_part") < F.col("_mix_size"), F.expr("array_join(slice(regexp_extract_all(text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, cast(_mix_part as int)), ' ')")).otherwise(F.col("text"))
+    return out.select(*[named.alias("text") if c == "text" else F.col(c) for c in docs.columns])
