@@ -68,30 +68,52 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, lower:
     return out.where(F.col("n_both") * 100 >= F.col("n_union") * percent)
 
 
-def classes(members: DataFrame, likely, texts, size: int, percent: int, lower: bool) -> DataFrame:
+#: Groups of up to so many nodes are paired in Spark; larger ones are compared in tiles of TILE.
+SMALL, TILE = 24, 256
+
+
+def central(members: DataFrame) -> DataFrame:
+    """Add `hub` to members(key, node, m), m the size of the key's group.
+
+    The hub is the node of the group that shares keys with most others, so in a group of edited
+    copies it tends to be the original, which most copies are linked with.
+    """
+    weight = members.groupBy("node").agg(F.sum("m").alias("w"))
+    best = members.join(weight, "node").groupBy("key").agg(F.max(F.struct("w", (-F.col("node")).alias("x"))).alias("h"))
+    return members.join(best.select("key", (-F.col("h.x")).alias("hub")), "key")
+
+
+def classes(members: DataFrame, likely, texts, size: int, percent: int, lower: bool, tiles=None) -> DataFrame:
     """(node, comp) of the classes among nodes that share keys, each link verified.
 
-    members(key, node, hub): hub is the smallest node of the key.  likely(pairs) drops pairs(a, b)
-    that cannot be linked; texts(nodes) gives (node, text) of nodes(node).
+    members(key, node, m, hub) are as `central` gives them.  likely(pairs) drops pairs(a, b) that
+    cannot be linked; texts(nodes) gives (node, text) of nodes(node).  tiles(rows) gives the likely
+    pairs of rows(key, node, comp, tile, other) without a row for each pair.
 
     First every member is compared with its hub.  Keys whose members then lie in several
     components still may hide links, so their members of different components are compared
     with each other, all of them; members of one component need no comparison.
     """
-    hubs = members.where("node <> hub").select(F.col("hub").alias("a"), F.col("node").alias("b")).distinct()
+    hubs = members.where("node <> hub").select(F.least("hub", "node").alias("a"), F.greatest("hub", "node").alias("b")).distinct()
     tried = saved(likely(hubs), "pairs")
     links = saved(_links(tried, texts, size, percent, lower), "links")
     comp = components(links)
-    known = members.select("key", "node").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    known = members.select("key", "node", "m").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     known = saved(known, "known")
     split = known.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("key")
-    split = saved(split, "split")
-    open_ = known.join(split, "key")
-    left = open_.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"))
-    right = open_.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
+    open_ = saved(known.join(saved(split, "split"), "key"), "open")
+    few = open_.where(F.col("m") <= SMALL) if tiles else open_
+    left = few.select("key", F.col("node").alias("a"), F.col("comp").alias("ca"))
+    right = few.select("key", F.col("node").alias("b"), F.col("comp").alias("cb"))
     rest = left.join(right, "key").where("ca <> cb and a < b").select("a", "b").distinct()
-    rest = rest.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-    rest = saved(likely(rest), "rest")
+    rest = likely(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
+    if tiles:
+        many = open_.where(F.col("m") > SMALL).withColumn("n_tiles", F.ceil(F.col("m") / TILE).cast("int"))
+        many = many.withColumn("own", F.pmod(F.xxhash64("node"), "n_tiles").cast("int"))
+        many = many.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)))
+        many = many.select("key", "node", "comp", "own", F.least("own", "with").alias("tile"), F.greatest("own", "with").alias("other"))
+        rest = rest.union(tiles(many).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")).distinct()
+    rest = saved(rest, "rest")
     more = saved(_links(rest, texts, size, percent, lower), "links")
     return comp if more.isEmpty() else components(links.select("a", "b").union(more.select("a", "b")))
 

@@ -165,8 +165,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, count: int = 128, bands:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     known = saved(rows.where("doc_id is not null").mapInArrow(_band_keys(count, bands), "node long, keys array<long>"), "bands")
     keys = known.select("node", F.explode("keys").alias("key"))
-    shared = saved(keys.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("hub")).where("m > 1").drop("m"), "shared")
-    members = saved(keys.join(shared, "key"), "members")
+    shared = saved(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+    members = saved(linking.central(saved(keys.join(shared, "key"), "members")), "members")
 
     def texts(ids):
         return rows.join(ids.withColumnRenamed("node", "doc_id"), "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")

@@ -79,6 +79,56 @@ def _far(x: str, y: str) -> str:
     return f"aggregate(zip_with({x}, {y}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
 
 
+def _close(rows: list[dict], percent: int) -> list[tuple[int, int]]:
+    """Pairs within one tile, or between two, that sizes and the Hamming bound allow."""
+    first = [r for r in rows if r["own"] == rows[0]["tile"]]
+    second = first if rows[0]["tile"] == rows[0]["other"] else [r for r in rows if r["own"] == rows[0]["other"]]
+    out = []
+    for band in {r["band"] for r in rows}:
+        # Pairs whose smaller band is `band`: own words there, the other's low words one band up.
+        a = [r for r in first if r["band"] in (band, band + 1)]
+        b = [r for r in second if r["band"] in (band, band + 1)]
+        a, b = ([r for r in x if r["band"] == band or r["low_words"]] for x in (a, b))
+        if not a or not b:
+            continue
+        side = lambda x: np.array([r["own_words"] if r["band"] == band else r["low_words"] for r in x], np.int64).view(U64)
+        wa, wb = side(a), side(b)
+        col = lambda x, k: np.array([r[k] for r in x], np.int64)
+        na, nb, ca, cb, ia, ib = col(a, "n"), col(b, "n"), col(a, "comp"), col(b, "comp"), col(a, "node"), col(b, "node")
+        lowest = col(b, "band") == band
+        for k in range(len(a)):
+            far = np.bitwise_count(wb ^ wa[k]).sum(1)
+            ok = (far <= (na[k] + nb) * (100 - percent) // (100 + percent)) & (np.minimum(na[k], nb) * 100 >= np.maximum(na[k], nb) * percent)
+            ok &= (ca[k] != cb) & (ia[k] != ib) & ((a[k]["band"] == band) | lowest)
+            out += [(min(ia[k], x), max(ia[k], x)) for x in ib[ok].tolist()]
+    return out
+
+
+def _tile_pairs(percent: int):
+    """Rows come sorted by key and tiles; at most two tiles of rows are held at once."""
+
+    def batch_of(pairs):
+        pairs = sorted(set(pairs))
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+
+    def run(batches):
+        held, at = [], None
+        for batch in batches:
+            done = []
+            for r in batch.to_pylist():
+                spot = (r["key"], r["tile"], r["other"])
+                if spot != at and held:
+                    done += _close(held, percent)
+                    held = []
+                at = spot
+                held.append(r)
+            yield batch_of(done)
+        if held:
+            yield batch_of(_close(held, percent))
+
+    return run
+
+
 def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id): exact classes of documents linked at the given Jaccard.
 
@@ -98,9 +148,8 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool
         return out.select(F.xxhash64(band, "i", "w").alias("key"), "node")
 
     every = keys("own", "own_words").unionByName(keys("low", "low_words"))
-    shared = every.groupBy("key").agg(F.count("*").alias("m"), F.min("node").alias("hub")).where("m > 1")
-    shared = saved(shared.select("key", "hub"), "shared")
-    members = saved(every.join(shared, "key"), "members")
+    shared = saved(every.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
+    members = saved(linking.central(saved(every.join(shared, "key"), "members")), "members")
 
     def likely(pairs):
         cols = ["n", "own", "own_words", "low_words"]
@@ -116,7 +165,12 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool
     def texts(ids):
         return rows.join(ids.withColumnRenamed("node", "doc_id"), "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
 
-    comp = linking.classes(members, likely, texts, size, percent, lower)
+    def tiles(rows):
+        words = rows.join(nodes.select("node", "n", F.col("own").alias("band"), "own_words", "low_words"), "node")
+        parts = words.repartition("key", "tile", "other").sortWithinPartitions("key", "tile", "other")
+        return parts.mapInArrow(_tile_pairs(percent), "a long, b long")
+
+    comp = linking.classes(members, likely, texts, size, percent, lower, tiles)
     named = saved(sets.join(comp, "node", "left").select("h1", "h2", "n", F.coalesce("comp", "node").alias("component_id")), "classes")
     got = sig.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
     return got.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
