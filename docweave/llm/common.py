@@ -46,6 +46,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Tables of ids up to so many rows (of 8 bytes) may be sent to every task.
+BROADCAST_ROWS = 1_000_000
+
+
+def met(rows: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> DataFrame:
+    """rows.join(ids, on, how) where ids(on) was saved: wide rows stay where they are if ids are
+    counted to be few; beyond BROADCAST_ROWS both sides are shuffled.
+    """
+    small = ids.count() <= BROADCAST_ROWS
+    return rows.join(F.broadcast(ids) if small else ids, on, how)
+
+
 # ---------------------------------------------------------------- hashing of words
 
 _BASE = 0x9E3779B97F4A7C15

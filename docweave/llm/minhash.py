@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import U64, mix, saved, shingles, slices, table, totals, u32_sum_hash, words
+from .common import U64, met, mix, saved, shingles, slices, table, totals, u32_sum_hash, words
 
 SIZE = 5
 
@@ -169,7 +169,8 @@ def near_duplicates(docs: DataFrame, percent: int = 80, count: int = 128, bands:
     members = saved(linking.central(saved(keys.join(shared, "key"), "members")), "members")
 
     def texts(ids):
-        return rows.join(ids.withColumnRenamed("node", "doc_id"), "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
+        ids = saved(ids.select(F.col("node").alias("doc_id")), "ids")
+        return met(rows, ids, "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
 
     comp = linking.classes(members, lambda pairs: pairs, texts, SIZE, percent, False).withColumnRenamed("node", "doc_id")
     return rows.select("doc_id").join(comp, "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("component_id"))

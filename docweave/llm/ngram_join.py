@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import U64, distinct, mix, saved, shingles, slices, totals, words
+from .common import U64, distinct, met, mix, saved, shingles, slices, totals, words
 
 
 @lru_cache
@@ -163,7 +163,8 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool
         return pairs.where(fits).where("abs(a_own - b_own) <= 1").where(f"{far} <= {most}").select("a", "b")
 
     def texts(ids):
-        return rows.join(ids.withColumnRenamed("node", "doc_id"), "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
+        ids = saved(ids.select(F.col("node").alias("doc_id")), "ids")
+        return met(rows, ids, "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
 
     def tiles(rows):
         words = rows.join(nodes.select("node", "n", F.col("own").alias("band"), "own_words", "low_words"), "node")
@@ -183,8 +184,8 @@ def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool = Fa
     words stay, as nothing is linked with them; so do rows without doc_id.
     """
     found = saved(near_classes(docs, size, percent, lower), "found")
-    drop = found.where("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(drop, "doc_id", "left_anti")
+    drop = saved(found.where("component_id < doc_id").select("doc_id").distinct(), "drop")
+    return met(docs, drop, "doc_id", "left_anti").select(*docs.columns)
 
 
 def op9_ngram_jaccard(spark, sf_dir):
