@@ -1,5 +1,352 @@
-"""Every registered query and, where SQL can express it, the SQL that gives the same rows."""
+"""Every registered query and, where SQL can express it, the SQL that gives the same rows.
+
+A query takes (spark, sf_dir) and reads whole tables.  Computed columns have one name in both.
+"""
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, Window
+from pyspark.sql import functions as F
+
+from docweave.functions import text as T
+from docweave.operators import lines as L
+from docweave.operators import retrieval as R
+
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def keep(f):
+        QUERIES[f.__name__] = lambda spark, sf_dir: f(lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return keep
+
+
+# ------------------------------------------------------------ inventory, identity, duplicates
+
+
+@query("select source, count(*) as n_docs, cast(sum(n_chars) as bigint) as chars from documents group by source")
+def inventory_by_source(t) -> DataFrame:
+    return t("documents").groupBy("source").agg(F.count("*").alias("n_docs"), F.sum("n_chars").alias("chars"))
+
+
+@query("select sha256(text) as sha, count(*) as copies, min(doc_id) as first_doc from documents group by 1 having count(*) > 1")
+def duplicate_groups(t) -> DataFrame:
+    return t("documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.count("*").alias("copies"), F.min("doc_id").alias("first_doc")).where("copies > 1")
+
+
+@query("select min(doc_id) as doc_id, sha256(text) as sha from documents group by 2")
+def first_per_hash(t) -> DataFrame:
+    return t("documents").groupBy(F.sha2("text", 256).alias("sha")).agg(F.min("doc_id").alias("doc_id")).select("doc_id", "sha")
+
+
+@query("select doc_id, 'doc_' || substr(sha256(text), 1, 16) as document_id from documents")
+def stable_document_ids(t) -> DataFrame:
+    return t("documents").select("doc_id", T.stable_id("doc_", F.col("text")).alias("document_id"))
+
+
+# ------------------------------------------------------------ text functions
+
+
+@query("""
+select doc_id, md5(n) as norm_md5, length(n) as norm_len from (
+ select doc_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(12288), ' '), '\\r\\n?', chr(10), 'g'), '[ \\t]+', ' ', 'g'), '\\n{3,}', chr(10) || chr(10), 'g'), '^[ \\n\\t]+|[ \\n\\t]+$', '', 'g') as n from documents)""")
+def normalise_search_text(t) -> DataFrame:
+    n = t("documents").select("doc_id", T.normalise(F.col("text")).alias("n"))
+    return n.select("doc_id", F.md5("n").alias("norm_md5"), F.length("n").cast("long").alias("norm_len"))
+
+
+@query("select doc_id, case when c = 0 then 'high' else 'medium' end as severity, c as n_visible from (select doc_id, length(regexp_replace(text, '\\s', '', 'g')) as c from documents) where c < 20")
+def low_text_docs(t) -> DataFrame:
+    c = t("documents").select("doc_id", F.length(F.regexp_replace("text", r"(?U)\s", "")).cast("long").alias("n_visible")).where("n_visible < 20")
+    return c.select("doc_id", F.when(F.col("n_visible") == 0, "high").otherwise("medium").alias("severity"), "n_visible")
+
+
+@query("select doc_id, len(s) as n_sentences, list_max(list_transform(s, lambda x: length(x))) as longest from (select doc_id, regexp_extract_all(text, '[^.!?\\n]+[.!?]*') as s from documents)")
+def sentence_split(t) -> DataFrame:
+    s = t("documents").select("doc_id", F.regexp_extract_all("text", F.lit(r"[^.!?\n]+[.!?]*"), F.lit(0)).alias("s"))
+    return s.select("doc_id", F.size("s").cast("long").alias("n_sentences"), F.array_max(F.transform("s", F.length)).cast("long").alias("longest"))
+
+
+@query("""
+select page_id, md5(x) as text_md5, length(x) as text_len from (
+ select page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '<(script|style)[^>]*>[^<]*</(script|style)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[ \\n\\t\\r]+', ' ', 'g'), ' ') as x from pages)""")
+def html_text_extract(t) -> DataFrame:
+    x = F.regexp_replace(F.regexp_replace("html", "<(script|style)[^>]*>[^<]*</(script|style)>", " "), "<[^>]*>", " ")
+    p = t("pages").select("page_id", F.trim(F.regexp_replace(x, r"[ \n\t\r]+", " ")).alias("x"))
+    return p.select("page_id", F.md5("x").alias("text_md5"), F.length("x").cast("long").alias("text_len"))
+
+
+@query("""
+select page_id, nullif(regexp_extract(url, '^https?://([^/]+)', 1), '') as host, nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') as title,
+ case when nullif(regexp_extract(html, '<title>([^<]*)</title>', 1), '') is null then 'not_stated' end as missing_reason from pages""")
+def labelled_fields(t) -> DataFrame:
+    title = T.first_match(F.col("html"), "<title>([^<]*)</title>")
+    return t("pages").select("page_id", T.first_match(F.col("url"), "^https?://([^/]+)").alias("host"), title.alias("title"), F.when(title.isNull(), "not_stated").alias("missing_reason"))
+
+
+LICENCES = ["Apache License", "General Public License", "CC BY-NC 4.0", "MIT License", "CC BY 4.0"]
+
+
+@query("select doc_id, name from documents, (values " + ", ".join(f"('{x}')" for x in LICENCES) + ") v(name) where contains(text, name)")
+def known_name_scan(t) -> DataFrame:
+    names = F.array(*[F.when(F.col("text").contains(x), F.lit(x)) for x in LICENCES])
+    return t("documents").select("doc_id", F.explode(F.array_compact(names)).alias("name"))
+
+
+@query("""
+select doc_id, raw, count(*) as n, max(case when contains(raw, 'GPL') or contains(raw, 'General Public') then 'copyleft' when contains(raw, 'NC') then 'non_commercial' when contains(raw, 'Apache') then 'permissive' end) as target
+from (select doc_id, unnest(regexp_extract_all(text, '(?:Licensed under|the) ([A-Z][A-Za-z]+[A-Za-z0-9 .,-]*?(?:License|[0-9]\\.[0-9]))', 1)) as raw from documents) group by 1, 2""")
+def citation_edges(t) -> DataFrame:
+    raw = F.explode(F.regexp_extract_all("text", F.lit(r"(?:Licensed under|the) ([A-Z][A-Za-z]+[A-Za-z0-9 .,-]*?(?:License|[0-9]\.[0-9]))"), F.lit(1)))
+    rows = t("documents").select("doc_id", raw.alias("raw")).groupBy("doc_id", "raw").agg(F.count("*").alias("n"))
+    return rows.withColumn("target", T.ladder(F.col("raw"), [("GPL", "copyleft"), ("General Public", "copyleft"), ("NC", "non_commercial"), ("Apache", "permissive")]))
+
+
+@query("""
+select conv_id, turn, case when contains(text, '?') then 'question' when contains(text, '!') then 'exclamation' when contains(text, ',') then 'statement' else 'fragment' end as kind from conversations""")
+def classify_rules(t) -> DataFrame:
+    return t("conversations").select("conv_id", "turn", T.ladder(F.col("text"), [("?", "question"), ("!", "exclamation"), (",", "statement")], "fragment").alias("kind"))
+
+
+@query("""
+select o_custkey, min(y) as first_year, max(y) as last_year from (select o_custkey, cast(unnest(regexp_extract_all(strftime(o_orderdate, '%Y-%m-%d'), '^[0-9]{4}')) as integer) as y from orders) group by 1""")
+def year_range(t) -> DataFrame:
+    y = F.explode(F.regexp_extract_all(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lit("^[0-9]{4}"), F.lit(0)))
+    return t("orders").select("o_custkey", y.alias("y")).withColumn("y", F.col("y").cast("int")).groupBy("o_custkey").agg(F.min("y").alias("first_year"), F.max("y").alias("last_year"))
+
+
+# ------------------------------------------------------------ lines, sections, chunks
+
+_LINES = "lines as (select doc_id, cast(i as integer) as line_no, line from (select doc_id, unnest(string_split(text, chr(10))) as line, generate_subscripts(string_split(text, chr(10)), 1) as i from documents) where trim(translate(line, chr(9) || chr(13), '  '), ' ') <> '')"
+_HEADING = "len(regexp_extract_all(line, '[^ ]+')) <= 3"
+_SECTIONS = f"{_LINES}, marked as (select *, {_HEADING} as h, sum(case when {_HEADING} then 1 else 0 end) over (partition by doc_id order by line_no rows unbounded preceding) as section from lines)"
+
+
+def _sections(t):
+    return L.sections(L.lines(t("documents")), F.size(F.regexp_extract_all("line", F.lit("[^ ]+"), F.lit(0))) <= 3)
+
+
+@query(f"with {_LINES} select doc_id, line_no, md5(line) as line_md5 from lines")
+def lines_explode(t) -> DataFrame:
+    return L.lines(t("documents")).select("doc_id", "line_no", F.md5("line").alias("line_md5"))
+
+
+@query(f"with {_SECTIONS} select doc_id, cast(section as bigint) as section, min(case when h then line end) as heading, min(line_no) as first_line, count(*) as n_lines, md5(string_agg(line, chr(10) order by line_no)) as quote_md5 from marked group by 1, 2")
+def section_by_marker(t) -> DataFrame:
+    return _sections(t).select("doc_id", "section", "heading", "first_line", "n_lines", F.md5("quote").alias("quote_md5"))
+
+
+@query(f"with {_SECTIONS} select doc_id, count(*) as n_lines from marked where section = 0 group by 1")
+def uncovered_lines(t) -> DataFrame:
+    return _sections(t).where("section = 0").select("doc_id", "n_lines")
+
+
+@query()
+def chunk_greedy(t) -> DataFrame:
+    return L.packed(t("documents")).select("doc_id", "chunk", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+
+
+# ------------------------------------------------------------ retrieval
+
+_POST = """tok as (select doc_id, unnest(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+')) as term from documents),
+post as (select doc_id, term, count(*) as tf from tok group by 1, 2), dl as (select doc_id, sum(tf) as dl from post group by 1),
+st as (select count(*) as n, (select avg(dl) from dl) as a from documents),
+qs as (select distinct item_id as query_id, unnest(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+')) as term from benchmark),
+df as (select term, count(*) as df from post where term in (select term from qs) group by 1),
+sc as (select query_id, doc_id, round(sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / a))), 6) as score
+ from qs join df using (term) join post using (term) join dl using (doc_id), st group by 1, 2)"""
+
+
+def _bm25(t):
+    post = R.postings(t("documents"))
+    n = t("documents").count()
+    avgdl = post.select("doc_id", "dl").distinct().agg(F.avg("dl")).first()[0] or 1.0
+    asked = R.tokens(t("benchmark"), "item_id").withColumnRenamed("item_id", "query_id")
+    return R.bm25(post, asked, n, avgdl)
+
+
+@query(f"with {_POST} select query_id, doc_id, score, cast(rank as integer) as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc) where rank <= 10")
+def bm25_topk(t) -> DataFrame:
+    return R.top(_bm25(t), ["query_id"], "score", "doc_id", 10)
+
+
+@query("""with tok as (select doc_id, unnest(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+')) as term from documents)
+select term, count(distinct doc_id) as df, count(*) as cf from tok group by 1""")
+def bm25_stats(t) -> DataFrame:
+    tf = R.tokens(t("documents"), "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
+    return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+_COS = """dots as (select e.vec_id, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: cast(z[1] as double) * cast(z[2] as double))) as d,
+ sqrt(list_sum(list_transform(e.embedding, lambda x: cast(x as double) * cast(x as double)))) as a, sqrt(list_sum(list_transform(q.embedding, lambda x: cast(x as double) * cast(x as double)))) as b
+ from embeddings e, (select embedding from embeddings where vec_id = 0) q)"""
+
+
+def _cosine(t):
+    # One query vector: a table of one row goes to every task.
+    one = t("embeddings").where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
+    return t("embeddings").join(F.broadcast(one)).select("vec_id", F.round(R.cosine("embedding", "q"), 6).alias("cos"))
+
+
+@query(f"with {_COS} select vec_id, cos, cast(rank as integer) as rank from (select *, row_number() over (order by cos desc, vec_id) as rank from (select vec_id, round(d / ((a + 1e-9) * (b + 1e-9)), 6) as cos from dots)) where rank <= 10")
+def cosine_topk(t) -> DataFrame:
+    best = _cosine(t).orderBy(F.desc("cos"), "vec_id").limit(10)
+    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cos"), "vec_id")))
+
+
+@query(f"""with {_POST}, {_COS}, c as (select vec_id as doc_id, round(d / ((a + 1e-9) * (b + 1e-9)), 6) as cos from dots),
+j as (select query_id, doc_id, score, coalesce(cos, 0) as cos from sc left join c using (doc_id)),
+m as (select *, min(score) over w as sl, max(score) over w as sh, min(cos) over w as cl, max(cos) over w as ch from j window w as (partition by query_id)),
+h as (select query_id, doc_id, round(0.6 * case when ch - cl < 1e-9 then 0.0 else (cos - cl) / (ch - cl) end + 0.4 * case when sh - sl < 1e-9 then 0.0 else (score - sl) / (sh - sl) end, 6) as hybrid from m)
+select query_id, doc_id, hybrid, cast(rank as integer) as rank from (select *, row_number() over (partition by query_id order by hybrid desc, doc_id) as rank from h) where rank <= 5""")
+def minmax_hybrid_topk(t) -> DataFrame:
+    c = _cosine(t).withColumnRenamed("vec_id", "doc_id")
+    j = _bm25(t).join(c, "doc_id", "left").withColumn("cos", F.coalesce("cos", F.lit(0.0)))
+    h = j.select("query_id", "doc_id", F.round(0.6 * R.minmax("cos", "query_id") + 0.4 * R.minmax("score", "query_id"), 6).alias("hybrid"))
+    return R.top(h, ["query_id"], "hybrid", "doc_id", 5)
+
+
+# ------------------------------------------------------------ recommendation: orders cite parts
+
+_FUSE = """r as (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as k from orders),
+c as (select distinct o_custkey, k, l_partkey from r join lineitem on l_orderkey = o_orderkey where k <= 5),
+s as (select o_custkey, l_partkey, sum(1.0 / k) as w from c group by 1, 2),
+f as (select o_custkey, l_partkey, round(w / max(w) over (partition by o_custkey), 6) as score from s)"""
+
+
+def _fused(t):
+    w = Window.partitionBy("o_custkey").orderBy(F.desc("o_totalprice"), "o_orderkey")
+    r = t("orders").select("o_orderkey", "o_custkey", F.row_number().over(w).alias("k")).where("k <= 5")
+    c = r.join(t("lineitem").select("l_orderkey", "l_partkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_custkey", "k", "l_partkey").distinct()
+    s = c.groupBy("o_custkey", "l_partkey").agg(F.sum(F.lit(1.0) / F.col("k")).alias("w"))
+    return s.select("o_custkey", "l_partkey", F.round(F.col("w") / F.max("w").over(Window.partitionBy("o_custkey")), 6).alias("score"))
+
+
+@query(f"with {_FUSE} select o_custkey, l_partkey, score from f")
+def rrank_fusion(t) -> DataFrame:
+    return _fused(t)
+
+
+@query(f"with {_FUSE} select o_custkey, l_partkey, p_name, score, cast(rank as integer) as rank from (select f.*, p_name, row_number() over (partition by o_custkey order by score desc, l_partkey) as rank from f join part on p_partkey = l_partkey) where rank <= 6")
+def kb_backed_candidates(t) -> DataFrame:
+    known = _fused(t).join(t("part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    return R.top(known, ["o_custkey"], "score", "l_partkey", 6).select("o_custkey", "l_partkey", "p_name", "score", "rank")
+
+
+@query("""select distinct o_custkey, l_partkey from (select o_custkey, l_partkey from orders join lineitem on l_orderkey = o_orderkey where l_returnflag = 'R'
+ union all select o_custkey, l_partkey from orders join lineitem on l_orderkey = o_orderkey where l_discount >= 0.08)""")
+def recall_union(t) -> DataFrame:
+    j = t("orders").select("o_orderkey", "o_custkey").join(t("lineitem"), F.col("l_orderkey") == F.col("o_orderkey"))
+    return j.where("l_returnflag = 'R' or l_discount >= 0.08").select("o_custkey", "l_partkey").distinct()
+
+
+_PAIRS = """s as (select distinct o_custkey, o_orderkey, l_partkey, case when l_partkey % 5 = 0 then 0.2 else 1.0 end as w from orders join lineitem on l_orderkey = o_orderkey),
+tot as (select o_orderkey, sum(w) as tw from s group by 1),
+com as (select a.o_orderkey as a, b.o_orderkey as b, sum(a.w) as cw, count(*) as shared from s a join s b on a.o_custkey = b.o_custkey and a.l_partkey = b.l_partkey and a.o_orderkey < b.o_orderkey group by 1, 2)"""
+
+
+@query(f"with {_PAIRS} select a, b, shared, round(cw / (x.tw + y.tw - cw), 6) as similarity from com join tot x on x.o_orderkey = a join tot y on y.o_orderkey = b")
+def weighted_jaccard(t) -> DataFrame:
+    s = t("orders").select("o_custkey", "o_orderkey").join(t("lineitem").select("l_orderkey", "l_partkey"), F.col("l_orderkey") == F.col("o_orderkey"))
+    s = s.select("o_custkey", "o_orderkey", "l_partkey").distinct().withColumn("w", F.when(F.col("l_partkey") % 5 == 0, 0.2).otherwise(1.0))
+    tot = s.groupBy("o_orderkey").agg(F.sum("w").alias("tw"))
+    left = s.select("o_custkey", "l_partkey", F.col("o_orderkey").alias("a"), "w")
+    right = s.select("o_custkey", "l_partkey", F.col("o_orderkey").alias("b"))
+    com = left.join(right, ["o_custkey", "l_partkey"]).where("a < b").groupBy("a", "b").agg(F.sum("w").alias("cw"), F.count("*").alias("shared"))
+    com = com.join(tot.select(F.col("o_orderkey").alias("a"), F.col("tw").alias("ta")), "a").join(tot.select(F.col("o_orderkey").alias("b"), F.col("tw").alias("tb")), "b")
+    return com.select("a", "b", "shared", F.round(F.col("cw") / (F.col("ta") + F.col("tb") - F.col("cw")), 6).alias("similarity"))
+
+
+@query("""select a.o_custkey, a.o_orderkey as a, b.o_orderkey as b, cast(case when a.o_orderpriority = b.o_orderpriority then 1.0 when a.o_orderstatus = b.o_orderstatus then 0.6 else 0.0 end as double) as type_score
+ from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey""")
+def type_ladder(t) -> DataFrame:
+    o = t("orders")
+    a = o.select("o_custkey", F.col("o_orderkey").alias("a"), F.col("o_orderpriority").alias("pa"), F.col("o_orderstatus").alias("sa"))
+    b = o.select("o_custkey", F.col("o_orderkey").alias("b"), F.col("o_orderpriority").alias("pb"), F.col("o_orderstatus").alias("sb"))
+    j = a.join(b, "o_custkey").where("a < b")
+    return j.select("o_custkey", "a", "b", F.when(F.expr("pa = pb"), 1.0).when(F.expr("sa = sb"), 0.6).otherwise(0.0).alias("type_score"))
+
+
+@query(f"""with {_PAIRS}, j as (select a, b, round(0.6 * cw / (x.tw + y.tw - cw) + 0.15 * case when p.o_orderpriority = q.o_orderpriority then 1.0 when p.o_orderstatus = q.o_orderstatus then 0.6 else 0.0 end, 4) as similarity
+ from com join tot x on x.o_orderkey = a join tot y on y.o_orderkey = b join orders p on p.o_orderkey = a join orders q on q.o_orderkey = b)
+select a, b, similarity, cast(rank as integer) as rank from (select *, row_number() over (partition by a order by similarity desc, b) as rank from j) where rank <= 5""")
+def similar_topk(t) -> DataFrame:
+    sims = weighted_jaccard_exact(t)
+    return R.top(sims, ["a"], "similarity", "b", 5)
+
+
+def weighted_jaccard_exact(t) -> DataFrame:
+    s = t("orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus").join(t("lineitem").select("l_orderkey", "l_partkey"), F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey").distinct()
+    s = s.withColumn("w", F.when(F.col("l_partkey") % 5 == 0, 0.2).otherwise(1.0))
+    s = s.withColumn("tw", F.sum("w").over(Window.partitionBy("o_orderkey")))
+    side = lambda x: s.select("o_custkey", "l_partkey", F.col("o_orderkey").alias(x), F.col("w").alias("w" + x), F.col("tw").alias("t" + x), F.col("o_orderpriority").alias("p" + x), F.col("o_orderstatus").alias("s" + x))
+    j = side("a").join(side("b"), ["o_custkey", "l_partkey"]).where("a < b").groupBy("a", "b", "ta", "tb", "pa", "pb", "sa", "sb").agg(F.sum("wa").alias("cw"))
+    kind = F.when(F.expr("pa = pb"), 1.0).when(F.expr("sa = sb"), 0.6).otherwise(0.0)
+    return j.select("a", "b", F.round(0.6 * F.col("cw") / (F.col("ta") + F.col("tb") - F.col("cw")) + 0.15 * kind, 4).alias("similarity"))
+
+
+@query("select o_orderpriority, o_orderstatus, count(*) as n, round(count(*) / sum(count(*)) over (partition by o_orderpriority), 2) as ratio from orders group by 1, 2")
+def outcome_distribution(t) -> DataFrame:
+    n = t("orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
+    return n.withColumn("ratio", F.round(F.col("n") / F.sum("n").over(Window.partitionBy("o_orderpriority")), 2))
+
+
+@query("""with n as (select o_orderpriority, o_orderstatus, count(*) as n from orders group by 1, 2), r as (select *, sum(n) over (partition by o_orderpriority) as total, row_number() over (partition by o_orderpriority order by n desc, o_orderstatus) as k from n)
+select o_orderpriority, o_orderstatus as modal, cast(floor(100.0 * n / total) as integer) as percent from r where k = 1""")
+def modal_outcome(t) -> DataFrame:
+    n = t("orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))
+    n = n.withColumn("total", F.sum("n").over(Window.partitionBy("o_orderpriority")))
+    best = R.top(n, ["o_orderpriority"], "n", "o_orderstatus", 1)
+    return best.select("o_orderpriority", F.col("o_orderstatus").alias("modal"), F.floor(100.0 * F.col("n") / F.col("total")).cast("int").alias("percent"))
+
+
+@query("""select o_orderkey, count(l_partkey) > 0 as triggered, coalesce(string_agg(distinct cast(l_partkey as varchar), ',' order by cast(l_partkey as varchar)), '') as changed
+ from orders left join lineitem on l_orderkey = o_orderkey and l_shipdate > o_orderdate and l_shipdate <= o_orderdate + interval 30 day group by 1""")
+def law_change_interval(t) -> DataFrame:
+    li = t("lineitem").select("l_orderkey", "l_partkey", "l_shipdate")
+    near = (F.col("l_orderkey") == F.col("o_orderkey")) & (F.col("l_shipdate") > F.col("o_orderdate")) & (F.col("l_shipdate") <= F.col("o_orderdate") + F.expr("interval 30 days"))
+    g = t("orders").select("o_orderkey", "o_orderdate").join(li, near, "left").groupBy("o_orderkey")
+    return g.agg((F.count("l_partkey") > 0).alias("triggered"), F.array_join(F.array_sort(F.collect_set(F.col("l_partkey").cast("string"))), ",").alias("changed"))
+
+
+@query("""select o_orderkey, 'Order ' || o_orderkey || ' of customer ' || c_name || ' (' || c_mktsegment || ') is in state ' || o_orderstatus || '.' as draft from orders join customer on c_custkey = o_custkey""")
+def draft_text(t) -> DataFrame:
+    j = t("orders").join(t("customer"), F.col("c_custkey") == F.col("o_custkey"))
+    return j.select("o_orderkey", F.concat(F.lit("Order "), "o_orderkey", F.lit(" of customer "), "c_name", F.lit(" ("), "c_mktsegment", F.lit(") is in state "), "o_orderstatus", F.lit(".")).alias("draft"))
+
+
+# ------------------------------------------------------------ validation
+
+
+@query("select l_orderkey, l_linenumber from lineitem where not exists (select 1 from orders where o_orderkey = l_orderkey)")
+def fk_orphans(t) -> DataFrame:
+    return t("lineitem").join(t("orders"), F.col("o_orderkey") == F.col("l_orderkey"), "left_anti").select("l_orderkey", "l_linenumber")
+
+
+_KEYS = {"documents": "doc_id", "orders": "o_orderkey", "part": "p_partkey", "customer": "c_custkey", "pages": "page_id"}
+
+
+@query(" union all ".join(f"select '{n}' as name, count(*) as n_rows, count(distinct {k}) as n_keys, count(*) = count(distinct {k}) as passed from {n}" for n, k in _KEYS.items()))
+def pk_unique(t) -> DataFrame:
+    out = None
+    for n, k in _KEYS.items():
+        one = t(n).agg(F.count("*").alias("n_rows"), F.count_distinct(k).alias("n_keys")).select(F.lit(n).alias("name"), "n_rows", "n_keys", (F.col("n_rows") == F.col("n_keys")).alias("passed"))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query("""with c as (select 'rows' as name, count(*) > 0 as passed from documents union all select 'unique_ids', count(*) = count(distinct doc_id) from documents union all select 'length', bool_and(n_chars = length(text)) from documents
+ union all select 'label_fk', count(*) = 0 from labels where doc_id not in (select doc_id from documents))
+select name, passed, (select case when bool_and(passed) then 'validated' else 'partial' end from c) as status from c""")
+def qa_report(t) -> DataFrame:
+    d = t("documents")
+    one = d.agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("k"), F.bool_and(F.col("n_chars") == F.length("text")).alias("ok"))
+    checks = one.select(F.expr("stack(3, 'rows', n > 0, 'unique_ids', n = k, 'length', ok) as (name, passed)"))
+    fk = t("labels").join(d.select("doc_id"), "doc_id", "left_anti").agg((F.count("*") == 0).alias("passed")).select(F.lit("label_fk").alias("name"), "passed")
+    checks = checks.unionByName(fk)
+    gate = checks.agg(F.when(F.bool_and("passed"), "validated").otherwise("partial").alias("status"))
+    return checks.join(F.broadcast(gate))
