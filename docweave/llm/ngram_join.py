@@ -50,7 +50,7 @@ def _sketches(h, sizes, bounds, band, blocks):
     return out, at
 
 
-SCHEMA = "doc_id long, n long, h1 long, h2 long, own int, own_words array<long>, low int, low_words array<long>"
+SCHEMA = "doc_id long, n long, h1 long, h2 long, coarse array<long>, own int, own_words array<long>, low int, low_words array<long>"
 
 
 def _signatures(size: int, percent: int, lower: bool):
@@ -65,6 +65,10 @@ def _signatures(size: int, percent: int, lower: bool):
                 low = np.where((own > 0) & (n <= reach[own - 1]), own - 1, -1)
                 cols = [batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64())]
                 cols += [pa.array(totals(mix(h, s), bounds).view(np.int64)) for s in (11, 12)]
+                coarse = np.zeros(4 * len(n), U64)
+                x = mix(h, 6)
+                np.bitwise_xor.at(coarse, 4 * np.repeat(np.arange(len(n)), n) + ((x >> U64(8)) & U64(3)).astype(np.int64), U64(1) << (x & U64(63)))
+                cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * 4, pa.int32()), pa.array(coarse.view(np.int64))))
                 for band in (own, low):
                     flat, at = _sketches(h, n, bounds, band, blocks)
                     lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))
@@ -152,15 +156,20 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool
     members = saved(linking.central(saved(every.join(shared, "key"), "members")), "members")
 
     def likely(pairs):
-        cols = ["n", "own", "own_words", "low_words"]
-        for side in "ab":
-            pairs = pairs.join(nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in cols)), side)
+        def known(pairs, cols):
+            for side in "ab":
+                pairs = pairs.join(nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in cols)), side)
+            return pairs
+
         far = f"""case when a_own = b_own then {_far("a_own_words", "b_own_words")}
                   when a_own < b_own then {_far("a_own_words", "b_low_words")}
                   else {_far("a_low_words", "b_own_words")} end"""
         fits = f"least(a_n, b_n) * 100 >= greatest(a_n, b_n) * {percent}"
         most = f"(a_n + b_n) * {100 - percent} div {100 + percent}"
-        return pairs.where(fits).where("abs(a_own - b_own) <= 1").where(f"{far} <= {most}").select("a", "b")
+        # A sketch of 256 bits sorts out chance meetings before whole sketches are sent.
+        pairs = known(pairs, ["n", "own", "coarse"]).where(fits).where("abs(a_own - b_own) <= 1")
+        pairs = pairs.where(f"{_far('a_coarse', 'b_coarse')} <= {most}").select("a", "b", "a_n", "b_n", "a_own", "b_own")
+        return known(pairs, ["own_words", "low_words"]).where(f"{far} <= {most}").select("a", "b")
 
     def texts(ids):
         ids = saved(ids.select(F.col("node").alias("doc_id")), "ids")
