@@ -4,7 +4,8 @@ Each document is the set of its shingles.  Two sets with Jaccard >= t differ in
 (a + b)(1 - t)/(1 + t) shingles.  A document's sketch has B blocks of 64 bits; each shingle flips
 one bit of one block, so the Hamming distance of two sketches is at most the symmetric
 difference.  With B one above the largest difference a size band allows, some block of two linked
-documents is equal (pigeonhole), and joining on (band, block number, block) finds them all.
+documents is equal (pigeonhole), and joining on (band, block number, XOR of its shingles' hashes)
+finds them all.
 Candidates pass the Hamming bound on the whole sketch and then an exact comparison of the
 whole texts.
 
@@ -14,6 +15,7 @@ below may be linked with it, in that one too.
 from __future__ import annotations
 
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,55 +26,83 @@ from . import linking
 from .common import U64, distinct, met, mix, saved, shingles, slices, totals, words
 
 
+class Bands(NamedTuple):
+    starts: np.ndarray  # smallest size of each band
+    blocks: np.ndarray
+    reach: np.ndarray  # largest size that a document of the band may be linked with
+    spare: np.ndarray  # blocks beyond those that pigeonhole needs
+
+
 @lru_cache
-def bands(percent: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(lower ends of the bands, blocks of each, largest size that a band still has to meet)."""
+def bands(percent: int) -> Bands:
+    """The size bands.  Spare blocks make up for those that are empty, which tell little."""
     ends = [1]
     while ends[-1] < 1 << 40:
         ends.append(max(ends[-1] + 1, ends[-1] * 3 // 2))
-    most = np.array([e - 1 for e in ends[1:]], np.int64)
+    starts, most = np.array(ends[:-1], np.int64), np.array(ends[1:], np.int64) - 1
     reach = most * 100 // percent
-    blocks = (most + reach) * (100 - percent) // (100 + percent) + 1
-    return np.array(ends[:-1], np.int64), blocks, reach
-
-
-def _sketches(h, sizes, bounds, band, blocks):
-    """Blocks of all documents, end to end, and their bounds; none where band < 0."""
-    counts = np.where(band >= 0, blocks[band], 0)
-    at = np.zeros(len(counts) + 1, np.int64)
-    np.cumsum(counts, out=at[1:])
+    need = (most + reach) * (100 - percent) // (100 + percent) + 1
+    blocks = need.copy()
+    for extra in range(1, 31):
+        b = need + need * extra // 100
+        empty = b * np.exp(-starts / b)
+        fits = (blocks == need) & (b - empty - 2 * np.sqrt(empty) >= need) & (b > need)
+        blocks = np.where(fits, b, blocks)
+    return Bands(starts, blocks, reach, blocks - need)
+
+
+def _sketches(h, sizes, band, made: Bands):
+    """Per document its blocks' parity words and its keys, each end to end, with bounds.
+
+    A key stands for one block: band, number and the XOR of its shingles' hashes.  A document with no
+    more empty blocks than there are spare ones needs none of them: of its equal blocks
+    with a linked document at least one is not empty.  If both have more, both keep them.
+    """
+    counts = np.where(band >= 0, made.blocks[band], 0)
+    at = np.append(0, np.cumsum(counts))
     own = np.repeat(counts, sizes)
     use = own > 0
     x = mix(h[use], 5)
     spot = np.repeat(at[:-1], sizes)[use] + ((x >> U64(16)) % own[use].astype(U64)).astype(np.int64)
-    out = np.zeros(at[-1], U64)
-    np.bitwise_xor.at(out, spot, U64(1) << (x & U64(63)))
-    return out, at
+    words_, keys = np.zeros(at[-1], U64), np.zeros(at[-1], U64)
+    np.bitwise_xor.at(words_, spot, U64(1) << (x & U64(63)))
+    np.bitwise_xor.at(keys, spot, mix(h[use], 8))
+    number = np.arange(at[-1]) - np.repeat(at[:-1], counts)
+    keys = mix(keys + mix((np.repeat(band, counts) * (1 << 40) + number).astype(U64), 9), 10)
+    empty = np.bincount(spot, minlength=at[-1]) == 0
+    n_empty = np.append(0, np.cumsum(empty))[at]
+    drop = empty & np.repeat(np.diff(n_empty) <= made.spare[band], counts)
+    return words_, at, keys[~drop], np.append(0, np.cumsum(~drop))[at]
+
 
+SCHEMA = "doc_id long, n long, h1 long, h2 long, coarse array<long>, own int, own_words array<long>, own_keys array<long>, low int, low_words array<long>, low_keys array<long>"
 
-SCHEMA = "doc_id long, n long, h1 long, h2 long, coarse array<long>, own int, own_words array<long>, low int, low_words array<long>"
+
+def coarse_words(percent: int) -> int:
+    """64-bit words of the coarse sketch: wider where more differences are allowed."""
+    return 4 if percent >= 90 else 16
 
 
 def _signatures(size: int, percent: int, lower: bool):
     def run(batches):
-        starts, blocks, reach = bands(percent)
+        made, wide = bands(percent), coarse_words(percent)
         for batch in batches:
             parts = []
             for i, j, data, offs in slices(batch.column("text")):
                 h, bounds = distinct(*shingles(words(data, offs, lower), size))
                 n = np.diff(bounds)
-                own = np.searchsorted(starts, n, side="right") - 1
-                low = np.where((own > 0) & (n <= reach[own - 1]), own - 1, -1)
+                own = np.searchsorted(made.starts, n, side="right") - 1
+                low = np.where((own > 0) & (n <= made.reach[own - 1]), own - 1, -1)
                 cols = [batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64())]
                 cols += [pa.array(totals(mix(h, s), bounds).view(np.int64)) for s in (11, 12)]
-                coarse = np.zeros(4 * len(n), U64)
+                coarse = np.zeros(wide * len(n), U64)
                 x = mix(h, 6)
-                np.bitwise_xor.at(coarse, 4 * np.repeat(np.arange(len(n)), n) + ((x >> U64(8)) & U64(3)).astype(np.int64), U64(1) << (x & U64(63)))
-                cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * 4, pa.int32()), pa.array(coarse.view(np.int64))))
+                np.bitwise_xor.at(coarse, wide * np.repeat(np.arange(len(n)), n) + ((x >> U64(8)) % U64(wide)).astype(np.int64), U64(1) << (x & U64(63)))
+                cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * wide, pa.int32()), pa.array(coarse.view(np.int64))))
                 for band in (own, low):
-                    flat, at = _sketches(h, n, bounds, band, blocks)
-                    lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.view(np.int64)))
-                    cols += [pa.array(band, pa.int32()), lists]
+                    flat, at, keys, key_at = _sketches(h, n, band, made)
+                    lists = (pa.ListArray.from_arrays(pa.array(b, pa.int32()), pa.array(v.view(np.int64))) for b, v in ((at, flat), (key_at, keys)))
+                    cols += [pa.array(band, pa.int32()), *lists]
                 parts.append(pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SCHEMA.split(", ")]))
             yield from parts
 
@@ -147,11 +177,7 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool
     nodes = sig.join(sets.select(F.col("node").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
     nodes = saved(nodes.withColumnRenamed("doc_id", "node"), "nodes")
 
-    def keys(band, col):
-        out = nodes.where(f"{band} >= 0").select("node", band, F.posexplode(col).alias("i", "w"))
-        return out.select(F.xxhash64(band, "i", "w").alias("key"), "node")
-
-    every = keys("own", "own_words").unionByName(keys("low", "low_words"))
+    every = nodes.select(F.explode("own_keys").alias("key"), "node").union(nodes.select(F.explode("low_keys").alias("key"), "node"))
     shared = saved(every.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
     members = saved(linking.central(saved(every.join(shared, "key"), "members")), "members")
 
@@ -166,7 +192,7 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool
                   else {_far("a_low_words", "b_own_words")} end"""
         fits = f"least(a_n, b_n) * 100 >= greatest(a_n, b_n) * {percent}"
         most = f"(a_n + b_n) * {100 - percent} div {100 + percent}"
-        # A sketch of 256 bits sorts out chance meetings before whole sketches are sent.
+        # A coarse sketch sorts out chance meetings before whole sketches are sent.
         pairs = known(pairs, ["n", "own", "coarse"]).where(fits).where("abs(a_own - b_own) <= 1")
         pairs = pairs.where(f"{_far('a_coarse', 'b_coarse')} <= {most}").select("a", "b", "a_n", "b_n", "a_own", "b_own")
         return known(pairs, ["own_words", "low_words"]).where(f"{far} <= {most}").select("a", "b")
