@@ -69,7 +69,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, lower:
 
 
 #: Groups of up to so many nodes are paired in Spark; larger ones are compared in tiles of TILE.
-SMALL, TILE = 24, 256
+SMALL, TILE = 24, 1024
 
 
 def central(members: DataFrame) -> DataFrame:

@@ -174,9 +174,7 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool
     sig = saved(rows.mapInArrow(_signatures(size, percent, lower), SCHEMA), "sketches")
     sets = sig.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"))
     sets = saved(sets, "sets")
-    nodes = sig.join(sets.select(F.col("node").alias("doc_id")), "doc_id").dropDuplicates(["doc_id"])
-    nodes = saved(nodes.withColumnRenamed("doc_id", "node"), "nodes")
-
+    nodes = met(sig, sets.select(F.col("node").alias("doc_id")), "doc_id").withColumnRenamed("doc_id", "node")
     every = nodes.select(F.explode("own_keys").alias("key"), "node").union(nodes.select(F.explode("low_keys").alias("key"), "node"))
     shared = saved(every.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
     members = saved(linking.central(saved(every.join(shared, "key"), "members")), "members")
