@@ -68,8 +68,8 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, lower:
     return out.where(F.col("n_both") * 100 >= F.col("n_union") * percent)
 
 
-#: Groups of up to so many nodes are paired in Spark; larger ones are compared in tiles of TILE.
-SMALL, TILE = 24, 1024
+#: Groups of up to so many nodes are paired in Spark; larger ones are compared in tiles.
+SMALL = 24
 
 
 def central(members: DataFrame) -> DataFrame:
@@ -87,8 +87,8 @@ def classes(members: DataFrame, likely, texts, size: int, percent: int, lower: b
     """(node, comp) of the classes among nodes that share keys, each link verified.
 
     members(key, node, m, hub) are as `central` gives them.  likely(pairs) drops pairs(a, b) that
-    cannot be linked; texts(nodes) gives (node, text) of nodes(node).  tiles(rows) gives the likely
-    pairs of rows(key, node, comp, tile, other) without a row for each pair.
+    cannot be linked; texts(nodes) gives (node, text) of nodes(node).  tiles(groups) gives the likely
+    pairs within each key of groups(key, node, comp) without a row for each pair.
 
     First every member is compared with its hub.  Keys whose members then lie in several
     components still may hide links, so their members of different components are compared
@@ -108,10 +108,7 @@ def classes(members: DataFrame, likely, texts, size: int, percent: int, lower: b
     rest = left.join(right, "key").where("ca <> cb and a < b").select("a", "b").distinct()
     rest = likely(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"))
     if tiles:
-        many = open_.where(F.col("m") > SMALL).withColumn("n_tiles", F.ceil(F.col("m") / TILE).cast("int"))
-        many = many.withColumn("own", F.pmod(F.xxhash64("node"), "n_tiles").cast("int"))
-        many = many.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)))
-        many = many.select("key", "node", "comp", "own", F.least("own", "with").alias("tile"), F.greatest("own", "with").alias("other"))
+        many = open_.where(F.col("m") > SMALL).select("key", "node", "comp")
         rest = rest.union(tiles(many).distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")).distinct()
     rest = saved(rest, "rest")
     more = saved(_links(rest, texts, size, percent, lower), "links")

@@ -1,13 +1,11 @@
 """N-gram Jaccard self-join by parity sketches.
 
 Each document is the set of its shingles.  Two sets with Jaccard >= t differ in at most
-(a + b)(1 - t)/(1 + t) shingles.  A document's sketch has B blocks of 64 bits; each shingle flips
-one bit of one block, so the Hamming distance of two sketches is at most the symmetric
-difference.  With B one above the largest difference a size band allows, some block of two linked
-documents is equal (pigeonhole), and joining on (band, block number, XOR of its shingles' hashes)
-finds them all.
-Candidates pass the Hamming bound on the whole sketch and then an exact comparison of the
-whole texts.
+(a + b)(1 - t)/(1 + t) shingles.  They are dealt to B blocks by hash.  With B one above the largest
+difference a size band allows, some block of two linked documents is equal (pigeonhole), and joining
+on (band, block number, XOR of the block's hashes) finds them all.  Candidates pass the Hamming
+bound on their sketches, in which each shingle flips one bit of at least two a shingle, so that
+the distance is at most the difference; then whole texts are compared exactly.
 
 Bands grow by half.  A document stands in its own band and, if some document of the band
 below may be linked with it, in that one too.
@@ -51,8 +49,8 @@ def bands(percent: int) -> Bands:
     return Bands(starts, blocks, reach, blocks - need)
 
 
-def _sketches(h, sizes, band, made: Bands):
-    """Per document its blocks' parity words and its keys, each end to end, with bounds.
+def _keys(h, sizes, band, made: Bands):
+    """Per document its keys, end to end, with bounds.
 
     A key stands for one block: band, number and the XOR of its shingles' hashes.  A document with no
     more empty blocks than there are spare ones needs none of them: of its equal blocks
@@ -64,28 +62,31 @@ def _sketches(h, sizes, band, made: Bands):
     use = own > 0
     x = mix(h[use], 5)
     spot = np.repeat(at[:-1], sizes)[use] + ((x >> U64(16)) % own[use].astype(U64)).astype(np.int64)
-    words_, keys = np.zeros(at[-1], U64), np.zeros(at[-1], U64)
-    np.bitwise_xor.at(words_, spot, U64(1) << (x & U64(63)))
+    keys = np.zeros(at[-1], U64)
     np.bitwise_xor.at(keys, spot, mix(h[use], 8))
     number = np.arange(at[-1]) - np.repeat(at[:-1], counts)
     keys = mix(keys + mix((np.repeat(band, counts) * (1 << 40) + number).astype(U64), 9), 10)
     empty = np.bincount(spot, minlength=at[-1]) == 0
     n_empty = np.append(0, np.cumsum(empty))[at]
     drop = empty & np.repeat(np.diff(n_empty) <= made.spare[band], counts)
-    return words_, at, keys[~drop], np.append(0, np.cumsum(~drop))[at]
+    return keys[~drop], np.append(0, np.cumsum(~drop))[at]
 
 
-SCHEMA = "doc_id long, n long, h1 long, h2 long, coarse array<long>, own int, own_words array<long>, own_keys array<long>, low int, low_words array<long>, low_keys array<long>"
+SCHEMA = "doc_id long, n long, h1 long, h2 long, sketch array<long>, own_keys array<long>, low_keys array<long>"
 
+#: Words of the smallest sketch, and shingles to a word of larger ones (so two bits and more to a shingle).
+LEAST_WORDS, SHINGLES_A_WORD = 8, 32
 
-def coarse_words(percent: int) -> int:
-    """64-bit words of the coarse sketch: wider where more differences are allowed."""
-    return 4 if percent >= 90 else 16
+
+def sketch_words(starts: np.ndarray) -> np.ndarray:
+    """64-bit words of the sketches of each band: a power of two, so that the wider of two can be folded."""
+    return np.maximum(LEAST_WORDS, 1 << np.ceil(np.log2(np.maximum(starts / SHINGLES_A_WORD, 1))).astype(np.int64))
 
 
 def _signatures(size: int, percent: int, lower: bool):
     def run(batches):
-        made, wide = bands(percent), coarse_words(percent)
+        made = bands(percent)
+        wide = sketch_words(made.starts)
         for batch in batches:
             parts = []
             for i, j, data, offs in slices(batch.column("text")):
@@ -95,14 +96,13 @@ def _signatures(size: int, percent: int, lower: bool):
                 low = np.where((own > 0) & (n <= made.reach[own - 1]), own - 1, -1)
                 cols = [batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64())]
                 cols += [pa.array(totals(mix(h, s), bounds).view(np.int64)) for s in (11, 12)]
-                coarse = np.zeros(wide * len(n), U64)
-                x = mix(h, 6)
-                np.bitwise_xor.at(coarse, wide * np.repeat(np.arange(len(n)), n) + ((x >> U64(8)) % U64(wide)).astype(np.int64), U64(1) << (x & U64(63)))
-                cols.append(pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * wide, pa.int32()), pa.array(coarse.view(np.int64))))
-                for band in (own, low):
-                    flat, at, keys, key_at = _sketches(h, n, band, made)
-                    lists = (pa.ListArray.from_arrays(pa.array(b, pa.int32()), pa.array(v.view(np.int64))) for b, v in ((at, flat), (key_at, keys)))
-                    cols += [pa.array(band, pa.int32()), *lists]
+                counts = np.where(n > 0, wide[own], 0)
+                at = np.append(0, np.cumsum(counts))
+                flat, x = np.zeros(at[-1], U64), mix(h, 6)
+                spot = np.repeat(at[:-1], n) + ((x >> U64(8)) % np.repeat(counts, n).astype(U64)).astype(np.int64)
+                np.bitwise_xor.at(flat, spot, U64(1) << (x & U64(63)))
+                for values, ends in ((flat, at), _keys(h, n, own, made), _keys(h, n, low, made)):
+                    cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64))))
                 parts.append(pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SCHEMA.split(", ")]))
             yield from parts
 
@@ -110,59 +110,100 @@ def _signatures(size: int, percent: int, lower: bool):
 
 
 def _far(x: str, y: str) -> str:
-    return f"aggregate(zip_with({x}, {y}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    """SQL for the Hamming distance of two sketches, the wider of which is folded."""
+    fold = lambda z: f"zip_with(slice({z}, 1, size({z}) div 2), slice({z}, size({z}) div 2 + 1, size({z}) div 2), (p, q) -> p ^ q)"
+    apart = lambda v, w: f"aggregate(zip_with({v}, {w}, (x, y) -> bit_count(x ^ y)), 0, (s, x) -> s + x)"
+    return f"case when size({x}) = size({y}) then {apart(x, y)} when size({x}) > size({y}) then {apart(fold(x), y)} else {apart(x, fold(y))} end"
+
+
+class _Side(NamedTuple):
+    """Members of a tile with sketches of one width, by rising size."""
+
+    n: np.ndarray
+    node: np.ndarray
+    comp: np.ndarray
+    sketch: np.ndarray
+
+
+def _sides(rows: pa.Table) -> dict[int, _Side]:
+    n, node, comp = (rows.column(c).to_numpy() for c in ("n", "node", "comp"))
+    lists = rows.column("sketch").combine_chunks()
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    ends = lists.offsets.to_numpy().astype(np.int64)
+    flat = np.asarray(lists.values).view(U64)
+    out = {}
+    for wide in np.unique(np.diff(ends)).tolist():
+        at = np.flatnonzero(np.diff(ends) == wide)
+        at = at[np.argsort(n[at], kind="stable")]
+        out[wide] = _Side(n[at], node[at], comp[at], flat[ends[at][:, None] + np.arange(wide)])
+    return out
 
 
-def _close(rows: list[dict], percent: int) -> list[tuple[int, int]]:
-    """Pairs within one tile, or between two, that sizes and the Hamming bound allow."""
-    first = [r for r in rows if r["own"] == rows[0]["tile"]]
-    second = first if rows[0]["tile"] == rows[0]["other"] else [r for r in rows if r["own"] == rows[0]["other"]]
+def _close(rows: pa.Table, percent: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of different components, of one tile or of two, that sizes and the Hamming bound allow."""
+    own, tile, other = (rows.column(c).to_numpy() for c in ("own", "tile", "other"))
+    alone = tile[0] == other[0]
+    one = _sides(rows.filter(pa.array(own == tile)))
+    two = one if alone else _sides(rows.filter(pa.array(own == other)))
     out = []
-    for band in {r["band"] for r in rows}:
-        # Pairs whose smaller band is `band`: own words there, the other's low words one band up.
-        a = [r for r in first if r["band"] in (band, band + 1)]
-        b = [r for r in second if r["band"] in (band, band + 1)]
-        a, b = ([r for r in x if r["band"] == band or r["low_words"]] for x in (a, b))
-        if not a or not b:
-            continue
-        side = lambda x: np.array([r["own_words"] if r["band"] == band else r["low_words"] for r in x], np.int64).view(U64)
-        wa, wb = side(a), side(b)
-        col = lambda x, k: np.array([r[k] for r in x], np.int64)
-        na, nb, ca, cb, ia, ib = col(a, "n"), col(b, "n"), col(a, "comp"), col(b, "comp"), col(a, "node"), col(b, "node")
-        lowest = col(b, "band") == band
-        for k in range(len(a)):
-            far = np.bitwise_count(wb ^ wa[k]).sum(1)
-            ok = (far <= (na[k] + nb) * (100 - percent) // (100 + percent)) & (np.minimum(na[k], nb) * 100 >= np.maximum(na[k], nb) * percent)
-            ok &= (ca[k] != cb) & (ia[k] != ib) & ((a[k]["band"] == band) | lowest)
-            out += [(min(ia[k], x), max(ia[k], x)) for x in ib[ok].tolist()]
+    for wa, a in one.items():
+        for wb, b in two.items():
+            if max(wa, wb) > 2 * min(wa, wb):
+                continue  # too far apart in size
+            sa, sb = a.sketch, b.sketch
+            if wa > wb:
+                sa = sa[:, :wb] ^ sa[:, wb:]
+            elif wb > wa:
+                sb = sb[:, :wa] ^ sb[:, wa:]
+            lo = np.searchsorted(b.n, -(-a.n * percent // 100))
+            hi = np.searchsorted(b.n, a.n * 100 // percent, side="right")
+            for k in range(len(a.n)):
+                near = slice(lo[k], hi[k])
+                ok = (b.comp[near] != a.comp[k]) & (b.node[near] != a.node[k])
+                if alone:
+                    ok &= b.node[near] > a.node[k]
+                if not ok.any():
+                    continue
+                far = np.bitwise_count(sb[near] ^ sa[k]).sum(1, dtype=np.int64)
+                ok &= far <= (a.n[k] + b.n[near]) * (100 - percent) // (100 + percent)
+                hits = b.node[near][ok]
+                if len(hits):
+                    out.append((np.minimum(hits, a.node[k]), np.maximum(hits, a.node[k])))
     return out
 
 
 def _tile_pairs(percent: int):
     """Rows come sorted by key and tiles; at most two tiles of rows are held at once."""
 
-    def batch_of(pairs):
-        pairs = sorted(set(pairs))
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.int64()), pa.array([p[1] for p in pairs], pa.int64())], ["a", "b"])
+    def pairs_of(held):
+        got = _close(pa.Table.from_batches(held), percent)
+        a, b = (np.concatenate([p[k] for p in got]) if got else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     def run(batches):
         held, at = [], None
         for batch in batches:
-            done = []
-            for r in batch.to_pylist():
-                spot = (r["key"], r["tile"], r["other"])
-                if spot != at and held:
-                    done += _close(held, percent)
+            if not batch.num_rows:
+                continue
+            spots = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("key", "tile", "other")], 1)
+            cuts = np.append(np.append(0, np.flatnonzero((spots[1:] != spots[:-1]).any(1)) + 1), len(spots))
+            for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+                spot = tuple(spots[lo].tolist())
+                if held and spot != at:
+                    yield pairs_of(held)
                     held = []
                 at = spot
-                held.append(r)
-            yield batch_of(done)
+                held.append(batch.slice(lo, hi - lo))
         if held:
-            yield batch_of(_close(held, percent))
+            yield pairs_of(held)
 
     return run
 
 
+#: Members of a tile, and 64-bit words of its sketches, at most.
+TILE, TILE_WORDS = 4096, 1 << 22
+
+
 def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id): exact classes of documents linked at the given Jaccard.
 
@@ -180,28 +221,24 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool
     members = saved(linking.central(saved(every.join(shared, "key"), "members")), "members")
 
     def likely(pairs):
-        def known(pairs, cols):
-            for side in "ab":
-                pairs = pairs.join(nodes.select(F.col("node").alias(side), *(F.col(c).alias(f"{side}_{c}") for c in cols)), side)
-            return pairs
-
-        far = f"""case when a_own = b_own then {_far("a_own_words", "b_own_words")}
-                  when a_own < b_own then {_far("a_own_words", "b_low_words")}
-                  else {_far("a_low_words", "b_own_words")} end"""
-        fits = f"least(a_n, b_n) * 100 >= greatest(a_n, b_n) * {percent}"
-        most = f"(a_n + b_n) * {100 - percent} div {100 + percent}"
-        # A coarse sketch sorts out chance meetings before whole sketches are sent.
-        pairs = known(pairs, ["n", "own", "coarse"]).where(fits).where("abs(a_own - b_own) <= 1")
-        pairs = pairs.where(f"{_far('a_coarse', 'b_coarse')} <= {most}").select("a", "b", "a_n", "b_n", "a_own", "b_own")
-        return known(pairs, ["own_words", "low_words"]).where(f"{far} <= {most}").select("a", "b")
+        for side in "ab":
+            pairs = pairs.join(nodes.select(F.col("node").alias(side), F.col("n").alias(f"{side}_n"), F.col("sketch").alias(f"{side}_sketch")), side)
+        pairs = pairs.where(f"least(a_n, b_n) * 100 >= greatest(a_n, b_n) * {percent}")
+        return pairs.where(f"{_far('a_sketch', 'b_sketch')} <= (a_n + b_n) * {100 - percent} div {100 + percent}").select("a", "b")
 
     def texts(ids):
         ids = saved(ids.select(F.col("node").alias("doc_id")), "ids")
         return met(rows, ids, "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
 
-    def tiles(rows):
-        words = rows.join(nodes.select("node", "n", F.col("own").alias("band"), "own_words", "low_words"), "node")
-        parts = words.repartition("key", "tile", "other").sortWithinPartitions("key", "tile", "other")
+    def tiles(groups):
+        groups = saved(groups.join(nodes.select("node", "n", F.size("sketch").alias("wide")), "node"), "groups")
+        dealt = groups.groupBy("key").agg(F.count("*").alias("members"), F.max("wide").alias("widest"))
+        dealt = dealt.select("key", F.ceil(F.col("members") / F.least(F.lit(TILE), F.floor(F.lit(TILE_WORDS) / F.col("widest")))).cast("int").alias("n_tiles"))
+        dealt = groups.join(saved(dealt, "tiles"), "key").withColumn("own", F.pmod(F.xxhash64("node"), "n_tiles").cast("int"))
+        dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)))
+        dealt = dealt.select("key", "node", "comp", "own", F.least("own", "with").alias("tile"), F.greatest("own", "with").alias("other"))
+        dealt = dealt.join(nodes.select("node", "n", "sketch"), "node")
+        parts = dealt.repartition("key", "tile", "other").sortWithinPartitions("key", "tile", "other")
         return parts.mapInArrow(_tile_pairs(percent), "a long, b long")
 
     comp = linking.classes(members, likely, texts, size, percent, lower, tiles)

@@ -106,7 +106,7 @@ def classes_by_force(texts, size, percent):
 @pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
 def test_near_classes(spark, monkeypatch, size, percent):
     monkeypatch.setattr(linking, "SMALL", 4)
-    monkeypatch.setattr(linking, "TILE", 16)
+    monkeypatch.setattr(ngram_join, "TILE", 16)
     rnd = random.Random(5)
     base = [f"w{rnd.randint(0, 5000)}" for _ in range(150)]
     texts = [None, "", "a b", "a b", "a", " \n ", "solo text of its own"]
