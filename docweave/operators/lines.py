@@ -12,9 +12,10 @@ def lines(docs: DataFrame) -> DataFrame:
 
 
 def sections(rows: DataFrame, heading: Column) -> DataFrame:
-    """(doc_id, section, heading, first_line, n_lines, quote): each heading opens a section.
+    """(doc_id, section, heading, first_line, n_lines, quote, spans): each heading opens a section.
 
-    Lines before the first heading are section 0.  The quote joins the section's lines in order.
+    Lines before the first heading are section 0.  The quote joins the section's lines in order;
+    spans (line_no, char_start, char_end) name them.
     """
     run = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
     marked = rows.withColumn("is_heading", heading).withColumn("section", F.sum(F.col("is_heading").cast("long")).over(run))
@@ -22,7 +23,8 @@ def sections(rows: DataFrame, heading: Column) -> DataFrame:
         F.min(F.when(F.col("is_heading"), F.col("line"))).alias("heading"), F.min("line_no").alias("first_line"),
         F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("all"),
     )
-    return marked.withColumn("quote", F.array_join(F.col("all.line"), "\n")).drop("all")
+    spans = F.transform("all", lambda x: F.struct(x["line_no"].alias("line_no"), F.lit(0).alias("char_start"), F.length(x["line"]).alias("char_end")))
+    return marked.withColumn("quote", F.array_join(F.col("all.line"), "\n")).withColumn("spans", spans).drop("all")
 
 
 def packed(docs: DataFrame, limit: int = 800) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docweave.functions import text as T
 from docweave.operators import lines as L
 from docweave.operators import retrieval as R
+from docweave.operators import spans as S
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -145,6 +146,11 @@ def uncovered_lines(t) -> DataFrame:
     return _sections(t).where("section = 0").select("doc_id", "n_lines")
 
 
+@query(f"with {_SECTIONS} select doc_id, cast(section as bigint) as section, count(*) as n_spans, cast(0 as bigint) as bad_spans, true as same from marked group by 1, 2")
+def quote_rebuild(t) -> DataFrame:
+    return S.rebuilt(_sections(t), L.lines(t("documents")))
+
+
 @query()
 def chunk_greedy(t) -> DataFrame:
     return L.packed(t("documents")).select("doc_id", "chunk", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
