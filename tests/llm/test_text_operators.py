@@ -119,6 +119,21 @@ def test_near_classes(spark, monkeypatch, size, percent):
     assert got == classes_by_force(texts, size, percent)
 
 
+def test_near_classes_across_bands(spark, monkeypatch):
+    """Sets of two size bands, whose sketches differ in width, in Spark's pairs and in tiles."""
+    rnd = random.Random(8)
+    texts = []
+    for _ in range(6):
+        base = [f"v{rnd.randint(0, 10**6)}" for _ in range(305)]
+        texts += [" ".join(base + [f"y{rnd.randint(0, 10**6)}" for _ in range(n)]) for n in (0, 20, 30, 60, 90)]
+    want = classes_by_force(texts, 5, 80)
+    for small in (24, 1):
+        monkeypatch.setattr(linking, "SMALL", small)
+        got = sorted(tuple(r) for r in ngram_join.near_classes(frame(spark, texts), 5, 80).collect())
+        assert got == want
+    assert {np.sign(n - 316) for _, n, _ in want} == {-1, 1}
+
+
 def test_minhash(spark):
     texts = ["a b c d e f g h", None, "", "k l m n o p q r s t", "k l m n o p q r s t"]
     got = fingerprints(frame(spark, texts)).orderBy("doc_id").collect()
