@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, table
+from .common import cut, lean, slices, table
 from .pieces import PieceMemory
 
 NONE = 1 << 60
@@ -233,7 +233,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
         sha = hashlib.sha256
         for batch in batches:
             rows = []
-            for _, _, data, offs in slices(batch.column("text"), 1 << 21):
+            for _, _, data, offs in slices(batch.column("text"), 1 << 19):
                 flat, at = own.memory.encode(data, offs)
                 at = at.tolist()
                 for p, q in zip(at[:-1], at[1:], strict=True):
@@ -249,7 +249,7 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays(cols, names)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, schema + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(lean(run), schema + (", ids array<int>" if with_ids else ""))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:
@@ -257,11 +257,11 @@ def decode(encoded: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         own = codec(path)
-        for batch in batches:
+        for batch in cut(batches):
             texts = [own.decode(ids or []) for ids in batch.column("ids").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(run), "doc_id long, text string")
 
 
 def op2_bpe_segment_tree(spark, sf_dir):

@@ -9,9 +9,10 @@ inside a multi-byte UTF-8 sequence, so splitting bytes equals splitting characte
 """
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -58,6 +59,31 @@ def met(rows: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> Dat
     return rows.join(F.broadcast(ids) if small else ids, on, how)
 
 
+def lean(run: Callable) -> Callable:
+    """run(batches) for mapInArrow, after which freed memory goes back to the system.
+
+    Spark uses a Python worker again for later stages, so what it merely keeps adds to their needs.
+    """
+
+    def own(batches):
+        for out in run(batches):
+            yield out
+            del out
+        pa.default_memory_pool().release_unused()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+    return own
+
+
+def cut(batches, rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, for functions that hold Python objects of each row."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 # ---------------------------------------------------------------- hashing of words
 
 _BASE = 0x9E3779B97F4A7C15

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import distinct, saved, shingles, slices, words
+from .common import cut, distinct, lean, saved, shingles, slices, words
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -37,7 +37,7 @@ def components(edges: DataFrame) -> DataFrame:
 
 def _overlap(size: int, lower: bool):
     def run(batches):
-        for batch in batches:
+        for batch in cut(batches, 256):
             sets = []
             for side in ("text_a", "text_b"):
                 got = []
@@ -64,7 +64,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, lower:
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    out = both.mapInArrow(_overlap(size, lower), "a long, b long, n_both long, n_union long")
+    out = both.mapInArrow(lean(_overlap(size, lower)), "a long, b long, n_both long, n_union long")
     return out.where(F.col("n_both") * 100 >= F.col("n_union") * percent)
 
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import U64, distinct, met, mix, saved, shingles, slices, totals, words
+from .common import U64, distinct, lean, met, mix, saved, shingles, slices, totals, words
 
 
 class Bands(NamedTuple):
@@ -88,7 +88,6 @@ def _signatures(size: int, percent: int, lower: bool):
         made = bands(percent)
         wide = sketch_words(made.starts)
         for batch in batches:
-            parts = []
             for i, j, data, offs in slices(batch.column("text")):
                 h, bounds = distinct(*shingles(words(data, offs, lower), size))
                 n = np.diff(bounds)
@@ -103,8 +102,7 @@ def _signatures(size: int, percent: int, lower: bool):
                 np.bitwise_xor.at(flat, spot, U64(1) << (x & U64(63)))
                 for values, ends in ((flat, at), _keys(h, n, own, made), _keys(h, n, low, made)):
                     cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64))))
-                parts.append(pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SCHEMA.split(", ")]))
-            yield from parts
+                yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SCHEMA.split(", ")])
 
     return run
 
@@ -212,7 +210,7 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool
     repeat come out as often; a null doc_id takes its class's id.  Extra columns are ignored.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = saved(rows.mapInArrow(_signatures(size, percent, lower), SCHEMA), "sketches")
+    sig = saved(rows.mapInArrow(lean(_signatures(size, percent, lower)), SCHEMA), "sketches")
     sets = sig.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"))
     sets = saved(sets, "sets")
     nodes = met(sig, sets.select(F.col("node").alias("doc_id")), "doc_id").withColumnRenamed("doc_id", "node")
@@ -239,7 +237,7 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool
         dealt = dealt.select("key", "node", "comp", "own", F.least("own", "with").alias("tile"), F.greatest("own", "with").alias("other"))
         dealt = dealt.join(nodes.select("node", "n", "sketch"), "node")
         parts = dealt.repartition("key", "tile", "other").sortWithinPartitions("key", "tile", "other")
-        return parts.mapInArrow(_tile_pairs(percent), "a long, b long")
+        return parts.mapInArrow(lean(_tile_pairs(percent)), "a long, b long")
 
     comp = linking.classes(members, likely, texts, size, percent, lower, tiles)
     named = saved(sets.join(comp, "node", "left").select("h1", "h2", "n", F.coalesce("comp", "node").alias("component_id")), "classes")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import saved, table
+from .common import cut, lean, saved, table
 
 _TITLES = {
     "Mr": "m", "Mr.": "m", "Herr": "m", "Señor": "m", "Sr.": "m", "Monsieur": "m", "Don": "m", "Господин": "m", "Κύριος": "m",
@@ -207,7 +207,7 @@ def entities(docs: DataFrame, key: bytes) -> DataFrame:
             made = [surrogate(key, k, v) for k, v in zip(kinds, values, strict=True)]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (kinds, values, made)], ["kind", "value", "made"])
 
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "kind string, value string, made string").distinct()
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "kind string, value string, made string").distinct()
 
 
 def attempts(docs: DataFrame, key: bytes) -> DataFrame:
@@ -265,7 +265,7 @@ def pseudonymise(docs: DataFrame, key: bytes, most: int = 50_000) -> DataFrame:
     place = names.index("text")
 
     def run(batches):
-        for batch in batches:
+        for batch in cut(batches):
             own = batch.column(len(names)).to_pylist()
             texts, counts = [], []
             for t, more in zip(batch.column(place), own, strict=True):
@@ -277,7 +277,7 @@ def pseudonymise(docs: DataFrame, key: bytes, most: int = 50_000) -> DataFrame:
             cols[place] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.array(counts, np.int32))], [*names, "n_entities"])
 
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(lean(run), schema)
 
 
 #: For tests and reports; a real run takes its key from a secret store.

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import distinct, mix, runs, slices, table, totals, words
+from .common import distinct, lean, mix, runs, slices, table, totals, words
 
 FEATURES = (
     "log_bytes", "log_words", "word_length", "upper", "digits", "marks", "symbols", "bars", "bangs", "breaks", "beyond_ascii",
@@ -211,7 +211,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 20_000) -> Model:
     part = min(1_000_000, -(-sample * 1_000_000 // max(n, 1)))
     known = known.where(F.pmod(F.xxhash64("doc_id", F.lit(17)), F.lit(1_000_000)) < part).distinct()
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    got = rows.join(F.broadcast(known), "doc_id").mapInArrow(_features_of, "doc_id long, y int, x array<double>").toArrow()
+    got = rows.join(F.broadcast(known), "doc_id").mapInArrow(lean(_features_of), "doc_id long, y int, x array<double>").toArrow()
     if not got.num_rows:
         return fit(np.zeros((0, len(FEATURES))), np.zeros(0))
     x = got.column("x").combine_chunks().flatten().to_numpy().reshape(-1, len(FEATURES))
@@ -234,7 +234,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*cols, pa.array(s), pa.array((s >= threshold).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+    return rows.mapInArrow(lean(run), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFrame:
@@ -248,7 +248,7 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op1_additive_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
