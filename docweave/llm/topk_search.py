@@ -48,8 +48,8 @@ def _scores(queries: np.ndarray, ids: np.ndarray, batch):
         yield vec[k : k + STEP], got.astype(np.int64)
 
 
-def _histogram(queries, ids, low, width):
-    """Rows (q, bin, n): bin counts of the scores in low[q] .. low[q] + BINS * width[q]."""
+def _histogram(queries, ids, low, high, width):
+    """Rows (q, bin, n): counts of the scores with low[q] <= score < high[q], in bins of width[q] from low[q]."""
 
     def run(batches):
         counts = np.zeros(len(ids) * BINS, np.int64)
@@ -57,7 +57,7 @@ def _histogram(queries, ids, low, width):
         for batch in batches:
             for vec, got in _scores(queries, ids, batch):
                 place = (got - low[:, None]) // width[:, None]
-                inside = (place >= 0) & (place < BINS) & (ids[:, None] != vec[None, :])
+                inside = (place >= 0) & (place < BINS) & (got < high[:, None]) & (ids[:, None] != vec[None, :])
                 counts += np.bincount((base + place)[inside], minlength=len(counts))
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at // BINS), pa.array(at % BINS), pa.array(counts[at])], ["q", "bin", "n"])
@@ -124,9 +124,10 @@ def _block(rows, asked, n, k, enough):
     bound = int(np.abs(queries).sum(1).max() * (1024 * most + 1)) + 1
     low = np.full(len(ids), -bound, np.int64)
     width = np.full(len(ids), -(-(2 * bound + 1) // BINS), np.int64)
-    above = np.zeros(len(ids), np.int64)  # scores known to lie above the range
+    high = low + BINS * width
+    above = np.zeros(len(ids), np.int64)  # scores at or above high, which no histogram counts again
     while True:
-        counts = rows.mapInArrow(_histogram(queries, ids, low, width), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
+        counts = rows.mapInArrow(_histogram(queries, ids, low, high, width), "q long, bin long, n long").groupBy("q", "bin").agg(F.sum("n").alias("n"))
         known = counts.toArrow()
         hist = np.zeros((len(ids), BINS), np.int64)
         hist[known.column("q").to_numpy(), known.column("bin").to_numpy()] = known.column("n").to_numpy()
@@ -135,12 +136,11 @@ def _block(rows, asked, n, k, enough):
         spot = np.where(reached.any(1), BINS - 1 - np.argmax(reached[:, ::-1], axis=1), 0)
         q = np.arange(len(ids))
         low = low + spot * width
+        high = np.minimum(low + width, high)
         if ((atop[q, spot] <= enough) | (width == 1)).all():
             break
-        done = width == 1
-        above = np.where(done, above, atop[q, spot] - hist[q, spot])
-        fresh = -(-width // BINS)
-        width = np.where(done, 1, fresh)
+        above = atop[q, spot] - hist[q, spot]
+        width = -(-width // BINS)
     return rows.mapInArrow(_select(queries, ids, low, k), "query_id long, vec_id long, score long")
 
 

@@ -159,6 +159,27 @@ def test_top_k(spark):
     assert got == sorted(want)
 
 
+def best_by_force(values, every, k):
+    out = []
+    for q in range(0, len(values), every):
+        best = sorted((-values[q] * w, i) for i, w in enumerate(values) if i != q)[:k]
+        out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
+    return sorted(out)
+
+
+def test_top_k_refined(spark):
+    """Scores just above the chosen bin, where the refined histogram reaches beyond it, and many ties."""
+    rnd = random.Random(11)
+    # Scores of query 0 are the values. Bins of 407 from -26002: the tenth, 14800, lies in the bin up to 15105; 15150 above it.
+    edge = [1, 26000, *range(25000, 25007), 15150, 14800, *[14700] * 40]
+    # Blocks where some queries reach bins of width 1 before others do.
+    tied = [rnd.choice([1, 2, 3, 700, 26000]) if i % 20 == 0 else rnd.choice([5, 6, 7, *range(1, 400, 3), 25990]) for i in range(400)]
+    for values, every in ((edge, 100), (tied, 20)):
+        df = spark.createDataFrame([(i, [v / 1024]) for i, v in enumerate(values)], "vec_id long, embedding array<double>")
+        got = sorted(tuple(r) for r in topk_search.top_k(df, every=every, k=10, enough=12).collect())
+        assert got == best_by_force(values, every, 10)
+
+
 def test_ring(spark):
     texts = ["same"] * 40 + [f"t{i}" for i in range(37)] + [None, ""]
     got = ring_shards.shard_rows(frame(spark, texts), shards=4).toPandas()
