@@ -1,6 +1,8 @@
 """Lexical and vector scores, their scaling and fusion, for many queries at once."""
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,3 +50,99 @@ def minmax(score: str, by: str) -> Column:
     w = Window.partitionBy(by)
     lo, hi = F.min(score).over(w), F.max(score).over(w)
     return F.when(hi - lo < 1e-9, F.lit(0.0)).otherwise((F.col(score) - lo) / (hi - lo))
+
+
+#: Queries of a block on average, as in docweave.llm.topk_search; rows scored at once.
+BLOCK, STEP = 1024, 1024
+
+
+def blocks(asked: DataFrame, key: str) -> list[DataFrame]:
+    """asked in parts of about BLOCK rows, so what goes to a task does not grow with it."""
+    n = max(1, -(-asked.count() // BLOCK))
+    return [asked.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)]
+
+
+def _cosines(queries: list, batch: pa.RecordBatch):
+    """(first row, cosines of all queries with the next rows), STEP rows at a time; 0 where a vector is missing."""
+    dim = max((len(q) for q in queries if q is not None), default=0)
+    empty = [0.0] * dim
+    q = np.array([empty if v is None else v for v in queries], np.float64).reshape(len(queries), dim)
+    q /= np.sqrt((q * q).sum(1, keepdims=True)) + 1e-9
+    rows = batch.column("embedding").to_pylist()
+    for k in range(0, len(rows), STEP):
+        v = np.array([empty if x is None else x for x in rows[k : k + STEP]], np.float64).reshape(-1, dim)
+        yield k, np.round(q @ (v / (np.sqrt((v * v).sum(1, keepdims=True)) + 1e-9)).T, 6)
+
+
+def _first(ids: np.ndarray, cos: np.ndarray, k: int) -> np.ndarray:
+    """Places of the k highest cosines, ties to the smaller id."""
+    return np.lexsort((ids, -cos))[:k]
+
+
+def cosine_top(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """(query_id, vec_id, cos, rank): the k rows of vectors(vec_id, embedding) nearest to each of asked(query_id, q)."""
+
+    def scorer(ids, queries):
+        def run(batches):
+            for batch in batches:
+                vec = batch.column("vec_id").to_numpy()
+                out = [(ids[i], int(vec[at + p]), float(c[i, p])) for at, c in _cosines(queries, batch) for i in range(len(ids)) for p in _first(vec[at : at + c.shape[1]], c[i], k)]
+                yield pa.RecordBatch.from_pylist([dict(zip(("query_id", "vec_id", "cos"), r, strict=True)) for r in out], pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("cos", pa.float64())]))
+
+        return run
+
+    out = None
+    for part in blocks(asked, "query_id"):
+        got = part.toArrow().to_pydict()
+        one = vectors.select("vec_id", "embedding").mapInArrow(scorer(got["query_id"], got["q"]), "query_id long, vec_id long, cos double")
+        out = one if out is None else out.unionByName(one)
+    return top(out, ["query_id"], "cos", "vec_id", k)
+
+
+def hybrid_top(scores: DataFrame, vectors: DataFrame, asked: DataFrame, n_docs: int, k: int, alpha: float = 0.6) -> DataFrame:
+    """(query_id, doc_id, hybrid, rank) over every document, both scores scaled over the whole index.
+
+    scores(query_id, doc_id, score) holds the hits, vectors(doc_id, embedding) every document.  One without a
+    hit has score 0; of those only the k nearest can be among the k best, so tasks keep them, all
+    hits, and the least and highest cosine.  A query without a vector is ranked by its score alone.
+    """
+    schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64()), ("cos", pa.float64()), ("cl", pa.float64()), ("ch", pa.float64())])
+
+    def scorer(ids, queries):
+        place = {q: i for i, q in enumerate(ids)}
+
+        def run(batches):
+            for batch in batches:
+                docs, hits, out = batch.column("doc_id").to_numpy(), batch.column("hits").to_pylist(), []
+                for at, c in _cosines(queries, batch):
+                    free = np.ones(c.shape, bool)
+                    for p in range(c.shape[1]):
+                        for h in hits[at + p] or []:
+                            i = place.get(h["query_id"])
+                            if i is not None:
+                                free[i, p] = False
+                                out.append((ids[i], int(docs[at + p]), h["score"], float(c[i, p]), None, None))
+                    for i, q in enumerate(ids):
+                        rest = np.flatnonzero(free[i])
+                        best = rest[_first(docs[at + rest], c[i, rest], k)]
+                        out += [(q, int(docs[at + p]), 0.0, float(c[i, p]), None, None) for p in best]
+                        out.append((q, None, None, None, float(c[i].min()), float(c[i].max())))
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
+
+        return run
+
+    hits = scores.groupBy("doc_id").agg(F.collect_list(F.struct("query_id", "score")).alias("hits"))
+    rows, out = vectors.join(hits, "doc_id", "left").select("doc_id", "embedding", "hits"), None
+    for part in blocks(asked, "query_id"):
+        got = part.toArrow().to_pydict()
+        one = rows.mapInArrow(scorer(got["query_id"], got["q"]), "query_id long, doc_id long, score double, cos double, cl double, ch double")
+        out = one if out is None else out.unionByName(one)
+    cuts = scores.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("sh"))
+    cuts = cuts.withColumn("sl", F.when(F.col("n") < n_docs, F.least(F.lit(0.0), "least")).otherwise(F.col("least")))
+    ends = out.where("doc_id is null").groupBy("query_id").agg(F.min("cl").alias("cl"), F.max("ch").alias("ch"))
+    ends = ends.join(asked.select("query_id", F.col("q").isNotNull().alias("vector")), "query_id").join(cuts.select("query_id", "sl", "sh"), "query_id", "left")
+    j = out.where("doc_id is not null").select("query_id", "doc_id", "score", "cos").join(F.broadcast(ends), "query_id")
+    scaled = lambda x, lo, hi: F.expr(f"case when {hi} - {lo} >= 1e-9 then ({x} - {lo}) / ({hi} - {lo}) else 0d end")
+    word, near = scaled("score", "sl", "sh"), scaled("cos", "cl", "ch")
+    h = F.when(F.col("vector"), alpha * near + (1 - alpha) * word).otherwise(word)
+    return top(j.select("query_id", "doc_id", F.round(h, 6).alias("hybrid")), ["query_id"], "hybrid", "doc_id", k)

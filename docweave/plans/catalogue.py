@@ -216,6 +216,21 @@ def minmax_hybrid_topk(t) -> DataFrame:
     return R.top(h, ["query_id"], "hybrid", "doc_id", 5)
 
 
+@query(f"""with {_POST}, qv as (select item_id as query_id, embedding as q from benchmark left join embeddings on vec_id = item_id),
+p as (select query_id, doc_id, q is not null as v, coalesce(score, 0) as score, case when q is null or embedding is null then 0.0 else round(list_sum(list_transform(list_zip(embedding, q), lambda z: cast(z[1] as double) * cast(z[2] as double)))
+ / ((sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) + 1e-9) * (sqrt(list_sum(list_transform(q, lambda x: cast(x as double) * cast(x as double)))) + 1e-9)), 6) end as cos
+ from qv cross join documents left join embeddings on vec_id = doc_id left join sc using (query_id, doc_id)),
+m as (select *, min(score) over w as sl, max(score) over w as sh, min(cos) over w as cl, max(cos) over w as ch from p window w as (partition by query_id)),
+n as (select *, case when ch - cl < 1e-9 then 0.0 else (cos - cl) / (ch - cl) end as near, case when sh - sl < 1e-9 then 0.0 else (score - sl) / (sh - sl) end as word from m),
+h as (select query_id, doc_id, round(case when v then 0.6 * near + 0.4 * word else word end, 6) as hybrid from n)
+select query_id, doc_id, hybrid, cast(rank as integer) as rank from (select *, row_number() over (partition by query_id order by hybrid desc, doc_id) as rank from h) where rank <= 5""")
+def hybrid_index_topk(t) -> DataFrame:
+    e = t("embeddings")
+    asked = t("benchmark").select(F.col("item_id").alias("query_id")).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id", "left")
+    vectors = t("documents").select("doc_id").join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+    return R.hybrid_top(_bm25(t), vectors, asked, t("documents").count(), 5)
+
+
 # ------------------------------------------------------------ recommendation: orders cite parts
 
 _FUSE = """r as (select o_orderkey, o_custkey, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as k from orders),
