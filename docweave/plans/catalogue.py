@@ -204,6 +204,15 @@ def cosine_topk(t) -> DataFrame:
     return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cos"), "vec_id")))
 
 
+@query("""with p as (select q.vec_id as query_id, e.vec_id, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: cast(z[1] as double) * cast(z[2] as double)))
+ / ((sqrt(list_sum(list_transform(e.embedding, lambda x: cast(x as double) * cast(x as double)))) + 1e-9) * (sqrt(list_sum(list_transform(q.embedding, lambda x: cast(x as double) * cast(x as double)))) + 1e-9)), 6) as cos
+ from embeddings q join embeddings e on q.vec_id % 50 = 0 where q.embedding is not null and e.embedding is not null)
+select query_id, vec_id, cos, cast(rank as integer) as rank from (select *, row_number() over (partition by query_id order by cos desc, vec_id) as rank from p) where rank <= 10""")
+def cosine_queries_topk(t) -> DataFrame:
+    e = t("embeddings").where("embedding is not null")
+    return R.cosine_top(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
+
+
 @query(f"""with {_POST}, {_COS}, c as (select vec_id as doc_id, round(d / ((a + 1e-9) * (b + 1e-9)), 6) as cos from dots),
 j as (select query_id, doc_id, score, coalesce(cos, 0) as cos from sc left join c using (doc_id)),
 m as (select *, min(score) over w as sl, max(score) over w as sh, min(cos) over w as cl, max(cos) over w as ch from j window w as (partition by query_id)),

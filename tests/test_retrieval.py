@@ -30,3 +30,16 @@ def test_hybrid_scores_documents_without_a_hit(spark):
     got = sorted(tuple(r) for r in R.hybrid_top(scores, docs, queries, len(vectors), 4).select("query_id", "doc_id", "hybrid", "rank").collect())
     assert got == sorted(want)
     assert (7, 0) in {r[:2] for r in got}  # no hit, but nearest
+
+
+def test_cosine_answers_every_query_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(R, "BLOCK", 2)
+    monkeypatch.setattr(R, "STEP", 7)
+    vectors = {i: [math.sin(i), math.cos(3 * i), 0.5 + i % 4] for i in range(1, 41)}
+    want = []
+    for q in range(5, 41, 5):
+        best = sorted((-cosine(vectors[q], v), i) for i, v in vectors.items())[:3]
+        want += [(q, i, -s, k + 1) for k, (s, i) in enumerate(best)]
+    df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").repartition(3)
+    got = R.cosine_top(df, df.where("vec_id % 5 = 0").selectExpr("vec_id as query_id", "embedding as q"), 3)
+    assert sorted(tuple(r) for r in got.select("query_id", "vec_id", "cos", "rank").collect()) == sorted(want)
