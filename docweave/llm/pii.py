@@ -3,7 +3,7 @@
 An entity has a kind and a canonical value (digits of a number, lower-case address, ...), so
 spellings of one entity share a surrogate wherever they stand.  The surrogate comes from an
 HMAC of kind, value and attempt, and is written in the original's format: digits stay digits, case,
-script and separators stay, given names keep their title's gender, a number that passed the Luhn
+script and separators stay, given names keep their title's gender, if it tells one, a number that passed the Luhn
 check passes it again.  Spark looks for surrogates that two entities share, or that are
 some entity's real value; the later of them take their next attempt until none is left.  Attempts
 other than 0 are few, so only they have to be looked up when texts are rewritten.
@@ -13,6 +13,7 @@ from __future__ import annotations
 import hashlib
 import hmac
 import re
+from bisect import bisect_left
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,8 @@ _TITLES = {
     "Mr": "m", "Mr.": "m", "Herr": "m", "Señor": "m", "Sr.": "m", "Monsieur": "m", "Don": "m", "Господин": "m", "Κύριος": "m",
     "Mrs": "f", "Mrs.": "f", "Ms": "f", "Ms.": "f", "Miss": "f", "Frau": "f", "Señora": "f", "Sra.": "f", "Madame": "f", "Doña": "f", "Госпожа": "f", "Κυρία": "f",
 }
+#: Titles that tell no gender; they also stand behind another title.
+_NEUTRAL = ("Dr.", "Dr", "Prof.", "Prof", "Professor", "Doctor", "Doktor", "Docteur", "Mx.", "Mx", "Доктор", "Профессор", "Δρ.")
 _NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _PATTERN = re.compile(
     r"(?P<email>[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"
@@ -37,13 +40,18 @@ _PATTERN = re.compile(
     r"|(?P<phone>(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ -]\d{4}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))"
 )
 _LABEL = re.compile(r"(?i)\b(?:token|api[_-]?key|secret|password)\b[\s|]*[=:][\s|]*[\"']([0-9A-Za-z_\-+/.]{8,})[\"']")
-_PERSON = re.compile(r"(?<!\w)(" + "|".join(re.escape(t) for t in sorted(_TITLES, key=len, reverse=True)) + rf") ({_NAME})(?: ({_NAME}))?")
-_HINTS = tuple({t.rstrip(".") for t in _TITLES})
+_WORDS = re.compile(r"(?i)token|api[_-]?key|secret|password")
+_ANY = "|".join(re.escape(t) for t in sorted([*_TITLES, *_NEUTRAL], key=len, reverse=True))
+_PLAIN = "|".join(re.escape(t) for t in sorted(_NEUTRAL, key=len, reverse=True))
+_PERSON = re.compile(rf"(?<!\w)((?:{_ANY})(?: (?:{_PLAIN}))*) (?!(?:{_PLAIN})(?!\w))({_NAME})(?: ({_NAME}))?")
+_HINTS = tuple({t.rstrip(".") for t in (*_TITLES, *_NEUTRAL)})
 _NUMBERS = re.compile(r"[\d@]")
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Letters of a script by its first and last code point; those outside go to Latin.
 _SCRIPTS = [(0x3B1, 0x3C1), (0x430, 0x44F), (0x561, 0x586), (0x5D0, 0x5EA), (0x621, 0x63A), (0x905, 0x939), (0x3042, 0x3093), (0x30A2, 0x30F3), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
-_SYLLABLES = {"latin": ("bdfgklmnprstvz", "aeiou", "o", "a"), "cyrillic": ("бвгдзклмнпрст", "аеиоу", "н", "а"), "greek": ("βγδζκλμνπρστ", "αειου", "ος", "α")}
+_NAMES = ("given_m", "given_f", "given_n", "family")
+#: Consonants, vowels, and how male, female and other given names end.
+_SYLLABLES = {"latin": ("bdfgklmnprstvz", "aeiou", "o", "a", "e"), "cyrillic": ("бвгдзклмнпрст", "аеиоу", "н", "а", "е"), "greek": ("βγδζκλμνπρστ", "αειου", "ος", "α", "ι")}
 
 
 def _draw(key: bytes, kind: str, value: str, attempt: int):
@@ -83,14 +91,14 @@ def _script(name: str) -> str:
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """The canonical value that stands for an entity."""
     draw = _draw(key, kind, value, attempt)
-    if kind in ("given_m", "given_f", "family"):
-        head, vowels, male, female = _SYLLABLES[_script(value)] if value else _SYLLABLES["latin"]
+    if kind in _NAMES:
+        head, vowels, male, female, neutral = _SYLLABLES[_script(value)] if value else _SYLLABLES["latin"]
         if not all(ord(c) < 0x500 for c in value):
             return "".join(_like(c, next(draw)) for c in value)
         # Longer names on later attempts: the room grows until every name is its own.
         n = 2 + (kind == "family") + attempt
         out = "".join(head[next(draw) % len(head)] + vowels[next(draw) % len(vowels)] for _ in range(n))
-        return out[:-1] + {"given_m": male, "given_f": female, "family": out[-1] + head[next(draw) % len(head)]}[kind]
+        return out[:-1] + {"given_m": male, "given_f": female, "given_n": neutral, "family": out[-1] + head[next(draw) % len(head)]}[kind]
     if kind == "ip":
         parts = [int(p) for p in value.split(".")]
         kept = 1 if parts[0] in (10, 127) else 2 if parts[:2] == [192, 168] or (parts[0] == 172 and 16 <= parts[1] < 32) else 0
@@ -160,28 +168,57 @@ def found(text: str) -> list[tuple[int, int, str, str]]:
                 if not 15 <= len(raw) <= 34:
                     continue
             out.append((a, b, kind, raw))
+    # Characters that every labelled secret has are quicker to look for than the words.
+    if ("=" in text or ":" in text) and ('"' in text or "'" in text) and _WORDS.search(text):
         for m in _LABEL.finditer(text):
             a, b = m.span(1)
             if not any(x < b and a < y for x, y, _, _ in out):
                 out.append((a, b, "secret", m.group(1)))
     if any(h in text for h in _HINTS):
-        for m in _PERSON.finditer(text):
-            given, family = (m.group(2), m.group(3)) if m.group(3) and m.group(3)[0].isupper() else (None, m.group(2))
-            if not m.group(2)[0].isupper():
-                continue
-            spots = [(m.span(2), f"given_{_TITLES[m.group(1)]}", given), (m.span(3), "family", family)] if given else [(m.span(2), "family", family)]
-            for (a, b), kind, name in spots:
-                if not any(x < b and a < y for x, y, _, _ in out):
-                    out.append((a, b, kind, name.lower()))
+        out += _people(text, sorted(out))
     return sorted(out)
 
 
+def _free(spots: list[tuple[int, int, str, str]], a: int, b: int) -> bool:
+    """Whether none of the spots, in order and apart, meets a .. b."""
+    k = bisect_left(spots, (b,))
+    return not k or spots[k - 1][1] <= a
+
+
+def _people(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
+    """The names behind titles, and wherever else in the text they stand, outside the spots taken."""
+    named = []
+    for m in _PERSON.finditer(text):
+        if not m.group(2)[0].isupper():
+            continue
+        two = m.group(3) and m.group(3)[0].isupper()
+        kind = next((f"given_{_TITLES[t]}" for t in m.group(1).split(" ") if t in _TITLES), "given_n")
+        for g, k in ((2, kind), (3, "family")) if two else ((2, "family"),):
+            a, b = m.span(g)
+            b -= 2 * (b - a > 3 and text[b - 2 : b] in ("'s", "’s"))
+            if _free(taken, a, b):
+                named.append((a, b, k, text[a:b].lower()))
+    # A given name behind a neutral title is the one that stands behind a gendered title in the same text.
+    known = {v: k for _, _, k, v in reversed(named) if k in ("given_m", "given_f")}
+    named = [(a, b, known.get(v, k) if k == "given_n" else k, v) for a, b, k, v in named]
+    kinds = {v: k for _, _, k, v in reversed(named) if len(v) > 1}
+    forms = {f: v for a, b, _, v in named if v in kinds for x in [text[a:b]] for f in (x, x.upper(), x[:1].upper() + x[1:].lower()) if f not in _TITLES}
+    if forms:
+        taken = sorted([*taken, *named])
+        bare = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(forms, key=len, reverse=True))) + r")(?!\w)")
+        for m in bare.finditer(text):
+            if _free(taken, *m.span()):
+                value = forms[m.group()]
+                named.append((*m.span(), kinds[value], value))
+    return named
+
+
 def written(original: str, kind: str, new: str) -> str:
     """The surrogate in the original's format."""
     if kind in ("card", "phone", "ssn", "iban"):
         rest = iter(new.replace("+", "").replace(" ", ""))
         return "".join(next(rest) if c.isalnum() else c for c in original)
-    if kind == "email" or kind in ("given_m", "given_f", "family"):
+    if kind == "email" or kind in _NAMES:
         return new.upper() if original.isupper() and len(original) > 1 else new if kind == "email" else new[:1].upper() + new[1:]
     return new
 

@@ -220,6 +220,25 @@ def test_pii_distinct(spark):
     assert a == b and len(set(a)) == 80 and a[:80] == a[80:]
 
 
+def test_pii_labels_and_mentions(spark):
+    texts = [
+        'password = "correct-horse-battery" stays secret',
+        "Dr. John Smith and Prof. Dr. Ann Lee met. Herr Dr. Weber came.",
+        "Smith called first. Mr. John Smith called. Smith's wife said JOHN and Smith-like. Blacksmith, smith and Johnson stay.",
+        "Dr. John Smith wrote to Mr. John Smith's office; see smith@mail.example.com.",
+        "Dr. J came. J is a letter, Drive and Drs stay, Dr. no one too.",
+    ]
+    out = [r.text for r in pii.pseudonymise(frame(spark, texts), b"k").orderBy("doc_id").collect()]
+    assert re.fullmatch(r'password = "[a-z]{7}-[a-z]{5}-[a-z]{7}" stays secret', out[0]) and "horse" not in out[0]
+    for name in ("John", "Smith", "Ann", "Lee", "Weber"):
+        assert not re.search(rf"\b{name}\b", " ".join(out))
+    assert out[1].count("Dr. ") == 3 and "Prof. Dr. " in out[1] and "Herr Dr. " in out[1]
+    given, family = re.search(r"Mr\. (\w+) (\w+) called", out[2]).groups()
+    assert out[2] == f"{family} called first. Mr. {given} {family} called. {family}'s wife said {given.upper()} and {family}-like. Blacksmith, smith and Johnson stay."
+    assert out[3].startswith(f"Dr. {given} {family} wrote to Mr. {given} {family}'s office; see ")
+    assert out[4].endswith(" came. J is a letter, Drive and Drs stay, Dr. no one too.")
+
+
 def test_quality(spark):
     rnd = random.Random(6)
     good = [" ".join(rnd.choices(["the", "then", "of", "and", "other", "words"], k=60)) + "." for _ in range(150)]
