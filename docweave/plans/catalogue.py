@@ -319,6 +319,25 @@ def weighted_jaccard_exact(t) -> DataFrame:
     return j.select("a", "b", F.round(0.6 * F.col("cw") / (F.col("ta") + F.col("tb") - F.col("cw")) + 0.15 * kind, 4).alias("similarity"))
 
 
+@query("""with s as (select distinct o_orderkey, l_partkey, case when l_partkey % 5 = 0 then 0.2 else 1.0 end as w from orders join lineitem on l_orderkey = o_orderkey),
+tot as (select o_orderkey, sum(w) as tw from s group by 1),
+com as (select a.o_orderkey as a, b.o_orderkey as b, sum(a.w) as cw from s a join s b on a.l_partkey = b.l_partkey and a.o_orderkey <> b.o_orderkey where a.o_orderkey % 50 = 0 group by 1, 2 having max(a.w) = 1.0),
+j as (select a, b, round(0.6 * cw / (x.tw + y.tw - cw) + 0.15 * case when p.o_orderpriority = q.o_orderpriority then 1.0 when p.o_orderstatus = q.o_orderstatus then 0.6 else 0.0 end, 4) as similarity
+ from com join tot x on x.o_orderkey = a join tot y on y.o_orderkey = b join orders p on p.o_orderkey = a join orders q on q.o_orderkey = b)
+select a, b, similarity, cast(rank as integer) as rank from (select *, row_number() over (partition by a order by similarity desc, b) as rank from j) where rank <= 5""")
+def similar_orders_topk(t) -> DataFrame:
+    o = t("orders").select("o_orderkey", F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"))
+    s = o.select("o_orderkey").join(t("lineitem").select("l_orderkey", "l_partkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_partkey").distinct()
+    s = s.withColumn("w", F.when(F.col("l_partkey") % 5 == 0, 0.2).otherwise(1.0))
+    a = s.where("o_orderkey % 50 = 0").select("l_partkey", F.col("o_orderkey").alias("a"), "w")
+    com = a.join(s.select("l_partkey", F.col("o_orderkey").alias("b")), "l_partkey").where("a <> b").groupBy("a", "b").agg(F.sum("w").alias("cw"), F.max("w").alias("most")).where("most = 1.0")
+    o = o.join(s.groupBy("o_orderkey").agg(F.sum("w").alias("tw")), "o_orderkey")
+    side = lambda x: o.select(*[F.col(c).alias(n + x) for c, n in (("o_orderkey", ""), ("p", "p"), ("s", "s"), ("tw", "t"))])
+    j = com.join(side("a"), "a").join(side("b"), "b")
+    kind = F.when(F.expr("pa = pb"), 1.0).when(F.expr("sa = sb"), 0.6).otherwise(0.0)
+    return R.top(j.select("a", "b", F.round(0.6 * F.col("cw") / (F.col("ta") + F.col("tb") - F.col("cw")) + 0.15 * kind, 4).alias("similarity")), ["a"], "similarity", "b", 5)
+
+
 @query("select o_orderpriority, o_orderstatus, count(*) as n, round(count(*) / sum(count(*)) over (partition by o_orderpriority), 2) as ratio from orders group by 1, 2")
 def outcome_distribution(t) -> DataFrame:
     n = t("orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count("*").alias("n"))

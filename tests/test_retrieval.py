@@ -2,6 +2,7 @@
 import math
 
 from docweave.operators import retrieval as R
+from docweave.plans.catalogue import QUERIES
 
 
 def cosine(a, b):
@@ -43,3 +44,13 @@ def test_cosine_answers_every_query_in_blocks(spark, monkeypatch):
     df = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>").repartition(3)
     got = R.cosine_top(df, df.where("vec_id % 5 = 0").selectExpr("vec_id as query_id", "embedding as q"), 3)
     assert sorted(tuple(r) for r in got.select("query_id", "vec_id", "cos", "rank").collect()) == sorted(want)
+
+
+def test_similar_orders_sees_other_customers_and_earlier_orders(spark, tmp_path):
+    # Part 5 is procedural; orders 1 and 99 share part 7 with 50, order 60 only part 5.
+    orders = [(1, 10, "low", "F"), (50, 20, "low", "F"), (60, 20, "low", "F"), (99, 30, "high", "F")]
+    lines = [(1, 7), (50, 7), (50, 5), (60, 5), (99, 7), (99, 5), (99, 8)]
+    spark.createDataFrame(orders, "o_orderkey long, o_custkey long, o_orderpriority string, o_orderstatus string").write.parquet(f"{tmp_path}/orders.parquet")
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    got = QUERIES["similar_orders_topk"](spark, str(tmp_path)).select("a", "b", "similarity", "rank").collect()
+    assert sorted(tuple(r) for r in got) == [(50, 1, 0.65, 1), (50, 99, 0.4173, 2)]
