@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from docweave.llm import bpe, mixture, ngram_join, pii, quality
 from docweave.llm.common import scratch, table
 
-#: The stages are tested against brute force; SQL can't express them.
+#: tests/llm tests the stages against brute force, quality by its labels and mixture by the words that `mix` takes; SQL can't express them.
 ORACLE_SQL = None
 
 

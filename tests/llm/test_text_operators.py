@@ -257,6 +257,36 @@ def test_quality(spark):
     assert quality.scored(docs, none).count() == len(texts)
 
 
+def test_pipeline_stages(spark):
+    """Each stage behind quality against brute force; the mixture against the words that mix() takes."""
+    import corpus_pipeline as c
+
+    rnd = random.Random(9)
+    base = [f"w{rnd.randint(0, 900)}" for _ in range(60)]
+    texts = [None, "", "a b", "call +1 017 555 7713", "Dr. Ann Lee and Lee, 10.0.0.7"]
+    for _ in range(30):
+        w = list(base) if rnd.random() < 0.5 else [f"v{rnd.randint(0, 900)}" for _ in range(rnd.randint(1, 90))]
+        w[rnd.randrange(len(w))] = "other"
+        texts.append("\n".join(w))
+    docs = frame(spark, texts)
+    kept = {r.doc_id for r in c.near_copies_stage(spark, docs, None).collect()}
+    assert kept == {top for _, _, top in classes_by_force(texts, 5, 80)} and len(kept) < len(texts)
+    own = {r.doc_id: r for r in c.personal_stage(spark, docs, None).collect()}
+    for i, t in enumerate(texts):
+        want = pii.rewrite(t, pii.EXAMPLE_KEY, {})[0] if t else t
+        assert (own[i].text, own[i].n_chars) == (want, None if want is None else len(want))
+    mixed = sorted((r.doc_id, r.text or "", r.n_chars) for r in c.mixture_stage(spark, docs, None).collect())
+    want = []
+    for r in mixture.mix(docs).collect():
+        t = texts[r.doc_id]
+        n = 1 if r["size"] == 0 else r.taken // r["size"]
+        cut = " ".join(WORDS.findall(t or "")[: r.taken % r["size"]]) if r["size"] else ""
+        want += [(r.doc_id, x or "", None if x is None else len(x)) for x in [t] * n + [cut] * bool(cut)]
+    assert mixed == sorted(want)
+    tok = Tokenizer.from_file(PATH)
+    assert {r.doc_id: r.n_tokens for r in c.tokens_stage(spark, docs, None).collect()} == {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
