@@ -1,5 +1,6 @@
 """Operators on texts against the libraries they follow and against brute force."""
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -146,38 +147,60 @@ def test_minhash(spark):
     assert fingerprints(frame(spark, [])).count() == 0
 
 
-def test_top_k(spark):
-    rnd = np.random.default_rng(2)
-    rows = [(i, [float(x) for x in rnd.choice([-0.5, 0.25, 0.75], 4)]) for i in range(300)] + [(900, None), (901, [1.0, None, 0.0, 0.0]), (902, [float("nan")] * 4), (None, [1.0] * 4)]
-    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
-    got = sorted(tuple(r) for r in topk_search.top_k(df, k=10, enough=12).collect())
-    want = []
-    good = [(i, np.floor(1024 * np.array(v, np.float64)).astype(int)) for i, v in rows[:300]]
-    for q, v in good[::100]:
-        best = sorted((-int(v @ w), i) for i, w in good if i != q)[:10]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert got == sorted(want)
-
-
-def best_by_force(values, every, k):
+def best_by_force(rows, every, k):
+    """Exact products of floor(1024 x) in whole numbers; rows (vec_id, vector) that take part."""
+    low, high = -(2**63) + 1, 2**63 - 1
+    good = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
-    for q in range(0, len(values), every):
-        best = sorted((-values[q] * w, i) for i, w in enumerate(values) if i != q)[:k]
+    for q, v in {i: w for i, w in sorted(good, reverse=True) if i % every == 0}.items():
+        best = sorted((-max(low, min(high, sum(a * b for a, b in zip(v, w)))), i) for i, w in good if i != q)[:k]
         out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(best)]
     return sorted(out)
 
 
-def test_top_k_refined(spark):
-    """Scores just above the chosen bin, where the refined histogram reaches beyond it, and many ties."""
-    rnd = random.Random(11)
-    # Scores of query 0 are the values. Bins of 407 from -26002: the tenth, 14800, lies in the bin up to 15105; 15150 above it.
+def searched(spark, rows, every=100, k=10, kind="double"):
+    df = spark.createDataFrame([(i, v, "x", 1) for i, v in rows], f"vec_id long, embedding array<{kind}>, block string, score int").repartition(3)
+    return sorted(tuple(r) for r in topk_search.top_k(df, every, k).collect())
+
+
+def test_top_k(spark, monkeypatch):
+    monkeypatch.setattr(topk_search, "STEP", 64)
+    rnd = np.random.default_rng(2)
+    rows = [(i, [float(x) for x in rnd.choice([-0.5, 0.25, 0.75], 4)]) for i in range(300)] + [(900, None), (901, [1.0, None, 0.0, 0.0]), (902, [float("nan")] * 4), (None, [1.0] * 4)]
+    rows += [(200, rows[200][1]), (7, rows[7][1]), (310, []), (311, [0.5] * 9)]
+    assert searched(spark, rows, kind="float") == best_by_force(rows, 100, 10)
+    assert searched(spark, rows[:5], every=2) == best_by_force(rows[:5], 2, 10)
+    assert searched(spark, rows[:1]) == searched(spark, []) == []
+
+
+def test_top_k_refines_until_the_kth_score_is_located(spark, monkeypatch):
+    """500 vectors take more than one round; many ties, a query of equal scores only, and scores one apart."""
+    rounds = []
+    plain = topk_search._round
+    monkeypatch.setattr(topk_search, "_round", lambda *a: rounds.append(1) or plain(*a))
+    monkeypatch.setattr(topk_search, "BLOCK", 4)
+    rnd = np.random.default_rng(3)
+    unit = rnd.normal(size=(500, 64))
+    rows = [(i, v.tolist()) for i, v in enumerate(unit / np.linalg.norm(unit, axis=1, keepdims=True))]
+    assert searched(spark, rows, every=50, kind="float") == best_by_force([(i, np.float32(v).tolist()) for i, v in rows], 50, 10)
+    assert len(rounds) > 1
+    near = random.Random(11)
     edge = [1, 26000, *range(25000, 25007), 15150, 14800, *[14700] * 40]
-    # Blocks where some queries reach bins of width 1 before others do.
-    tied = [rnd.choice([1, 2, 3, 700, 26000]) if i % 20 == 0 else rnd.choice([5, 6, 7, *range(1, 400, 3), 25990]) for i in range(400)]
-    for values, every in ((edge, 100), (tied, 20)):
-        df = spark.createDataFrame([(i, [v / 1024]) for i, v in enumerate(values)], "vec_id long, embedding array<double>")
-        got = sorted(tuple(r) for r in topk_search.top_k(df, every=every, k=10, enough=12).collect())
-        assert got == best_by_force(values, every, 10)
+    tied = [near.choice([1, 2, 3, 700, 26000]) if i % 20 == 0 else near.choice([5, 6, 7, *range(1, 400, 3), 25990]) for i in range(400)]
+    flat = [0.25] * 60
+    for values, every in ((edge, 100), (tied, 20), (flat, 30)):
+        rows = [(i, [v / 1024]) for i, v in enumerate(values)]
+        assert searched(spark, rows, every) == best_by_force(rows, every, 10)
+
+
+def test_top_k_of_large_components(spark):
+    rnd = random.Random(5)
+    rows = [(i, [rnd.uniform(-1, 1) for _ in range(6)]) for i in range(60)]
+    rows[20] = (20, [1e10, *rows[20][1][1:]])  # its product with itself is beyond a long
+    rows[33] = (33, [3e9, -2e9, 1e9, 0.0, 1.0, 5e8])
+    assert searched(spark, rows, every=10) == best_by_force(rows, 10, 10)
+    rows[40], rows[41], rows[42] = (40, [1e200] * 6), (41, [-1e200, 1e200, 1.0, 0.0, 0.0, 0.0]), (42, [1e300] * 6)
+    assert searched(spark, rows, every=10) == best_by_force(rows, 10, 10)
 
 
 def test_ring(spark):
