@@ -47,6 +47,18 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of df has, upper and lower case being the same."""
+    known = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in known:
+            name += "_"
+        known.add(name.lower())
+        out.append(name)
+    return out
+
+
 #: Tables of ids up to so many rows (of 8 bytes) may be sent to every task.
 BROADCAST_ROWS = 1_000_000
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import saved, table
+from .common import fresh, saved, table
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -62,13 +62,19 @@ def targets(sizes: DataFrame, portion: float, limit: float, weights: tuple[int,
     return rows.withColumn("target", target.cast("double")).drop("level", "full")
 
 
-def mix(docs: DataFrame, portion: float = 1.5, limit: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), block: int = 64, seed: str = "mix") -> DataFrame:
+#: A block is a 64th of the smallest target, between one word and this many.
+BLOCK, PARTS = 64, 64
+
+
+def mix(docs: DataFrame, portion: float = 1.5, limit: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), block: int = BLOCK, seed: str = "mix") -> DataFrame:
     """doc_id, size, source, source_size, target, taken for every row of docs.
 
     taken counts the words that the mix takes of the document, repeats counted; it is `limit` times
-    its size at most.  Null and empty texts have size 0 and nothing taken.  The seeded order is by
-    sha256 of doc_id and text, so reruns agree; equal rows may stand for each other.  The target
-    is met to within a block for each shard.  Extra columns are ignored.
+    its size at most.  Null and empty texts have size 0 and nothing taken; very long ones count whole.
+    The seeded order is by sha256 of doc_id and text, so reruns agree; equal rows may stand for each
+    other.  A source's taken words differ from its target by a few blocks at most, and a block is never more
+    than a 64th of the smallest target, unless that is below 64 words: then it is one word.
+    An empty table gives an empty one.  Extra columns are ignored.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(
@@ -86,49 +92,62 @@ def apportion(rows: DataFrame, portion: float, limit: float, weights: tuple[int,
     sizes = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     sources = targets(sizes, portion, limit, weights)
     # The mix has as many blocks as fill the targets; a source's shards have about 5,000 rows.
-    blocks = F.round(F.sum("target").over(Window.partitionBy(F.lit(0))) / block)
+    every = Window.partitionBy(F.lit(0))
+    smallest = F.min(F.when(F.col("target") > 0, F.col("target"))).over(every)
+    fit = F.greatest(F.lit(1), F.least(F.lit(block), F.floor(smallest / PARTS)))
+    sources = sources.withColumn("block", F.coalesce(fit, F.lit(1)).cast("long"))
+    blocks = F.round(F.sum("target").over(every) / F.col("block"))
     sources = quotas(sources, "target", blocks, [], ["k"]).withColumn("shards", F.ceil(F.col("n") / 5000).cast("long"))
     sources = saved(sources.withColumnRenamed("quota", "source_quota"), "mix-sources")
     # A row per source: a dimension, joined by broadcast only where Spark finds it small enough.
     named = rows.join(sources, rows.source.eqNullSafe(sources.source)).drop(sources.source)
     named = named.withColumn("shard", F.pmod(F.conv(F.substring("order", 1, 8), 16, 10).cast("long"), F.col("shards")))
-    cells = named.groupBy("k", "shard").agg(F.sum("size").alias("shard_size"), F.first("source_quota").alias("source_quota"), F.first("source_size").alias("source_size"))
+    once = [F.first(c).alias(c) for c in ("source_quota", "source_size", "block")]
+    cells = named.groupBy("k", "shard").agg(F.sum("size").alias("shard_size"), *once)
     cells = quotas(cells, "shard_size", F.col("source_quota"), ["k"], ["shard"])
-    cells = saved(cells.select("k", "shard", "shard_size", "quota"), "mix-cells")
+    cells = saved(_within(cells, limit).select("k", "shard", "shard_size", "words"), "mix-cells")
     start = F.sum("size").over(Window.partitionBy("k", "shard").orderBy("order", "doc_id").rowsBetween(Window.unboundedPreceding, -1))
     placed = named.withColumn("start", F.coalesce(start, F.lit(0))).join(cells, ["k", "shard"])
-    words = F.least(F.col("quota") * block, (F.col("shard_size") * F.lit(float(limit))).cast("long"))
-    rounds = F.when(F.col("shard_size") > 0, F.floor(words / F.col("shard_size"))).otherwise(0)
-    more = F.greatest(F.lit(0), F.least(F.col("size"), words - rounds * F.col("shard_size") - F.col("start")))
+    rounds = F.when(F.col("shard_size") > 0, F.floor(F.col("words") / F.col("shard_size"))).otherwise(0)
+    more = F.greatest(F.lit(0), F.least(F.col("size"), F.col("words") - rounds * F.col("shard_size") - F.col("start")))
     return placed.withColumn("taken", (rounds * F.col("size") + more).cast("long"))
 
 
+def _within(cells: DataFrame, limit: float) -> DataFrame:
+    """Add `words`: each shard's quota in words, `limit` times its size at most.
+
+    What a full shard can't give goes to its source's other shards in their order, as far as they have room.
+    """
+    want, most = F.col("quota") * F.col("block"), F.floor(F.col("shard_size") * F.lit(float(limit))).cast("long")
+    own, ahead = Window.partitionBy("k"), Window.partitionBy("k").orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    rows = cells.withColumn("base", F.least(want, most)).withColumn("spare", most - F.least(want, most))
+    over = F.sum(want - F.col("base")).over(own) - F.coalesce(F.sum("spare").over(ahead), F.lit(0))
+    return rows.withColumn("words", F.col("base") + F.greatest(F.lit(0), F.least(F.col("spare"), over)))
+
+
 def op10_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = mix(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "source_size", "target", "taken")
 
 
-def mixed(docs: DataFrame, portion: float = 1.5, limit: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), block: int = 64, seed: str = "mix") -> DataFrame:
-    """The documents of the mix, with the columns of docs.
+def mixed(docs: DataFrame, portion: float = 1.5, limit: float = 2.0, weights: tuple[int, ...] = (3, 1, 2), block: int = BLOCK, seed: str = "mix") -> DataFrame:
+    """The documents of the mix, with the columns of docs: whole texts only.
 
-    A document comes out once for each time that it is taken whole, and once more cut to the words
-    that a quota's last block takes of it (joined by one space).  Documents without words have
-    nothing to take and stay once, as they cost no quota.
+    A document comes out as often as the words taken of it make whole texts, halves rounded up; so
+    only the document in which a shard's quota ends differs from `mix`, by half its size at most.
+    Documents without words have nothing to take and stay once, as they cost no quota.  Equal rows
+    share what they take.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    size, order, taken, rows, turn = fresh(docs, "size", "order", "taken", "rows", "turn")
     work = docs.withColumns({
-        "_mix_size": F.regexp_count(text, F.lit(WORD)).cast("long"),
-        "_mix_order": F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text)), 256),
+        size: F.regexp_count(text, F.lit(WORD)).cast("long"),
+        order: F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text)), 256),
     })
-    keys = work.select("doc_id", "source", F.col("_mix_size").alias("size"), F.col("_mix_order").alias("order"))
-    taken = apportion(saved(keys, "mix-rows"), portion, limit, weights, block)
-    # Rows with one order are equal in id and text; what they take together is dealt over them.
-    taken = saved(taken.groupBy("order").agg(F.sum("taken").alias("_mix_taken"), F.count("*").alias("_mix_rows")), "mix-taken")
-    out = work.join(taken.withColumnRenamed("order", "_mix_order"), "_mix_order")
-    out = out.withColumn("_mix_taken", F.expr("_mix_taken div _mix_rows"))
-    whole = F.when(F.col("_mix_size") == 0, F.lit(1)).otherwise(F.expr("_mix_taken div _mix_size")).cast("int")
-    rest = F.when(F.col("_mix_size") == 0, F.lit(0)).otherwise(F.col("_mix_taken") % F.col("_mix_size"))
-    out = out.withColumn("_mix_left", F.when(rest > 0, F.array(rest)).otherwise(F.array().cast("array<bigint>")))
-    out = out.withColumn("_mix_part", F.explode(F.concat(F.array_repeat(F.col("_mix_size"), whole), F.col("_mix_left"))))
-    named = F.when(F.col("_mix_part") < F.col("_mix_size"), F.expr("array_join(slice(regexp_extract_all(text, '[^\\\\x20\\\\x09-\\\\x0D]+', 0), 1, cast(_mix_part as int)), ' ')")).otherwise(F.col("text"))
-    return out.select(*[named.alias("text") if c == "text" else F.col(c) for c in docs.columns])
+    keys = work.select("doc_id", "source", F.col(size).alias("size"), F.col(order).alias("order"))
+    got = apportion(saved(keys, "mix-rows"), portion, limit, weights, block)
+    got = saved(got.groupBy(F.col("order").alias(order)).agg(F.sum("taken").alias(taken), F.count("*").alias(rows)), "mix-taken")
+    whole = F.col(size) * F.col(rows)
+    times = F.when(F.col(size) == 0, F.lit(1)).otherwise(F.floor((2 * F.col(taken) + whole) / (2 * whole))).cast("int")
+    out = work.join(got, order).withColumn(turn, F.explode(F.array_repeat(F.lit(0), times)))
+    return out.select(*docs.columns)

@@ -9,6 +9,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from docweave.llm import bpe, linking, mixture, ngram_join, pii, quality, ring_shards, substring_dedup, token_files, topk_search
@@ -212,15 +213,51 @@ def test_ring(spark):
     assert ring_shards.shard_rows(frame(spark, [])).count() == 0
 
 
+def seats_by_force(weights, n):
+    """Seat after seat to the highest quotient, ties to the first."""
+    got = [0] * len(weights)
+    for _ in range(n):
+        best = max(range(len(weights)), key=lambda i: (weights[i] / (2 * got[i] + 1), -i))
+        got[best] += 1
+    return got
+
+
+def test_quotas_are_sainte_lague(spark):
+    rnd = random.Random(12)
+    for weights, n in ([rnd.randint(1, 10**6) for _ in range(7)], 200), ([rnd.randint(1, 30) for _ in range(25)], 40), ([5, 5, 5, 1], 6), ([3.0], 9), ([2, 2], 0):
+        df = spark.createDataFrame([(i, float(w)) for i, w in enumerate(weights)], "k int, w double")
+        got = [r.quota for r in mixture.quotas(df, "w", F.lit(n), [], ["k"]).orderBy("k").collect()]
+        assert got == seats_by_force(weights, n)
+
+
 def test_mix(spark):
     texts = ["one two three"] * 30 + [None, "", "x " * 500, "y " * 100]
     got = mixture.mix(frame(spark, texts), block=4).toPandas()
     assert (got.taken <= 2 * got["size"]).all()
     by = got.groupby("source").agg(target=("target", "first"), taken=("taken", "sum"), n=("source_size", "first"))
     assert ((by.taken - by.target).abs() <= 16).all() and (by.target <= 2 * by.n).all()
-    out = mixture.mixed(frame(spark, texts), block=4)
-    assert out.columns == frame(spark, texts).columns
-    assert sum(len(WORDS.findall(r.text or "")) for r in out.collect()) == got.taken.sum()
+    out = mixture.mixed(frame(spark, texts).withColumn("size", F.lit("own")).withColumn("TAKEN", F.lit(1)), block=4)
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "key", "size", "TAKEN"]
+    assert {r.text for r in out.collect()} <= {*texts} and out.where("text is null").count() == 1 and out.where("size <> 'own'").isEmpty()
+    assert mixture.mix(frame(spark, [])).count() == mixture.mixed(frame(spark, [])).count() == 0
+
+
+def test_mix_of_small_sources(spark):
+    """Twelve sources of one document of three words: each comes within a word of its target."""
+    rows = [(i, "a b c", f"s{i:02}") for i in range(12)]
+    got = mixture.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    assert all(abs(r.taken - r.target) <= 1 for r in got) and {r.taken > 0 for r in got} == {True}
+    # One small source beside a large one, and null sources.
+    rows = [(i, "w " * 900, "big") for i in range(50)] + [(99, "a b", "tiny"), (100, "c d e f", None), (101, None, "void")]
+    got = mixture.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).toPandas()
+    by = got.groupby("source", dropna=False).agg(target=("target", "first"), taken=("taken", "sum"))
+    assert ((by.taken - by.target).abs() <= 2).all() and (got.taken <= 2 * got["size"]).all()
+
+
+def test_mix_deals_a_full_shards_surplus(spark):
+    df = spark.createDataFrame([(1, 0, 5, 10, 3), (1, 1, 100, 10, 3), (1, 2, 4, 10, 3), (2, 0, 1, 5, 3), (2, 1, 1, 0, 3)], "k int, shard long, shard_size long, quota long, block long")
+    got = {(r.k, r.shard): r.words for r in mixture._within(df, 2.0).collect()}
+    assert got == {(1, 0): 10, (1, 1): 30 + 20 + 22, (1, 2): 8, (2, 0): 2, (2, 1): 2}
 
 
 def test_pii(spark):
@@ -298,14 +335,9 @@ def test_pipeline_stages(spark):
     for i, t in enumerate(texts):
         want = pii.rewrite(t, pii.EXAMPLE_KEY, {})[0] if t else t
         assert (own[i].text, own[i].n_chars) == (want, None if want is None else len(want))
-    mixed = sorted((r.doc_id, r.text or "", r.n_chars) for r in c.mixture_stage(spark, docs, None).collect())
-    want = []
-    for r in mixture.mix(docs).collect():
-        t = texts[r.doc_id]
-        n = 1 if r["size"] == 0 else r.taken // r["size"]
-        cut = " ".join(WORDS.findall(t or "")[: r.taken % r["size"]]) if r["size"] else ""
-        want += [(r.doc_id, x or "", None if x is None else len(x)) for x in [t] * n + [cut] * bool(cut)]
-    assert mixed == sorted(want)
+    mixed = Counter(r.doc_id for r in c.mixture_stage(spark, docs, None).collect())
+    want = {r.doc_id: 1 if r["size"] == 0 else (2 * r.taken + r["size"]) // (2 * r["size"]) for r in mixture.mix(docs).collect()}
+    assert mixed == Counter({k: n for k, n in want.items() if n})
     tok = Tokenizer.from_file(PATH)
     assert {r.doc_id: r.n_tokens for r in c.tokens_stage(spark, docs, None).collect()} == {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
 
