@@ -1,19 +1,30 @@
 """Personal data replaced by keyed surrogates of the same type and format.
 
 An entity has a kind and a canonical value (digits of a number, lower-case address, ...), so
-spellings of one entity share a surrogate wherever they stand.  The surrogate comes from an
-HMAC of kind, value and attempt, and is written in the original's format: digits stay digits, case,
-script and separators stay, given names keep their title's gender, if it tells one, a number that passed the Luhn
-check passes it again.  Spark looks for surrogates that two entities share, or that are
-some entity's real value; the later of them take their next attempt until none is left.  Attempts
-other than 0 are few, so only they have to be looked up when texts are rewritten.
+spellings of one entity share a surrogate wherever they stand.  It is written in the original's format:
+digits stay digits, case, script and separators stay, given names keep the gender that their title
+tells, a number that passed the Luhn or IBAN check passes it again.
+
+Numbers and addresses of machines come from finite spaces, which a corpus may fill.  A keyed permutation
+without fixed points of each space gives them surrogates that are distinct whatever stands in the corpus; such a
+surrogate may be another entity's real value.  Names, e-mail addresses and secrets are drawn from
+an HMAC of kind, value and attempt.  Spark looks for those that two entities share, or that are some
+entity's real value; the later of them take their next attempt, which draws from a larger
+space, so the rounds end; the last of LAST rounds draws from one so large that it needs no check.
+
+Names are found behind titles and labels, before honorifics, next to an e-mail address that holds them,
+wherever else in such a text their parts stand, and, without any of these, by what the corpus
+taught: two capitalised words inside a sentence, the first of which at least LEARNED different texts
+show as a given name.
 """
 from __future__ import annotations
 
 import hashlib
 import hmac
+import ipaddress
 import re
 from bisect import bisect_left
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
-from .common import cut, lean, saved, table
+from .common import BROADCAST_ROWS, cut, fresh, lean, saved, table
 
 _TITLES = {
     "Mr": "m", "Mr.": "m", "Herr": "m", "Señor": "m", "Sr.": "m", "Monsieur": "m", "Don": "m", "Господин": "m", "Κύριος": "m",
@@ -29,6 +40,15 @@ _TITLES = {
 }
 #: Titles that tell no gender; they also stand behind another title.
 _NEUTRAL = ("Dr.", "Dr", "Prof.", "Prof", "Professor", "Doctor", "Doktor", "Docteur", "Mx.", "Mx", "Доктор", "Профессор", "Δρ.")
+#: Titles as they are and in capitals.
+_GENDER = {f: g for t, g in _TITLES.items() for f in (t, t.upper())}
+_PLAIN_FORMS = tuple(dict.fromkeys(f for t in _NEUTRAL for f in (t, t.upper())))
+#: Small words inside names.
+_PARTICLES = frozenset("de del della di da do dos das du des la las los le van von der den dem ter ten zu zum bin binti ibn al el af av y e".split())
+#: Words behind names in scripts without capitals, with the gender that they tell.
+_HONORIFICS = {"先生": "m", "女士": "f", "小姐": "f", "太太": "f", "教授": "n", "博士": "n", "醫師": "n", "医生": "n", "律師": "n", "律师": "n", "さん": "n", "様": "n", "氏": "n", "씨": "n", "님": "n", "선생님": "n"}
+#: Chinese function words, which end up before a name when nothing else parts them.
+_BEFORE = "的了和與与及見见到是在向對对由給给跟請请找問问叫"
 _NAME = r"[^\W\d_]+(?:[-'’][^\W\d_]+)*"
 _PATTERN = re.compile(
     r"(?P<email>[\w.%+-]+@[\w-]+(?:\.[\w-]+)*\.[^\W\d_]{2,})"
@@ -39,19 +59,37 @@ _PATTERN = re.compile(
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
     r"|(?P<phone>(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ -]\d{4}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))"
 )
-_LABEL = re.compile(r"(?i)\b(?:token|api[_-]?key|secret|password)\b[\s|]*[=:][\s|]*[\"']([0-9A-Za-z_\-+/.]{8,})[\"']")
-_WORDS = re.compile(r"(?i)token|api[_-]?key|secret|password")
-_ANY = "|".join(re.escape(t) for t in sorted([*_TITLES, *_NEUTRAL], key=len, reverse=True))
-_PLAIN = "|".join(re.escape(t) for t in sorted(_NEUTRAL, key=len, reverse=True))
-_PERSON = re.compile(rf"(?<!\w)((?:{_ANY})(?: (?:{_PLAIN}))*) (?!(?:{_PLAIN})(?!\w))({_NAME})(?: ({_NAME}))?")
-_HINTS = tuple({t.rstrip(".") for t in (*_TITLES, *_NEUTRAL)})
+_IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
+_TEL = re.compile(r"(?i)(?<!\w)(?:telephone|telefono|teléfono|telefon|téléphone|phone|mobile|mobil|móvil|handy|cell|tel|tél|tfno|fax)(?: ?(?:no|nr|number))?\.?[:\s]{0,3}(\+?\(?\d[\d ()/.\-]{4,22}\d)(?!\d)")
+_TEL_HINTS = ("el", "EL", "él", "ÉL", "hon", "HON", "obil", "OBIL", "óvil", "andy", "fax", "Fax", "FAX", "fno")
+_LABEL = re.compile(r"(?i)\b(?:token|api[_-]?key|secret|password|passwd|pwd)\b[\"']?[\s|]*[=:][\s|]*(?:[\"']([0-9A-Za-z_\-+/.]{8,})[\"']|([0-9A-Za-z_\-+/.@!#$%^&*]{8,}))")
+_WORDS = re.compile(r"(?i)token|api[_-]?key|secret|passw|pwd")
+_ANY = "|".join(re.escape(t) for t in sorted([*_GENDER, *_PLAIN_FORMS], key=len, reverse=True))
+_PLAIN = "|".join(re.escape(t) for t in sorted(_PLAIN_FORMS, key=len, reverse=True))
+_TITLED = re.compile(rf"(?<!\w)((?:{_ANY})(?: (?:{_PLAIN}))*)(?= )")
+_FORM = re.compile(r"(?im)^\W{0,3}(?:full name|first name|last name|surname|name|author|contact|signed|signed by|from|attn|nombre|nom|auteur|kontakt|autor|имя|όνομα)[ \t]*[:：](?= )")
+_FORM_HINTS = ("name", "Name", "NAME", "uthor", "ontact", "igned", "rom", "ttn", "om", "utor", "onta", "uteur", "имя", "Имя", "νομα")
+_PART = re.compile(rf" (?:[^\W\d_]\.|({_NAME}))")
+_CJK = r"぀-ヿ㐀-鿿"
+_HONOURED = re.compile(rf"(?:([一-鿿]{{2,3}})(先生|女士|小姐|太太|教授|博士|醫師|医生|律師|律师)|([{_CJK}]{{1,4}}?)(さん|様|氏)|([가-힣]{{2,4}}?) ?(선생님|씨|님)(?![가-힣]{{2}}))")
+_BARE_HINTS = tuple(_HONORIFICS)
+_UP, _LOW = "A-ZÀ-ÖØ-ÞА-ЯΑ-Ω", "a-zß-öø-ÿа-яёά-ώ"
+_CAPITALS = re.compile(rf"(?<=[{_LOW},;:<(] )([{_UP}][{_LOW}]+(?:[-'’][{_UP}]?[{_LOW}]+)?) ([{_UP}][{_LOW}]+(?:[-'’][{_UP}]?[{_LOW}]+)?)(?!\w)")
+_HINTS = tuple({t.rstrip(".") for t in (*_GENDER, *_PLAIN_FORMS)})
 _NUMBERS = re.compile(r"[\d@]")
 _LETTERS = "abcdefghijklmnopqrstuvwxyz"
 #: Letters of a script by its first and last code point; those outside go to Latin.
 _SCRIPTS = [(0x3B1, 0x3C1), (0x430, 0x44F), (0x561, 0x586), (0x5D0, 0x5EA), (0x621, 0x63A), (0x905, 0x939), (0x3042, 0x3093), (0x30A2, 0x30F3), (0x4E00, 0x9FA5), (0xAC00, 0xD7A3)]
 _NAMES = ("given_m", "given_f", "given_n", "family")
+#: Kinds whose surrogates a permutation of a finite space gives.
+FINITE = ("ip", "ip6", "card", "ssn", "phone", "iban")
 #: Consonants, vowels, and how male, female and other given names end.
 _SYLLABLES = {"latin": ("bdfgklmnprstvz", "aeiou", "o", "a", "e"), "cyrillic": ("бвгдзклмнпрст", "аеиоу", "н", "а", "е"), "greek": ("βγδζκλμνπρστ", "αειου", "ος", "α", "ι")}
+#: Rounds in which colliding surrogates are drawn again, and texts that teach a given name.
+LAST, LEARNED = 16, 2
+
+
+# ------------------------------------------------------------ surrogates
 
 
 def _draw(key: bytes, kind: str, value: str, attempt: int):
@@ -63,12 +101,57 @@ def _draw(key: bytes, kind: str, value: str, attempt: int):
         n += 1
 
 
+def _permuted(key: bytes, space: str, x: int, size: int, back: bool = False) -> int:
+    """A keyed permutation of 0 .. size - 1: a Feistel network of 8 rounds, walked until it is inside."""
+    half = max(1, ((size - 1).bit_length() + 1) // 2)
+    mask, n = (1 << half) - 1, (half + 7) // 8
+    while True:
+        a, b = x >> half, x & mask
+        for k in reversed(range(8)) if back else range(8):
+            if back:
+                a, b = b ^ (int.from_bytes(hashlib.blake2b(b"%d" % k + a.to_bytes(n, "big"), key=key[:64], person=hashlib.blake2b(space.encode(), digest_size=16).digest()).digest()) & mask), a
+            else:
+                a, b = b, a ^ (int.from_bytes(hashlib.blake2b(b"%d" % k + b.to_bytes(n, "big"), key=key[:64], person=hashlib.blake2b(space.encode(), digest_size=16).digest()).digest()) & mask)
+        x = a << half | b
+        if x < size:
+            return x
+
+
+def other(key: bytes, space: str, x: int, size: int) -> int:
+    """Another number below size: a permutation of the space without fixed points (size above 1)."""
+    if size < 2:
+        return x
+    step = 1 + int.from_bytes(hmac.new(key, space.encode(), hashlib.sha256).digest()) % (size - 1)
+    return _permuted(key, space, (_permuted(key, space, x, size) + step) % size, size, back=True)
+
+
+def _mixed(key: bytes, space: str, digits: list[int], bases: list[int]) -> list[int]:
+    """`other` for numbers of several bases."""
+    x = size = 0
+    size = 1
+    for d, b in zip(digits, bases, strict=True):
+        x, size = x * b + d, size * b
+    y, out = other(key, space, x, size), []
+    for b in reversed(bases):
+        y, d = divmod(y, b)
+        out.append(d)
+    return out[::-1]
+
+
 def luhn(digits: str) -> bool:
+    return _luhn_sum(digits) == 0
+
+
+def _luhn_sum(digits: str) -> int:
     total = 0
     for k, c in enumerate(reversed(digits)):
         d = int(c) * (1 + k % 2)
         total += d - 9 * (d > 9)
-    return total % 10 == 0
+    return total % 10
+
+
+def _mod97(iban: str) -> int:
+    return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
 
 
 def _like(c: str, r: int) -> str:
@@ -88,95 +171,74 @@ def _script(name: str) -> str:
     return "greek" if 0x370 <= c < 0x400 else "cyrillic" if 0x400 <= c < 0x500 else "latin"
 
 
+def _finite(key: bytes, kind: str, value: str) -> str:
+    """The image of a value in its space, which is told by what has to stay."""
+    if kind == "ip":
+        parts = [int(p) for p in value.split(".")]
+
+        def kept(p):
+            return 1 if p[0] in (0, 10, 127) or p[0] >= 224 else 2 if p[:2] == [192, 168] or (p[0] == 172 and 16 <= p[1] < 32) else 0
+
+        n = kept(parts)
+        if n:
+            return ".".join(map(str, parts[:n] + _mixed(key, f"ip {parts[:n]}", parts[n:], [256] * (4 - n))))
+        while True:  # public addresses stay public
+            parts = _mixed(key, "ip", parts, [256] * 4)
+            if not kept(parts):
+                return ".".join(map(str, parts))
+    if kind == "ip6":
+        x = int(ipaddress.IPv6Address(value))
+        return str(ipaddress.IPv6Address(x >> 112 << 112 | other(key, f"ip6 {x >> 112}", x & (1 << 112) - 1, 1 << 112)))
+    if kind == "card":
+        off = _luhn_sum(value)  # 0 if it passes; kept
+        body = "".join(map(str, _mixed(key, f"card {value[0]} {len(value)} {off}", [int(c) for c in value[1:-1]], [10] * (len(value) - 2))))
+        new = value[0] + body
+        return new + str((off - _luhn_sum(new + "0")) % 10)
+    if kind == "phone":
+        code, digits = value[1:].split(" ") if value[0] == "+" else ("", value)
+        bases = [8 if len(digits) == 10 and k in (0, 3) and digits[k] > "1" else 10 for k in range(len(digits))]
+        low = [2 * (b == 8) for b in bases]
+        new = _mixed(key, f"phone {code} {bases}", [int(c) - a for c, a in zip(digits, low, strict=True)], bases)
+        return (f"+{code} " if code else "") + "".join(str(d + a) for d, a in zip(new, low, strict=True))
+    if kind == "iban":
+        bases = [10 if c.isdecimal() else 26 for c in value[4:]]
+        space = f"iban {value[:2]} {bases}"
+        write = lambda ds: "".join(str(d) if b == 10 else chr(65 + d) for d, b in zip(ds, bases, strict=True))
+        now = [int(c, 36) - 10 * (b == 26) for c, b in zip(value[4:], bases, strict=True)]
+        if _mod97(value) == 1:
+            body = write(_mixed(key, space, now, bases))
+            return f"{value[:2]}{98 - _mod97(value[:2] + '00' + body):02}{body}"
+        return value[:4] + write(_mixed(key, f"{space} {value[2:4]}", now, bases))
+    return "".join(map(str, _mixed(key, f"{kind} {len(value)}", [int(c) for c in value], [10] * len(value))))
+
+
+@lru_cache(1 << 14)
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """The canonical value that stands for an entity."""
+    if kind in FINITE:
+        return _finite(key, kind, value)
     draw = _draw(key, kind, value, attempt)
     if kind in _NAMES:
-        head, vowels, male, female, neutral = _SYLLABLES[_script(value)] if value else _SYLLABLES["latin"]
         if not all(ord(c) < 0x500 for c in value):
-            return "".join(_like(c, next(draw)) for c in value)
+            return "".join(_like(c, next(draw)) for c in value + value[:1] * attempt)
+        head, vowels, male, female, neutral = _SYLLABLES[_script(value)] if value else _SYLLABLES["latin"]
         # Longer names on later attempts: the room grows until every name is its own.
         n = 2 + (kind == "family") + attempt
         out = "".join(head[next(draw) % len(head)] + vowels[next(draw) % len(vowels)] for _ in range(n))
         return out[:-1] + {"given_m": male, "given_f": female, "given_n": neutral, "family": out[-1] + head[next(draw) % len(head)]}[kind]
-    if kind == "ip":
-        parts = [int(p) for p in value.split(".")]
-        kept = 1 if parts[0] in (10, 127) else 2 if parts[:2] == [192, 168] or (parts[0] == 172 and 16 <= parts[1] < 32) else 0
-        new = parts[:kept] + [1 + next(draw) % 254 for _ in parts[kept:]]
-        if not kept and (new[0] in (10, 127, 172, 192) or new[0] >= 224):
-            new[0] = 11 + next(draw) % 100
-        return ".".join(map(str, new))
-    if kind == "card":
-        out = value[0] + "".join(str(next(draw) % 10) for _ in value[1:])
-        if luhn(value) != luhn(out):
-            out = next(x for x in (out[:-1] + str((int(out[-1]) + d) % 10) for d in range(1, 10)) if luhn(x) == luhn(value))
-        return out
-    if kind == "phone":
-        code, digits = value[1:].split(" ") if value[0] == "+" else ("", value)
-        new = [str(next(draw) % 10) for _ in digits]
-        for k in (0, 3):
-            if len(digits) == 10:
-                new[k] = str(2 + next(draw) % 8)
-        return (f"+{code} " if code else "") + "".join(new)
     if kind == "secret":
         hexa = re.fullmatch(r"[0-9a-f]+|[0-9A-F]+", value)
         letters = "abcdef" if hexa else _LETTERS
-        return "".join(c if not c.isalnum() else (str(next(draw) % 10) if c.isdigit() else (letters[next(draw) % len(letters)].upper() if c.isupper() else letters[next(draw) % len(letters)])) for c in value)
-    if kind == "email":
-        local, _, domain = value.partition("@")
-        labels = domain.split(".")
-        kept = 2 if labels[-2] == "example" else 1
-        new = [".".join("".join(_like(c, next(draw)) for c in x) for x in labels[:-kept]), *labels[-kept:]]
-        return "".join(_like(c, next(draw)) for c in local) + "@" + ".".join(x for x in new if x)
-    if kind == "iban":
-        return value[:2] + "".join(_like(c, next(draw)) for c in value[2:])
-    return "".join(_like(c, next(draw)) for c in value)
+        more = value + ("a" * 2 * attempt if attempt > 2 else "")
+        return "".join(c if not c.isalnum() else (str(next(draw) % 10) if c.isdigit() else (letters[next(draw) % len(letters)].upper() if c.isupper() else letters[next(draw) % len(letters)])) for c in more)
+    local, _, domain = value.partition("@")
+    labels = domain.split(".")
+    kept = 2 if labels[-2] == "example" else 1
+    new = [".".join("".join(_like(c, next(draw)) for c in x) for x in labels[:-kept]), *labels[-kept:]]
+    return "".join(_like(c, next(draw)) for c in local + "a" * 2 * attempt) + "@" + ".".join(x for x in new if x)
 
 
-def found(text: str) -> list[tuple[int, int, str, str]]:
-    """(start, end, kind, canonical value) of the entities of a text, in order, without overlap."""
-    out = []
-    if _NUMBERS.search(text):
-        for m in _PATTERN.finditer(text):
-            kind, raw = m.lastgroup, m.group()
-            a, b = m.span()
-            digits = "".join(c for c in raw if c.isdecimal())
-            if kind == "ip":
-                if any(int(p) > 255 for p in raw.split(".")):
-                    continue
-                raw = ".".join(str(int(p)) for p in raw.split("."))
-            elif kind == "email":
-                if raw[0] in ".%+-":
-                    a += len(raw) - len(raw.lstrip(".%+-"))
-                    raw = raw.lstrip(".%+-")
-                if raw[0] == "@":
-                    continue
-                raw = raw.lower()
-            elif kind == "card":
-                if not 13 <= len(digits) <= 19:
-                    continue
-                raw = digits
-            elif kind == "phone":
-                if not 8 <= len(digits) <= 15:
-                    continue
-                code = re.match(r"\+(\d+)", raw)
-                raw = f"+{code[1]} {digits[len(code[1]) :]}" if code and len(digits) > len(code[1]) + 4 else digits
-            elif kind == "ssn":
-                raw = digits
-            elif kind == "iban":
-                raw = raw.replace(" ", "")
-                if not 15 <= len(raw) <= 34:
-                    continue
-            out.append((a, b, kind, raw))
-    # Characters that every labelled secret has are quicker to look for than the words.
-    if ("=" in text or ":" in text) and ('"' in text or "'" in text) and _WORDS.search(text):
-        for m in _LABEL.finditer(text):
-            a, b = m.span(1)
-            if not any(x < b and a < y for x, y, _, _ in out):
-                out.append((a, b, "secret", m.group(1)))
-    if any(h in text for h in _HINTS):
-        out += _people(text, sorted(out))
-    return sorted(out)
+# ------------------------------------------------------------ detection
 
 
 def _free(spots: list[tuple[int, int, str, str]], a: int, b: int) -> bool:
@@ -185,46 +247,174 @@ def _free(spots: list[tuple[int, int, str, str]], a: int, b: int) -> bool:
     return not k or spots[k - 1][1] <= a
 
 
-def _people(text: str, taken: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, str]]:
-    """The names behind titles, and wherever else in the text they stand, outside the spots taken."""
-    named = []
-    for m in _PERSON.finditer(text):
-        if not m.group(2)[0].isupper():
+def _numbers(text: str) -> list[tuple[int, int, str, str]]:
+    out = []
+    for m in _PATTERN.finditer(text):
+        kind, raw = m.lastgroup, m.group()
+        a, b = m.span()
+        digits = "".join(c for c in raw if c.isdecimal())
+        if kind == "ip":
+            if any(int(p) > 255 for p in raw.split(".")):
+                continue
+            raw = ".".join(str(int(p)) for p in raw.split("."))
+        elif kind == "email":
+            if raw[0] in ".%+-":
+                a += len(raw) - len(raw.lstrip(".%+-"))
+                raw = raw.lstrip(".%+-")
+            if raw[0] == "@":
+                continue
+            raw = raw.lower()
+        elif kind == "card":
+            if not 13 <= len(digits) <= 19:
+                continue
+            raw = digits
+        elif kind == "phone":
+            if not 8 <= len(digits) <= 15:
+                continue
+            code = re.match(r"\+(\d+)", raw)
+            raw = f"+{code[1]} {digits[len(code[1]) :]}" if code and len(digits) > len(code[1]) + 4 else digits
+        elif kind == "ssn":
+            raw = digits
+        elif kind == "iban":
+            raw = raw.replace(" ", "")
+            if not 15 <= len(raw) <= 34:
+                continue
+        out.append((a, b, kind, raw))
+    return out
+
+
+def found(text: str, taught: list[tuple[str, str]] = ()) -> list[tuple[int, int, str, str]]:
+    """(start, end, kind, canonical value) of the entities of a text, in order, without overlap.
+
+    taught: (kind, value) of names that other texts teach.
+    """
+    out = _numbers(text) if _NUMBERS.search(text) else []
+    if "::" in text or text.count(":") > 6:
+        for m in _IP6.finditer(text):
+            try:
+                address = ipaddress.IPv6Address(m.group())
+            except ValueError:
+                continue
+            if address not in (ipaddress.IPv6Address(0), ipaddress.IPv6Address(1)) and any(c.isdigit() for c in m.group()) and _free(sorted(out), *m.span()):
+                out.append((*m.span(), "ip6", str(address)))
+    if any(h in text for h in _TEL_HINTS):
+        out.sort()
+        for m in _TEL.finditer(text):
+            digits = "".join(c for c in m.group(1) if c.isdecimal())
+            if 6 <= len(digits) <= 15 and _free(out, *m.span(1)):
+                out = sorted([*out, (*m.span(1), "phone", digits)])
+    # A sign that every labelled secret has is quicker to look for than the words.
+    if ("=" in text or ":" in text) and _WORDS.search(text):
+        for m in _LABEL.finditer(text):
+            g = 1 if m.group(1) else 2
+            value = m.group(g)
+            if g == 2 and not (re.search(r"\d", value) and re.search(r"[A-Za-z]", value)):
+                continue
+            value = value.rstrip(".") if g == 2 else value
+            a, b = m.start(g), m.start(g) + len(value)
+            if not any(x < b and a < y for x, y, _, _ in out):
+                out.append((a, b, "secret", value))
+    return sorted(out + _people(text, sorted(out), taught))
+
+
+def _chain(text: str, at: int) -> list[tuple[int, int]]:
+    """Spans of the capitalised words of the name that starts at the space `at`; small words may part them.
+
+    From the third word on, a word that the text also has in lower case ends the name.
+    """
+    spans, small = [], 0
+    while m := _PART.match(text, at):
+        word, at = m.group(1), m.end()
+        if word is None:  # an initial
             continue
-        two = m.group(3) and m.group(3)[0].isupper()
-        kind = next((f"given_{_TITLES[t]}" for t in m.group(1).split(" ") if t in _TITLES), "given_n")
-        for g, k in ((2, kind), (3, "family")) if two else ((2, "family"),):
-            a, b = m.span(g)
-            b -= 2 * (b - a > 3 and text[b - 2 : b] in ("'s", "’s"))
+        if word in _PARTICLES and small < 3:
+            small += 1
+            continue
+        a, b = m.span(1)
+        if not word[0].isupper() or len(spans) == 5 or word in _PLAIN_FORMS:
+            break
+        if len(spans) > 1 and re.search(rf"(?<!\w){re.escape(word.lower())}(?!\w)", text):
+            break
+        b -= 2 * (b - a > 3 and text[b - 2 : b] in ("'s", "’s"))
+        spans.append((a, b))
+        small = 0
+        if b < at:
+            break
+    return spans
+
+
+def _people(text: str, taken: list[tuple[int, int, str, str]], taught) -> list[tuple[int, int, str, str]]:
+    """Names by their titles, labels, honorifics and addresses, and wherever else in the text they stand."""
+    named: list[tuple[int, int, str, str]] = []
+
+    def name(spans, kind):
+        """The last word is the family's."""
+        for k, (a, b) in enumerate(spans):
+            if _free(taken, a, b):
+                named.append((a, b, "family" if k + 1 == len(spans) else kind, text[a:b].lower()))
+
+    if any(h in text for h in _HINTS):
+        for m in _TITLED.finditer(text):
+            kind = next((f"given_{_GENDER[t]}" for t in m.group(1).split(" ") if t in _GENDER), "given_n")
+            name(_chain(text, m.end()), kind)
+    if (":" in text or "：" in text) and any(h in text for h in _FORM_HINTS):
+        for m in _FORM.finditer(text):
+            spans = _chain(text, m.end())
+            if len(spans) > 1:
+                name(spans, "given_n")
+    tokens = {t for _, _, k, v in taken if k == "email" for t in re.split(r"[^a-zà-ÿ]+", v.partition("@")[0]) if len(t) > 2}
+    if tokens:
+        for m in _CAPITALS.finditer(text):
+            if {m.group(1).lower(), m.group(2).lower()} & tokens and not any(re.search(rf"(?<![\w.@]){re.escape(w.lower())}(?![\w.@])", text) for w in m.groups()):
+                name([m.span(1), m.span(2)], "given_n")
+    if any(h in text for h in _BARE_HINTS):
+        for m in _HONOURED.finditer(text):
+            k = m.lastindex - 1
+            a, b = m.span(k)
+            while b - a > 1 and text[a] in _BEFORE:
+                a += 1
             if _free(taken, a, b):
-                named.append((a, b, k, text[a:b].lower()))
+                named.append((a, b, f"given_{_HONORIFICS[m.group(k + 1)]}", text[a:b]))
+    if not named and not taught:
+        return []
+    # Titles and addresses may find a name twice; the first counts.
+    apart: list[tuple[int, int, str, str]] = []
+    for spot in named:
+        if _free(apart, *spot[:2]):
+            apart = sorted([*apart, spot])
     # A given name behind a neutral title is the one that stands behind a gendered title in the same text.
-    known = {v: k for _, _, k, v in reversed(named) if k in ("given_m", "given_f")}
-    named = [(a, b, known.get(v, k) if k == "given_n" else k, v) for a, b, k, v in named]
-    kinds = {v: k for _, _, k, v in reversed(named) if len(v) > 1}
-    forms = {f: v for a, b, _, v in named if v in kinds for x in [text[a:b]] for f in (x, x.upper(), x[:1].upper() + x[1:].lower()) if f not in _TITLES}
-    if forms:
-        taken = sorted([*taken, *named])
-        bare = re.compile(r"(?<!\w)(?:" + "|".join(map(re.escape, sorted(forms, key=len, reverse=True))) + r")(?!\w)")
-        for m in bare.finditer(text):
-            if _free(taken, *m.span()):
-                value = forms[m.group()]
-                named.append((*m.span(), kinds[value], value))
+    known = {v: k for _, _, k, v in reversed(apart) if k in ("given_m", "given_f")}
+    named = [(a, b, known.get(v, k) if k == "given_n" else k, v) for a, b, k, v in apart]
+    kinds = {v: k for k, v in reversed(taught)} | {v: k for _, _, k, v in reversed(named) if len(v) > 1}
+    cased = {f: v for v in kinds for f in (v.upper(), v[:1].upper() + v[1:]) if v.upper() != v and f not in _GENDER}
+    cased |= {text[a:b]: v for a, b, _, v in named if v in kinds and v.upper() != v and text[a:b] not in _GENDER}
+    plain = [v for v in kinds if v.upper() == v and len(v) > 1]
+    taken = sorted([*taken, *named])
+    for forms, edge in ((cased, r"(?<!\w)(?:{})(?!\w)"), ({v: v for v in plain}, "(?:{})")):
+        if forms:
+            bare = re.compile(edge.format("|".join(map(re.escape, sorted(forms, key=len, reverse=True)))))
+            more = [(*m.span(), kinds[forms[m.group()]], forms[m.group()]) for m in bare.finditer(text) if _free(taken, *m.span())]
+            named, taken = named + more, sorted(taken + more)
     return named
 
 
+def unnamed(text: str) -> set[str]:
+    """Pairs of capitalised words inside sentences, in lower case: names, if other texts teach so."""
+    return {f"{a.lower()} {b.lower()}" for a, b in _CAPITALS.findall(text)}
+
+
 def written(original: str, kind: str, new: str) -> str:
     """The surrogate in the original's format."""
     if kind in ("card", "phone", "ssn", "iban"):
         rest = iter(new.replace("+", "").replace(" ", ""))
         return "".join(next(rest) if c.isalnum() else c for c in original)
     if kind == "email" or kind in _NAMES:
-        return new.upper() if original.isupper() and len(original) > 1 else new if kind == "email" else new[:1].upper() + new[1:]
+        return new.upper() if original.isupper() and original.lower() != original and len(original) > 1 else new if kind == "email" else new[:1].upper() + new[1:]
     return new
 
 
-def rewrite(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tuple[str, int]:
-    spots = found(text)
+def rewrite(text: str, key: bytes, attempts: dict[tuple[str, str], int], taught: list[tuple[str, str]] = ()) -> tuple[str, int]:
+    spots = found(text, taught)
     if not spots:
         return text, 0
     out, at = [], 0
@@ -234,71 +424,86 @@ def rewrite(text: str, key: bytes, attempts: dict[tuple[str, str], int]) -> tupl
     return "".join([*out, text[at:]]), len(spots)
 
 
-def entities(docs: DataFrame, key: bytes) -> DataFrame:
-    """Distinct (kind, value, made): the entities of all texts and their first surrogates."""
+# ------------------------------------------------------------ over the corpus
 
-    def run(batches):
-        for batch in batches:
-            seen = {(k, v) for t in batch.column("text") for _, _, k, v in found(t.as_py() or "")}
-            kinds, values = zip(*sorted(seen), strict=True) if seen else ((), ())
-            made = [surrogate(key, k, v) for k, v in zip(kinds, values, strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.string()) for c in (kinds, values, made)], ["kind", "value", "made"])
-
-    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(lean(run), "kind string, value string, made string").distinct()
 
+def mentions(docs: DataFrame) -> DataFrame:
+    """Distinct (h, kind, value, taught): the entities of each text, by the text's hash.
 
-def attempts(docs: DataFrame, key: bytes) -> DataFrame:
-    """(kind, value, attempt) of the entities whose first surrogate is taken."""
-    every = saved(entities(docs, key).withColumn("attempt", F.lit(0)), "entities")
-    real = every.select("kind", F.col("value").alias("made")).withColumn("real", F.lit(True))
-    n = 0
+    taught names are those that only other texts show to be names.  How many texts name a person is counted
+    over all of them before the pairs of capitalised words meet it.
+    """
 
-    def again(batches):
+    def run(batches):
+        for batch in batches:
+            rows = set()
+            for h, t in zip(batch.column("h").to_pylist(), batch.column("text"), strict=True):
+                t = t.as_py() or ""
+                rows |= {(h, k, v) for _, _, k, v in found(t)} | {(h, "pair", v) for v in unnamed(t)}
+            cols = zip(*sorted(rows), strict=True) if rows else ((), (), ())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()), strict=True)], ["h", "kind", "value"])
+
+    text = F.col("text").cast("string")
+    seen = docs.where("text is not null").select(F.xxhash64(text).alias("h"), text.alias("text")).mapInArrow(lean(run), "h long, kind string, value string")
+    seen = saved(seen.distinct(), "mentions")
+    sure = seen.where("kind <> 'pair'")
+    given = sure.where("kind like 'given%'").groupBy("value", "kind").agg(F.count("*").alias("n"))
+    given = given.groupBy("value").agg(F.sum("n").alias("n"), F.max_by("kind", F.struct("n", "kind")).alias("kind")).where(F.col("n") >= LEARNED)
+    pairs = seen.where("kind = 'pair'").select("h", F.split("value", " ").alias("w"))
+    taught = pairs.join(given.select(F.col("value").alias("first"), "kind"), F.col("w")[0] == F.col("first"))
+    taught = taught.select("h", F.explode(F.array(F.struct("kind", F.col("first").alias("value")), F.struct(F.lit("family").alias("kind"), F.col("w")[1].alias("value")))).alias("x"))
+    taught = taught.select("h", "x.kind", "x.value").join(sure, ["h", "kind", "value"], "left_anti").distinct()
+    return saved(sure.withColumn("taught", F.lit(False)).unionByName(taught.withColumn("taught", F.lit(True))), "mentions")
+
+
+def attempts(entities: DataFrame, key: bytes) -> DataFrame:
+    """(kind, value, attempt) of the entities(kind, value) whose first surrogate is taken."""
+
+    def made(batches):
         for batch in batches:
             rows = batch.to_pylist()
-            cols = [batch.column("kind"), batch.column("value"), pa.array([surrogate(key, r["kind"], r["value"], r["attempt"]) for r in rows], pa.string()), batch.column("attempt")]
-            yield pa.RecordBatch.from_arrays(cols, ["kind", "value", "made", "attempt"])
-
-    while True:
+            new = [surrogate(key, r["kind"], r["value"], r["attempt"]) for r in rows]
+            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("value"), pa.array(new, pa.string()), batch.column("attempt")], ["kind", "value", "made", "attempt"])
+
+    schema = "kind string, value string, made string, attempt int"
+    first = entities.select("kind", "value").distinct().withColumn("attempt", F.lit(0))
+    every = saved(first.mapInArrow(made, schema), "entities")
+    real = every.where(~F.col("kind").isin(*FINITE)).select("kind", F.col("value").alias("made")).withColumn("real", F.lit(True))
+    for n in range(1, LAST + 1):
         # Few entities share a surrogate, so these groups are small; the settled ones come first.
         turn = F.row_number().over(Window.partitionBy("kind", "made").orderBy("attempt", "value"))
         rows = every.withColumn("turn", turn).join(real, ["kind", "made"], "left")
         rows = saved(rows.withColumn("taken", (F.col("turn") > 1) | F.col("real").isNotNull()).select("kind", "value", "made", "attempt", "taken"), "entities")
-        n += 1
         clash = rows.where("taken")
         if clash.isEmpty():
             return rows.where("attempt > 0").select("kind", "value", "attempt")
-        moved = clash.select("kind", "value", "made", F.lit(n).alias("attempt")).mapInArrow(again, "kind string, value string, made string, attempt int")
+        moved = clash.select("kind", "value", F.lit(n).alias("attempt")).mapInArrow(made, schema)
         every = rows.where("not taken").select("kind", "value", "made", "attempt").unionByName(moved)
+    # The last attempt draws 16 more syllables or 32 more letters: no check is needed.
+    return every.where("attempt > 0").select("kind", "value", "attempt")
 
 
-def pseudonymise(docs: DataFrame, key: bytes, most: int = 50_000) -> DataFrame:
+def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     """docs with every column as it was, entities of `text` replaced, and n_entities added.
 
-    Null texts stay null, texts without entities stay as they are.  Later attempts are sent
-    to tasks as one table if they are `most` at the most; beyond, each text gets its own by a
-    join on its hash.  A column of docs named n_entities is replaced.
+    Null texts stay null, empty ones and those without entities stay as they are; very long texts are
+    read whole; rows that repeat come out as often, equal texts alike.  An empty table gives an
+    empty one.  A column of docs named n_entities is replaced.  What a text has to know of others (later
+    attempts, taught names) meets it by a join on its hash; that table is sent to all tasks if it is counted to
+    be small.
     """
-    later = attempts(docs, key)
-    few = later.limit(most + 1).toArrow()
-    names = [f.name for f in docs.schema.fields if f.name != "n_entities"]
+    seen = mentions(docs)
+    later = saved(attempts(seen, key), "later")
+    tries = seen.join(later, ["kind", "value"], "left").where("taught or attempt is not null")
+    entry = F.struct("kind", "value", F.coalesce("attempt", F.lit(0)).alias("attempt"), "taught")
+    mine = saved(tries.groupBy("h").agg(F.array_sort(F.collect_set(entry)).alias("names")), "names")
+    names = [f.name for f in docs.schema.fields if f.name.lower() != "n_entities"]
     base = docs.select(*names)
+    h, extra = fresh(docs, "h", "names")
     schema = StructType([*base.schema.fields, StructField("n_entities", IntegerType())])
-    if few.num_rows <= most:
-        known = {(r["kind"], r["value"]): r["attempt"] for r in few.to_pylist()}
-        given = base.withColumn("_later", F.lit(None).cast("array<struct<kind:string,value:string,attempt:int>>"))
-    else:
-        known = {}
-
-        def hits(batches):
-            for batch in batches:
-                rows = [(h, k, v) for h, t in zip(*(batch.column(c).to_pylist() for c in ("h", "text")), strict=True) for k, v in {(k, v) for _, _, k, v in found(t or "")}]
-                cols = zip(*rows, strict=True) if rows else ((), (), ())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.int64(), pa.string(), pa.string()), strict=True)], ["h", "kind", "value"])
-
-        mine = docs.select(F.xxhash64("text").alias("h"), "text").mapInArrow(hits, "h long, kind string, value string")
-        mine = mine.join(saved(later, "later"), ["kind", "value"]).groupBy("h").agg(F.collect_set(F.struct("kind", "value", "attempt")).alias("_later"))
-        given = base.withColumn("_h", F.xxhash64("text")).join(mine.withColumnRenamed("h", "_h"), "_h", "left").select(*names, "_later")
+    few = (mine.agg(F.sum(F.size("names"))).first()[0] or 0) <= BROADCAST_ROWS // 10
+    mine = mine.select(F.col("h").alias(h), F.col("names").alias(extra))
+    given = base.withColumn(h, F.xxhash64(F.col("text").cast("string"))).join(F.broadcast(mine) if few else mine, h, "left").select(*names, extra)
     place = names.index("text")
 
     def run(batches):
@@ -306,12 +511,13 @@ def pseudonymise(docs: DataFrame, key: bytes, most: int = 50_000) -> DataFrame:
             own = batch.column(len(names)).to_pylist()
             texts, counts = [], []
             for t, more in zip(batch.column(place), own, strict=True):
-                t = t.as_py()
-                got, n = rewrite(t, key, known | {(x["kind"], x["value"]): x["attempt"] for x in more} if more else known) if t else (t, 0)
+                t, more = t.as_py(), more or []
+                tries = {(x["kind"], x["value"]): x["attempt"] for x in more}
+                got, n = rewrite(t, key, tries, [(x["kind"], x["value"]) for x in more if x["taught"]]) if t else (t, 0)
                 texts.append(got)
                 counts.append(n)
             cols = [batch.column(k) for k in range(len(names))]
-            cols[place] = pa.array(texts, pa.string())
+            cols[place] = pa.array(texts, batch.schema.field(place).type)
             yield pa.RecordBatch.from_arrays([*cols, pa.array(np.array(counts, np.int32))], [*names, "n_entities"])
 
     return given.mapInArrow(lean(run), schema)

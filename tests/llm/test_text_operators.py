@@ -272,12 +272,91 @@ def test_pii(spark):
     assert re.sub(r"\d", "9", out[1]) == re.sub(r"\d", "9", texts[1])
 
 
-def test_pii_distinct(spark):
+def pseudonyms(spark, texts, key=b"k"):
+    return [r.text for r in pii.pseudonymise(frame(spark, texts), key).orderBy("doc_id").collect()]
+
+
+def test_pii_distinct(spark, monkeypatch):
     # Two-letter given names leave few surrogates, so some clash and have to move.
     texts = [f"Mr. {a}{b} Qq" for a in "BCDFGHJK" for b in "aeiouyrlnm"] * 2
-    a = [r.text for r in pii.pseudonymise(frame(spark, texts), b"k").orderBy("doc_id").collect()]
-    b = [r.text for r in pii.pseudonymise(frame(spark, texts), b"k", most=0).orderBy("doc_id").collect()]
-    assert a == b and len(set(a)) == 80 and a[:80] == a[80:]
+    a = pseudonyms(spark, texts)
+    monkeypatch.setattr(pii, "BROADCAST_ROWS", 0)
+    assert pseudonyms(spark, texts) == a and len(set(a)) == 80 and a[:80] == a[80:]
+
+
+def test_pii_fills_small_spaces_and_ends(spark):
+    """Every address of a private network, and names whose room is a handful of letters."""
+    texts = [" ".join(f"192.168.{a}.{b}" for b in range(256)) for a in range(256)] + ["Tel. " + f"{n:06}" for n in range(300)]
+    got = pseudonyms(spark, texts)
+    space = {x for t in got[:256] for x in t.split()}
+    assert space == {f"192.168.{a}.{b}" for a in range(256) for b in range(256)}
+    assert not any(x == y for t, u in zip(texts, got) for x, y in zip(t.split(), u.split()) if x[0].isdigit())
+    assert len(set(got[256:])) == 300
+    letters = [f"{x}@y.example.com" for x in "abcdefghijklmnopqrstuvwxyz"]
+    got = pseudonyms(spark, letters)
+    assert len(set(got)) == 26 and not set(got) & set(letters)
+
+
+def test_permutations_have_no_fixed_points():
+    for size in (2, 3, 7, 64, 1000):
+        image = [pii.other(b"k", "s", x, size) for x in range(size)]
+        assert sorted(image) == list(range(size)) and all(x != y for x, y in enumerate(image))
+    cards = {pii.surrogate(b"k", "card", f"411111111111{n:04}") for n in range(2000)}
+    assert len(cards) == 2000
+    assert all(pii.luhn(pii.surrogate(b"k", "card", c)) == pii.luhn(c) for c in sorted(cards)[:200])
+    assert pii._mod97(pii.surrogate(b"k", "iban", "DE89370400440532013000")) == 1
+
+
+ENTITIES = {
+    "email": ["ann.lee@mail.example.com", "JO_1@X.ORG", "ü.ö@post.de"], "ip": ["8.8.8.8", "10.0.0.7"], "ip6": ["2001:db8::1f", "FE80::1:2:3"],
+    "card": ["4111 1111 1111 1111", "4111111111111111"], "ssn": ["078-05-1120"], "iban": ["DE89 3704 0044 0532 0130 00"],
+    "phone": ["+49 30 1234567", "(017) 555-7713", "Tel. 030 1234567", "Phone: 030/98 76 54", "Fax no. 55 12 34 56"],
+    "secret": ["9233a8ecf7c5b09fe5949719b6b82bc439e9329b", "password: hunter2222", 'api_key="abcdefgh-12"', '"token": "ABCDEFGH12345678"', "pwd=Tr0ub4dor&3"],
+    "name": ["Mr. John Paul Smith", "MS. LEE", "Dr. Jane Doe", "Mrs. Ana de la Cruz", "Herr von Neumann", "Señora Juana García López", "Prof. Dr. Weber", "Доктор Иван Петров", "Κύριος Νίκος Παππάς",
+             "王小明先生", "陈美丽女士", "田中さん", "김철수 씨", "Mr. J. Smith"],
+}
+
+
+def test_pii_recall_by_type_and_script(spark):
+    """Each entity alone in a text, and again with words around it: no part of it is left, and the format is kept."""
+    rows = [(kind, f"{before}{x}{after}") for kind, xs in ENTITIES.items() for x in xs for before, after in (("", ""), ("so it was ", ", then no more"))]
+    got = pii.pseudonymise(frame(spark, [t for _, t in rows]), b"k").orderBy("doc_id").collect()
+    labels = {"Tel", "Phone", "Fax", "no", "password", "api_key", "token", "pwd", "so", "it", "was", "then", "more", "de", "la", "von", "J", "씨", "example", "com", "org", "ORG"} | {w.strip(".") for t in (*pii._TITLES, *pii._NEUTRAL) for w in (t, t.upper())}
+    for (kind, text), r in zip(rows, got, strict=True):
+        assert r.n_entities, text
+        for word in re.findall(r"\w{2,}", text):
+            for h in pii._HONORIFICS:
+                word = word.removesuffix(h)
+            if word not in labels and not word.isdigit() and len(word) > 2:
+                assert word not in re.findall(r"\w+", r.text), (text, r.text)
+        if kind in ("card", "ssn", "iban", "phone"):
+            assert re.sub(r"\d", "9", r.text) == re.sub(r"\d", "9", text) and r.text != text
+    clean = ["plain words, version 3.", "It ran at 12:30:45 on 2024-01-05.", "std::add and x::y", "password: required", "He said Hello World to us", "section 1.2.3.4.5 of 10"]
+    assert pseudonyms(spark, clean) == clean
+
+
+def test_pii_names_that_the_corpus_teaches(spark):
+    texts = ["Mr. John Smith came", "Mrs. Ann Lee and Mr. John Doe", "yesterday John Miller spoke; then Miller left", "we saw Ann Taylor there", "they met Karl Weber again"]
+    got = pseudonyms(spark, texts)
+    john = re.search(r"Mr\. (\w+)", got[0])[1]
+    given, family = re.search(r"yesterday (\w+) (\w+) spoke", got[2]).groups()
+    assert given == john and family != "Miller" and got[2].endswith(f"then {family} left")
+    assert got[3:] == texts[3:]  # Ann is taught by one text only, Karl by none
+
+
+def test_pii_of_odd_tables(spark):
+    """Clashing columns, nulls, repeated rows, a very long text and no rows."""
+    long = "word " * 200_000 + "Mr. John Smith"
+    rows = [(1, "Mr. Tom Roe", 1, "a", "x", 2), (1, "Mr. Tom Roe", 1, "a", "x", 2), (None, None, None, None, None, None), (3, "", 0, "", "", 0), (4, long, 1, "b", "y", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, h int, names string, value string, n_entities int")
+    out = pii.pseudonymise(df, b"k")
+    assert out.columns == ["doc_id", "text", "h", "names", "value", "n_entities"]
+    got = {}
+    for r in out.collect():
+        got.setdefault(r.doc_id, []).append(r)
+    assert len(got[1]) == 2 and got[1][0] == got[1][1] and got[1][0].h == 1 and "Roe" not in got[1][0].text
+    assert got[None][0].text is None and got[3][0].text == "" and got[4][0].text.startswith("word word") and "Smith" not in got[4][0].text
+    assert pii.pseudonymise(df.limit(0), b"k").count() == 0
 
 
 def test_pii_labels_and_mentions(spark):
