@@ -10,9 +10,11 @@ inside a multi-byte UTF-8 sequence, so splitting bytes equals splitting characte
 from __future__ import annotations
 
 import ctypes
+import re
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from typing import NamedTuple
 
 import numpy as np
@@ -26,23 +28,53 @@ SLICE_BYTES = 1 << 20
 
 
 def scratch(spark: SparkSession) -> str:
-    """The cluster's shared folder, or (only where none is set, as in tests) one of our own."""
+    """The cluster's shared folder; where none is set, one of our own, which only a local master can use."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.conf.get("spark.master", "local")):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
         folder = getattr(spark, "_docweave_scratch", None)
         if not folder:
             folder = spark._docweave_scratch = tempfile.mkdtemp(prefix="spark-")
     return folder.rstrip("/")
 
 
-def saved(df: DataFrame, name: str) -> DataFrame:
-    """Write a table to the shared folder and read it back with the same schema."""
+#: Paths of the tables that each open `passing` block removes at its end, the innermost last.
+_passing: list[list[str]] = []
+
+
+def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
+    """Write a table to the shared folder and read it back with the same schema.
+
+    Inside `passing` the table goes at the end of the block; with keep at the end of the block around it,
+    if there is one.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
+    blocks = _passing[:-1] if keep else _passing
+    if blocks:
+        blocks[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def passing(spark: SparkSession):
+    """Tables saved inside are removed at the end; what the block's results still read has to be kept."""
+    _passing.append([])
+    try:
+        yield
+    finally:
+        for path in _passing.pop():
+            remove(spark, path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the cluster's file system."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -59,7 +91,7 @@ def fresh(df: DataFrame, *names: str) -> list[str]:
     return out
 
 
-#: Tables of ids up to so many rows (of 8 bytes) may be sent to every task.
+#: Tables of ids up to so many rows (of a few numbers) may be sent to every task.
 BROADCAST_ROWS = 1_000_000
 
 

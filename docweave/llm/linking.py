@@ -59,7 +59,7 @@ def verified(pairs: DataFrame, texts: DataFrame, size: int, percent: int, lower:
     """Those pairs(a, b) whose shingle sets have 100 * intersection >= percent * union.
 
     texts(node, text) holds each node once.  Both texts are met by shuffle joins; whole texts
-    are read again and their sets compared.
+    are read again and their sets compared, shingle by shingle as 64-bit hashes.
     """
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
@@ -83,6 +83,16 @@ def central(members: DataFrame) -> DataFrame:
     return members.join(best.select("key", (-F.col("h.x")).alias("hub")), "key")
 
 
+def dealt(groups: DataFrame, tiles: DataFrame) -> DataFrame:
+    """(key, node, comp, own, tile, other): each of groups(key, node, comp) in the cells where its tile meets another.
+
+    tiles(key, n_tiles) tells in how many tiles a group is cut; every two tiles of a group meet in one cell.
+    """
+    rows = groups.join(tiles, "key").withColumn("own", F.pmod(F.xxhash64("node"), "n_tiles").cast("int"))
+    rows = rows.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)))
+    return rows.select("key", "node", "comp", "own", F.least("own", "with").alias("tile"), F.greatest("own", "with").alias("other"))
+
+
 def classes(members: DataFrame, likely, texts, size: int, percent: int, lower: bool, tiles=None) -> DataFrame:
     """(node, comp) of the classes among nodes that share keys, each link verified.
 

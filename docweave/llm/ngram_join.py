@@ -7,8 +7,10 @@ on (band, block number, XOR of the block's hashes) finds them all.  Candidates p
 bound on their sketches, in which each shingle flips one bit of at least two a shingle, so that
 the distance is at most the difference; then whole texts are compared exactly.
 
-Bands grow by half.  A document stands in its own band and, if some document of the band
-below may be linked with it, in that one too.
+Bands grow by half, or more where a linked document may be larger than that.  A document stands in
+its own band and, if some document of the band below may be linked with it, in that one too.
+
+Sets are told apart by two 64-bit sums, shingles by 64-bit hashes of their words.
 """
 from __future__ import annotations
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import linking
-from .common import U64, distinct, lean, met, mix, saved, shingles, slices, totals, words
+from .common import U64, distinct, fresh, lean, met, mix, passing, saved, shingles, slices, totals, words
 
 
 class Bands(NamedTuple):
@@ -33,10 +35,15 @@ class Bands(NamedTuple):
 
 @lru_cache
 def bands(percent: int) -> Bands:
-    """The size bands.  Spare blocks make up for those that are empty, which tell little."""
+    """The size bands.  Spare blocks make up for those that are empty, which tell little.
+
+    A band ends beyond the largest document that may be linked with the band below, so two bands are enough.
+    """
+    if not 50 <= percent <= 100:
+        raise ValueError("the Jaccard threshold has to be from 50 to 100 percent")
     ends = [1]
     while ends[-1] < 1 << 40:
-        ends.append(max(ends[-1] + 1, ends[-1] * 3 // 2))
+        ends.append(max(ends[-1] + 1, ends[-1] * 3 // 2, (ends[-1] - 1) * 100 // percent + 1))
     starts, most = np.array(ends[:-1], np.int64), np.array(ends[1:], np.int64) - 1
     reach = most * 100 // percent
     need = (most + reach) * (100 - percent) // (100 + percent) + 1
@@ -72,7 +79,7 @@ def _keys(h, sizes, band, made: Bands):
     return keys[~drop], np.append(0, np.cumsum(~drop))[at]
 
 
-SCHEMA = "doc_id long, n long, h1 long, h2 long, sketch array<long>, own_keys array<long>, low_keys array<long>"
+SCHEMA = "doc_id long, own long, n long, h1 long, h2 long, sketch array<long>, own_keys array<long>, low_keys array<long>"
 
 #: Words of the smallest sketch, and shingles to a word of larger ones (so two bits and more to a shingle).
 LEAST_WORDS, SHINGLES_A_WORD = 8, 32
@@ -93,7 +100,7 @@ def _signatures(size: int, percent: int, lower: bool):
                 n = np.diff(bounds)
                 own = np.searchsorted(made.starts, n, side="right") - 1
                 low = np.where((own > 0) & (n <= made.reach[own - 1]), own - 1, -1)
-                cols = [batch.column("doc_id").slice(i, j - i), pa.array(n, pa.int64())]
+                cols = [*(batch.column(c).slice(i, j - i) for c in ("doc_id", "own")), pa.array(n, pa.int64())]
                 cols += [pa.array(totals(mix(h, s), bounds).view(np.int64)) for s in (11, 12)]
                 counts = np.where(n > 0, wide[own], 0)
                 at = np.append(0, np.cumsum(counts))
@@ -202,18 +209,23 @@ def _tile_pairs(percent: int):
 TILE, TILE_WORDS = 4096, 1 << 22
 
 
-def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool = False) -> DataFrame:
-    """(doc_id, n_shingles, component_id): exact classes of documents linked at the given Jaccard.
+def _rows(docs: DataFrame) -> DataFrame:
+    """(doc_id, own, text); own is one for rows that are equal in id and text."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("own"), "text")
 
-    Null and empty texts, and texts without words, have an empty set (n_shingles 0) and are linked
-    with nothing; fewer words than `size` make one shingle.  Equal sets are linked.  Rows that
-    repeat come out as often; a null doc_id takes its class's id.  Extra columns are ignored.
+
+def _classes(docs: DataFrame, size: int, percent: int, lower: bool) -> tuple[DataFrame, DataFrame]:
+    """The rows (doc_id, own, n, h1, h2) and the classes (h1, h2, n, comp, least) of their sets.
+
+    A node is a set, under the number of a row that has it, so ids may be shared or missing.
     """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sig = saved(rows.mapInArrow(lean(_signatures(size, percent, lower)), SCHEMA), "sketches")
-    sets = sig.where("n > 0 and doc_id is not null").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("node"))
-    sets = saved(sets, "sets")
-    nodes = met(sig, sets.select(F.col("node").alias("doc_id")), "doc_id").withColumnRenamed("doc_id", "node")
+    rows = _rows(docs)
+    sig = rows.mapInArrow(lean(_signatures(size, percent, lower)), SCHEMA)
+    sig = saved(sig.withColumn("node", F.monotonically_increasing_id()), "sketches", keep=True)
+    sets = sig.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("node", "own")).alias("x"), F.min("doc_id").alias("least"))
+    sets = saved(sets.select("h1", "h2", "n", "x.node", "x.own", "least"), "sets")
+    nodes = met(sig.drop("own"), sets.select("node"), "node")
     every = nodes.select(F.explode("own_keys").alias("key"), "node").union(nodes.select(F.explode("low_keys").alias("key"), "node"))
     shared = saved(every.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
     members = saved(linking.central(saved(every.join(shared, "key"), "members")), "members")
@@ -225,35 +237,59 @@ def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool
         return pairs.where(f"{_far('a_sketch', 'b_sketch')} <= (a_n + b_n) * {100 - percent} div {100 + percent}").select("a", "b")
 
     def texts(ids):
-        ids = saved(ids.select(F.col("node").alias("doc_id")), "ids")
-        return met(rows, ids, "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
+        # Rows that repeat add up in the tasks, before the shuffle.
+        ids = saved(ids.join(sets.select("node", "own"), "node"), "ids")
+        return met(rows.select("own", "text"), ids, "own", "inner").select("node", "text").dropDuplicates(["node"])
 
     def tiles(groups):
         groups = saved(groups.join(nodes.select("node", "n", F.size("sketch").alias("wide")), "node"), "groups")
         dealt = groups.groupBy("key").agg(F.count("*").alias("members"), F.max("wide").alias("widest"))
         dealt = dealt.select("key", F.ceil(F.col("members") / F.least(F.lit(TILE), F.floor(F.lit(TILE_WORDS) / F.col("widest")))).cast("int").alias("n_tiles"))
-        dealt = groups.join(saved(dealt, "tiles"), "key").withColumn("own", F.pmod(F.xxhash64("node"), "n_tiles").cast("int"))
-        dealt = dealt.withColumn("with", F.explode(F.sequence(F.lit(0), F.col("n_tiles") - 1)))
-        dealt = dealt.select("key", "node", "comp", "own", F.least("own", "with").alias("tile"), F.greatest("own", "with").alias("other"))
-        dealt = dealt.join(nodes.select("node", "n", "sketch"), "node")
-        parts = dealt.repartition("key", "tile", "other").sortWithinPartitions("key", "tile", "other")
+        cells = linking.dealt(groups, saved(dealt, "tiles")).join(nodes.select("node", "n", "sketch"), "node")
+        parts = cells.repartition("key", "tile", "other").sortWithinPartitions("key", "tile", "other")
         return parts.mapInArrow(lean(_tile_pairs(percent)), "a long, b long")
 
     comp = linking.classes(members, likely, texts, size, percent, lower, tiles)
-    named = saved(sets.join(comp, "node", "left").select("h1", "h2", "n", F.coalesce("comp", "node").alias("component_id")), "classes")
+    named = sets.join(comp, "node", "left").select("h1", "h2", "n", F.coalesce("comp", "node").alias("comp"), "least")
+    least = named.groupBy("comp").agg(F.min("least").alias("least"))
+    return sig, saved(named.drop("least").join(least, "comp"), "classes", keep=True)
+
+
+def near_classes(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool = False) -> DataFrame:
+    """(doc_id, n_shingles, component_id): exact classes of documents linked at the given Jaccard (50 to 100).
+
+    Null and empty texts, and texts without words, have an empty set (n_shingles 0) and are linked
+    with nothing; fewer words than `size` make one shingle; very long texts count whole.  Equal sets are
+    linked.  Rows that repeat come out as often; rows that share an id are documents of their own, linked by what
+    each says; a null doc_id takes its class's id, if that has one.  An empty table gives an empty
+    one.  Extra columns are ignored.
+    """
+    with passing(docs.sparkSession):
+        sig, named = _classes(docs, size, percent, lower)
     got = sig.select("doc_id", "n", "h1", "h2").join(named, ["h1", "h2", "n"], "left")
-    return got.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return got.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("least", "doc_id").alias("component_id"))
 
 
 def keep_one(docs: DataFrame, size: int = 5, percent: int = 80, lower: bool = False) -> DataFrame:
-    """The rows of docs without all but one document of each class (its smallest doc_id).
+    """The rows of docs without all but one row of each class (one of its smallest doc_id, which is not null if any is).
 
-    Ids are taken to be unique: rows that repeat one id stay or go together.  Documents without
-    words stay, as nothing is linked with them; so do rows without doc_id.
+    Documents without words stay, null and empty texts and repeats included, as nothing is linked with
+    them.  An empty table gives an empty one; all columns come out as they were.
     """
-    found = saved(near_classes(docs, size, percent, lower), "found")
-    drop = saved(found.where("component_id < doc_id").select("doc_id").distinct(), "drop")
-    return met(docs, drop, "doc_id", "left_anti").select(*docs.columns)
+    (own,) = fresh(docs, "own")
+    with passing(docs.sparkSession):
+        sig, named = _classes(docs, size, percent, lower)
+        rows = sig.where("n > 0").select("doc_id", "own", "h1", "h2", "n").join(named.select("h1", "h2", "n", "comp"), ["h1", "h2", "n"])
+        rows = rows.groupBy("comp", "own").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"))
+        best = rows.groupBy("comp").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "own")).alias("best")).select("comp", "best.own")
+        # What goes, and what stays in more than one row.
+        drop = saved(rows.select("comp", "own").join(best, ["comp", "own"], "left_anti").select(F.col("own").alias(own)), "drop", keep=True)
+        again = saved(rows.where("copies > 1").join(best, ["comp", "own"], "left_semi").select(F.col("own").alias(own)), "again", keep=True)
+    keyed = docs.withColumn(own, F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+    kept = met(keyed, drop, own, "left_anti")
+    if not again.isEmpty():
+        kept = met(kept, again, own, "left_anti").unionByName(met(kept, again, own).dropDuplicates([own]))
+    return kept.select(*docs.columns)
 
 
 def op9_ngram_jaccard(spark, sf_dir):

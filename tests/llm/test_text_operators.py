@@ -12,7 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docweave.llm import bpe, linking, mixture, ngram_join, pii, quality, ring_shards, substring_dedup, token_files, topk_search
+from docweave.llm import bpe, common, linking, mixture, ngram_join, pii, quality, ring_shards, substring_dedup, token_files, topk_search
 from docweave.llm.minhash import fingerprints, near_duplicates
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
@@ -105,7 +105,7 @@ def classes_by_force(texts, size, percent):
     return [(i, len(s), top(i)) for i, s in enumerate(sets)]
 
 
-@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80)])
+@pytest.mark.parametrize(("size", "percent"), [(3, 90), (5, 80), (5, 60), (2, 50)])
 def test_near_classes(spark, monkeypatch, size, percent):
     monkeypatch.setattr(linking, "SMALL", 4)
     monkeypatch.setattr(ngram_join, "TILE", 16)
@@ -114,9 +114,9 @@ def test_near_classes(spark, monkeypatch, size, percent):
     texts = [None, "", "a b", "a b", "a", " \n ", "solo text of its own"]
     for _ in range(80):
         w = list(base)
-        for _ in range(rnd.randint(0, 8)):
+        for _ in range(rnd.randint(0, 8 if percent > 60 else 24)):
             w[rnd.randrange(len(w))] = f"z{rnd.randint(0, 10**6)}"
-        texts.append(" ".join(w))
+        texts.append(" ".join(w[: rnd.randint(60, 150)] if percent <= 60 else w))
     got = sorted(tuple(r) for r in ngram_join.near_classes(frame(spark, texts), size, percent).collect())
     assert got == classes_by_force(texts, size, percent)
 
@@ -136,6 +136,25 @@ def test_near_classes_across_bands(spark, monkeypatch):
     assert {np.sign(n - 316) for _, n, _ in want} == {-1, 1}
 
 
+def test_near_classes_of_odd_tables(spark, monkeypatch):
+    """Shared ids, repeated rows, rows without ids, and both ways to meet a table of ids."""
+    with pytest.raises(ValueError):
+        ngram_join.bands(49)
+    a, b = (" ".join(f"{x}{i}" for i in range(40)) for x in "ab")
+    rows = [(1, a), (1, b), (2, f"{a} z"), (3, f"{b} z"), (3, f"{b} z"), (None, f"{a} y"), (None, "only here " * 9), (4, None), (4, ""), (4, "")]
+    df = spark.createDataFrame([(*r, i, "x") for i, r in enumerate(rows)], "doc_id long, text string, own int, node string")
+    for most in (1_000_000, 0):
+        monkeypatch.setattr(common, "BROADCAST_ROWS", most)
+        got = Counter((r.doc_id, r.component_id) for r in ngram_join.near_classes(df, 5, 80).collect())
+        assert got == Counter({(1, 1): 2, (2, 1): 1, (3, 1): 2, (None, 1): 1, (None, None): 1, (4, 4): 3})
+        kept = ngram_join.keep_one(df, 5, 80)
+        assert kept.columns == df.columns
+        assert Counter((r.doc_id, r.text) for r in kept.collect()) == Counter([(1, a), (1, b), (None, rows[6][1]), (4, None), (4, ""), (4, "")])
+    assert ngram_join.near_classes(df.limit(0)).count() == ngram_join.keep_one(df.limit(0)).count() == 0
+    twins = spark.createDataFrame([(7, a, "p"), (7, a, "q"), (8, "long " * 100_000, "r")], "doc_id long, text string, more string")
+    assert [r.doc_id for r in ngram_join.keep_one(twins).orderBy("doc_id").collect()] == [7, 8]
+
+
 def test_minhash(spark):
     texts = ["a b c d e f g h", None, "", "k l m n o p q r s t", "k l m n o p q r s t"]
     got = fingerprints(frame(spark, texts)).orderBy("doc_id").collect()
