@@ -76,12 +76,30 @@ def repeats(texts, window):
     return out
 
 
-def test_repeats(spark):
+def removed(spark, texts, window=12, anchor=5):
+    return sorted(tuple(r) for r in substring_dedup.remove_repeats(frame(spark, texts), window, anchor).collect())
+
+
+@pytest.mark.parametrize("paired", [64, 2, 0])
+def test_repeats(spark, monkeypatch, paired):
+    """Periodic texts, many short repeats, passages, by extension alone, by both ways, and by windows alone."""
+    monkeypatch.setattr(substring_dedup, "PAIRED", paired)
+    monkeypatch.setattr(substring_dedup, "AT_ONCE", 50)
     rnd = random.Random(4)
     passage = " ".join(f"p{i}" for i in range(50))
     texts = [" ".join(rnd.choices("ab", k=rnd.randint(0, 300))) for _ in range(25)] + ["a " * 200, None, "", "x y " * 40, f"k {passage} l", f"m {passage[:120]} n", passage, passage]
-    got = sorted(tuple(r) for r in substring_dedup.remove_repeats(frame(spark, texts), window=12, anchor=5).collect())
-    assert got == repeats(texts, 12)
+    texts += [f"u{i} {' '.join(f'p{k}' for k in range(i, i + 16))} v{i}" for i in range(12)] + ["same words " * 30, "x y z " * 20]
+    assert removed(spark, texts) == repeats(texts, 12)
+
+
+def test_repeats_of_odd_tables(spark):
+    """Shared ids with different texts, rows without ids, repeated rows, clashing columns, a very long text."""
+    a, b, c = (" ".join(f"{x}{i}" for i in range(60)) for x in "abc")
+    rows = [(1, a), (1, b), (2, a), (3, c), (3, c), (None, f"z {b}"), (None, "n " * 5), (4, None), (5, " ".join(f"l{i}" for i in range(30_000)))]
+    df = spark.createDataFrame([(*r, 1, [2], "x") for r in rows], "doc_id long, text string, key int, whole array<int>, parts string")
+    got = sorted((r.doc_id or 0, r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(df).collect())
+    assert got == [(0, 5, 0), (0, 61, 60), (1, 60, 60), (1, 60, 60), (2, 60, 60), (3, 60, 60), (3, 60, 60), (4, 0, 0), (5, 30_000, 0)]
+    assert substring_dedup.remove_repeats(df.limit(0)).count() == 0
 
 
 def classes_by_force(texts, size, percent):
