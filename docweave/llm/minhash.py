@@ -3,6 +3,10 @@
 A fingerprint holds, for each of several universal hash permutations of 32-bit numbers, the smallest value
 over the text's shingles (five words).  The share of equal entries estimates the Jaccard
 similarity of two shingle sets.
+
+Bands of a fingerprint are keys on which Spark joins documents.  Candidates pass a bound on their parity
+sketches that no link exceeds, then whole texts are compared.  With 32 bands of four entries a pair of
+Jaccard 0.8 shares a band but for 5 in 100 million; large groups of one band are compared in tiles.
 """
 from __future__ import annotations
 
@@ -13,8 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import linking
-from .common import U64, met, mix, saved, shingles, slices, table, totals, u32_sum_hash, words
+from . import ngram_join
+from .common import U64, lean, met, mix, passing, saved, shingles, slices, table, totals, u32_sum_hash, words
 
 SIZE = 5
 
@@ -27,9 +31,13 @@ def permutations(count: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 def signatures(data: np.ndarray, offsets: np.ndarray, count: int = 128, seed: int = 1, size: int = SIZE) -> np.ndarray:
     """(documents, count) smallest permuted values; all ones for a text without words."""
-    h, bounds = shingles(words(data, offsets), size)
+    return smallest(*shingles(words(data, offsets), size), count, seed)
+
+
+def smallest(h: np.ndarray, bounds: np.ndarray, count: int, seed: int = 1) -> np.ndarray:
+    """The same of shingles' hashes h[bounds[d]:bounds[d + 1]]."""
     x = u32_sum_hash(mix(h, 21))
-    out = np.empty((len(offsets) - 1, count), np.uint32)
+    out = np.empty((len(bounds) - 1, count), np.uint32)
     room = np.empty_like(x)
     for k, (a, b) in enumerate(zip(*permutations(count, seed), strict=True)):
         np.multiply(x, a, out=room)
@@ -58,7 +66,7 @@ def _texts_signatures(texts: list[bytes], count: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+SCHEMA = "doc_id long, own long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
 def _compare(count: int):
@@ -66,8 +74,8 @@ def _compare(count: int):
     names = [c.split()[0] for c in SCHEMA.split(", ")]
 
     def emit(rows):
-        """rows: (doc_id, text, bucket, end mark); each but the last is compared with the next."""
-        own = _texts_signatures([t.encode() for _, t, _, _ in rows], count)
+        """rows: (doc_id, text, bucket, end mark, own); each but the last is compared with the next."""
+        own = _texts_signatures([r[1].encode() for r in rows], count)
         heads = [i for i in range(len(rows) - 1) if not rows[i][3] and rows[i][2] == rows[i + 1][2]]
         if not heads:
             return None
@@ -79,7 +87,7 @@ def _compare(count: int):
         sig = _texts_signatures(edited, count)
         mine, following = own[heads], own[[i + 1 for i in heads]]
         cols = [
-            pa.array([rows[i][0] for i in heads], pa.int64()), pa.array([len(rows[i][1]) for i in heads], pa.int64()),
+            pa.array([rows[i][0] for i in heads], pa.int64()), pa.array([rows[i][4] for i in heads], pa.int64()), pa.array([len(rows[i][1]) for i in heads], pa.int64()),
             pa.array([hashlib.sha256(t).hexdigest() for t in edited]), pa.array(_hex(mine)), pa.array(_hex(sig)),
             pa.array((mine == sig).mean(1)), pa.array((mine == following).mean(1)),
         ]
@@ -88,10 +96,10 @@ def _compare(count: int):
     def run(batches):
         rows, size = [], 0
         for batch in batches:
-            cols = (batch.column(c) for c in ("doc_id", "text", "bucket", "tail"))
-            for doc, text, bucket, tail in zip(*cols, strict=True):
+            cols = (batch.column(c) for c in ("doc_id", "text", "bucket", "tail", "own"))
+            for doc, text, bucket, tail, own in zip(*cols, strict=True):
                 text = text.as_py() or ""
-                rows.append((doc.as_py(), text, bucket.as_py(), tail.as_py()))
+                rows.append((doc.as_py(), text, bucket.as_py(), tail.as_py(), own.as_py()))
                 size += len(text)
                 if size >= 1 << 22:
                     if (out := emit(rows)) is not None:
@@ -103,16 +111,22 @@ def _compare(count: int):
     return run
 
 
+#: Stands for a null doc_id in the order of documents.
+FIRST = "cast(-9223372036854775808 as bigint)"
+
+
 def fingerprints(docs: DataFrame, count: int = 128) -> DataFrame:
     """Fingerprints of every whole text, of its edited text, and their likeness (see SCHEMA).
 
-    The edited text takes its last quarter from the start of the next document (ascending doc_id,
-    then text; after the last comes the first).  Null texts count as empty; a text without
+    The edited text takes its last quarter from the start of the next document (ascending doc_id, null
+    first, then text; after the last comes the first).  Null texts count as empty; a text without
     words is like another such text (1) and like no other (0).  A single document is its own
-    next.  Rows without doc_id take no part.  Extra columns are ignored.
+    next.  Rows that repeat come out as often and follow each other; very long texts are read whole.  `own` is one for
+    rows equal in id and text.  An empty table gives an empty one.  Extra columns are ignored.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).where("doc_id is not null")
+    rows = docs.select(F.col("doc_id").cast("long").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")).alias("own"))
+    rows = rows.select(F.expr(f"coalesce(id, {FIRST})").alias("doc_id"), "id", "text", "own")
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     # Documents meet in ranges of doc_id; a range gets the first document of the next one as well.
     # There are 8 ranges a partition: the lists below are as long as that, whatever the data.
@@ -135,46 +149,53 @@ def fingerprints(docs: DataFrame, count: int = 128) -> DataFrame:
     ends_of = rows.where(F.col("doc_id").isin(heads)).groupBy("doc_id").agg(F.min("text").alias("text"))
     pairs = "map(" + ",".join(f"{d}L,{b}" for d, b in turn.items()) + ")"
     ends_of = ends_of.withColumn("bucket", F.expr(f"element_at({pairs}, doc_id)")).withColumn("tail", F.lit(True))
-    every = rows.withColumn("tail", F.lit(False)).unionByName(ends_of.select("doc_id", "text", "bucket", "tail"))
+    ends_of = ends_of.withColumn("own", F.lit(None).cast("long"))
+    every = rows.drop("id").withColumn("tail", F.lit(False)).unionByName(ends_of.select("doc_id", "text", "own", "bucket", "tail"))
     sorted_ = every.repartition(n, "bucket").sortWithinPartitions("bucket", "tail", "doc_id", "text")
-    return sorted_.mapInArrow(_compare(count), SCHEMA)
+    out = sorted_.mapInArrow(lean(_compare(count)), SCHEMA)
+    return out.withColumn("doc_id", F.expr(f"nullif(doc_id, {FIRST})"))
 
 
 def _band_keys(count: int, bands: int):
-    def run(batches):
-        for batch in batches:
-            for i, j, data, offs in slices(batch.column("text")):
-                sig = signatures(data, offs, count)
-                full = (sig != np.uint32(0xFFFFFFFF)).any(1)
-                keys = np.zeros((j - i, bands), U64)
-                for k in range(bands):
-                    for c in range(k * count // bands, (k + 1) * count // bands):
-                        keys[:, k] = mix(keys[:, k] ^ sig[:, c].astype(U64), k + 1)
-                lists = [row.tolist() if ok else None for row, ok in zip(keys.view(np.int64), full, strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.array(lists, pa.list_(pa.int64()))], ["node", "keys"])
+    """Signatures for `ngram_join` whose keys are the bands of MinHash signatures."""
 
-    return run
+    def made(size, percent, lower):
+        def keys(h, bounds, n, own, low):
+            sig = smallest(h, bounds, count)
+            out = np.zeros((len(n), bands), U64)
+            for k in range(bands):
+                for c in range(k * count // bands, (k + 1) * count // bands):
+                    out[:, k] = mix(out[:, k] ^ sig[:, c].astype(U64), k + 1)
+            full = n > 0
+            none = np.zeros(0, U64), np.zeros(len(n) + 1, np.int64)
+            return (out[full].ravel(), np.append(0, np.cumsum(full * bands))), none
 
+        def run(batches):
+            for batch in batches:
+                yield from ngram_join.signed(batch, size, percent, lower, keys)
 
-def near_duplicates(docs: DataFrame, percent: int = 80, count: int = 128, bands: int = 32) -> DataFrame:
-    """(doc_id, component_id): classes of documents that share a signature band and whose shingle
-    sets have Jaccard percent/100 or more, verified on whole texts.
+        return run
 
-    doc_id must be unique.  Documents without words, or without doc_id, are linked with nothing.
-    """
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    known = saved(rows.where("doc_id is not null").mapInArrow(_band_keys(count, bands), "node long, keys array<long>"), "bands")
-    keys = known.select("node", F.explode("keys").alias("key"))
-    shared = saved(keys.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), "shared")
-    members = saved(linking.central(saved(keys.join(shared, "key"), "members")), "members")
+    return made
 
-    def texts(ids):
-        ids = saved(ids.select(F.col("node").alias("doc_id")), "ids")
-        return met(rows, ids, "doc_id").dropDuplicates(["doc_id"]).withColumnRenamed("doc_id", "node")
 
-    comp = linking.classes(members, lambda pairs: pairs, texts, SIZE, percent, False).withColumnRenamed("node", "doc_id")
-    return rows.select("doc_id").join(comp, "doc_id", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("component_id"))
+def near_duplicates(docs: DataFrame, percent: int = 80, count: int = 128, bands: int = 32) -> DataFrame:
+    """(own, component_id): of the distinct rows that are linked with other texts or ids, the smallest doc_id of their class.
+
+    Documents are linked that share a band and whose shingle sets have Jaccard percent/100 or more, verified
+    on whole texts; classes are what links join.  own is xxhash64 of doc_id and text.  Rows that are not in the
+    table, as those without words, are linked with nothing and stand for themselves.
+    """
+    with passing(docs.sparkSession):
+        sig, named = ngram_join._classes(docs, SIZE, percent, False, _band_keys(count, bands))
+        rows = sig.where("n > 0").select("doc_id", "own", "h1", "h2", "n").distinct().join(named.select("h1", "h2", "n", "least"), ["h1", "h2", "n"])
+        linked = rows.where("least < doc_id or doc_id is null").groupBy("own").agg(F.min("least").alias("component_id"))
+        return saved(linked, "linked", keep=True)
 
 
 def op7_minhash_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints(table(spark, sf_dir, "documents"))
+    """Fingerprints and likenesses, and component_id, the smallest doc_id of the document's near-duplicate class."""
+    docs = table(spark, sf_dir, "documents")
+    linked = near_duplicates(docs)
+    out = met(fingerprints(docs), linked, "own", "left")
+    return out.withColumn("component_id", F.coalesce("component_id", "doc_id")).drop("own")

@@ -90,26 +90,40 @@ def sketch_words(starts: np.ndarray) -> np.ndarray:
     return np.maximum(LEAST_WORDS, 1 << np.ceil(np.log2(np.maximum(starts / SHINGLES_A_WORD, 1))).astype(np.int64))
 
 
+def _sketches(h: np.ndarray, n: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Parity sketches of sets of n shingles in bands from `starts`, end to end, with bounds."""
+    counts = np.where(n > 0, sketch_words(starts), 0)
+    at = np.append(0, np.cumsum(counts))
+    flat, x = np.zeros(at[-1], U64), mix(h, 6)
+    spot = np.repeat(at[:-1], n) + ((x >> U64(8)) % np.repeat(counts, n).astype(U64)).astype(np.int64)
+    np.bitwise_xor.at(flat, spot, U64(1) << (x & U64(63)))
+    return flat, at
+
+
+def signed(batch: pa.RecordBatch, size: int, percent: int, lower: bool, keys):
+    """Rows of SCHEMA for a batch (doc_id, own, text); keys(h, bounds, n, own band, low band) gives both lists of keys."""
+    made = bands(percent)
+    for i, j, data, offs in slices(batch.column("text")):
+        h, bounds = distinct(*shingles(words(data, offs, lower), size))
+        n = np.diff(bounds)
+        own = np.searchsorted(made.starts, n, side="right") - 1
+        low = np.where((own > 0) & (n <= made.reach[own - 1]), own - 1, -1)
+        cols = [*(batch.column(c).slice(i, j - i) for c in ("doc_id", "own")), pa.array(n, pa.int64())]
+        cols += [pa.array(totals(mix(h, s), bounds).view(np.int64)) for s in (11, 12)]
+        for values, ends in (_sketches(h, n, made.starts[np.maximum(own, 0)]), *keys(h, bounds, n, own, low)):
+            cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64))))
+        yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SCHEMA.split(", ")])
+
+
 def _signatures(size: int, percent: int, lower: bool):
+    made = bands(percent)
+
+    def keys(h, bounds, n, own, low):
+        return _keys(h, n, own, made), _keys(h, n, low, made)
+
     def run(batches):
-        made = bands(percent)
-        wide = sketch_words(made.starts)
         for batch in batches:
-            for i, j, data, offs in slices(batch.column("text")):
-                h, bounds = distinct(*shingles(words(data, offs, lower), size))
-                n = np.diff(bounds)
-                own = np.searchsorted(made.starts, n, side="right") - 1
-                low = np.where((own > 0) & (n <= made.reach[own - 1]), own - 1, -1)
-                cols = [*(batch.column(c).slice(i, j - i) for c in ("doc_id", "own")), pa.array(n, pa.int64())]
-                cols += [pa.array(totals(mix(h, s), bounds).view(np.int64)) for s in (11, 12)]
-                counts = np.where(n > 0, wide[own], 0)
-                at = np.append(0, np.cumsum(counts))
-                flat, x = np.zeros(at[-1], U64), mix(h, 6)
-                spot = np.repeat(at[:-1], n) + ((x >> U64(8)) % np.repeat(counts, n).astype(U64)).astype(np.int64)
-                np.bitwise_xor.at(flat, spot, U64(1) << (x & U64(63)))
-                for values, ends in ((flat, at), _keys(h, n, own, made), _keys(h, n, low, made)):
-                    cols.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(values.view(np.int64))))
-                yield pa.RecordBatch.from_arrays(cols, [c.split()[0] for c in SCHEMA.split(", ")])
+            yield from signed(batch, size, percent, lower, keys)
 
     return run
 
@@ -215,13 +229,14 @@ def _rows(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", F.xxhash64("doc_id", "text").alias("own"), "text")
 
 
-def _classes(docs: DataFrame, size: int, percent: int, lower: bool) -> tuple[DataFrame, DataFrame]:
+def _classes(docs: DataFrame, size: int, percent: int, lower: bool, make=_signatures) -> tuple[DataFrame, DataFrame]:
     """The rows (doc_id, own, n, h1, h2) and the classes (h1, h2, n, comp, least) of their sets.
 
-    A node is a set, under the number of a row that has it, so ids may be shared or missing.
+    A node is a set, under the number of a row that has it, so ids may be shared or missing.  make(size, percent,
+    lower) gives rows of SCHEMA; nodes that share one of its keys are compared.
     """
     rows = _rows(docs)
-    sig = rows.mapInArrow(lean(_signatures(size, percent, lower)), SCHEMA)
+    sig = rows.mapInArrow(lean(make(size, percent, lower)), SCHEMA)
     sig = saved(sig.withColumn("node", F.monotonically_increasing_id()), "sketches", keep=True)
     sets = sig.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(F.struct("node", "own")).alias("x"), F.min("doc_id").alias("least"))
     sets = saved(sets.select("h1", "h2", "n", "x.node", "x.own", "least"), "sets")

@@ -12,8 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docweave.llm import bpe, common, linking, mixture, ngram_join, pii, quality, ring_shards, substring_dedup, token_files, topk_search
-from docweave.llm.minhash import fingerprints, near_duplicates
+from docweave.llm import bpe, common, linking, minhash, mixture, ngram_join, pii, quality, ring_shards, substring_dedup, token_files, topk_search
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -173,16 +172,57 @@ def test_near_classes_of_odd_tables(spark, monkeypatch):
     assert [r.doc_id for r in ngram_join.keep_one(twins).orderBy("doc_id").collect()] == [7, 8]
 
 
-def test_minhash(spark):
-    texts = ["a b c d e f g h", None, "", "k l m n o p q r s t", "k l m n o p q r s t"]
-    got = fingerprints(frame(spark, texts)).orderBy("doc_id").collect()
+def hashed(text, count=128):
+    """A MinHash signature word by word and permutation by permutation, of shingles hashed as the library does."""
+    data = (text or "").encode()
+    h, _ = common.shingles(common.words(np.frombuffer(data, np.uint8), np.array([0, len(data)])), 5)
+    xs = [int(v) >> 32 for v in common.mix(h, 21)]
+    factors, offsets = minhash.permutations(count, 1)
+    return [min(((x * int(a) + int(b)) % 2**32 for x in xs), default=2**32 - 1) for a, b in zip(factors, offsets, strict=True)]
+
+
+def test_minhash(spark, monkeypatch):
+    texts = ["a b c d e f g h", None, "", "k l m n o p q r s t", "k l m n o p q r s t", "é " * 40, "one two three four five six " * 30, "w " * 50_000]
+    df = frame(spark, texts).withColumn("own", F.lit("x")).withColumn("bucket", F.lit(1))
+    got = minhash.fingerprints(df).orderBy("doc_id").collect()
     for i, r in enumerate(got):
         t, n = texts[i] or "", texts[(i + 1) % len(texts)] or ""
         q = len(t) // 4
-        assert r.edited_sha256 == hashlib.sha256((t[: len(t) - q] + n[:q]).encode()).hexdigest()
+        edited = t[: len(t) - q] + n[:q]
+        mine, changed, after = hashed(t), hashed(edited), hashed(n)
+        assert r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
+        assert r.fingerprint == "".join(f"{x:08x}" for x in mine) and r.edited_fingerprint == "".join(f"{x:08x}" for x in changed)
+        assert r.near_edited == sum(x == y for x, y in zip(mine, changed)) / 128
+        assert r.near_next == sum(x == y for x, y in zip(mine, after)) / 128
     assert got[1].near_next == 1 and got[3].near_next == 1 and got[0].near_next == 0
-    assert [r.component_id for r in near_duplicates(frame(spark, texts)).orderBy("doc_id").collect()] == [0, 1, 2, 3, 3]
-    assert fingerprints(frame(spark, [])).count() == 0
+    assert minhash.fingerprints(frame(spark, [])).count() == 0
+    # Rows without id come first; rows that repeat follow each other.
+    rows = [(5, "p q"), (None, "a b"), (5, "p q"), (2, "m n")]
+    odd = minhash.fingerprints(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.doc_id or 0, r.near_next) for r in odd) == [(0, 0.0), (2, 0.0), (5, 0.0), (5, 1.0)]
+
+
+def test_minhash_bands_find_near_copies(spark, monkeypatch):
+    """Recall against brute force, with groups of one band compared in tiles."""
+    monkeypatch.setattr(linking, "SMALL", 4)
+    monkeypatch.setattr(ngram_join, "TILE", 16)
+    rnd = random.Random(15)
+    texts = [None, "", "a b", "a b"]
+    for _ in range(6):
+        base = [f"w{rnd.randint(0, 10**6)}" for _ in range(120)]
+        for _ in range(25):
+            w = list(base)
+            for _ in range(rnd.randint(0, 6)):
+                w[rnd.randrange(len(w))] = f"z{rnd.randint(0, 10**6)}"
+            texts.append(" ".join(w))
+    docs = frame(spark, texts)
+    linked = {r.own: r.component_id for r in minhash.near_duplicates(docs).collect()}
+    own = {r.doc_id: r.own for r in ngram_join._rows(docs).collect()}
+    got = {i: linked.get(own[i], i) for i in own}
+    want = {i: top for i, _, top in classes_by_force(texts, 5, 80)}
+    joined = {(i, j) for i in want for j in want if i < j and want[i] == want[j]}
+    found = {(i, j) for i in got for j in got if i < j and got[i] == got[j]}
+    assert found <= joined and len(found) >= 0.99 * len(joined) and len(joined) > 300
 
 
 def best_by_force(rows, every, k):
