@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import first_match, strip
+from .text import case_type, first_match, tidy
 
 #: The labels and bounds by which fields are found.
 APPELLANT = r"(?U)訴願人[\s：:]*([^\s，,。\n（(]{1,10})"
@@ -18,12 +18,6 @@ FIRST_YEAR, LAST_YEAR = 90, 130
 FACTS_CHARS, CLAIMS_CHARS = 400, 300
 
 
-def tidy(c: Column) -> Column:
-    """Runs of spaces and of empty lines shortened, ends stripped; null stays null."""
-    c = F.regexp_replace(F.replace(c, F.lit("　"), F.lit(" ")), "[ \t]+", " ")
-    return strip(F.regexp_replace(c, "\n{3,}", "\n\n"))
-
-
 def years(c: Column) -> Column:
     """All plausible Minguo years that a text names, in order."""
     found = F.transform(F.regexp_extract_all(c, F.lit(YEAR), F.lit(1)), lambda y: y.cast("int"))
@@ -34,6 +28,7 @@ def incoming(text: Column) -> Column:
     """struct of the fields that rules find in an appeal's text; null where none is found or text is null."""
     first = lambda pattern: tidy(first_match(text, pattern))
     return F.struct(
+        case_type(text).alias("case_type"),
         first(APPELLANT).alias("appellant"),
         F.coalesce(first(AUTHORITY), first(CITY_OFFICE)).alias("original_authority"),
         first(DISPOSITION).alias("disposition_no"),
