@@ -109,18 +109,30 @@ def _ranges(lo: np.ndarray, n: np.ndarray) -> np.ndarray:
     return np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
 
 
-def _stretches(window: int, anchor: int):
-    """(anchor, key, first, seed, words): stretches `few` by their first word, the seed's place in them and word hashes."""
+SPOTS = "anchor long, key long, first long, seed long, words array<long>, win long"
+
+
+def _spots(window: int, anchor: int):
+    """Of the stretches `few` a row with the first word, the seed's place and all word hashes; of `many` one for each window."""
+    names = [c.split()[0] for c in SPOTS.split(", ")]
 
     def run(batches):
         for batch in batches:
-            key, lists = batch.column("key").to_numpy(), batch.column("few").to_pylist()
+            key, few, many = batch.column("key").to_numpy(), batch.column("few").to_pylist(), batch.column("many").to_pylist()
             for i, j, _, w, a in _per_slice(batch, window, anchor):
-                picked, doc = _picked(a, lists[i:j])
-                n = a.hi[picked] - a.lo[picked] + window
-                hashes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), _long(w.hash[_ranges(a.lo[picked], n)]))
-                cols = [_long(a.hash[picked]), _long(key[i:j][doc]), _long(a.lo[picked] - w.bounds[doc]), _long(a.at[picked] - a.lo[picked]), hashes]
-                yield pa.RecordBatch.from_arrays(cols, ["anchor", "key", "first", "seed", "words"])
+                picked, doc = _picked(a, few[i:j])
+                if len(picked):
+                    n = a.hi[picked] - a.lo[picked] + window
+                    hashes = pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(n)), pa.int32()), _long(w.hash[_ranges(a.lo[picked], n)]))
+                    cols = [_long(a.hash[picked]), _long(key[i:j][doc]), _long(a.lo[picked] - w.bounds[doc]), _long(a.at[picked] - a.lo[picked]), hashes]
+                    yield pa.RecordBatch.from_arrays([*cols, pa.nulls(len(picked), pa.int64())], names)
+                picked, doc = _picked(a, many[i:j])
+                if len(picked):
+                    n = a.hi[picked] - a.lo[picked] + 1
+                    first, doc = _ranges(a.lo[picked], n), np.repeat(doc, n)
+                    cols = [_long(np.repeat(a.hash[picked], n)), _long(key[i:j][doc]), _long(first - w.bounds[doc])]
+                    none = [pa.nulls(len(first), t) for t in (pa.int64(), pa.list_(pa.int64()))]
+                    yield pa.RecordBatch.from_arrays([*cols, *none, _long(spans_hash(w.hash, first, first + window, 33))], names)
 
     return run
 
@@ -168,22 +180,6 @@ def _extended(window: int, anchor: int):
     return run
 
 
-def _windows(window: int, anchor: int):
-    """The windows of the stretches `many`: their anchor, hash, document and first word."""
-
-    def run(batches):
-        for batch in batches:
-            key, lists = batch.column("key").to_numpy(), batch.column("many").to_pylist()
-            for i, j, _, w, a in _per_slice(batch, window, anchor):
-                picked, doc = _picked(a, lists[i:j])
-                n = a.hi[picked] - a.lo[picked] + 1
-                first = _ranges(a.lo[picked], n)
-                cols = [np.repeat(a.hash[picked], n), spans_hash(w.hash, first, first + window, 33), key[i:j][np.repeat(doc, n)], first - w.bounds[np.repeat(doc, n)]]
-                yield pa.RecordBatch.from_arrays([_long(c) for c in cols], ["anchor", "win", "key", "first"])
-
-    return run
-
-
 def joined_words(data: np.ndarray, w, keep: np.ndarray) -> tuple[bytes, np.ndarray]:
     """Kept words, each followed by one space, and the bounds of each document's part."""
     a, n = w.starts[keep], w.ends[keep] - w.starts[keep] + 1
@@ -255,16 +251,11 @@ def _removed(docs: DataFrame, window: int, anchor: int, with_text: bool) -> Data
     sizes = saved(kinds.groupBy("anchor").agg((F.count("*") > PAIRED).alias("hot")), "kinds")
     emit = kinds.join(sizes, "anchor").select("one.key", "one.nth", "hot").groupBy("key")
     emit = emit.agg(F.collect_list(F.when(~F.col("hot"), F.col("nth"))).alias("few"), F.collect_list(F.when(F.col("hot"), F.col("nth"))).alias("many"))
-    emit = saved(emit, "emit")
-
-    def texts(which):
-        return rows.select("key", "text").join(emit.where(F.size(which) > 0).select("key", which), "key")
-
-    cold = texts("few").mapInArrow(_stretches(window, anchor), "anchor long, key long, first long, seed long, words array<long>")
+    spots = saved(rows.select("key", "text").join(emit, "key").mapInArrow(_spots(window, anchor), SPOTS), "spots")
     # PAIRED stretches of an anchor at the most; those of rows that repeat are one.
-    groups = cold.groupBy("anchor").agg(F.collect_set(F.struct("key", "first", "seed", "words")).alias("group"))
+    groups = spots.where("win is null").groupBy("anchor").agg(F.collect_set(F.struct("key", "first", "seed", "words")).alias("group"))
     parts = groups.select("group").mapInArrow(_extended(window, anchor), "key long, lo long, hi long")
-    wins = saved(texts("many").mapInArrow(_windows(window, anchor), "anchor long, win long, key long, first long"), "windows")
+    wins = spots.where("win is not null").select("anchor", "win", "key", "first")
     known = wins.groupBy("anchor", "win").agg(F.count("*").alias("n")).where("n > 1").select("anchor", "win")
     single = wins.join(saved(known, "repeats"), ["anchor", "win"]).select("key", F.col("first").alias("lo"), (F.col("first") + window).alias("hi"))
     parts = parts.union(single).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("parts"))
