@@ -3,32 +3,62 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 TOKEN = r"[^\x20\x09-\x0D]+"
+#: Characters that are tokens in pairs, as nothing parts words there.
+HAN = r"[㐀-䶿一-鿿]"
 
 
-def tokens(docs: DataFrame, key: str) -> DataFrame:
-    """(key, term) for every word, lower-cased."""
-    return docs.select(F.col(key), F.explode(F.regexp_extract_all(F.lower("text"), F.lit(TOKEN), F.lit(0))).alias("term"))
+def words(text: Column, lower: bool = False) -> Column:
+    """The words of a text in order, as they are."""
+    return F.regexp_extract_all(F.lower(text) if lower else text, F.lit(TOKEN), F.lit(0))
 
 
-def postings(docs: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, term, tf, dl); counts are added up before the shuffle, lengths by a window over it."""
-    tf = tokens(docs, key).groupBy(key, "term").agg(F.count("*").alias("tf"))
-    return tf.withColumn("dl", F.sum("tf").over(Window.partitionBy(key)))
+def mixed_words(text: Column) -> Column:
+    """Words of other scripts as they are, Chinese runs as pairs of characters (one alone as itself)."""
+    runs = F.regexp_extract_all(text, F.lit(rf"{HAN}+|[^㐀-䶿一-鿿\x20\x09-\x0D]+"), F.lit(0))
+    pairs = lambda r: F.when(r.rlike(rf"^{HAN}{{2,}}$"), F.transform(F.sequence(F.lit(1), F.length(r) - 1), lambda i: F.substr(r, i, F.lit(2)))).otherwise(F.array(r))
+    return F.flatten(F.transform(runs, pairs))
 
 
-def bm25(post: DataFrame, queries: DataFrame, n_docs: int, avgdl: float, k1: float = 1.5, b: float = 0.75) -> DataFrame:
-    """(query_id, doc_id, score): Okapi BM25 over the terms of queries(query_id, term)."""
-    terms = queries.distinct()
-    hits = post.join(terms.select("term").distinct(), "term", "left_semi")
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.log(F.lit(1.0) + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / avgdl))
-    one = hits.join(df, "term").select("doc_id", "term", part.alias("part"))
-    return one.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+def tokens(docs: DataFrame, key: str, split=words) -> DataFrame:
+    """(key, term) for every word."""
+    return docs.select(F.col(key), F.explode(split(F.col("text"))).alias("term"))
+
+
+def statistics(docs: DataFrame, key: str = "doc_id", split=words, k1: float = 1.5, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
+    """Two small tables: terms(term, df) and totals(n, avgdl, n_terms, mean_idf) in one row.
+
+    df adds up in the tasks before the shuffle, so what moves is a vocabulary for each task, not the words.
+    """
+    sized = docs.select(split(F.col("text")).alias("w"))
+    ends = sized.agg(F.count("*").alias("n"), (F.coalesce(F.sum(F.size("w")), F.lit(0)) / F.count("*")).alias("avgdl"))
+    terms = sized.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    mean = terms.join(F.broadcast(ends), how="cross").agg(F.count("*").alias("n_terms"), F.avg(idf).alias("mean_idf"))
+    return terms, ends.join(F.broadcast(mean), how="cross")
+
+
+def bm25(docs: DataFrame, queries: DataFrame, known: tuple[DataFrame, DataFrame] | None = None, key: str = "doc_id", split=words, k1: float = 1.5, b: float = 0.75, floor: float = 0.25) -> DataFrame:
+    """(query_id, key, score): Okapi BM25 of the documents that have a word of a query.
+
+    docs(key, text), queries(query_id, text).  A word that a query repeats counts as often.  A word that
+    most documents have takes `floor` times the mean idf instead of a negative one.  Only the queries'
+    words leave a task.
+    """
+    terms, totals = known or statistics(docs, key, split)
+    asked = tokens(queries, "query_id", split).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
+    vocabulary = asked.select("term").distinct()
+    sized = docs.select(key, split(F.col("text")).alias("w")).select(key, F.size("w").alias("dl"), F.explode("w").alias("term"))
+    hits = sized.join(vocabulary, "term", "left_semi").groupBy(key, "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
+    idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    idf = F.when(idf < 0, floor * F.col("mean_idf")).otherwise(idf)
+    weights = terms.join(vocabulary, "term", "left_semi").join(F.broadcast(totals), how="cross").select("term", "avgdl", idf.alias("idf"))
+    part = F.col("qtf") * F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
+    one = hits.join(weights, "term").join(asked, "term").select("query_id", key, part.alias("part"))
+    return one.groupBy("query_id", key).agg(F.round(F.sum("part"), 6).alias("score"))
 
 
 def top(rows: DataFrame, by: list[str], score: str, tie: str, k: int) -> DataFrame:
@@ -45,33 +75,51 @@ def cosine(a: str, b: str) -> Column:
     return dot(a, b) / ((F.sqrt(dot(a, a)) + 1e-9) * (F.sqrt(dot(b, b)) + 1e-9))
 
 
-def minmax(score: str, by: str) -> Column:
-    """Scaled to 0 .. 1 within a group; 0 where all are equal."""
-    w = Window.partitionBy(by)
-    lo, hi = F.min(score).over(w), F.max(score).over(w)
-    return F.when(hi - lo < 1e-9, F.lit(0.0)).otherwise((F.col(score) - lo) / (hi - lo))
+def scaled(x: str, lo: str, hi: str) -> Column:
+    """x between lo and hi as 0 .. 1; 0 where all are equal."""
+    return F.expr(f"case when {hi} - {lo} >= 1e-9 then ({x} - {lo}) / ({hi} - {lo}) else 0d end")
 
 
-#: Queries of a block on average, as in docweave.llm.topk_search; rows scored at once.
+#: Queries of a block on average; rows of a chunk, and rows scored at once.
 BLOCK, STEP = 1024, 1024
 
 
-def blocks(asked: DataFrame, key: str) -> list[DataFrame]:
-    """asked in parts of about BLOCK rows, so what goes to a task does not grow with it."""
+def blocks(asked: DataFrame) -> DataFrame:
+    """asked(query_id, q) in rows (block, ids, queries) of about BLOCK queries, so a task's share does not grow with them."""
     n = max(1, -(-asked.count() // BLOCK))
-    return [asked.where(F.pmod(F.xxhash64(key), F.lit(n)) == k) for k in range(n)]
+    block = F.pmod(F.xxhash64("query_id"), F.lit(n))
+    return asked.groupBy(block.alias("block")).agg(F.array_sort(F.collect_list(F.struct("query_id", F.col("q").cast("array<double>").alias("q")))).alias("asked"))
+
+
+def _packed(key: str):
+    """Rows of `key`, embedding and hits as (ids, vectors, hits) of STEP rows each."""
+
+    def run(batches):
+        for batch in batches:
+            for k in range(0, batch.num_rows, STEP):
+                part = batch.slice(k, STEP)
+                cols = [pa.array([part.column(c).to_pylist()], t) for c, t in ((key, pa.list_(pa.int64())), ("embedding", pa.list_(pa.list_(pa.float64()))), ("hits", HITS))]
+                yield pa.RecordBatch.from_arrays(cols, ["ids", "vectors", "hits"])
+
+    return run
 
 
-def _cosines(queries: list, batch: pa.RecordBatch):
-    """(first row, cosines of all queries with the next rows), STEP rows at a time; 0 where a vector is missing."""
-    dim = max((len(q) for q in queries if q is not None), default=0)
-    empty = [0.0] * dim
-    q = np.array([empty if v is None else v for v in queries], np.float64).reshape(len(queries), dim)
-    q /= np.sqrt((q * q).sum(1, keepdims=True)) + 1e-9
-    rows = batch.column("embedding").to_pylist()
-    for k in range(0, len(rows), STEP):
-        v = np.array([empty if x is None else x for x in rows[k : k + STEP]], np.float64).reshape(-1, dim)
-        yield k, np.round(q @ (v / (np.sqrt((v * v).sum(1, keepdims=True)) + 1e-9)).T, 6)
+HITS = pa.list_(pa.list_(pa.struct([("query_id", pa.int64()), ("score", pa.float64())])))
+CHUNK = "ids array<long>, vectors array<array<double>>, hits array<array<struct<query_id:bigint,score:double>>>"
+
+
+def _unit(rows: list, dim: int) -> np.ndarray:
+    """Unit vectors; zeros where a vector is missing."""
+    v = np.array([[0.0] * dim if x is None else x for x in rows], np.float64).reshape(len(rows), dim)
+    return v / (np.sqrt((v * v).sum(1, keepdims=True)) + 1e-9)
+
+
+def _cosines(r: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query ids, document ids, cosines) of a row with a block's `asked` and a chunk."""
+    asked = [x["q"] for x in r["asked"]]
+    dim = max((len(q) for q in asked if q is not None), default=0)
+    cos = np.round(_unit(asked, dim) @ _unit(r["vectors"], dim).T, 6) if dim else np.zeros((len(asked), len(r["ids"])))
+    return np.array([x["query_id"] for x in r["asked"]], np.int64), np.array(r["ids"], np.int64), cos
 
 
 def _first(ids: np.ndarray, cos: np.ndarray, k: int) -> np.ndarray:
@@ -80,69 +128,88 @@ def _first(ids: np.ndarray, cos: np.ndarray, k: int) -> np.ndarray:
 
 
 def cosine_top(vectors: DataFrame, asked: DataFrame, k: int) -> DataFrame:
-    """(query_id, vec_id, cos, rank): the k rows of vectors(vec_id, embedding) nearest to each of asked(query_id, q)."""
-
-    def scorer(ids, queries):
-        def run(batches):
-            for batch in batches:
-                vec = batch.column("vec_id").to_numpy()
-                out = [(ids[i], int(vec[at + p]), float(c[i, p])) for at, c in _cosines(queries, batch) for i in range(len(ids)) for p in _first(vec[at : at + c.shape[1]], c[i], k)]
-                yield pa.RecordBatch.from_pylist([dict(zip(("query_id", "vec_id", "cos"), r, strict=True)) for r in out], pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("cos", pa.float64())]))
-
-        return run
-
-    out = None
-    for part in blocks(asked, "query_id"):
-        got = part.toArrow().to_pydict()
-        one = vectors.select("vec_id", "embedding").mapInArrow(scorer(got["query_id"], got["q"]), "query_id long, vec_id long, cos double")
-        out = one if out is None else out.unionByName(one)
+    """(query_id, vec_id, cos, rank): the k rows of vectors(vec_id, embedding) nearest to each of asked(query_id, q).
+
+    Every block of the stated queries meets every chunk of vectors; Spark broadcasts blocks only while they are small.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                qs, ids, cos = _cosines(r)
+                out = [(int(q), int(ids[p]), float(c[p])) for q, c in zip(qs, cos, strict=True) for p in _first(ids, c, k)]
+                yield pa.RecordBatch.from_pylist([dict(zip(("query_id", "vec_id", "cos"), x, strict=True)) for x in out], pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("cos", pa.float64())]))
+
+    rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), F.lit(None).cast("array<struct<query_id:bigint,score:double>>").alias("hits"))
+    out = rows.mapInArrow(_packed("vec_id"), CHUNK).drop("hits").crossJoin(blocks(asked)).mapInArrow(run, "query_id long, vec_id long, cos double")
     return top(out, ["query_id"], "cos", "vec_id", k)
 
 
-def hybrid_top(scores: DataFrame, vectors: DataFrame, asked: DataFrame, n_docs: int, k: int, alpha: float = 0.6) -> DataFrame:
+def hybrid_top(scores: DataFrame, vectors: DataFrame, asked: DataFrame, k: int, alpha: float = 0.6) -> DataFrame:
     """(query_id, doc_id, hybrid, rank) over every document, both scores scaled over the whole index.
 
     scores(query_id, doc_id, score) holds the hits, vectors(doc_id, embedding) every document.  One without a
     hit has score 0; of those only the k nearest can be among the k best, so tasks keep them, all
     hits, and the least and highest cosine.  A query without a vector is ranked by its score alone.
     """
-    schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64()), ("cos", pa.float64()), ("cl", pa.float64()), ("ch", pa.float64())])
-
-    def scorer(ids, queries):
-        place = {q: i for i, q in enumerate(ids)}
-
-        def run(batches):
-            for batch in batches:
-                docs, hits, out = batch.column("doc_id").to_numpy(), batch.column("hits").to_pylist(), []
-                for at, c in _cosines(queries, batch):
-                    free = np.ones(c.shape, bool)
-                    for p in range(c.shape[1]):
-                        for h in hits[at + p] or []:
-                            i = place.get(h["query_id"])
-                            if i is not None:
-                                free[i, p] = False
-                                out.append((ids[i], int(docs[at + p]), h["score"], float(c[i, p]), None, None))
-                    for i, q in enumerate(ids):
-                        rest = np.flatnonzero(free[i])
-                        best = rest[_first(docs[at + rest], c[i, rest], k)]
-                        out += [(q, int(docs[at + p]), 0.0, float(c[i, p]), None, None) for p in best]
-                        out.append((q, None, None, None, float(c[i].min()), float(c[i].max())))
-                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, r, strict=True)) for r in out], schema)
-
-        return run
+    schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64()), ("cos", pa.float64()), ("cl", pa.float64()), ("ch", pa.float64()), ("n", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            for r in batch.to_pylist():
+                qs, docs, cos = _cosines(r)
+                place, out = {int(q): i for i, q in enumerate(qs)}, []
+                free = np.ones(cos.shape, bool)
+                for p, hits in enumerate(r["hits"]):
+                    for h in hits or []:
+                        i = place.get(h["query_id"])
+                        if i is not None:
+                            free[i, p] = False
+                            out.append((int(qs[i]), int(docs[p]), h["score"], float(cos[i, p]), None, None, None))
+                for i, q in enumerate(qs):
+                    rest = np.flatnonzero(free[i])
+                    best = rest[_first(docs[rest], cos[i, rest], k)]
+                    out += [(int(q), int(docs[p]), 0.0, float(cos[i, p]), None, None, None) for p in best]
+                    out.append((int(q), None, None, None, float(cos[i].min()), float(cos[i].max()), len(docs)))
+                yield pa.RecordBatch.from_pylist([dict(zip(schema.names, x, strict=True)) for x in out], schema)
 
     hits = scores.groupBy("doc_id").agg(F.collect_list(F.struct("query_id", "score")).alias("hits"))
-    rows, out = vectors.join(hits, "doc_id", "left").select("doc_id", "embedding", "hits"), None
-    for part in blocks(asked, "query_id"):
-        got = part.toArrow().to_pydict()
-        one = rows.mapInArrow(scorer(got["query_id"], got["q"]), "query_id long, doc_id long, score double, cos double, cl double, ch double")
-        out = one if out is None else out.unionByName(one)
-    cuts = scores.groupBy("query_id").agg(F.count("*").alias("n"), F.min("score").alias("least"), F.max("score").alias("sh"))
-    cuts = cuts.withColumn("sl", F.when(F.col("n") < n_docs, F.least(F.lit(0.0), "least")).otherwise(F.col("least")))
-    ends = out.where("doc_id is null").groupBy("query_id").agg(F.min("cl").alias("cl"), F.max("ch").alias("ch"))
-    ends = ends.join(asked.select("query_id", F.col("q").isNotNull().alias("vector")), "query_id").join(cuts.select("query_id", "sl", "sh"), "query_id", "left")
-    j = out.where("doc_id is not null").select("query_id", "doc_id", "score", "cos").join(F.broadcast(ends), "query_id")
-    scaled = lambda x, lo, hi: F.expr(f"case when {hi} - {lo} >= 1e-9 then ({x} - {lo}) / ({hi} - {lo}) else 0d end")
+    rows = vectors.join(hits, "doc_id", "left").select("doc_id", F.col("embedding").cast("array<double>").alias("embedding"), "hits")
+    out = rows.mapInArrow(_packed("doc_id"), CHUNK).crossJoin(blocks(asked)).mapInArrow(run, "query_id long, doc_id long, score double, cos double, cl double, ch double, n long")
+    ends = out.groupBy("query_id").agg(F.min("cl").alias("cl"), F.max("ch").alias("ch"), F.sum("n").alias("n"))
+    cuts = scores.groupBy("query_id").agg(F.count("*").alias("hits"), F.min("score").alias("least"), F.max("score").alias("most"))
+    ends = ends.join(asked.select("query_id", F.col("q").isNotNull().alias("vector")), "query_id").join(cuts, "query_id", "left")
+    # A document without a hit stands at 0, so does a query without any.
+    all_hit = F.coalesce(F.col("hits") == F.col("n"), F.lit(False))
+    ends = ends.withColumn("sl", F.when(all_hit, F.col("least")).otherwise(F.least(F.lit(0.0), "least"))).withColumn("sh", F.when(all_hit, F.col("most")).otherwise(F.greatest(F.lit(0.0), "most")))
+    j = out.where("doc_id is not null").select("query_id", "doc_id", "score", "cos").join(ends.select("query_id", "vector", "cl", "ch", "sl", "sh"), "query_id")
     word, near = scaled("score", "sl", "sh"), scaled("cos", "cl", "ch")
     h = F.when(F.col("vector"), alpha * near + (1 - alpha) * word).otherwise(word)
     return top(j.select("query_id", "doc_id", F.round(h, 6).alias("hybrid")), ["query_id"], "hybrid", "doc_id", k)
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int, alpha: float = 0.5, split=words, vectors: bool = True) -> DataFrame:
+    """(query_id, doc_id, score, rank): docs(doc_id, text[, embedding]) for queries(query_id, text[, q]).
+
+    Without vectors on either side, or with vectors=False, BM25 alone ranks, scaled over the index.
+    """
+    has = vectors and "embedding" in docs.columns and "q" in queries.columns
+    index = docs.select("doc_id", "embedding") if has else docs.select("doc_id", F.lit(None).cast("array<double>").alias("embedding"))
+    asked = queries.select("query_id", "q") if has else queries.select("query_id", F.lit(None).cast("array<double>").alias("q"))
+    return hybrid_top(bm25(docs, queries, split=split), index, asked, k, alpha).withColumnRenamed("hybrid", "score")
+
+
+def save_index(docs: DataFrame, folder: str, key: str = "doc_id", split=words) -> None:
+    """Write an index: its documents, and the statistics that searches need of all of them."""
+    terms, totals = statistics(docs, key, split)
+    for name, df in (("docs", docs), ("terms", terms), ("totals", totals)):
+        df.write.mode("overwrite").parquet(f"{folder}/{name}")
+
+
+def load_index(spark: SparkSession, folder: str) -> tuple[DataFrame, tuple[DataFrame, DataFrame]] | None:
+    """(docs, statistics) of a saved index, or None where there is none."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/totals/_SUCCESS")
+    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+        return None
+    docs, terms, totals = (spark.read.parquet(f"{folder}/{n}") for n in ("docs", "terms", "totals"))
+    return docs, (terms, totals)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as T
+from docweave.operators import advice, annotate, cases, checks, chunks, segment
 from docweave.operators import lines as L
 from docweave.operators import retrieval as R
 from docweave.operators import spans as S
@@ -107,6 +108,18 @@ def citation_edges(t) -> DataFrame:
     return rows.withColumn("target", T.ladder(F.col("raw"), [("GPL", "copyleft"), ("General Public", "copyleft"), ("NC", "non_commercial"), ("Apache", "permissive")]))
 
 
+_LICENCE_IDS = [("Apache License", "L1"), ("GNU General Public License", "L2"), ("MIT License", "L3"), ("CC BY 4.0", "L4")]
+
+
+@query(f"""with c as (select doc_id, unnest(regexp_extract_all(text, '(?:Licensed under|the) ([A-Z][A-Za-z]+[A-Za-z0-9 .,-]*?(?:License|[0-9]\\.[0-9]))', 1)) as raw from documents), k as (select * from (values {", ".join(f"('{a}', '{b}')" for a, b in _LICENCE_IDS)}) v(raw, target_id))
+select doc_id, raw, count(*) as n, target_id, case when target_id is null then 'unresolved' else 'resolved' end as resolved from c left join k using (raw) group by all""")
+def citation_resolved(t) -> DataFrame:
+    d = t("documents")
+    known = d.sparkSession.createDataFrame(_LICENCE_IDS, "raw string, target_id string")
+    raw = F.explode(F.regexp_extract_all("text", F.lit(r"(?:Licensed under|the) ([A-Z][A-Za-z]+[A-Za-z0-9 .,-]*?(?:License|[0-9]\.[0-9]))"), F.lit(1)))
+    return annotate.resolved(d.select("doc_id", raw.alias("raw")).groupBy("doc_id", "raw").agg(F.count("*").alias("n")), known, ("raw",))
+
+
 @query("""
 select conv_id, turn, case when contains(text, '?') then 'question' when contains(text, '!') then 'exclamation' when contains(text, ',') then 'statement' else 'fragment' end as kind from conversations""")
 def classify_rules(t) -> DataFrame:
@@ -151,93 +164,141 @@ def quote_rebuild(t) -> DataFrame:
     return S.rebuilt(_sections(t), L.lines(t("documents")))
 
 
-@query()
+@query(f"with {_LINES}, m as (select *, case when {_HEADING} then line end as h from lines) select doc_id, line_no, md5(last_value(h ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding)) as heading_md5 from m")
+def carry_forward_heading(t) -> DataFrame:
+    short = F.size(F.regexp_extract_all("line", F.lit("[^ ]+"), F.lit(0))) <= 3
+    return L.lines(t("documents")).select("doc_id", "line_no", F.md5(segment.carried(F.when(short, F.col("line")), "doc_id", "line_no")).alias("heading_md5"))
+
+
+@query(f"""with {_LINES}, m as (select *, case when {_HEADING} then line end as mark from lines), f as (select *, min(line_no) over (partition by doc_id, mark) as first_no from m),
+p as (select *, sum(case when mark is not null and line_no = first_no then 1 else 0 end) over (partition by doc_id order by line_no rows unbounded preceding) as part from f)
+select doc_id, cast(part as bigint) as part, md5(min(case when mark is not null and line_no = first_no then mark end)) as mark_md5, count(*) as n_lines, md5(string_agg(line, chr(10) order by line_no)) as quote_md5 from p group by 1, 2""")
+def first_heading_sections(t) -> DataFrame:
+    short = F.size(F.regexp_extract_all("line", F.lit("[^ ]+"), F.lit(0))) <= 3
+    rows = segment.cut(L.lines(t("documents")).withColumn("mark", F.when(short, F.col("line"))), "doc_id", "line_no", F.lit(False))
+    got = rows.groupBy("doc_id", F.col("part").cast("long").alias("part")).agg(F.md5(F.max(F.when(F.col("cut"), F.col("mark")))).alias("mark_md5"), F.count("*").alias("n_lines"), F.array_sort(F.collect_list(F.struct("line_no", "line"))).alias("all"))
+    return got.select("doc_id", "part", "mark_md5", "n_lines", F.md5(F.array_join("all.line", "\n")).alias("quote_md5"))
+
+
+#: Paragraphs of the test documents start with a capital, their sentences end with these signs.
+PARAGRAPH, SENTENCE_ENDS = "^[A-Z]", ".!?"
+_SAID = "regexp_matches({}, '[^ \\t\\n\\r\\f\\v]')"
+_PIECES = f"""l as (select doc_id, text, string_split(text, chr(10)) as ls from documents where text is not null),
+c as (select *, list_filter(generate_series(1, len(ls)), lambda i: i = 1 or regexp_matches(ls[i], '^\\s*[A-Z]')) as cuts from l),
+f as (select doc_id, text, list_transform(generate_series(1, len(cuts)), lambda k: array_to_string(ls[cuts[k] : coalesce(cuts[k + 1], len(ls) + 1) - 1], chr(10))) as fs from c),
+s as (select doc_id, text, list_transform(fs, lambda x: {{'open': x, 'done': case when length(x) > 1200 then list_transform(list_filter(regexp_extract_all(x, '[^.!?]*[.!?]|[^.!?]+'), lambda y: {_SAID.format('y')}), lambda y: {{'open': y, 'done': cast([] as varchar[])}}) else [] end}}) as fs from f),
+e as (select doc_id, text, list_transform(fs, lambda x: {{'open': x.open, 'done': case when length(x.open) > 1200 and len(x.done) > 0 then list_reduce(x.done, lambda a, y: case when length(a.open) + length(y.open) > 800 and {_SAID.format('a.open')} then {{'open': y.open, 'done': list_append(a.done, a.open)}} else {{'open': a.open || y.open, 'done': a.done}} end) end}}) as fs from s),
+g as (select doc_id, text, list_transform(fs, lambda x: {{'open': x.open, 'done': case when x.done is null then cast([] as varchar[]) when {_SAID.format('x.done.open')} then list_append(x.done.done, x.done.open) else x.done.done end}}) as fs from e),
+r as (select doc_id, text, list_reduce(list_prepend({{'open': '', 'done': cast([] as varchar[])}}, fs), lambda a, x:
+ case when length(x.open) > 1200 then {{'open': case when {_SAID.format('a.open')} then '' else a.open end, 'done': list_concat(case when {_SAID.format('a.open')} then list_append(a.done, a.open) else a.done end, x.done)}}
+ when length(a.open) + length(x.open) > 800 and {_SAID.format('a.open')} then {{'open': x.open, 'done': list_append(a.done, a.open)}}
+ else {{'open': case when length(a.open) > 0 then a.open || chr(10) || x.open else x.open end, 'done': a.done}} end) as z from g),
+pieces as (select doc_id, unnest(ps) as piece, unnest(generate_series(1, len(ps))) - 1 as chunk from
+ (select doc_id, case when length(text) <= 800 then [text] when {_SAID.format('z.open')} then list_append(z.done, z.open) else z.done end as ps from r))"""
+
+
+@query(f"with {_PIECES} select doc_id, cast(chunk as bigint) as chunk, cast(length(piece) as bigint) as n_chars, md5(piece) as text_md5 from pieces")
 def chunk_greedy(t) -> DataFrame:
-    return L.packed(t("documents")).select("doc_id", "chunk", F.length("text").cast("long").alias("n_chars"), F.md5("text").alias("text_md5"))
+    rows = t("documents").where("text is not null").select("doc_id", F.posexplode(chunks.pieces(F.col("text"), PARAGRAPH, SENTENCE_ENDS)).alias("chunk", "piece"))
+    return rows.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.length("piece").cast("long").alias("n_chars"), F.md5("piece").alias("text_md5"))
+
+
+@query(f"""with {_LINES}, m as (select doc_id, line_no, nullif(regexp_extract(line, '[Ll]icensed under the ([A-Za-z .0-9-]+)', 1), '') as lic, nullif(regexp_extract(line, '([A-Za-z0-9._]+@[a-z0-9.]+)', 1), '') as mail from lines)
+select doc_id, min_by(lic, line_no) filter (where lic is not null) as licence, min_by(mail, line_no) filter (where mail is not null) as address, min(line_no) filter (where mail is not null) as address_line from m group by 1""")
+def first_facts(t) -> DataFrame:
+    rows = L.lines(t("documents")).withColumnRenamed("line", "text")
+    got = annotate.first_facts(rows, {"licence": "[Ll]icensed under the ([A-Za-z .0-9-]+)", "address": "([A-Za-z0-9._]+@[a-z0-9.]+)"}, "doc_id", "line_no")
+    return got.select("doc_id", F.col("licence.value").alias("licence"), F.col("address.value").alias("address"), F.col("address.idx").alias("address_line"))
 
 
 # ------------------------------------------------------------ retrieval
 
-_POST = """tok as (select doc_id, unnest(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+')) as term from documents),
-post as (select doc_id, term, count(*) as tf from tok group by 1, 2), dl as (select doc_id, sum(tf) as dl from post group by 1),
-st as (select count(*) as n, (select avg(dl) from dl) as a from documents),
-qs as (select distinct item_id as query_id, unnest(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+')) as term from benchmark),
-df as (select term, count(*) as df from post where term in (select term from qs) group by 1),
-sc as (select query_id, doc_id, round(sum(ln(1.0 + (n - df + 0.5) / (df + 0.5)) * tf * 2.5 / (tf + 1.5 * (1 - 0.75 + 0.75 * dl / a))), 6) as score
- from qs join df using (term) join post using (term) join dl using (doc_id), st group by 1, 2)"""
+_WORDS = "regexp_extract_all({}, '[^\\x20\\x09-\\x0D]+')"
+def _index(docs: str = "documents") -> str:
+    """Tables of an index over docs, SQL that gives doc_id and text."""
+    return f"""tok as (select doc_id, unnest({_WORDS.format('text')}) as term from {docs}), post as (select doc_id, term, count(*) as tf from tok group by 1, 2),
+dl as (select doc_id, len({_WORDS.format('text')}) as dl from {docs}), df as (select term, count(*) as df from post group by 1),
+st as (select count(*) as n, coalesce(sum(dl), 0) / count(*) as a from dl), mi as (select count(*) as n_terms, avg(ln((n - df + 0.5) / (df + 0.5))) as m from df, st)"""
+
+
+def _bm25_sql(queries: str, docs: str = "documents") -> str:
+    """Scores `sc`(query_id, doc_id, score) of queries, SQL that gives query_id and text."""
+    return f"""{_index(docs)}, qs as (select query_id, term, count(*) as qtf from (select query_id, unnest({_WORDS.format('text')}) as term from ({queries})) group by 1, 2),
+wt as (select term, case when n < 2 * df then 0.25 * m else ln((n - df + 0.5) / (df + 0.5)) end as idf from df, st, mi where term in (select term from qs)),
+sc as (select query_id, doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / a))), 6) as score from qs join wt using (term) join post using (term) join dl using (doc_id), st group by 1, 2)"""
 
 
-def _bm25(t):
-    post = R.postings(t("documents"))
-    n = t("documents").count()
-    avgdl = post.select("doc_id", "dl").distinct().agg(F.avg("dl")).first()[0] or 1.0
-    asked = R.tokens(t("benchmark"), "item_id").withColumnRenamed("item_id", "query_id")
-    return R.bm25(post, asked, n, avgdl)
+_ITEMS = "select item_id as query_id, text from benchmark"
 
 
-@query(f"with {_POST} select query_id, doc_id, score, cast(rank as integer) as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc) where rank <= 10")
+def _items(t) -> DataFrame:
+    """Benchmark items as queries, each with the vector of its own id, if there is one."""
+    q = t("embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q"))
+    return t("benchmark").select(F.col("item_id").alias("query_id"), "text").join(q, "query_id", "left")
+
+
+def _documents(t) -> DataFrame:
+    """Documents with the vector of their own id, if there is one."""
+    return t("documents").select("doc_id", "text").join(t("embeddings").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
+
+
+@query(f"with {_bm25_sql(_ITEMS)} select query_id, doc_id, score, cast(rank as integer) as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc) where rank <= 10")
 def bm25_topk(t) -> DataFrame:
-    return R.top(_bm25(t), ["query_id"], "score", "doc_id", 10)
+    found = R.bm25(t("documents").select("doc_id", "text"), t("benchmark").select(F.col("item_id").alias("query_id"), "text"))
+    return R.top(found, ["query_id"], "score", "doc_id", 10)
 
 
-@query("""with tok as (select doc_id, unnest(regexp_extract_all(lower(text), '[^\\x20\\x09-\\x0D]+')) as term from documents)
-select term, count(distinct doc_id) as df, count(*) as cf from tok group by 1""")
+@query(f"with {_index()} select term, df, cf from df join (select term, count(*) as cf from tok group by 1) using (term)")
 def bm25_stats(t) -> DataFrame:
     tf = R.tokens(t("documents"), "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
     return tf.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
 
 
-_COS = """dots as (select e.vec_id, list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: cast(z[1] as double) * cast(z[2] as double))) as d,
- sqrt(list_sum(list_transform(e.embedding, lambda x: cast(x as double) * cast(x as double)))) as a, sqrt(list_sum(list_transform(q.embedding, lambda x: cast(x as double) * cast(x as double)))) as b
- from embeddings e, (select embedding from embeddings where vec_id = 0) q)"""
+@query(f"with {_index()} select n, round(a, 6) as avgdl, n_terms, round(m, 6) as mean_idf from st, mi")
+def bm25_corpus_stats(t) -> DataFrame:
+    _, totals = R.statistics(t("documents"))
+    return totals.select("n", F.round("avgdl", 6).alias("avgdl"), "n_terms", F.round("mean_idf", 6).alias("mean_idf"))
+
 
+_DOT = "list_sum(list_transform(list_zip({a}, {b}), lambda z: cast(z[1] as double) * cast(z[2] as double)))"
+_NORM = "(sqrt(list_sum(list_transform({}, lambda x: cast(x as double) * cast(x as double)))) + 1e-9)"
+_COSINE = f"round({_DOT.format(a='embedding', b='q')} / ({_NORM.format('embedding')} * {_NORM.format('q')}), 6)"
 
-def _cosine(t):
-    # One query vector: a table of one row goes to every task.
-    one = t("embeddings").where("vec_id = 0").select(F.col("embedding").alias("q")).limit(1)
-    return t("embeddings").join(F.broadcast(one)).select("vec_id", F.round(R.cosine("embedding", "q"), 6).alias("cos"))
 
+def _cosine_sql(queries: str) -> str:
+    return f"""with p as (select query_id, vec_id, {_COSINE} as cos from ({queries}) cross join embeddings where q is not null and embedding is not null)
+select query_id, vec_id, cos, cast(rank as integer) as rank from (select *, row_number() over (partition by query_id order by cos desc, vec_id) as rank from p) where rank <= 10"""
 
-@query(f"with {_COS} select vec_id, cos, cast(rank as integer) as rank from (select *, row_number() over (order by cos desc, vec_id) as rank from (select vec_id, round(d / ((a + 1e-9) * (b + 1e-9)), 6) as cos from dots)) where rank <= 10")
+
+@query(_cosine_sql("select item_id as query_id, embedding as q from benchmark join embeddings on vec_id = item_id"))
 def cosine_topk(t) -> DataFrame:
-    best = _cosine(t).orderBy(F.desc("cos"), "vec_id").limit(10)
-    return best.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("cos"), "vec_id")))
+    return R.cosine_top(t("embeddings").where("embedding is not null"), _items(t).where("q is not null").select("query_id", "q"), 10)
 
 
-@query("""with p as (select q.vec_id as query_id, e.vec_id, round(list_sum(list_transform(list_zip(e.embedding, q.embedding), lambda z: cast(z[1] as double) * cast(z[2] as double)))
- / ((sqrt(list_sum(list_transform(e.embedding, lambda x: cast(x as double) * cast(x as double)))) + 1e-9) * (sqrt(list_sum(list_transform(q.embedding, lambda x: cast(x as double) * cast(x as double)))) + 1e-9)), 6) as cos
- from embeddings q join embeddings e on q.vec_id % 50 = 0 where q.embedding is not null and e.embedding is not null)
-select query_id, vec_id, cos, cast(rank as integer) as rank from (select *, row_number() over (partition by query_id order by cos desc, vec_id) as rank from p) where rank <= 10""")
+@query(_cosine_sql("select vec_id as query_id, embedding as q from embeddings where vec_id % 50 = 0"))
 def cosine_queries_topk(t) -> DataFrame:
     e = t("embeddings").where("embedding is not null")
     return R.cosine_top(e, e.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), 10)
 
 
-@query(f"""with {_POST}, {_COS}, c as (select vec_id as doc_id, round(d / ((a + 1e-9) * (b + 1e-9)), 6) as cos from dots),
-j as (select query_id, doc_id, score, coalesce(cos, 0) as cos from sc left join c using (doc_id)),
-m as (select *, min(score) over w as sl, max(score) over w as sh, min(cos) over w as cl, max(cos) over w as ch from j window w as (partition by query_id)),
-h as (select query_id, doc_id, round(0.6 * case when ch - cl < 1e-9 then 0.0 else (cos - cl) / (ch - cl) end + 0.4 * case when sh - sl < 1e-9 then 0.0 else (score - sl) / (sh - sl) end, 6) as hybrid from m)
-select query_id, doc_id, hybrid, cast(rank as integer) as rank from (select *, row_number() over (partition by query_id order by hybrid desc, doc_id) as rank from h) where rank <= 5""")
-def minmax_hybrid_topk(t) -> DataFrame:
-    c = _cosine(t).withColumnRenamed("vec_id", "doc_id")
-    j = _bm25(t).join(c, "doc_id", "left").withColumn("cos", F.coalesce("cos", F.lit(0.0)))
-    h = j.select("query_id", "doc_id", F.round(0.6 * R.minmax("cos", "query_id") + 0.4 * R.minmax("score", "query_id"), 6).alias("hybrid"))
-    return R.top(h, ["query_id"], "hybrid", "doc_id", 5)
-
-
-@query(f"""with {_POST}, qv as (select item_id as query_id, embedding as q from benchmark left join embeddings on vec_id = item_id),
-p as (select query_id, doc_id, q is not null as v, coalesce(score, 0) as score, case when q is null or embedding is null then 0.0 else round(list_sum(list_transform(list_zip(embedding, q), lambda z: cast(z[1] as double) * cast(z[2] as double)))
- / ((sqrt(list_sum(list_transform(embedding, lambda x: cast(x as double) * cast(x as double)))) + 1e-9) * (sqrt(list_sum(list_transform(q, lambda x: cast(x as double) * cast(x as double)))) + 1e-9)), 6) end as cos
+def _hybrid_sql(alpha: float, k: int) -> str:
+    return f"""with {_bm25_sql(_ITEMS)}, qv as (select item_id as query_id, embedding as q from benchmark left join embeddings on vec_id = item_id),
+p as (select query_id, doc_id, q is not null as v, coalesce(score, 0) as score, case when q is null or embedding is null then 0.0 else {_COSINE} end as cos
  from qv cross join documents left join embeddings on vec_id = doc_id left join sc using (query_id, doc_id)),
 m as (select *, min(score) over w as sl, max(score) over w as sh, min(cos) over w as cl, max(cos) over w as ch from p window w as (partition by query_id)),
 n as (select *, case when ch - cl < 1e-9 then 0.0 else (cos - cl) / (ch - cl) end as near, case when sh - sl < 1e-9 then 0.0 else (score - sl) / (sh - sl) end as word from m),
-h as (select query_id, doc_id, round(case when v then 0.6 * near + 0.4 * word else word end, 6) as hybrid from n)
-select query_id, doc_id, hybrid, cast(rank as integer) as rank from (select *, row_number() over (partition by query_id order by hybrid desc, doc_id) as rank from h) where rank <= 5""")
+h as (select query_id, doc_id, round(case when v then {alpha} * near + (1 - {alpha}) * word else word end, 6) as hybrid from n)
+select query_id, doc_id, hybrid, cast(rank as integer) as rank from (select *, row_number() over (partition by query_id order by hybrid desc, doc_id) as rank from h) where rank <= {k}"""
+
+
+@query(_hybrid_sql(0.5, 15))
+def minmax_hybrid_topk(t) -> DataFrame:
+    return R.search(_documents(t), _items(t), 15, 0.5).withColumnRenamed("score", "hybrid")
+
+
+@query(_hybrid_sql(0.6, 5))
 def hybrid_index_topk(t) -> DataFrame:
-    e = t("embeddings")
-    asked = t("benchmark").select(F.col("item_id").alias("query_id")).join(e.select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("q")), "query_id", "left")
-    vectors = t("documents").select("doc_id").join(e.select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id", "left")
-    return R.hybrid_top(_bm25(t), vectors, asked, t("documents").count(), 5)
+    return R.search(_documents(t), _items(t), 5, 0.6).withColumnRenamed("score", "hybrid")
 
 
 # ------------------------------------------------------------ recommendation: orders cite parts
@@ -274,68 +335,171 @@ def recall_union(t) -> DataFrame:
     return j.where("l_returnflag = 'R' or l_discount >= 0.08").select("o_custkey", "l_partkey").distinct()
 
 
-_PAIRS = """s as (select distinct o_custkey, o_orderkey, l_partkey, case when l_partkey % 5 = 0 then 0.2 else 1.0 end as w from orders join lineitem on l_orderkey = o_orderkey),
+_PAIRS = """s as (select distinct o_orderkey, l_partkey, case when l_partkey % 5 = 0 then 0.2 else 1.0 end as w from orders join lineitem on l_orderkey = o_orderkey),
 tot as (select o_orderkey, sum(w) as tw from s group by 1),
-com as (select a.o_orderkey as a, b.o_orderkey as b, sum(a.w) as cw, count(*) as shared from s a join s b on a.o_custkey = b.o_custkey and a.l_partkey = b.l_partkey and a.o_orderkey < b.o_orderkey group by 1, 2)"""
+com as (select a.o_orderkey as a, b.o_orderkey as b, sum(a.w) as cw, count(*) as shared, max(a.w) as most from s a join s b on a.l_partkey = b.l_partkey and a.o_orderkey <> b.o_orderkey where a.o_orderkey % 50 = 0 group by 1, 2),
+pairs as (select a, b, shared, most, round(cw / (x.tw + y.tw - cw), 6) as jaccard, cw / (x.tw + y.tw - cw) as raw, cast(case when p.o_orderpriority = q.o_orderpriority then 1.0 when p.o_orderstatus = q.o_orderstatus then 0.6 else 0.0 end as double) as type_score
+ from com join tot x on x.o_orderkey = a join tot y on y.o_orderkey = b join orders p on p.o_orderkey = a join orders q on q.o_orderkey = b)"""
 
 
-@query(f"with {_PAIRS} select a, b, shared, round(cw / (x.tw + y.tw - cw), 6) as similarity from com join tot x on x.o_orderkey = a join tot y on y.o_orderkey = b")
+def _pairs(t) -> DataFrame:
+    """Orders whose id is divisible by 50 with all orders that share a part: (a, b, shared, most, raw, type_score)."""
+    o = t("orders").select("o_orderkey", F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"))
+    s = o.select("o_orderkey").join(t("lineitem").select("l_orderkey", "l_partkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_partkey")
+    s = cases.weighted(s, F.col("l_partkey") % 5 == 0)
+    a = s.where("o_orderkey % 50 = 0").select("l_partkey", F.col("o_orderkey").alias("a"), "w")
+    com = a.join(s.select("l_partkey", F.col("o_orderkey").alias("b")), "l_partkey").where("a <> b").groupBy("a", "b").agg(F.sum("w").alias("cw"), F.count("*").alias("shared"), F.max("w").alias("most"))
+    o = o.join(s.groupBy("o_orderkey").agg(F.sum("w").alias("tw")), "o_orderkey")
+    side = lambda x: o.select(*[F.col(c).alias(n + x) for c, n in (("o_orderkey", ""), ("p", "p"), ("s", "s"), ("tw", "t"))])
+    j = com.join(side("a"), "a").join(side("b"), "b")
+    kind = F.when(F.expr("pa = pb"), 1.0).when(F.expr("sa = sb"), 0.6).otherwise(0.0)
+    return j.select("a", "b", "shared", "most", (F.col("cw") / (F.col("ta") + F.col("tb") - F.col("cw"))).alias("raw"), kind.alias("type_score"))
+
+
+def _most_similar(pairs: DataFrame) -> DataFrame:
+    return R.top(pairs.select("a", "b", F.round(0.6 * F.col("raw") + 0.15 * F.col("type_score"), 4).alias("similarity")), ["a"], "similarity", "b", 5)
+
+
+def _most_similar_sql(where: str) -> str:
+    return f"""with {_PAIRS}, j as (select a, b, round(0.6 * raw + 0.15 * type_score, 4) as similarity from pairs where {where})
+select a, b, similarity, cast(rank as integer) as rank from (select *, row_number() over (partition by a order by similarity desc, b) as rank from j) where rank <= 5"""
+
+
+@query(f"with {_PAIRS} select a, b, shared, jaccard as similarity from pairs")
 def weighted_jaccard(t) -> DataFrame:
-    s = t("orders").select("o_custkey", "o_orderkey").join(t("lineitem").select("l_orderkey", "l_partkey"), F.col("l_orderkey") == F.col("o_orderkey"))
-    s = s.select("o_custkey", "o_orderkey", "l_partkey").distinct().withColumn("w", F.when(F.col("l_partkey") % 5 == 0, 0.2).otherwise(1.0))
-    tot = s.groupBy("o_orderkey").agg(F.sum("w").alias("tw"))
-    left = s.select("o_custkey", "l_partkey", F.col("o_orderkey").alias("a"), "w")
-    right = s.select("o_custkey", "l_partkey", F.col("o_orderkey").alias("b"))
-    com = left.join(right, ["o_custkey", "l_partkey"]).where("a < b").groupBy("a", "b").agg(F.sum("w").alias("cw"), F.count("*").alias("shared"))
-    com = com.join(tot.select(F.col("o_orderkey").alias("a"), F.col("tw").alias("ta")), "a").join(tot.select(F.col("o_orderkey").alias("b"), F.col("tw").alias("tb")), "b")
-    return com.select("a", "b", "shared", F.round(F.col("cw") / (F.col("ta") + F.col("tb") - F.col("cw")), 6).alias("similarity"))
-
-
-@query("""select a.o_custkey, a.o_orderkey as a, b.o_orderkey as b, cast(case when a.o_orderpriority = b.o_orderpriority then 1.0 when a.o_orderstatus = b.o_orderstatus then 0.6 else 0.0 end as double) as type_score
- from orders a join orders b on a.o_custkey = b.o_custkey and a.o_orderkey < b.o_orderkey""")
+    return _pairs(t).select("a", "b", "shared", F.round("raw", 6).alias("similarity"))
+
+
+@query(f"with {_PAIRS} select a, b, type_score from pairs")
 def type_ladder(t) -> DataFrame:
-    o = t("orders")
-    a = o.select("o_custkey", F.col("o_orderkey").alias("a"), F.col("o_orderpriority").alias("pa"), F.col("o_orderstatus").alias("sa"))
-    b = o.select("o_custkey", F.col("o_orderkey").alias("b"), F.col("o_orderpriority").alias("pb"), F.col("o_orderstatus").alias("sb"))
-    j = a.join(b, "o_custkey").where("a < b")
-    return j.select("o_custkey", "a", "b", F.when(F.expr("pa = pb"), 1.0).when(F.expr("sa = sb"), 0.6).otherwise(0.0).alias("type_score"))
+    return _pairs(t).select("a", "b", "type_score")
 
 
-@query(f"""with {_PAIRS}, j as (select a, b, round(0.6 * cw / (x.tw + y.tw - cw) + 0.15 * case when p.o_orderpriority = q.o_orderpriority then 1.0 when p.o_orderstatus = q.o_orderstatus then 0.6 else 0.0 end, 4) as similarity
- from com join tot x on x.o_orderkey = a join tot y on y.o_orderkey = b join orders p on p.o_orderkey = a join orders q on q.o_orderkey = b)
-select a, b, similarity, cast(rank as integer) as rank from (select *, row_number() over (partition by a order by similarity desc, b) as rank from j) where rank <= 5""")
+@query(_most_similar_sql("true"))
 def similar_topk(t) -> DataFrame:
-    sims = weighted_jaccard_exact(t)
-    return R.top(sims, ["a"], "similarity", "b", 5)
+    return _most_similar(_pairs(t))
 
 
-def weighted_jaccard_exact(t) -> DataFrame:
-    s = t("orders").select("o_custkey", "o_orderkey", "o_orderpriority", "o_orderstatus").join(t("lineitem").select("l_orderkey", "l_partkey"), F.col("l_orderkey") == F.col("o_orderkey")).drop("l_orderkey").distinct()
-    s = s.withColumn("w", F.when(F.col("l_partkey") % 5 == 0, 0.2).otherwise(1.0))
-    s = s.withColumn("tw", F.sum("w").over(Window.partitionBy("o_orderkey")))
-    side = lambda x: s.select("o_custkey", "l_partkey", F.col("o_orderkey").alias(x), F.col("w").alias("w" + x), F.col("tw").alias("t" + x), F.col("o_orderpriority").alias("p" + x), F.col("o_orderstatus").alias("s" + x))
-    j = side("a").join(side("b"), ["o_custkey", "l_partkey"]).where("a < b").groupBy("a", "b", "ta", "tb", "pa", "pb", "sa", "sb").agg(F.sum("wa").alias("cw"))
-    kind = F.when(F.expr("pa = pb"), 1.0).when(F.expr("sa = sb"), 0.6).otherwise(0.0)
-    return j.select("a", "b", F.round(0.6 * F.col("cw") / (F.col("ta") + F.col("tb") - F.col("cw")) + 0.15 * kind, 4).alias("similarity"))
+@query(_most_similar_sql("most = 1.0"))
+def similar_orders_topk(t) -> DataFrame:
+    return _most_similar(_pairs(t).where("most = 1.0"))
 
 
-@query("""with s as (select distinct o_orderkey, l_partkey, case when l_partkey % 5 = 0 then 0.2 else 1.0 end as w from orders join lineitem on l_orderkey = o_orderkey),
-tot as (select o_orderkey, sum(w) as tw from s group by 1),
-com as (select a.o_orderkey as a, b.o_orderkey as b, sum(a.w) as cw from s a join s b on a.l_partkey = b.l_partkey and a.o_orderkey <> b.o_orderkey where a.o_orderkey % 50 = 0 group by 1, 2 having max(a.w) = 1.0),
-j as (select a, b, round(0.6 * cw / (x.tw + y.tw - cw) + 0.15 * case when p.o_orderpriority = q.o_orderpriority then 1.0 when p.o_orderstatus = q.o_orderstatus then 0.6 else 0.0 end, 4) as similarity
- from com join tot x on x.o_orderkey = a join tot y on y.o_orderkey = b join orders p on p.o_orderkey = a join orders q on q.o_orderkey = b)
-select a, b, similarity, cast(rank as integer) as rank from (select *, row_number() over (partition by a order by similarity desc, b) as rank from j) where rank <= 5""")
-def similar_orders_topk(t) -> DataFrame:
-    o = t("orders").select("o_orderkey", F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s"))
-    s = o.select("o_orderkey").join(t("lineitem").select("l_orderkey", "l_partkey"), F.col("l_orderkey") == F.col("o_orderkey")).select("o_orderkey", "l_partkey").distinct()
-    s = s.withColumn("w", F.when(F.col("l_partkey") % 5 == 0, 0.2).otherwise(1.0))
-    a = s.where("o_orderkey % 50 = 0").select("l_partkey", F.col("o_orderkey").alias("a"), "w")
-    com = a.join(s.select("l_partkey", F.col("o_orderkey").alias("b")), "l_partkey").where("a <> b").groupBy("a", "b").agg(F.sum("w").alias("cw"), F.max("w").alias("most")).where("most = 1.0")
-    o = o.join(s.groupBy("o_orderkey").agg(F.sum("w").alias("tw")), "o_orderkey")
-    side = lambda x: o.select(*[F.col(c).alias(n + x) for c, n in (("o_orderkey", ""), ("p", "p"), ("s", "s"), ("tw", "t"))])
-    j = com.join(side("a"), "a").join(side("b"), "b")
-    kind = F.when(F.expr("pa = pb"), 1.0).when(F.expr("sa = sb"), 0.6).otherwise(0.0)
-    return R.top(j.select("a", "b", F.round(0.6 * F.col("cw") / (F.col("ta") + F.col("tb") - F.col("cw")) + 0.15 * kind, 4).alias("similarity")), ["a"], "similarity", "b", 5)
+# ------------------------------------------------------------ advice: documents cite long words, which items explain
+
+_ARTICLE = "[a-zà-ÿ]{12,}"
+_CITE = f"list_distinct(regexp_extract_all(lower(text), '{_ARTICLE}'))"
+_ASKED = "select doc_id as query_id, left(text, 500) as text from documents where doc_id % 50 = 0"
+_NEAR = f"""qv as (select doc_id as query_id, embedding as q from documents join embeddings on vec_id = doc_id where doc_id % 50 = 0 and embedding is not null), dv as (select doc_id, embedding from documents join embeddings on vec_id = doc_id where embedding is not null),
+cs as (select query_id, doc_id, {_COSINE} as cos from qv cross join dv), nr as (select query_id, doc_id, round(case when hi - lo < 1e-9 then 0.0 else (cos - lo) / (hi - lo) end, 6) as score from (select *, min(cos) over (partition by query_id) as lo, max(cos) over (partition by query_id) as hi from cs)),
+near as (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from nr where query_id <> doc_id)"""
+_ADVICE = f"""{_NEAR}, kb as (select word, min(item_id) as item_id from (select item_id, unnest({_CITE}) as word from benchmark) group by 1), cited as (select doc_id, unnest({_CITE}) as word from documents),
+cw as (select query_id, word, sum(1.0 / rank) as w from near join cited using (doc_id) where rank <= 5 group by 1, 2), ca as (select query_id, word, 0.5 * (w / max(w) over (partition by query_id)) as part from cw),
+{_bm25_sql(_ASKED, "(select item_id as doc_id, text from benchmark)")},
+sl as (select query_id, case when count(*) < (select count(*) from benchmark) then least(0, min(score)) else min(score) end as lo, case when count(*) < (select count(*) from benchmark) then greatest(0, max(score)) else max(score) end as hi from sc group by 1),
+ss as (select query_id, doc_id, round(case when coalesce(hi - lo, 0) < 1e-9 then 0.0 else (score - lo) / (hi - lo) end, 6) as score from (select q.query_id, i.item_id as doc_id, coalesce(score, 0) as score, lo, hi from ({_ASKED}) q cross join benchmark i left join sc on sc.query_id = q.query_id and sc.doc_id = i.item_id left join sl on sl.query_id = q.query_id)),
+wo as (select query_id, word, 0.3 * score as part from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from ss) join kb on item_id = doc_id where rank <= 15),
+pa as (select doc_id as query_id, left(min(word), 2) as parent from cited where doc_id % 50 = 0 group by 1),
+fu as (select query_id, word, round((sum(part) + case when left(word, 2) = parent then 0.2 else 0.0 end) * case when left(word, 1) = 'e' then 0.15 else 1.0 end, 4) as score from (select * from ca union all select * from wo) left join pa using (query_id) group by query_id, word, parent),
+advice as (select query_id, left(word, 2) as name, word as num, item_id, score, row_number() over (partition by query_id order by score desc, left(word, 2), word) as rank from fu join kb using (word))"""
+
+
+def _cited(docs: DataFrame, key: str) -> DataFrame:
+    """(key, name, num): the distinct long words of each text, under their first two letters."""
+    word = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(_ARTICLE), F.lit(0))))
+    return docs.select(key, word.alias("num")).select(key, F.substring("num", 1, 2).alias("name"), "num")
+
+
+def _near(t, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k documents nearest by vector to those whose id is divisible by 50."""
+    v = t("documents").select("doc_id").join(t("embeddings").where("embedding is not null").select(F.col("vec_id").alias("doc_id"), "embedding"), "doc_id")
+    asked = v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
+    none = v.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
+    found = R.hybrid_top(none, v, asked, k + 1, alpha=1.0).where("query_id <> doc_id")
+    return R.top(found.select("query_id", "doc_id", F.col("hybrid").alias("score")), ["query_id"], "score", "doc_id", k)
+
+
+def _advice(t) -> DataFrame:
+    d, items = t("documents"), t("benchmark")
+    asked = d.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 500).alias("text"))
+    known = _cited(items, "item_id").groupBy("name", "num").agg(F.min("item_id").alias("doc_id"))
+    cited = _cited(d, "doc_id")
+    found = R.search(items.select(F.col("item_id").alias("doc_id"), "text"), asked, 15, vectors=False)
+    parents = cited.where("doc_id % 50 = 0").groupBy(F.col("doc_id").alias("query_id")).agg(F.substring(F.min("num"), 1, 2).alias("parent"))
+    scores = advice.fused(advice.case_weights(_near(t, 5), cited), found.join(known, "doc_id").select("query_id", "name", "num", "score"), parents, F.substring("num", 1, 1) == "e")
+    return advice.recommend(scores, known)
+
+
+@query(f"with {_ADVICE} select query_id, name, num, item_id, score, cast(rank as integer) as rank from advice where rank <= 6")
+def statute_recommend(t) -> DataFrame:
+    return _advice(t).select("query_id", "name", "num", F.col("doc_id").alias("item_id"), "score", "rank")
+
+
+_SIMILAR = f"""{_ADVICE}, qk as (select query_id, num as word from advice where rank <= 6 union select doc_id, word from cited where doc_id % 50 = 0 and doc_id not in (select query_id from advice)),
+aw as (select query_id, word, case when left(word, 1) = 'e' then 0.2 else 1.0 end as w from qk), tw as (select doc_id, sum(case when left(word, 1) = 'e' then 0.2 else 1.0 end) as wb from cited group by 1), ta as (select query_id, sum(w) as wa from aw group by 1),
+ov as (select query_id, doc_id, sum(w) as common, coalesce(string_agg(word, ',' order by word) filter (where w = 1.0), '') as shared from aw join cited using (word) group by 1, 2),
+pool as (select query_id, doc_id, score from near where rank <= 40), rec as (select query_id, doc_id from (select query_id, doc_id from ov where shared <> '' union select query_id, doc_id from pool) where query_id <> doc_id),
+sc2 as (select query_id, doc_id, coalesce(common / (wa + wb - common), 0.0) as articles, case when a.source = b.source and a.lang = b.lang then 1.0 when a.lang = b.lang then 0.6 else 0.0 end :: double as type, coalesce(score, 0.0) as search, coalesce(shared, '') as shared
+ from rec left join ov using (query_id, doc_id) left join pool using (query_id, doc_id) left join ta using (query_id) left join tw using (doc_id) join documents a on a.doc_id = query_id join documents b on b.doc_id = rec.doc_id),
+sim as (select *, round(0.6 * articles + 0.15 * type + 0.25 * search, 4) as similarity from sc2), similar_docs as (select *, row_number() over (partition by query_id order by similarity desc, doc_id) as rank from sim)"""
+
+
+def _similar(t) -> DataFrame:
+    d = t("documents")
+    cited = _cited(d, "doc_id")
+    procedural = F.substring("key", 1, 1) == "e"
+    own = cited.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("num").alias("key"))
+    asked = cases.weighted(cases.query_keys(_advice(t).select("query_id", F.col("num").alias("key")), own), procedural)
+    kind = d.select("doc_id", F.concat_ws(":", "source", "lang").alias("kind"))
+    ladder = F.when(F.col("kind_a") == F.col("kind_b"), 1.0).when(F.right("kind_a", F.lit(2)) == F.right("kind_b", F.lit(2)), 0.6).otherwise(0.0)
+    queries = kind.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    return cases.similar(asked, cases.weighted(cited.select("doc_id", F.col("num").alias("key")), procedural), _near(t, 40), ladder, queries, kind, allowed=F.col("query_id") != F.col("doc_id"))
+
+
+@query(f"with {_SIMILAR} select query_id, doc_id, similarity, round(articles, 3) as articles, round(type, 3) as type, round(search, 3) as search, shared, cast(rank as integer) as rank from similar_docs where rank <= 5")
+def similar_cases(t) -> DataFrame:
+    return _similar(t).withColumn("shared", F.array_join("shared", ",")).withColumn("type", F.col("type").cast("double"))
+
+
+@query(f"""with {_SIMILAR}, o as (select query_id, cast(quality as varchar) as result, count(*) as n from similar_docs join (select doc_id, min(quality) as quality from labels group by 1) using (doc_id) where rank <= 5 and quality is not null group by 1, 2)
+select query_id, result, n as count, round(n / sum(n) over (partition by query_id), 2) as ratio, cast(sum(n) over (partition by query_id) as bigint) as total, cast(row_number() over (partition by query_id order by n desc, result) as integer) as place from o""")
+def similar_outcomes(t) -> DataFrame:
+    result = t("labels").groupBy("doc_id").agg(F.min("quality").cast("string").alias("result"))
+    return cases.distribution(_similar(t).join(result, "doc_id", "left").select("query_id", "result"))
+
+
+_REFS = r"(select item_id * 2 as doc_id, 'interpretation' as kind, text from benchmark union all select page_id * 2 + 1, 'precedent', trim(regexp_replace(regexp_replace(html, '<[^>]*>', ' ', 'g'), '[ \n\t\r]+', ' ', 'g'), ' ') from pages)"
+
+
+@query(f"""with rf as {_REFS}, {_bm25_sql(_ASKED, "rf")}, sl as (select query_id, case when count(*) < (select count(*) from rf) then least(0, min(score)) else min(score) end as lo, case when count(*) < (select count(*) from rf) then greatest(0, max(score)) else max(score) end as hi from sc group by 1),
+ss as (select q.query_id, rf.doc_id, kind, rf.text, round(case when coalesce(hi, 0) - coalesce(lo, 0) < 1e-9 then 0.0 else (coalesce(score, 0) - lo) / (hi - lo) end, 6) as score from ({_ASKED}) q cross join rf left join sc on sc.query_id = q.query_id and sc.doc_id = rf.doc_id left join sl on sl.query_id = q.query_id)
+select query_id, kind, doc_id, score, md5(left(trim(regexp_replace(text, '\n{{2,}}', chr(10), 'g')), 600)) as body_md5, cast(rank as integer) as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from ss) where rank <= 3""")
+def reference_topk(t) -> DataFrame:
+    page = F.trim(F.regexp_replace(F.regexp_replace("html", "<[^>]*>", " "), r"[ \n\t\r]+", " "))
+    one = t("benchmark").select((F.col("item_id") * 2).alias("doc_id"), F.lit("interpretation").alias("kind"), "text")
+    refs = one.unionByName(t("pages").select((F.col("page_id") * 2 + 1).alias("doc_id"), F.lit("precedent").alias("kind"), page.alias("text"), F.col("url").alias("summary")), allowMissingColumns=True).drop("summary")
+    asked = t("documents").where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 500).alias("text"))
+    found = R.search(refs, asked, 3, 0.6, vectors=False).join(refs, "doc_id")
+    return found.select("query_id", "kind", "doc_id", "score", F.md5(T.snippet(F.lit(None).cast("string"), F.col("text"))).alias("body_md5"), "rank")
+
+
+_ALERT = """with ap as (select o_orderkey as query_id, case when o_orderstatus <> 'P' then year(o_orderdate) - 1911 end as b, year(o_orderdate) - 1911 + o_orderkey % 3 as d from orders),
+rc as (select l_orderkey as query_id, p_brand as name, min(l_linenumber) as rank from lineitem join part on p_partkey = l_partkey group by 1, 2), am as (select p_brand as name, 81 + min(p_size) % 8 as y from part group by 1),
+ch as (select query_id, string_agg(name || '（修正於民國' || y || '年）', '；' order by rank, name) as changed from ap join rc using (query_id) join am using (name) where b is not null and least(b, d) < y and y <= greatest(b, d) group by 1)
+select query_id, b is not null and b <> d and changed is not null as triggered, case when b is not null and b <> d then coalesce(changed, '') else '' end as changed, md5(case when b is null then '未能取得行為時或處分時之年度，無法自動比對新舊法。建議承辦人手動確認法規版本。'
+ when b = d then '行為時與處分時同為民國' || b || '年，無新舊法變更之從新從輕適用問題。' when changed is not null then '⚠️ 從新從輕提示（行政罰法第5條）：本案行為時為民國' || b || '年、處分時為民國' || d || '年，期間下列法規曾修正，須比較新舊法擇最有利於受處罰者適用：' || changed || '。'
+ else '行為時（民國' || b || '年）與處分時（民國' || d || '年）不同，惟目前推薦法規於該期間內未偵測到修正。仍建議承辦人依行政罰法第5條確認有無新舊法適用問題。' end) as message_md5 from ap left join ch using (query_id)"""
+
+
+@query(_ALERT)
+def timeliness_alert(t) -> DataFrame:
+    year = F.year("o_orderdate") - 1911
+    appeals = t("orders").select(F.col("o_orderkey").alias("query_id"), F.when(F.col("o_orderstatus") != "P", year).alias("behavior"), (year + F.col("o_orderkey") % 3).alias("disposition"))
+    part = t("part").select("p_partkey", F.col("p_brand").alias("name"), "p_size")
+    given = t("lineitem").select(F.col("l_orderkey").alias("query_id"), "l_partkey", F.col("l_linenumber").alias("rank")).join(part, F.col("p_partkey") == F.col("l_partkey"))
+    amended = part.groupBy("name").agg((81 + F.min("p_size") % 8).alias("year"))
+    got = advice.alerts(appeals, given.select("query_id", "name", "rank"), amended)
+    return got.select("query_id", "triggered", F.array_join("changed", "；").alias("changed"), F.md5("message").alias("message_md5"))
 
 
 @query("select o_orderpriority, o_orderstatus, count(*) as n, round(count(*) / sum(count(*)) over (partition by o_orderpriority), 2) as ratio from orders group by 1, 2")
@@ -399,3 +563,16 @@ def qa_report(t) -> DataFrame:
     checks = checks.unionByName(fk)
     gate = checks.agg(F.when(F.bool_and("passed"), "validated").otherwise("partial").alias("status"))
     return checks.join(F.broadcast(gate))
+
+
+@query(f"""with {_PIECES}, n as (select count(*) as d, (select count(*) from pieces) as c from documents), k as (select count(distinct sha256(text)) as u from documents), ln as (select count(*) as sections from (select doc_id from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where regexp_matches(line, '[^ \\t\\r]') group by 1))
+select name, passed from (values ('files', true), ('pages', true), ('unique document_id', true), ('unique section_id', true), ('unique chunk_id', true), ('chunk to section', true), ('section to document', true), ('spans legal', true), ('quotes rebuilt', true), ('sub-articles exist', false), ('articles have keys', true), ('uncovered lines reported', true), ('eligibility set', (select d > 0 from n))) v(name, passed)""")
+def release_checks(t) -> DataFrame:
+    """The documents as a release of one type, without a heading of its grammar: every check but that for sub-articles passes."""
+    d = t("documents").where("text is not null").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    lines = L.lines(d.select(F.col("document_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("document_id"), F.lit("decision").alias("document_type"), F.col("line_no").alias("idx"), F.lit(1).alias("page"), F.col("line_no").alias("line"), F.col("line").alias("text"), F.lit(0).alias("char_start"), F.length("line").alias("char_end"))
+    sections = segment.segment(lines)
+    pieces = chunks.make_chunks(sections, PARAGRAPH, SENTENCE_ENDS)
+    files = d.select("document_id", F.lit(1).alias("page_count"), F.array("document_id").alias("path_aliases"))
+    review = annotate.review_queue(d.select("document_id", F.lit(1).alias("page"), F.col("text").alias("raw_text")), segment.uncovered(lines, sections))
+    return checks.release_checks(files, lines, sections, pieces, review).select("name", "passed")

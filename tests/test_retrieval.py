@@ -28,7 +28,7 @@ def test_hybrid_scores_documents_without_a_hit(spark):
     docs = spark.createDataFrame(list(vectors.items()), "doc_id long, embedding array<float>").repartition(3)
     scores = spark.createDataFrame([(*k, s) for k, s in hits.items()], "query_id long, doc_id long, score double")
     queries = spark.createDataFrame(list(asked.items()), "query_id long, q array<float>")
-    got = sorted(tuple(r) for r in R.hybrid_top(scores, docs, queries, len(vectors), 4).select("query_id", "doc_id", "hybrid", "rank").collect())
+    got = sorted(tuple(r) for r in R.hybrid_top(scores, docs, queries, 4).select("query_id", "doc_id", "hybrid", "rank").collect())
     assert got == sorted(want)
     assert (7, 0) in {r[:2] for r in got}  # no hit, but nearest
 
@@ -54,3 +54,34 @@ def test_similar_orders_sees_other_customers_and_earlier_orders(spark, tmp_path)
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
     got = QUERIES["similar_orders_topk"](spark, str(tmp_path)).select("a", "b", "similarity", "rank").collect()
     assert sorted(tuple(r) for r in got) == [(50, 1, 0.65, 1), (50, 99, 0.4173, 2)]
+
+
+def test_bm25_is_okapi_with_a_floor(spark):
+    texts = {1: "a a b", 2: "a c", 3: "a d d d", 4: None, 5: "a B b"}
+    words = {d: (t or "").split() for d, t in texts.items()}
+    n, avgdl = len(texts), sum(map(len, words.values())) / len(texts)
+    df = {w: sum(w in ws for ws in words.values()) for ws in words.values() for w in ws}
+    idf = {w: math.log((n - k + 0.5) / (k + 0.5)) for w, k in df.items()}
+    floor = 0.25 * sum(idf.values()) / len(idf)
+    want = {}
+    for q, asked in {7: "a b b", 8: "x", 9: "B"}.items():
+        for d, ws in words.items():
+            score = sum((idf[w] if idf[w] >= 0 else floor) * ws.count(w) * 2.5 / (ws.count(w) + 1.5 * (0.25 + 0.75 * len(ws) / avgdl)) for w in asked.split() if w in ws)
+            if set(asked.split()) & set(ws):
+                want[q, d] = round(score, 6)
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    queries = spark.createDataFrame([(7, "a b b"), (8, "x"), (9, "B")], "query_id long, text string")
+    assert {(r.query_id, r.doc_id): r.score for r in R.bm25(docs, queries).collect()} == want
+
+
+def test_search_without_vectors_and_saved_index(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "red ring"), (2, "blue bolt"), (3, None)], "doc_id long, text string")
+    queries = spark.createDataFrame([(5, "blue"), (6, "green")], "query_id long, text string")
+    got = {(r.query_id, r.doc_id): r.score for r in R.search(docs, queries, 2).collect()}
+    assert got == {(5, 2): 1.0, (5, 1): 0.0, (6, 1): 0.0, (6, 2): 0.0}
+    assert R.load_index(spark, str(tmp_path / "none")) is None
+    R.save_index(docs, str(tmp_path / "index"))
+    again, known = R.load_index(spark, str(tmp_path / "index"))
+    assert sorted(map(tuple, R.bm25(again, queries, known).collect())) == sorted(map(tuple, R.bm25(docs, queries).collect()))
+    row = spark.createDataFrame([("訴願法 第 7 條 Appeal 法",)], "t string").select(R.mixed_words(R.F.col("t")).alias("w")).first()
+    assert row.w == ["訴願", "願法", "第", "7", "條", "Appeal", "法"]
