@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, lean, slices, table
-from .pieces import PieceMemory
+from .pieces import PieceMemory, supported
 
 NONE = 1 << 60
 
@@ -161,6 +161,7 @@ class Codec:
 
     def __init__(self, path: str):
         spec = json.load(open(path, encoding="utf-8"))
+        supported(spec)
         vocab = spec["model"]["vocab"]
         merges = (m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"])
         self.ranks = {(vocab[a], vocab[b]): (k, vocab[a + b]) for k, (a, b) in enumerate(merges)}
@@ -224,7 +225,8 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """Encode and decode every whole text: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids).
 
     Null texts count as empty (no ids); empty texts give the hashes of the empty string.  Rows come
-    out as they came in, repeats included; other columns are ignored.  There is no shuffle.
+    out as they came in, repeats included; very long texts and pieces are merged whole; an empty table gives an
+    empty one; other columns are ignored.  There is no shuffle.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 

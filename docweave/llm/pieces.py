@@ -64,6 +64,17 @@ def piece_starts(points: np.ndarray, docs: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start)
 
 
+def supported(spec: dict) -> None:
+    """Raise ValueError for a vocabulary file that asks for more than byte-level pieces and plain added tokens."""
+    cut, model = spec.get("pre_tokenizer") or {}, spec["model"]
+    odd = [k for k in ("normalizer", "post_processor") if spec.get(k)]
+    odd += ["pre_tokenizer"] * (cut.get("type") != "ByteLevel" or bool(cut.get("add_prefix_space")) or not cut.get("use_regex", True))
+    odd += [k for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges") if model.get(k)]
+    odd += [f"added token {t['content']!r}" for t in spec["added_tokens"] if any(t.get(k) for k in ("lstrip", "rstrip", "single_word", "normalized"))]
+    if model.get("type") != "BPE" or odd:
+        raise ValueError(f"not supported in this vocabulary file: {', '.join(odd) or model.get('type')}")
+
+
 class PieceMemory:
     """ids of texts.  encode_new(bytes, offsets) -> (ids, bounds) is asked for new pieces."""
 

@@ -61,7 +61,8 @@ def shard_rows(docs: DataFrame, shards: int = 8, nodes: int = 64, seed: int = 7,
     A shard holds at most (1 + slack) times its even share of the rows; with slack 0 the row
     counts differ by one at most.  Null texts count as empty (size 1, crc32 0).  Ties between
     equal rows are broken arbitrarily, as such rows can't be told apart.  Slots of a shard run from
-    0 without gaps.  Extra columns are ignored; an empty table gives an empty one.
+    0 without gaps.  Very long texts count whole; rows without doc_id are placed by their text; rows that
+    repeat are placed one by one.  Extra columns are ignored; an empty table gives an empty one.
     """
     spark = docs.sparkSession
     arcs, owners = ring(shards, nodes, seed)

@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import saved, slices, table
-from .pieces import PieceMemory
+from .pieces import PieceMemory, supported
 
 #: A block is closed once it has so many ids; a longer document has a block of its own.
 BLOCK_IDS = 1 << 16
@@ -43,8 +43,10 @@ def unpack(payload: bytes, width: int, first: int, last: int) -> np.ndarray:
 
 @lru_cache(2)
 def _memory(path: str) -> tuple[PieceMemory, int]:
+    import json
     import os
 
+    supported(json.load(open(path, encoding="utf-8")))
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
@@ -68,7 +70,8 @@ def write(docs: DataFrame, vocabulary: str, end_id: int | None = 0, block_ids: i
     """Encode whole texts and write them in ascending doc_id order; returns the table of blocks.
 
     Null and empty texts have no ids but end_id.  Rows that repeat are written as often, equal ids
-    in the order of their texts; a null doc_id comes first.  Other columns are ignored.
+    in the order of their texts; a null doc_id comes first.  A very long text has a block of its own.  An
+    empty table gives no blocks.  Other columns are ignored.
     """
 
     def run(batches):

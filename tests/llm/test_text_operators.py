@@ -1,5 +1,6 @@
 """Operators on texts against the libraries they follow and against brute force."""
 import hashlib
+import json
 import math
 import random
 import re
@@ -12,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from docweave.llm import bpe, common, linking, minhash, mixture, ngram_join, pii, quality, ring_shards, substring_dedup, token_files, topk_search
+from docweave.llm import bpe, common, linking, minhash, mixture, ngram_join, pieces, pii, quality, ring_shards, substring_dedup, token_files, topk_search
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
@@ -39,6 +40,25 @@ def test_encoding_follows_the_library(spark):
     assert bpe.encode(frame(spark, []), PATH).count() == 0
 
 
+def test_encoding_of_odd_tables(spark):
+    """Repeated rows, rows without ids, a very long piece and clashing columns; and what a vocabulary may not ask for."""
+    rows = [(1, "a b", "x"), (1, "a b", "x"), (None, None, None), (2, "漢" * 20_000, "y")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, ids string")
+    tok = Tokenizer.from_file(PATH)
+    want = Counter((i, len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t, _ in rows)
+    out = bpe.encode(df, PATH, with_ids=True)
+    assert Counter((r.doc_id, r.n_tokens) for r in out.collect()) == want
+    assert Counter((r.doc_id, r.text) for r in bpe.decode(out, PATH).collect()) == Counter((i, t or "") for i, t, _ in rows)
+    blocks = token_files.index(token_files.write(df, PATH)).collect()
+    assert Counter((r.doc_id, r.n_tokens - 1) for r in blocks) == want and min(r.start for r in blocks if r.doc_id is None) == 0
+    assert token_files.index(token_files.write(df.limit(0), PATH)).count() == 0
+    spec = json.load(open(PATH))
+    pieces.supported(spec)
+    for key, value in (("normalizer", {"type": "NFC"}), ("pre_tokenizer", {"type": "ByteLevel", "add_prefix_space": True, "use_regex": True}), ("added_tokens", [{"id": 1, "content": "x", "lstrip": True}])):
+        with pytest.raises(ValueError):
+            pieces.supported(spec | {key: value})
+
+
 def test_packing_round_trip():
     rnd = np.random.default_rng(1)
     for width in (1, 7, 16, 17, 31):
@@ -282,14 +302,56 @@ def test_top_k_of_large_components(spark):
 
 
 def test_ring(spark):
-    texts = ["same"] * 40 + [f"t{i}" for i in range(37)] + [None, ""]
-    got = ring_shards.shard_rows(frame(spark, texts), shards=4).toPandas()
-    counts = got.groupby("shard").size()
-    assert sorted(counts) == [19, 20, 20, 20]
+    texts = ["same"] * 40 + [f"t{i}" for i in range(37)] + [None, "", "l " * 100_000]
+    rows = [(i, t, "x", i, None) for i, t in enumerate(texts)] + [(None, "t1", "x", 0, None), (3, "same", "x", 3, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, arc string, size long, shard int")
+    got = ring_shards.shard_rows(df, shards=4).toPandas()
+    assert len(got) == len(rows) and sorted(got.groupby("shard").size()) == [20, 20, 21, 21]
     assert all(sorted(g) == list(range(len(g))) for _, g in got.groupby("shard").slot)
+    by = {r.doc_id: r for r in got.itertuples()}
+    assert by[39].size == 5 and by[77].size == by[78].size == 1 and by[79].size == 200_001 and by[40].text_crc32 == zlib.crc32(b"t0")
     assert ring_shards.shard_rows(frame(spark, [])).count() == 0
 
 
+def test_ring_places_arcs_as_keys_would_walk():
+    """Parts of arcs against single keys that walk clockwise, in the same waves."""
+    rnd = random.Random(17)
+    for shards in (3, 8):
+        arcs, owners = ring_shards.ring(shards, 16, 7)
+        assert len(arcs) == ring_shards.CELLS and set(arcs) == set(range(len(owners)))
+        counts = [rnd.choice([0, 1, 3, 60]) for _ in owners]
+        n = sum(counts)
+        room = [n // shards + (s < n % shards) for s in range(shards)]
+        keys, left, at = [(a, k, a) for a, c in enumerate(counts) for k in range(c)], list(room), {}
+        while keys:
+            later = []
+            for a, k, node in keys:
+                s = owners[node]
+                if left[s]:
+                    left[s] -= 1
+                    at[a, k] = s
+                else:
+                    later.append((a, k, (node + 1) % len(owners)))
+            keys = later
+        moves = ring_shards.place(counts, owners, room)
+        assert {(a, k): s for a, lo, hi, s, _ in moves for k in range(lo, hi)} == at
+        slots = Counter((s, slot + i) for a, lo, hi, s, slot in moves for i in range(hi - lo))
+        assert max(slots.values()) == 1 and all(sum(1 for s, _ in slots if s == x) == room[x] for x in range(shards))
+
+
+def test_ring_moves_few_rows(spark):
+    """One more shard: what moves is not much more than its share, and most equal texts stay together."""
+    texts = [f"text {i % 900}" for i in range(2700)]
+    docs = frame(spark, texts)
+    a, b = ({(r.doc_id): r.shard for r in ring_shards.shard_rows(docs, shards=n).collect()} for n in (8, 9))
+    moved = sum(a[i] != b[i] for i in a) / len(a)
+    assert 1 / 9 <= moved < 0.2
+    groups = {}
+    for i, t in enumerate(texts):
+        groups.setdefault(t, set()).add(a[i])
+    assert sum(len(g) > 1 for g in groups.values()) < 30
+
+
 def seats_by_force(weights, n):
     """Seat after seat to the highest quotient, ties to the first."""
     got = [0] * len(weights)
@@ -455,6 +517,41 @@ def test_pii_labels_and_mentions(spark):
     assert out[4].endswith(" came. J is a letter, Drive and Drs stay, Dr. no one too.")
 
 
+def test_quality_model_by_force():
+    """Scores entry by entry, and the first steps of trees and pairs against every split."""
+    rnd = np.random.default_rng(7)
+    x = rnd.normal(size=(300, len(quality.FEATURES)))
+    y = ((x[:, 0] > 0.3) ^ (x[:, 3] > 0)).astype(float)
+    model = quality.fit(x, y, bins=8, rounds=5, pairs=3, pair_rounds=20)
+    assert 0 < len(model.pairs) <= 3 and (0, 3) in {tuple(sorted(p)) for p in model.pairs}
+    for row, score in zip(x[:20], model.score(x[:20]), strict=True):
+        place = [sum(v >= c for c in cuts) for v, cuts in zip(row, model.cuts, strict=True)]
+        total = model.base + sum(t[k] for t, k in zip(model.tables, place, strict=True)) + sum(t[place[i], place[j]] for (i, j), t in zip(model.pairs, model.pair_tables, strict=True))
+        assert abs(1 / (1 + math.exp(-total)) - score) < 1e-12
+    g, h = rnd.normal(size=9), rnd.uniform(0.5, 2, 9)
+    gain = lambda a, b: g[a:b].sum() ** 2 / (h[a:b].sum() + 1)
+    cut = max(range(1, 9), key=lambda k: gain(0, k) + gain(k, 9))
+    want = np.where(np.arange(9) < cut, g[:cut].sum() / (h[:cut].sum() + 1), g[cut:].sum() / (h[cut:].sum() + 1))
+    assert np.allclose(quality._tree(g, h, 1, 0.0), want)
+    G, H = rnd.normal(size=(4, 5)), rnd.uniform(0.5, 2, (4, 5))
+    parts = lambda i, j: [(slice(0, i), slice(0, j)), (slice(0, i), slice(j, 5)), (slice(i, 4), slice(0, j)), (slice(i, 4), slice(j, 5))]
+    i, j = max(((i, j) for i in range(1, 4) for j in range(1, 5)), key=lambda ij: sum(G[p].sum() ** 2 / (H[p].sum() + 1) for p in parts(*ij)))
+    got, _ = quality._cross(G, H, 0.0)
+    assert all(np.allclose(got[p], G[p].sum() / (H[p].sum() + 1)) for p in parts(i, j))
+
+
+def test_quality_of_odd_tables(spark):
+    """Nulls, repeated rows and labels, very long texts and no rows; the score takes nothing but the text."""
+    rows = [(1, None, "de", "s", 2.0), (1, "", "en", "t", None), (None, "some words here", "x", None, 1.0), (2, "some words here", "y", "u", 0.5), (2, "some words here", "y", "u", 0.5), (3, "long words " * 100_000, "z", "v", 0.0)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, score double")
+    labels = spark.createDataFrame([(1, 0), (2, 1), (2, 1), (2, None), (None, 1), (9, 5)], "doc_id long, quality int")
+    model = quality.learn(df, labels)
+    got = quality.scored(df, model).collect()
+    assert len(got) == 6 and len({r.score for r in got if r.doc_id in (None, 2)}) == 1 and [r.held_out for r in got if r.doc_id is None] == [False]
+    assert quality.keep_good(df, model, 0.0).columns == df.columns and quality.keep_good(df, model, 0.0).count() == 6
+    assert quality.scored(df.limit(0), model).count() == quality.keep_good(df.limit(0), model).count() == 0
+
+
 def test_quality(spark):
     rnd = random.Random(6)
     good = [" ".join(rnd.choices(["the", "then", "of", "and", "other", "words"], k=60)) + "." for _ in range(150)]
