@@ -27,16 +27,20 @@ def files(spark: SparkSession, folder: str, pattern: str = "*.txt") -> DataFrame
     return raw.select("path", F.sha2("content", 256).alias("sha256"), F.col("length").alias("n_bytes"), "content")
 
 
+def _utf8() -> Column:
+    return F.try_validate_utf8(F.col("content").cast("string"))
+
+
 def pages(found: DataFrame) -> DataFrame:
-    """(path, page from 1, text) of UTF-8 text files, cut at form feeds."""
-    text = F.decode("content", "UTF-8")
+    """(path, page from 1, text) of UTF-8 text files, cut at form feeds; files in other codes have no pages."""
+    text = _utf8()
     rows = found.select("path", F.posexplode(F.split(text, PAGE_BREAK)).alias("page", "text"))
     return rows.withColumn("page", F.col("page") + 1)
 
 
 def texts(found: DataFrame) -> DataFrame:
-    """(path, n_pages, text): the pages of each file end to end."""
-    parts = F.split(F.decode("content", "UTF-8"), PAGE_BREAK)
+    """(path, n_pages, text): the pages of each file end to end; null for files that are not UTF-8."""
+    parts = F.split(_utf8(), PAGE_BREAK)
     return found.select("path", F.size(parts).alias("n_pages"), F.array_join(parts, "").alias("text"))
 
 

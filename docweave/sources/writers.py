@@ -28,10 +28,48 @@ def release(spark: SparkSession, tables: dict[str, DataFrame], folder: str, vers
     return manifest
 
 
+def manifest(spark: SparkSession, tables: dict[str, DataFrame], path: str, version: str, status: str) -> DataFrame:
+    """Write the row counts of written tables with the release's status as JSON lines."""
+    counts = [(version, name, df.count(), status) for name, df in tables.items()]
+    made = spark.createDataFrame(counts, "version string, name string, n_rows long, status string")
+    made.coalesce(1).write.mode("overwrite").json(path)
+    return made
+
+
+def json_array(df: DataFrame, path: str) -> int:
+    """Write a small table as one JSON array in a text file; returns the number of its rows.
+
+    The rows come together in one task, in the order of their JSON, so this is for tables that people read.
+    """
+    rows = df.select(F.to_json(F.struct(*df.columns), {"ignoreNullFields": "false"}).alias("j"))
+    rows.agg(F.concat(F.lit("["), F.array_join(F.array_sort(F.collect_list("j")), ",\n"), F.lit("]")).alias("value")).write.mode("overwrite").text(path)
+    return df.count()
+
+
 def report(checks: DataFrame) -> str:
-    """The checks(name, passed), of which there are few, as a Markdown table."""
-    rows = checks.select("name", "passed").orderBy("name").collect()
-    return "\n".join(["| check | result |", "|-|-|", *(f"| {r.name} | {'PASS' if r.passed else 'FAIL'} |" for r in rows)]) + "\n"
+    """The checks(name, passed[, detail]), of which there are few, as a Markdown table."""
+    detail = F.coalesce("detail", F.lit("")) if "detail" in checks.columns else F.lit("")
+    rows = checks.select("name", "passed", detail.alias("detail")).orderBy("name").collect()
+    return "\n".join(["| check | result | detail |", "|-|-|-|", *(f"| {r.name} | {'PASS' if r.passed else 'FAIL'} | {r.detail} |" for r in rows)]) + "\n"
+
+
+def report_files(checks: DataFrame, folder: str, version: str, status: str) -> None:
+    """The report of a release as JSON lines and as Markdown."""
+    spark = checks.sparkSession
+    checks.select(F.lit(version).alias("version"), F.lit(status).alias("status"), *checks.columns).coalesce(1).write.mode("overwrite").json(f"{folder}/json")
+    text = f"# {version}: {status}\n\n{report(checks)}"
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/markdown")
+
+
+def moved(spark: SparkSession, source: str, target: str) -> None:
+    """Give a finished folder its name; what had that name before is replaced."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    a, b = path(source), path(target)
+    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
+    fs.delete(b, True)
+    fs.mkdirs(b.getParent())
+    if not fs.rename(a, b):
+        raise OSError(f"{source} could not be moved to {target}")
 
 
 def escaped(c: Column) -> Column:
@@ -46,6 +84,10 @@ def page(title: Column, body: Column) -> Column:
 
 
 def draft_export(drafts: DataFrame, path: str) -> None:
-    """One line of text for each of drafts(title, note, body); line ends inside stay as \\n marks."""
-    text = F.concat_ws("\n\n", F.concat(F.lit("# "), "title"), "note", "body")
-    drafts.select(F.replace(text, F.lit("\n"), F.lit("\\n")).alias("value")).write.mode("overwrite").text(path)
+    """One text file for each of drafts(query_id, title, note, meta map, main, fact, reason), in a folder of its id.
+
+    Markdown with a title, a note on how it was made, the metadata and three sections.
+    """
+    meta = F.array_join(F.transform(F.array_sort(F.map_entries("meta")), lambda x: F.concat(F.lit("- "), x["key"], F.lit("："), F.coalesce(x["value"], F.lit("")))), "\n")
+    parts = [F.concat(F.lit("# "), "title"), F.col("note"), meta, *[F.concat(F.lit(f"## {label}\n\n"), F.coalesce(c, F.lit(""))) for c, label in (("main", "主文"), ("fact", "事實"), ("reason", "理由"))]]
+    drafts.select("query_id", F.concat_ws("\n\n", *parts).alias("value")).write.mode("overwrite").partitionBy("query_id").text(path)
