@@ -1,4 +1,4 @@
-"""Lines, sections and chunks of texts, with their place of origin."""
+"""Lines and sections of texts, with their place of origin."""
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,21 +25,3 @@ def sections(rows: DataFrame, heading: Column) -> DataFrame:
     )
     spans = F.transform("all", lambda x: F.struct(x["line_no"].alias("line_no"), F.lit(0).alias("char_start"), F.length(x["line"]).alias("char_end")))
     return marked.withColumn("quote", F.array_join(F.col("all.line"), "\n")).withColumn("spans", spans).drop("all")
-
-
-def packed(docs: DataFrame, limit: int = 800) -> DataFrame:
-    """(doc_id, chunk, text): lines packed greedily.
-
-    A line joins the chunk while both lengths together stay within the limit (the joining newline is
-    not counted for it); a longer line stands alone.  The fold carries lengths and chunk
-    numbers, not texts, so it is linear but for the list of numbers.
-    """
-    start = "named_struct('n', cast(0 as int), 'k', cast(0 as int), 'out', cast(array() as array<int>))"
-    fits = f"s.n + length(x) <= {limit}"
-    step = f"case when s.n = 0 or {fits} then named_struct('n', s.n + length(x) + if(s.n = 0, 0, 1), 'k', s.k, 'out', concat(s.out, array(s.k))) else named_struct('n', length(x), 'k', s.k + 1, 'out', concat(s.out, array(s.k + 1))) end"
-    rows = docs.where("text is not null").select("doc_id", F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "").alias("ls"))
-    rows = rows.withColumn("ks", F.expr(f"aggregate(ls, {start}, (s, x) -> {step}, s -> s.out)"))
-    rows = rows.select("doc_id", F.explode(F.arrays_zip("ks", "ls")).alias("z"), F.lit(0).alias("o"))
-    rows = rows.select("doc_id", F.col("z.ks").alias("chunk"), F.col("z.ls").alias("line"), F.monotonically_increasing_id().alias("o"))
-    out = rows.groupBy("doc_id", "chunk").agg(F.array_sort(F.collect_list(F.struct("o", "line"))).alias("all"))
-    return out.select("doc_id", "chunk", F.array_join(F.col("all.line"), "\n").alias("text"))

@@ -28,14 +28,15 @@ def tokens(docs: DataFrame, key: str, split=words) -> DataFrame:
     return docs.select(F.col(key), F.explode(split(F.col("text"))).alias("term"))
 
 
-def statistics(docs: DataFrame, key: str = "doc_id", split=words, k1: float = 1.5, b: float = 0.75) -> tuple[DataFrame, DataFrame]:
+def statistics(docs: DataFrame, split=words) -> tuple[DataFrame, DataFrame]:
     """Two small tables: terms(term, df) and totals(n, avgdl, n_terms, mean_idf) in one row.
 
     df adds up in the tasks before the shuffle, so what moves is a vocabulary for each task, not the words.
     """
-    sized = docs.select(split(F.col("text")).alias("w"))
-    ends = sized.agg(F.count("*").alias("n"), (F.coalesce(F.sum(F.size("w")), F.lit(0)) / F.count("*")).alias("avgdl"))
-    terms = sized.select(F.explode(F.array_distinct("w")).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    # Words are counted without being made, where a pattern tells them.
+    length = F.regexp_count("text", F.lit(TOKEN)) if split is words else F.size(split(F.col("text")))
+    ends = docs.agg(F.count("*").alias("n"), (F.coalesce(F.sum(length), F.lit(0)) / F.count("*")).alias("avgdl"))
+    terms = docs.select(F.explode(F.array_distinct(split(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean = terms.join(F.broadcast(ends), how="cross").agg(F.count("*").alias("n_terms"), F.avg(idf).alias("mean_idf"))
     return terms, ends.join(F.broadcast(mean), how="cross")
@@ -48,7 +49,7 @@ def bm25(docs: DataFrame, queries: DataFrame, known: tuple[DataFrame, DataFrame]
     most documents have takes `floor` times the mean idf instead of a negative one.  Only the queries'
     words leave a task.
     """
-    terms, totals = known or statistics(docs, key, split)
+    terms, totals = known or statistics(docs, split)
     asked = tokens(queries, "query_id", split).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
     vocabulary = asked.select("term").distinct()
     sized = docs.select(key, split(F.col("text")).alias("w")).select(key, F.size("w").alias("dl"), F.explode("w").alias("term"))
@@ -199,9 +200,9 @@ def search(docs: DataFrame, queries: DataFrame, k: int, alpha: float = 0.5, spli
     return hybrid_top(bm25(docs, queries, split=split), index, asked, k, alpha).withColumnRenamed("hybrid", "score")
 
 
-def save_index(docs: DataFrame, folder: str, key: str = "doc_id", split=words) -> None:
+def save_index(docs: DataFrame, folder: str, split=words) -> None:
     """Write an index: its documents, and the statistics that searches need of all of them."""
-    terms, totals = statistics(docs, key, split)
+    terms, totals = statistics(docs, split)
     for name, df in (("docs", docs), ("terms", terms), ("totals", totals)):
         df.write.mode("overwrite").parquet(f"{folder}/{name}")
 

@@ -19,13 +19,11 @@ def release(spark: SparkSession, tables: dict[str, DataFrame], folder: str, vers
     status = "draft"
     if checks is not None:
         status = "validated" if checks.where("not coalesce(passed, false)").isEmpty() else "partial"
-    counts = []
+    written = {}
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{folder}/{version}/{name}")
-        counts.append((version, name, spark.read.parquet(f"{folder}/{version}/{name}").count(), status))
-    manifest = spark.createDataFrame(counts, "version string, name string, n_rows long, status string")
-    manifest.coalesce(1).write.mode("overwrite").json(f"{folder}/{version}/manifest")
-    return manifest
+        written[name] = spark.read.parquet(f"{folder}/{version}/{name}")
+    return manifest(spark, written, f"{folder}/{version}/manifest", version, status)
 
 
 def manifest(spark: SparkSession, tables: dict[str, DataFrame], path: str, version: str, status: str) -> DataFrame:

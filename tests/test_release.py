@@ -1,4 +1,4 @@
-"""A small corpus from files to a checked release, its knowledge base, and answers for appeals."""
+"""A small corpus from files to a checked release and its knowledge base; exports."""
 import json
 
 import pytest
@@ -63,22 +63,16 @@ def test_summary_and_lines(spark, corpus):
     assert [r.idx for r in rows] == list(range(11)) and rows[3].text == "第 1 條" and (rows[3].page, rows[3].line, rows[3].char_end) == (1, 4, 5)
 
 
-def test_answers(spark, corpus, tmp_path):
+def test_knowledge(spark, corpus):
     found = readers.files(spark, str(corpus), "*.txt").where("not path like '%bad.txt'")
     made = release.tables(found, "data")
     texts = readers.texts(found).join(release.inventory(found, "data"), "path")
     kb = analysis.knowledge(texts, made["sections"])
     assert {r.name: r.amend_year for r in kb["statutes"].select("name", "amend_year").distinct().collect()} == {"廢棄物清理法": 112, "訴願法": None}
-    asked = "訴願人：李小明\n原處分機關：環保局\n於 111 年 5 月拋棄垃圾，113 年 1 月受罰，違反廢棄物清理法第 27 條"
-    appeals = analysis.incoming(readers.requests(spark, [{"full_text": asked}, {"full_text": None, "case_type": "違章建築事件"}]))
-    got = {k: df.collect() for k, df in analysis.analyse(appeals, kb).items() if k != "outcomes"}
-    first = sorted((r for r in got["statutes"] if r.query_id == 0), key=lambda r: r.rank)
-    assert {(r.name, r.num) for r in first[:2]} == {("廢棄物清理法", 27), ("廢棄物清理法", 50)} and all(r.score <= first[0].score for r in first)
-    assert [r.triggered for r in sorted(got["alerts"], key=lambda r: r.query_id)] == [True, False]
-    best = next(r for r in got["similar"] if r.query_id == 0 and r.rank == 1)
-    assert best.result == "駁回" and "廢棄物清理法-27" in best.shared and best.type == 1.0
-    assert any(r.query_id == 0 and "廢棄物清理法（修正於民國112年）" in r.reason for r in got["drafts"]) and len(got["drafts"]) == 2
-    assert {r.source for r in got["refs"] if r.query_id == 0} == {"interpretation", "precedent"}
+    assert {r.doc_id is not None and r.kind for r in kb["refs"].select("doc_id", "kind").collect()} == {"interpretation", "precedent"}
+
+
+def test_exports(spark, tmp_path):
     drafts = spark.createDataFrame([(0, "題", "template", {"案號": "1", "人": None}, "主", "事", None)], "query_id long, title string, note string, meta map<string,string>, main string, fact string, reason string")
     writers.draft_export(drafts, str(tmp_path / "out"))
     text = "".join(p.read_text() for p in (tmp_path / "out/query_id=0").glob("part-*"))

@@ -1,5 +1,4 @@
 """Golden values of the text functions."""
-import pytest
 from pyspark.sql import functions as F
 
 from docweave.functions import text as T
@@ -81,12 +80,6 @@ def test_index_texts(spark):
     assert (got.d, got.r, got.q, got.s) == ("a x 1 y 2 " + "f" * 800, "a   " + "f" * 900, "a " + "f" * 500, "a  a")
 
 
-@pytest.mark.parametrize(("sizes", "want"), [((400, 400), [801]), ((400, 401), [400, 401]), ((300, 1300, 2), [300, 1300, 2]), ((1200,), [1200])])
-def test_packing(spark, sizes, want):
-    docs = spark.createDataFrame([(1, "\n".join("x" * n for n in sizes))], "doc_id long, text string")
-    assert [len(r.text) for r in L.packed(docs).orderBy("chunk").collect()] == want
-
-
 def test_sections_of_marked_lines(spark):
     docs = spark.createDataFrame([(1, "intro here is long\nA\n\nx y z w\nB\nq r s t"), (2, None), (3, "")], "doc_id long, text string")
     got = L.sections(L.lines(docs), F.length("line") == 1).orderBy("section").collect()
