@@ -46,9 +46,11 @@ def json_array(df: DataFrame, path: str) -> int:
 
 def report(checks: DataFrame) -> str:
     """The checks(name, passed[, detail]), of which there are few, as a Markdown table."""
-    detail = F.coalesce("detail", F.lit("")) if "detail" in checks.columns else F.lit("")
-    rows = checks.select("name", "passed", detail.alias("detail")).orderBy("name").collect()
-    return "\n".join(["| check | result | detail |", "|-|-|-|", *(f"| {r.name} | {'PASS' if r.passed else 'FAIL'} | {r.detail} |" for r in rows)]) + "\n"
+    given = [c for c in ("detail",) if c in checks.columns]
+    rows = checks.select("name", "passed", *given).orderBy("name").collect()
+    head = ["check", "result", *given]
+    body = [[r.name, "PASS" if r.passed else "FAIL", *(r[c] or "" for c in given)] for r in rows]
+    return "\n".join(f"| {' | '.join(x)} |" if x is not None else "|" + "-|" * len(head) for x in (head, None, *body)) + "\n"
 
 
 def report_files(checks: DataFrame, folder: str, version: str, status: str) -> None:
