@@ -15,6 +15,7 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import NamedTuple
 
 import numpy as np
@@ -39,8 +40,8 @@ def scratch(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-#: Paths of the tables that each open `passing` block removes at its end, the innermost last.
-_passing: list[list[str]] = []
+#: Paths of the tables that each open `passing` block removes at its end, the innermost last; each thread has its own.
+_passing: ContextVar[tuple[list[str], ...]] = ContextVar("passing", default=())
 
 
 def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
@@ -52,7 +53,7 @@ def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
     spark = df.sparkSession
     path = f"{scratch(spark)}/{name}-{uuid.uuid4().hex[:12]}"
     df.write.parquet(path)
-    blocks = _passing[:-1] if keep else _passing
+    blocks = _passing.get()[:-1] if keep else _passing.get()
     if blocks:
         blocks[-1].append(path)
     return spark.read.schema(df.schema).parquet(path)
@@ -61,11 +62,13 @@ def saved(df: DataFrame, name: str, keep: bool = False) -> DataFrame:
 @contextmanager
 def passing(spark: SparkSession):
     """Tables saved inside are removed at the end; what the block's results still read has to be kept."""
-    _passing.append([])
+    paths: list[str] = []
+    token = _passing.set((*_passing.get(), paths))
     try:
         yield
     finally:
-        for path in _passing.pop():
+        _passing.reset(token)
+        for path in paths:
             remove(spark, path)
 
 
