@@ -1,13 +1,15 @@
 """Filter audit, Merkle manifest and suffix dedup against brute force on small and odd tables."""
+import hashlib
 import random
 import re
+import zlib
 from collections import Counter
 from itertools import permutations
 
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.llm import filter_audit
+from docweave.llm import filter_audit, merkle
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -74,3 +76,81 @@ def test_audit_of_other_filters_and_large_counts(spark):
     for bad in ({}, {c: F.lit(True) for c in "abcdefg"}, {"xy": F.lit(True)}):
         with pytest.raises(ValueError):
             filter_audit.audit(df, none, bad)
+
+
+def hashed(parts):
+    return hashlib.sha256("".join(parts).encode()).hexdigest()
+
+
+def leaf_by_force(row, lower=False):
+    low = lambda v: re.sub("[A-Z]", lambda m: m[0].lower(), v)
+    values = [low(v) if v is not None and k == "text" and lower else v for k, v in row.items()]
+    return hashed("-" if v is None else f"{len(str(v).encode())}:{v}" for v in values)
+
+
+def tree(nodes):
+    """(root, witnesses as lists of (place in run, siblings))"""
+    paths, below = [[] for _ in nodes], [[i] for i in range(len(nodes))]
+    while len(nodes) > 1:
+        up, under = [], []
+        for k in range(0, len(nodes), 8):
+            run = nodes[k : k + 8]
+            for j in range(len(run)):
+                for i in below[k + j]:
+                    paths[i].append((j, run[:j] + run[j + 1 :]))
+            up.append(hashed(run))
+            under.append([i for b in below[k : k + 8] for i in b])
+        nodes, below = up, under
+    return nodes[0], paths
+
+
+def manifest_by_force(rows):
+    groups = {}
+    for r in rows:
+        groups.setdefault(r["lang"], []).append(r)
+    order = sorted(groups, key=lambda g: (g is not None, (g or "").encode()))
+    made = {}
+    for g in order:
+        leaves = sorted(groups[g], key=lambda r: (r["doc_id"] is not None, r["doc_id"] or 0, leaf_by_force(r)))
+        made[g] = leaves, *tree([leaf_by_force(r) for r in leaves])
+    root, over = tree([made[g][1] for g in order])
+    out = []
+    for g, top in zip(order, over, strict=True):
+        leaves, subroot, paths = made[g]
+        for r, path in zip(leaves, paths, strict=True):
+            leaf, steps = leaf_by_force(r), path + top
+            hit = r["doc_id"] is not None and zlib.crc32(str(r["doc_id"]).encode()) % 3 == 0
+            back = leaf_by_force(r, hit)
+            for k, siblings in steps:
+                back = hashed(siblings[:k] + [back] + siblings[k:])
+            out.append((r["doc_id"], leaf, subroot, root, hashed(x for _, s in steps for x in s), back, back == root))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("sizes", [{"a": 1}, {"a": 8, None: 1}, {"a": 9, "": 64, "Z": 3, "é": 2}, {"a": 513, "b": 512, None: 73}, {f"l{i}": 1 + i % 3 for i in range(70)}, {"a": 4620, "b": 5}])
+def test_manifest(spark, monkeypatch, sizes):
+    rnd = random.Random(6)
+    ids = list(range(-5, 100_000, 7))
+    rnd.shuffle(ids)
+    rows = [{"doc_id": ids.pop(), "source": rnd.choice([None, "s", "ü"]), "lang": g, "n_chars": rnd.choice([None, 3]), "text": rnd.choice([None, "", "abc", "A1", "ÄB漢"])} for g, n in sizes.items() for _ in range(n)]
+    df = spark.createDataFrame([(*r.values(), 1, "x") for r in rows], "doc_id long, source string, lang string, n_chars long, text string, row int, grp string").repartition(5)
+    assert Counter(map(tuple, merkle.documents_manifest(df).collect())) == manifest_by_force(rows)
+
+
+def test_manifest_of_odd_rows(spark):
+    rows = [{"doc_id": d, "source": None, "lang": "x", "n_chars": None, "text": t} for d, t in [(None, "A"), (None, None), (3, "B"), (3, "B"), (3, "b"), (None, "A"), (9, "Z" * 300_000)]]
+    df = spark.createDataFrame([tuple(r.values()) for r in rows], "doc_id long, source string, lang string, n_chars int, text string")
+    assert Counter(map(tuple, merkle.documents_manifest(df).collect())) == manifest_by_force(rows)
+    assert merkle.documents_manifest(df.limit(0)).count() == 0
+
+
+def test_witnesses_are_extended_by_later_siblings():
+    block = merkle.Block()
+    for k in range(10):
+        block.append(str(k))
+    assert block.paths[0] == [list("1234567")] and block.paths[7] == [list("0123456")] and block.paths[8] == []
+    assert block.open[0][0][2] == ["9"] and block.open[0][1][2] == ["8"]  # partial, by the open run
+    root = block.finish(True)
+    first, last = hashed("01234567"), hashed("89")
+    assert root == hashed([first, last]) and block.paths[8] == [["9"], [first]] and block.paths[0][1] == [last]
+    assert merkle.folded("8", [{"at": 8, "path": block.paths[8]}]) == root
