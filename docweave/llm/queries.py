@@ -1,7 +1,7 @@
 """The registered queries of this subpackage and, where SQL can express them, their SQL."""
 from __future__ import annotations
 
-from . import bpe, filter_audit, merkle, minhash, mixture, ngram_join, pii, quality, ring_shards, substring_dedup, token_files, topk_search
+from . import bpe, filter_audit, merkle, minhash, mixture, ngram_join, pii, quality, ring_shards, substring_dedup, suffix_dedup, token_files, topk_search
 
 QUERIES = {
     "op1_additive_quality": quality.op1_additive_quality,
@@ -16,5 +16,6 @@ QUERIES = {
     "op10_sainte_lague_mix": mixture.op10_sainte_lague_mix,
     "op11_wide_counters": filter_audit.op11_wide_counters,
     "op12_incremental_witnesses": merkle.op12_incremental_witnesses,
+    "op13_lcp_merge_sort": suffix_dedup.op13_lcp_merge_sort,
 }
 ORACLE = {**topk_search.ORACLE, **filter_audit.ORACLE, **merkle.ORACLE}

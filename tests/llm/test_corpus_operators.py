@@ -9,7 +9,7 @@ from itertools import permutations
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.llm import filter_audit, merkle
+from docweave.llm import filter_audit, merkle, suffix_dedup
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -154,3 +154,78 @@ def test_witnesses_are_extended_by_later_siblings():
     first, last = hashed("01234567"), hashed("89")
     assert root == hashed([first, last]) and block.paths[8] == [["9"], [first]] and block.paths[0][1] == [last]
     assert merkle.folded("8", [{"at": 8, "path": block.paths[8]}]) == root
+
+
+def copies_by_force(rows, window):
+    first = {}
+    order = sorted(((1 << 63) - 1 if d is None else d, (t or "").encode(), d) for d, t in rows)
+    for d, text, _ in order:
+        for k in range(len(text) - window + 1):
+            first[text[k : k + window]] = min(d, first.get(text[k : k + window], d))
+    out = []
+    for d, text, doc_id in order:
+        gone = bytearray(len(text))
+        for k in range(len(text) - window + 1):
+            if first[text[k : k + window]] < d:
+                gone[k : k + window] = b"\1" * window
+        kept = bytes(x for x, g in zip(text, gone, strict=True) if not g)
+        out.append((doc_id, len(text), sum(gone), len(re.findall(b"\1+", bytes(gone))), hashlib.sha256(kept).hexdigest()))
+    return Counter(out)
+
+
+SMALL = suffix_dedup.Sizes(run_grams=300, run_items=60, part_grams=200, bucket_items=50)
+
+
+@pytest.mark.parametrize("sizes", [suffix_dedup.Sizes(), SMALL, SMALL._replace(hot=3, listed=1), SMALL._replace(hot=1, listed=0), SMALL._replace(listed=2)])
+@pytest.mark.parametrize(("window", "gram"), [(12, 5), (50, 24), (8, 8)])
+def test_suffixes(spark, sizes, window, gram):
+    """Passages with other surroundings, near copies, periodic texts, null bytes, other scripts, shared and missing ids, repeats."""
+    rnd = random.Random(8)
+    passage = "".join(rnd.choices("abcdefgh ", k=90))
+    base = "".join(rnd.choices("xyz漢é\0 ", k=400))
+    near = lambda: "".join(rnd.choice("Q\0") if rnd.random() < 0.01 else c for c in base)
+    texts = [None, "", "short", "ab" * 150, "a" * 200, passage, passage, base, base, *(near() for _ in range(12))]
+    texts += ["".join(rnd.choices("uvw", k=rnd.randint(0, 60))) + passage[rnd.randint(0, 9) : 60 + rnd.randint(0, 30)] + "".join(rnd.choices("mno", k=rnd.randint(0, 60))) for _ in range(25)]
+    texts += ["\0" * 70, "\0" * 80 + "z", "".join(rnd.choices("ab", k=3000))]
+    rows = [(rnd.choice([None, *range(40)]), t) for t in texts for _ in range(rnd.choice([1, 1, 2]))]
+    rows += rows[5:8]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame([(*r, 1, "x") for r in rows], "doc_id long, text string, key int, hot string").repartition(3)
+    got = suffix_dedup.remove_copies(df, window, gram, sizes=sizes)
+    assert Counter(map(tuple, got.collect())) == copies_by_force(rows, window)
+
+
+def test_suffixes_of_odd_tables(spark):
+    df = spark.createDataFrame([(2, "q" * 60 + "w" * 9), (1, "q" * 55), (2, None)], "doc_id int, text string")
+    got = {(r.doc_id, r.n_bytes): (r.n_removed, r.n_spans, bytes(r.kept)) for r in suffix_dedup.remove_copies(df, with_bytes=True).collect()}
+    assert got == {(2, 69): (60, 1, b"w" * 9), (1, 55): (0, 0, b"q" * 55), (2, 0): (0, 0, b"")}
+    assert suffix_dedup.remove_copies(df.limit(0)).count() == 0
+    assert suffix_dedup.remove_copies(df.where("text is null")).count() == 1
+    with pytest.raises(ValueError):
+        suffix_dedup.remove_copies(df, window=300)
+
+
+def test_loser_tree_never_compares_known_prefixes(monkeypatch):
+    rnd = random.Random(9)
+    plain, seen = suffix_dedup.first_difference, []
+
+    def watched(a, b, known):
+        assert a[:known] == b[:known]
+        seen.append(max(1, plain(a, b, known) - known))
+        return plain(a, b, known)
+
+    for k in (0, 1, 2, 3, 7, 16):
+        strings = ["".join(rnd.choices("ab", k=rnd.randint(0, 12))).encode() + b"c" * rnd.choice([0, 40]) for _ in range(60 * k)]
+        runs = [sorted(strings[i::k]) for i in range(k)]
+        coded = []
+        for n, r in enumerate(runs):
+            shared, rest = suffix_dedup.front_coded(r)
+            assert b"".join(rest) == b"".join(s[c:] for s, c in zip(r, shared, strict=True))
+            coded.append(iter([(c, s, (n, s)) for c, s in zip(shared, r, strict=True)]))
+        monkeypatch.setattr(suffix_dedup, "first_difference", watched)
+        got = list(suffix_dedup.LoserTree(coded))
+        monkeypatch.setattr(suffix_dedup, "first_difference", plain)
+        assert [s for _, (_, s) in got] == sorted(strings)
+        out = [s for _, (_, s) in got]
+        assert [c for c, _ in got] == [0, *(plain(a, b, 0) for a, b in zip(out, out[1:], strict=False))][: len(out)]
+    assert sum(seen) < 0.6 * sum(map(len, strings)) * 4  # each of 16 runs' strings passes four matches
