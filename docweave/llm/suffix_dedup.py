@@ -1,6 +1,6 @@
 """Byte strings that an earlier document has, by a sparse suffix array sorted over all tasks.
 
-A window is 50 consecutive bytes of one document.  Its anchor is the 24-byte gram of smallest hash in it, so equal windows have equal
+A window is 50 consecutive bytes of one document.  Its anchor is the 16-byte gram of smallest hash in it, so equal windows have equal
 anchors at equal places.  Only suffixes that start at anchors are sorted, each with the bytes to its left that
 windows may reach.  Four steps:
 
@@ -16,7 +16,8 @@ windows may reach.  Four steps:
    for each such class the smallest doc_id is known, and windows of other documents are repeats.
 
 A gram of very many documents is hot: what is sorted for it is its windows themselves, each of which goes to a bucket by its own bytes, so
-no bucket gathers them all.  Grams are told apart by 64-bit hashes in the first step only, which can add suffixes but loses none.
+no bucket gathers them all.  Grams are told apart by hashes in the first step only, as short as their number allows, which can add
+suffixes but loses none.
 """
 from __future__ import annotations
 
@@ -31,9 +32,9 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SLICE_BYTES, U64, _BASE, _INV, empty_text, met, mix, passing, powers, saved, slices, table
+from .common import BROADCAST_ROWS, U64, _BASE, _INV, empty_text, lean, met, mix, passing, powers, saved, slices, table
 
-WINDOW, GRAM = 50, 24
+WINDOW, GRAM = 50, 16
 
 
 class Sizes(NamedTuple):
@@ -44,7 +45,7 @@ class Sizes(NamedTuple):
     listed: int = 8
     #: Grams and suffixes of a run.
     run_grams: int = 1 << 19
-    run_items: int = 50_000
+    run_items: int = 200_000
     #: Grams that are counted, and suffixes that are merged, in one task on average.
     part_grams: int = 1 << 20
     bucket_items: int = 50_000
@@ -52,6 +53,9 @@ class Sizes(NamedTuple):
 
 #: What a row without doc_id counts as: it comes after all others.
 LAST = (1 << 63) - 1
+#: Bytes of texts that are hashed at once, few enough to stay in a processor's cache.
+SLICE = 1 << 17
+_ODD = 0xD6E8FEB86659FD93
 
 
 def anchors(data: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
@@ -63,11 +67,18 @@ def anchors(data: np.ndarray, bounds: np.ndarray, window: int, gram: int) -> tup
     none = np.zeros(0, np.int64)
     if n <= 0:
         return np.zeros(0, U64), none, none, none
-    total = np.zeros(len(data) + 1, U64)
-    np.cumsum((data.astype(U64) + U64(1)) * powers(_BASE, len(data)), out=total[1:])
-    hashes = mix((total[gram:] - total[:-gram]) * powers(_INV, len(data))[: len(data) - gram + 1])
+    total, codes = np.zeros(len(data) + 1, U64), data.astype(U64)
+    codes += U64(1)
+    codes *= powers(_BASE, len(data))
+    np.cumsum(codes, out=total[1:])
+    hashes = total[gram:] - total[:-gram]
+    hashes *= powers(_INV, len(data))[: len(hashes)]
+    hashes *= U64(_ODD)
+    hashes ^= hashes >> U64(32)
+    hashes *= U64(_ODD)
     # Upper half by hash, lower half by place: one minimum gives both.
-    best, have, span = hashes >> U64(32) << U64(32) | np.arange(len(hashes), dtype=U64), 1, window - gram + 1
+    best, have, span = hashes & U64(0xFFFFFFFF00000000), 1, window - gram + 1
+    best |= np.arange(len(hashes), dtype=U64)
     while have < span:
         d = min(have, span - have)
         best = np.minimum(best[:-d], best[d:])
@@ -99,10 +110,15 @@ def _long(x: np.ndarray) -> pa.Array:
     return pa.array(x.view(np.int64) if x.dtype == U64 else x.astype(np.int64))
 
 
+def gram_ids(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Hashes of so many bits, evenly spread; those of anchors are not, as each is the smallest of its windows."""
+    return mix(hashes, 3) >> U64(64 - bits)
+
+
 def _located(batches, window: int, gram: int) -> Iterator[tuple]:
     """(batch, first row, bytes, bounds, document of each anchor, anchors) of slices."""
     for batch in batches:
-        for i, _, data, bounds in slices(batch.column("text"), SLICE_BYTES):
+        for i, _, data, bounds in slices(batch.column("text"), SLICE):
             found = anchors(data, bounds, window, gram)
             yield batch, i, data, bounds, np.searchsorted(bounds, found[2], side="right") - 1, found
 
@@ -110,7 +126,7 @@ def _located(batches, window: int, gram: int) -> Iterator[tuple]:
 GRAMS = "part int, n int, grams binary, counts binary, docs binary, keys array<long>"
 
 
-def _gram_runs(window: int, gram: int, parts: int, sizes: Sizes):
+def _gram_runs(window: int, gram: int, bits: int, parts: int, sizes: Sizes):
     """Rows of GRAMS: the sorted grams of a run that belong to a part, and the documents of those that have sizes.listed at most.
 
     Documents of the others go apart, in parts beyond `parts`, with their grams as they are.
@@ -124,11 +140,14 @@ def _gram_runs(window: int, gram: int, parts: int, sizes: Sizes):
         return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(values, types, strict=True)], names)
 
     def emitted(number, found, owners, keys):
-        pairs = np.unique(np.stack([np.concatenate(found), np.concatenate(owners).astype(U64)]), axis=1) if found else np.zeros((2, 0), U64)
-        grams, at, counts = np.unique(pairs[0], return_index=True, return_counts=True)
-        keys, docs = np.array(keys, np.int64), pairs[1].astype(np.int64)
+        every, docs, keys = np.concatenate(found), np.concatenate(owners), np.array(keys, np.int64)
+        order = np.argsort(every, kind="stable")  # documents of a gram stay in order
+        every, docs = every[order], docs[order]
+        new = np.append(True, (every[1:] != every[:-1]) | (docs[1:] != docs[:-1]))
+        every, docs = every[new], docs[new]
+        grams, counts = np.unique(every, return_counts=True)
         listed = np.repeat(counts <= sizes.listed, counts)
-        cuts = np.searchsorted(grams >> U64(32), (np.arange(parts + 1, dtype=U64) << U64(32)) // U64(parts))
+        cuts = np.searchsorted(grams, np.array([(p << bits) // parts for p in range(parts + 1)], U64))
         ends = np.append(0, np.cumsum(counts))
         for p in np.flatnonzero(np.diff(cuts)):
             a, b = cuts[p], cuts[p + 1]
@@ -136,12 +155,12 @@ def _gram_runs(window: int, gram: int, parts: int, sizes: Sizes):
             yield row(int(p), int(b - a), np.diff(grams[a:b], prepend=U64(0)), counts[a:b], docs[span][listed[span]], keys)
         if not listed.all():
             many = ~listed
-            yield row(parts + number % parts, int(many.sum()), pairs[0][many], np.zeros(0, U64), docs[many], keys)
+            yield row(parts + number % parts, int(many.sum()), every[many], np.zeros(0, U64), docs[many], keys)
 
     def run(batches):
         found, owners, keys, size, number = [], [], [], 0, 0
         for batch, i, _, bounds, doc, (hashes, *_rest) in _located(batches, window, gram):
-            found.append(hashes)
+            found.append(gram_ids(hashes, bits))
             owners.append(doc + len(keys))
             keys += batch.column("key").slice(i, len(bounds) - 1).to_pylist()
             size += len(hashes)
@@ -185,15 +204,27 @@ def _counted(parts: int, sizes: Sizes):
     return run
 
 
-ITEMS = "bucket int, n int, shared binary, rest_sizes binary, rest binary, left_sizes binary, left binary, doc array<long>, refs array<int>, key array<long>, at array<long>, lo long, hi long"
+ITEMS = "bucket int, n int, shared binary, rest_sizes binary, rest binary, left_sizes binary, left binary, docs array<long>, keys array<long>, who binary, at binary, refs binary, lo array<long>, hi array<long>"
 _ITEM_NAMES = [c.split()[0] for c in ITEMS.split(", ")]
-_ITEM_TYPES = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32())}[c.split()[1]] for c in ITEMS.split(", ")]
+_ITEM_TYPES = [{"int": pa.int32(), "binary": pa.binary(), "array<long>": pa.list_(pa.int64())}[c.split()[1]] for c in ITEMS.split(", ")]
 
 
 def _item_rows(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r.get(c) for r in rows], t) for c, t in zip(_ITEM_NAMES, _ITEM_TYPES, strict=True)], _ITEM_NAMES)
 
 
+def _item_row(bucket: int, items: list) -> dict:
+    """Sorted items (with the references of each, documents numbered within the row) as one row."""
+    shared, rest = front_coded([item[1] for item, _ in items])
+    lefts, refs = [item[2] for item, _ in items], [r for _, rs in items for r in rs]
+    docs, keys = (np.array([r[c] for r in refs], np.int64) for c in (0, 1))
+    keys, first, who = np.unique(keys, return_index=True, return_inverse=True)
+    return {
+        "bucket": bucket, "n": len(items), "shared": shared, "rest_sizes": bytes(map(len, rest)), "rest": b"".join(rest), "left_sizes": bytes(map(len, lefts)), "left": b"".join(lefts), "docs": docs[first], "keys": keys,
+        "who": _narrow(who.astype(U64)), "at": _narrow(np.array([r[2] for r in refs], U64)), "refs": _narrow(np.array([len(r) for _, r in items], U64)),
+    }
+
+
 def front_coded(strings: list[bytes]) -> tuple[bytes, list[bytes]]:
     """Of sorted strings, what each shares with the one before, at most 255 bytes of it, and the rest of each."""
     shared, before = bytearray(), b""
@@ -249,70 +280,68 @@ class LoserTree:
         return winner
 
     def __iter__(self):
+        nodes = self.nodes
         while self.best is not None:
-            shared, _, tag, run = self.best
-            yield shared, tag
-            up, node = self._next(run), (self.size + run) // 2
+            yield self.best[0], self.best[2]
+            run = self.best[3]
+            up, node = self._next(run), (self.size + run) >> 1
             while node:
-                other = self.nodes[node]
+                other = nodes[node]
                 if other is not None:
-                    up = self._match(node, up, other)
-                node //= 2
+                    if up is None or up[0] < other[0]:
+                        nodes[node], up = up, other
+                    elif up[0] == other[0]:
+                        up = self._match(node, up, other)
+                node >>= 1
             self.best = up
 
 
-def _sorted_runs(window: int, gram: int, buckets: int, sizes: Sizes):
-    """Rows of ITEMS: front-coded runs by bucket; and rows with a key, lo and hi only, whose windows the run itself shows to be repeats."""
+def _sorted_runs(window: int, gram: int, bits: int, buckets: int, sizes: Sizes):
+    """Rows of ITEMS: front-coded runs by bucket; and rows of keys, lo and hi only, spans that the run itself shows to be repeats."""
 
-    def collapsed(groups: dict, spans: list) -> list:
+    def collapsed(groups: dict, spans: list) -> Iterator:
         """Items with the references of their smallest document; the others' windows are spans."""
-        out = []
         for item, refs in groups.items():
-            least = min(r[0] for r in refs)
-            for doc, key, at, lo, hi in refs:
-                if doc > least:
-                    spans.append((key, lo, hi + window))
-            out.append((item, least, [r for r in refs if r[0] == least]))
-        return out
+            if len(refs) > 1:
+                least = min(refs)[0]
+                spans += [(key, lo, hi + window) for doc, key, _, lo, hi in refs if doc > least]
+                refs = [r for r in refs if r[0] == least]
+            yield item, refs
 
     def emitted(few: dict, hot: dict):
         spans: list = []
-        items = collapsed(few, spans)
+        items = list(collapsed(few, spans))
         single: dict = {}
-        for (_, right, left), _, refs in collapsed(hot, spans):
+        for (_, right, left), refs in collapsed(hot, spans):
             text, ahead = left[::-1] + right, len(left)
             for k in range(len(text) - window + 1):
                 w = text[k : k + window]
                 single.setdefault((zlib.crc32(w) % buckets, w, b""), []).extend((doc, key, at - ahead + k, lo + k, lo + k) for doc, key, at, lo, _ in refs)
         items += collapsed(single, spans)
-        items.sort(key=lambda x: x[0])
+        items.sort()
         rows, a = [], 0
         while a < len(items):
             bucket, b = items[a][0][0], a
             while b < len(items) and items[b][0][0] == bucket:
                 b += 1
-            part = items[a:b]
-            shared, rest = front_coded([i[1] for i, _, _ in part])
-            refs = [r for _, _, rs in part for r in rs]
-            rows.append({
-                "bucket": bucket, "n": b - a, "shared": shared, "rest_sizes": bytes(map(len, rest)), "rest": b"".join(rest), "left_sizes": bytes(len(i[2]) for i, _, _ in part), "left": b"".join(i[2] for i, _, _ in part),
-                "doc": [d for _, d, _ in part], "refs": [len(r) for _, _, r in part], "key": [r[1] for r in refs], "at": [r[2] for r in refs],
-            })
+            rows.append(_item_row(bucket, items[a:b]))
             a = b
-        for key, lo, hi in _joined(spans):
-            rows.append({"key": [key], "lo": lo, "hi": hi})
-        for k in range(0, len(rows), 2000):
-            yield _item_rows(rows[k : k + 2000])
+        spans = _joined(spans)
+        for k in range(0, len(spans), 1000):
+            key, lo, hi = map(list, zip(*spans[k : k + 1000], strict=True))
+            rows.append({"bucket": key[0] % buckets, "keys": key, "lo": lo, "hi": hi})
+        for k in range(0, len(rows), 100):
+            yield _item_rows(rows[k : k + 100])
 
     def run(batches):
         few, hot, size = {}, {}, 0
         for batch, i, data, bounds, owner, (hashes, at, lo, hi) in _located(batches, window, gram):
-            n = len(bounds) - 1
+            n, ids = len(bounds) - 1, gram_ids(hashes, bits)
             wanted = [np.asarray(batch.column(c).slice(i, n).flatten()).view(U64) for c in ("few", "hot")]
             raw, keys, docs = data.tobytes(), batch.column("key").slice(i, n).to_pylist(), batch.column("doc").slice(i, n).to_pylist()
             owners = [np.repeat(np.arange(n), np.asarray(pc.list_value_length(batch.column(c).slice(i, n)))) for c in ("few", "hot")]
             for groups, want, own in zip((few, hot), wanted, owners, strict=True):
-                picked = np.flatnonzero(np.isin(hashes ^ mix(owner.astype(U64), 5), want ^ mix(own.astype(U64), 5)))
+                picked = np.flatnonzero(np.isin(ids ^ mix(owner.astype(U64), 5), want ^ mix(own.astype(U64), 5)))
                 for h, a, x, y, d in zip(hashes[picked].tolist(), at[picked].tolist(), lo[picked].tolist(), hi[picked].tolist(), owner[picked].tolist(), strict=True):
                     item = h % buckets, raw[a : y + window], raw[x:a][::-1]
                     start = int(bounds[d])
@@ -354,14 +383,19 @@ def repeated(shared: np.ndarray, right: np.ndarray, left: np.ndarray, left_size:
     """
     n, width = len(doc), left.shape[1] + 1
     out = np.zeros((n, width), bool)
-    sides = np.zeros(n, np.int64)
+    # Of items whose gram nobody else has, nothing is repeated.
+    new = np.append(shared < window - width + 1, True)
+    picked = np.flatnonzero(~(new[:-1] & new[1:]))
+    by = picked[np.lexsort(left[picked].T[::-1])] if width > 1 else picked
+    equal = left[by[1:]] == left[by[:-1]]
+    common = np.append(0, np.where(equal.all(1), width, np.argmin(equal, axis=1))) if width > 1 and len(by) else np.zeros(len(by), np.int64)
     for o in range(width):
-        if o:
-            _, sides = np.unique(sides * 256 + left[:, o - 1], return_inverse=True)
-        rows = np.flatnonzero((left_size >= o) & (right >= window - o))
+        sides = np.zeros(n, np.int64)
+        sides[by] = np.cumsum(common < o)
+        rows = picked[(left_size[picked] >= o) & (right[picked] >= window - o)]
         if not len(rows):
             continue
-        classes = np.cumsum(shared < window - o)[rows] * (int(sides.max()) + 1) + sides[rows]
+        classes = np.cumsum(shared < window - o)[rows] * (len(by) + 1) + sides[rows]
         order = np.argsort(classes, kind="stable")
         first = np.flatnonzero(np.append(True, np.diff(classes[order]) != 0))
         least = np.repeat(np.minimum.reduceat(doc[rows][order], first), np.diff(np.append(first, len(order))))
@@ -370,31 +404,60 @@ def repeated(shared: np.ndarray, right: np.ndarray, left: np.ndarray, left_size:
 
 
 def _merged(window: int, gram: int):
-    """(key, lo, hi) of the repeats that the runs of a bucket show together."""
+    """(key, lo, hi) of the repeats that the runs of a bucket show together, and of those that they showed alone."""
 
     def run(rows: pa.Table) -> pa.Table:
-        runs = rows.to_pylist()
+        every = rows.to_pylist()
+        spans = [np.array([x for r in every if r["lo"] is not None for x in r[c]], np.int64) for c in ("keys", "lo", "hi")]
+        runs = [r for r in every if r["lo"] is None]
+        if not runs:
+            return pa.table([pa.array(x) for x in spans], ["key", "lo", "hi"])
         bases = np.append(0, np.cumsum([r["n"] for r in runs]))
         tree = LoserTree([_decoded(r, int(b)) for r, b in zip(runs, bases[:-1], strict=True)])
-        shared, order = np.array(list(tree), np.int64).reshape(-1, 2).T
+        shared, order = np.array(list(tree), np.int64).T
         right = np.concatenate([np.frombuffer(r["shared"], np.uint8).astype(np.int64) + np.frombuffer(r["rest_sizes"], np.uint8) for r in runs])[order]
         left_size = np.concatenate([np.frombuffer(r["left_sizes"], np.uint8) for r in runs]).astype(np.int64)
         flat = np.frombuffer(b"".join(r["left"] for r in runs), np.uint8)
         left = np.zeros((len(order), window - gram), np.uint8)
         left[np.arange(window - gram) < left_size[:, None]] = flat
-        doc = np.array([d for r in runs for d in r["doc"]], np.int64)[order]
+        refs = [_wide(r["refs"], r["n"]).astype(np.int64) for r in runs]
+        who = [_wide(r["who"], int(n.sum())).astype(np.int64) for r, n in zip(runs, refs, strict=True)]
+        at = np.concatenate([_wide(r["at"], len(w)).astype(np.int64) for r, w in zip(runs, who, strict=True)])
+        key, doc = (np.concatenate([np.array(r[c], np.int64)[w] for r, w in zip(runs, who, strict=True)]) for c in ("keys", "docs"))
+        refs = np.concatenate(refs)
+        doc = doc[np.cumsum(refs) - 1]  # all references of an item have one doc_id
         found = np.zeros((len(order), window - gram + 1), bool)
-        found[order] = repeated(shared, right, left[order], left_size[order], doc, window)
-        refs = np.array([x for r in runs for x in r["refs"]], np.int64)
+        found[order] = repeated(shared, right, left[order], left_size[order], doc[order], window)
         found = np.repeat(found, refs, axis=0)
-        key, at = (np.array([x for r in runs for x in r[c]], np.int64) for c in ("key", "at"))
         edge = np.diff(np.pad(found, ((0, 0), (1, 1))).astype(np.int8), axis=1)
         (item, near), (_, far) = np.nonzero(edge == 1), np.nonzero(edge == -1)
-        return pa.table([pa.array(key[item]), pa.array(at[item] - far + 1), pa.array(at[item] - near + window)], ["key", "lo", "hi"])
+        made = key[item], at[item] - far + 1, at[item] - near + window
+        return pa.table([pa.array(np.concatenate(x)) for x in zip(spans, made, strict=True)], ["key", "lo", "hi"])
 
     return run
 
 
+SPANS = "array<struct<lo:bigint,hi:bigint>>"
+
+
+def _united(batches):
+    """Rows of (key, spans) with the spans in order, those that meet made one."""
+    for batch in batches:
+        spans = batch.column("spans")
+        row = np.repeat(np.arange(len(spans)), np.asarray(pc.list_value_length(spans)))
+        lo, hi = (spans.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("lo", "hi"))
+        # Each row has places of its own in one long line.
+        step = int(hi.max(initial=0)) + 2
+        order = np.argsort(row * step + lo, kind="stable")
+        lo, hi = (row * step + lo)[order], np.maximum.accumulate((row * step + hi)[order])
+        first = np.flatnonzero(np.append(True, lo[1:] > hi[:-1])) if len(lo) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(lo))[: len(first)] - 1
+        of = lo[first] // step
+        structs = pa.StructArray.from_arrays([pa.array(lo[first] - of * step), pa.array(hi[last] - of * step)], ["lo", "hi"])
+        ends = np.searchsorted(of, np.arange(len(spans) + 1))
+        yield pa.RecordBatch.from_arrays([batch.column("key"), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), structs)], ["key", "spans"])
+
+
 def _kept(with_bytes: bool):
     def run(batches):
         for batch in batches:
@@ -437,23 +500,25 @@ def remove_copies(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_
         rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("key"), "text")
         least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
         size = docs.agg(F.sum(F.octet_length(empty_text()))).first()[0] or 0
-        parts = max(least, 2 * size // ((window - gram + 2) * sizes.part_grams))
-        grams = rows.where(F.octet_length("text") >= window).select("key", "text").mapInArrow(_gram_runs(window, gram, parts, sizes), GRAMS)
+        expected = 2 * size // (window - gram + 2)
+        parts, bits = max(least, expected // sizes.part_grams), min(60, expected.bit_length() + 9)
+        grams = rows.where(F.octet_length("text") >= window).select("key", "text").mapInArrow(lean(_gram_runs(window, gram, bits, parts, sizes)), GRAMS)
         marks = saved(grams.groupBy("part").applyInArrow(_counted(parts, sizes), "key long, gram long, hot boolean"), "grams")
         hot = saved(marks.where("key is null").select("gram").withColumn("is_hot", F.lit(True)), "hot")
         apart = met(marks.where("hot is null").select("key", "gram"), hot, "gram", "left").select("key", "gram", F.coalesce("is_hot", F.lit(False)).alias("hot"))
         marks = marks.where("key is not null and hot is not null").unionByName(apart)
         per = marks.groupBy("key").agg(F.collect_list(F.when(~F.col("hot"), F.col("gram"))).alias("few"), F.collect_list(F.when(F.col("hot"), F.col("gram"))).alias("hot"))
-        per = saved(per, "marks")
-        n = per.agg(F.sum(F.size("few")) + (window - gram) * F.sum(F.size("hot"))).first()[0] or 0
+        n = marks.agg(F.sum(F.when(F.col("hot"), window - gram).otherwise(1))).first()[0] or 0
         buckets = max(least, n // sizes.bucket_items)
-        runs = rows.select("key", "doc", "text").join(per, "key").mapInArrow(_sorted_runs(window, gram, buckets, sizes), ITEMS)
-        runs = saved(runs, "runs")
-        spans = runs.where("bucket is not null").groupBy("bucket").applyInArrow(_merged(window, gram), "key long, lo long, hi long")
-        spans = spans.unionByName(runs.where("bucket is null").select(F.element_at("key", 1).alias("key"), "lo", "hi"))
-        spans = saved(spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")), "spans", keep=True)
+        runs = rows.select("key", "doc", "text").join(per, "key").mapInArrow(lean(_sorted_runs(window, gram, bits, buckets, sizes)), ITEMS)
+        spans = runs.groupBy("bucket").applyInArrow(_merged(window, gram), "key long, lo long, hi long")
+        spans = spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).mapInArrow(_united, f"key long, spans {SPANS}")
+        spans = saved(spans, "spans", keep=True)
+    n = spans.agg(F.count("*") + F.sum(F.size("spans"))).first()[0] or 0
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
-    return met(rows.select("doc_id", "key", "text"), spans, "key", "left").mapInArrow(_kept(with_bytes), schema)
+    # Spans are broadcast by the number of spans, not of rows.
+    rows = rows.select("doc_id", "key", "text").join(F.broadcast(spans) if n <= BROADCAST_ROWS else spans, "key", "left")
+    return rows.mapInArrow(lean(_kept(with_bytes)), schema)
 
 
 def op13_lcp_merge_sort(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -177,7 +177,7 @@ SMALL = suffix_dedup.Sizes(run_grams=300, run_items=60, part_grams=200, bucket_i
 
 
 @pytest.mark.parametrize("sizes", [suffix_dedup.Sizes(), SMALL, SMALL._replace(hot=3, listed=1), SMALL._replace(hot=1, listed=0), SMALL._replace(listed=2)])
-@pytest.mark.parametrize(("window", "gram"), [(12, 5), (50, 24), (8, 8)])
+@pytest.mark.parametrize(("window", "gram"), [(12, 5), (50, 16), (8, 8)])
 def test_suffixes(spark, sizes, window, gram):
     """Passages with other surroundings, near copies, periodic texts, null bytes, other scripts, shared and missing ids, repeats."""
     rnd = random.Random(8)
