@@ -25,7 +25,8 @@ ARITY, LEVELS = 8, 3
 BLOCK = ARITY**LEVELS
 #: Columns of a document that its leaf holds.
 HELD = ("doc_id", "source", "lang", "n_chars", "text")
-PATH = "array<array<string>>"
+#: Digests are hex text where they are hashed, and bytes in paths.
+PATH = "array<array<binary>>"
 STEPS = f"array<struct<at:bigint,path:{PATH}>>"
 
 
@@ -75,14 +76,14 @@ def folded(leaf: str, steps: list[dict]) -> str:
     for step in steps:
         at = step["at"]
         for siblings in step["path"]:
-            k = at % ARITY
-            leaf, at = digest([*siblings[:k], leaf, *siblings[k:]]), at // ARITY
+            k, others = at % ARITY, [x.hex() for x in siblings]
+            leaf, at = digest([*others[:k], leaf, *others[k:]]), at // ARITY
     return leaf
 
 
 def _blocks(batches):
     """Rows of leaves with their paths in their blocks, and a row of each block (with no at) with its root; rows come in order."""
-    schema = pa.schema([("grp", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("at", pa.int64()), ("row", pa.int64()), ("path", pa.list_(pa.list_(pa.string()))), ("root", pa.string())])
+    schema = pa.schema([("grp", pa.string()), ("block", pa.int64()), ("n", pa.int64()), ("at", pa.int64()), ("row", pa.int64()), ("path", pa.list_(pa.list_(pa.binary()))), ("root", pa.string())])
 
     def made(key, rows):
         block = Block()
@@ -90,7 +91,8 @@ def _blocks(batches):
             block.append(r["node"])
         grp, number, n = key
         root = block.finish(n <= BLOCK)
-        out = [(grp, number, n, r["at"], r["row"], p, None) for r, p in zip(rows, block.paths, strict=True)]
+        paths = [[[bytes.fromhex(x) for x in level] for level in p] for p in block.paths]
+        out = [(grp, number, n, r["at"], r["row"], p, None) for r, p in zip(rows, paths, strict=True)]
         out.append((grp, number, n, None, None, None, root))
         return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
@@ -179,7 +181,7 @@ def manifest(rows: DataFrame) -> DataFrame:
 def _verified(batches):
     for batch in batches:
         leaves, changed, steps = (batch.column(c).to_pylist() for c in ("leaf", "changed", "steps"))
-        proof = [digest([x for s in w for siblings in s["path"] for x in siblings]) for w in steps]
+        proof = [digest([x.hex() for s in w for siblings in s["path"] for x in siblings]) for w in steps]
         back = [folded(a if b is None else b, w) for a, b, w in zip(leaves, changed, steps, strict=True)]
         names = ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified"]
         same = [a == b for a, b in zip(back, batch.column("root").to_pylist(), strict=True)]

@@ -1,7 +1,7 @@
 """Byte strings that an earlier document has, by a sparse suffix array sorted over all tasks.
 
 A window is 50 consecutive bytes of one document.  Its anchor is the 16-byte gram of smallest hash in it, so equal windows have equal
-anchors at equal places.  Only suffixes that start at anchors are sorted, each with the bytes to its left that
+anchors at equal places.  Equal texts are one, of their smallest doc_id.  Only suffixes that start at anchors are sorted, each with the bytes to its left that
 windows may reach.  Four steps:
 
 1. Which grams occur in two documents: each task's grams go out as sorted, difference-coded hashes and are counted.
@@ -21,6 +21,7 @@ suffixes but loses none.
 """
 from __future__ import annotations
 
+import gc
 import hashlib
 import zlib
 from collections.abc import Iterator
@@ -334,6 +335,7 @@ def _sorted_runs(window: int, gram: int, bits: int, buckets: int, sizes: Sizes):
             yield _item_rows(rows[k : k + 100])
 
     def run(batches):
+        gc.disable()  # many small tuples, no cycles
         few, hot, size = {}, {}, 0
         for batch, i, data, bounds, owner, (hashes, at, lo, hi) in _located(batches, window, gram):
             n, ids = len(bounds) - 1, gram_ids(hashes, bits)
@@ -351,6 +353,7 @@ def _sorted_runs(window: int, gram: int, bits: int, buckets: int, sizes: Sizes):
                 yield from emitted(few, hot)
                 few, hot, size = {}, {}, 0
         yield from emitted(few, hot)
+        gc.enable()
 
     return run
 
@@ -499,10 +502,16 @@ def remove_copies(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_
         rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
         rows = rows.select("doc_id", F.coalesce("doc_id", F.lit(LAST)).alias("doc"), F.xxhash64("doc_id", "text").alias("key"), "text")
         least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        size = docs.agg(F.sum(F.octet_length(empty_text()))).first()[0] or 0
+        rows = rows.withColumn("digest", F.sha2("text", 256))
+        texts = rows.where(F.octet_length("text") >= window).groupBy("digest").agg(F.min("doc").alias("least"), F.count("*").alias("n"), F.first(F.octet_length("text")).cast("long").alias("size"))
+        size = texts.agg(F.sum("size")).first()[0] or 0
+        firsts = saved(texts.where("n > 1").select("digest", "least"), "firsts")
+        owned = met(rows, firsts, "digest", "left")
+        copies = owned.where("doc > least").select("key", F.lit(0).cast("long").alias("lo"), F.octet_length("text").cast("long").alias("hi"))
+        rest = owned.where(F.coalesce(F.col("doc") == F.col("least"), F.lit(True)))
         expected = 2 * size // (window - gram + 2)
         parts, bits = max(least, expected // sizes.part_grams), min(60, expected.bit_length() + 9)
-        grams = rows.where(F.octet_length("text") >= window).select("key", "text").mapInArrow(lean(_gram_runs(window, gram, bits, parts, sizes)), GRAMS)
+        grams = rest.where(F.octet_length("text") >= window).select("key", "text").mapInArrow(lean(_gram_runs(window, gram, bits, parts, sizes)), GRAMS)
         marks = saved(grams.groupBy("part").applyInArrow(_counted(parts, sizes), "key long, gram long, hot boolean"), "grams")
         hot = saved(marks.where("key is null").select("gram").withColumn("is_hot", F.lit(True)), "hot")
         apart = met(marks.where("hot is null").select("key", "gram"), hot, "gram", "left").select("key", "gram", F.coalesce("is_hot", F.lit(False)).alias("hot"))
@@ -510,9 +519,9 @@ def remove_copies(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, with_
         per = marks.groupBy("key").agg(F.collect_list(F.when(~F.col("hot"), F.col("gram"))).alias("few"), F.collect_list(F.when(F.col("hot"), F.col("gram"))).alias("hot"))
         n = marks.agg(F.sum(F.when(F.col("hot"), window - gram).otherwise(1))).first()[0] or 0
         buckets = max(least, n // sizes.bucket_items)
-        runs = rows.select("key", "doc", "text").join(per, "key").mapInArrow(lean(_sorted_runs(window, gram, bits, buckets, sizes)), ITEMS)
+        runs = rest.select("key", "doc", "text").join(per, "key").mapInArrow(lean(_sorted_runs(window, gram, bits, buckets, sizes)), ITEMS)
         spans = runs.groupBy("bucket").applyInArrow(_merged(window, gram), "key long, lo long, hi long")
-        spans = spans.groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).mapInArrow(_united, f"key long, spans {SPANS}")
+        spans = spans.unionByName(copies).groupBy("key").agg(F.collect_set(F.struct("lo", "hi")).alias("spans")).mapInArrow(_united, f"key long, spans {SPANS}")
         spans = saved(spans, "spans", keep=True)
     n = spans.agg(F.count("*") + F.sum(F.size("spans"))).first()[0] or 0
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_bytes else "")
