@@ -20,8 +20,22 @@ BRANCH_BEFORE = rf"(?U)第\s*({CN})\s*之\s*({CN})\s*條"
 ROC_DAY = r"(?U)民國\s*(\d+)\s*年\s*(\d+)\s*月\s*(\d+)\s*日"
 ROC_MONTH = r"(?U)民國\s*(\d+)\s*年\s*(\d+)\s*月"
 ROC_YEAR = r"(?U)民國\s*(\d+)\s*年"
+#: How statutes stand in the lines and the heading block of a decision.
+RELATED_START, RELATED_END, RELATED_END_SHORT = r"(?U)相關法條[：:]\s*$", r"(?U)^\s*全\s*文", r"(?U)^\s*全"
 STATUTE_LINE = r"(?U)(.+?法|.+?條例|.+?規則|.+?辦法)\s*第\s*([\d、,\s]+)\s*條"
 
+#: Headings of a decision's sections, the labels of rulings, names of courts and numbers of rulings.
+SECTION_HEADS = {"main_text": "主文", "facts": "事實", "reasons": "理由"}
+STATUTE_TITLE = r"(?U)法規名稱[：:]\s*([^\n]+)"
+AUTHORITY = r"(?U)(法務部|內政部|行政院[^\s]*|[^\s]+部)"
+LETTER_NO = r"(?U)(法律字第\s*[\d]+\s*號|[一-\u9fff]*字第\s*[\d]+\s*號)"
+LETTER_DATE = r"(?U)(民國\s*\d+\s*年\s*\d+\s*月\s*\d+\s*日)"
+LETTER_SUMMARY = r"(?U)要\s*旨[：:]?\s*\n?\s*([^\n]+)"
+COURT = r"(?U)(最高行政法院|臺北高等行政法院|高雄高等行政法院|臺灣[^\s]+法院|司法院|釋字)"
+RULING_NO = r"(?U)(\d+\s*年度[^\-]*?號|第\s*\d+\s*號解釋)"
+#: Markdown marks that are taken out of a model's text, with what stays of them.
+MARKDOWN = [(r"\*\*([^\n]+?)\*\*", "$1"), (r"(?m)^#{1,6}\s*", ""), (r"(?m)^\s*[-*]\s+", "")]
+
 
 def strip(c: Column) -> Column:
     """Without Unicode white space at both ends."""
@@ -101,9 +115,9 @@ def roc_year(c: Column) -> Column:
 
 
 def base_name(c: Column) -> Column:
-    """A path's last part without its PDF suffixes, copies' included."""
+    """A path's last part without the suffix of its file type, that of a copy included."""
     name = F.element_at(F.split(c, "/"), -1)
-    return F.regexp_replace(F.regexp_replace(name, r"\.pdf( 的副本)?\.pdf$", ""), r"\.pdf$", "")
+    return F.regexp_replace(F.regexp_replace(name, r"\.pdf( 的副本)?\.pdf$", ""), r"\.[A-Za-z][A-Za-z0-9]{0,4}$", "")
 
 
 def file_hint(c: Column) -> Column:
@@ -211,50 +225,58 @@ def scrubbed(c: Column) -> Column:
     stop = F.transform(lines, lambda x: F.lower(x).rlike("|".join(re.escape(w.lower()) for w in STOPS)))
     at = F.array_position(stop, True)
     kept = F.array_join(F.when(at > 0, F.slice(lines, F.lit(1), (at - 1).cast("int"))).otherwise(lines), "\n")
-    for pattern, to in ((r"\*\*([^\n]+?)\*\*", "$1"), (r"(?m)^#{1,6}\s*", ""), (r"(?m)^\s*[-*]\s+", ""), ("\n{3,}", "\n\n")):
+    for pattern, to in (*MARKDOWN, ("\n{3,}", "\n\n")):
         kept = F.regexp_replace(kept, pattern, to)
     return strip(kept)
 
 
 def statute_title(first_page: Column, path: Column) -> Column:
     """A statute's name from its first page, else from its file name."""
-    title = F.regexp_replace(strip(first_match(first_page, r"(?U)法規名稱[：:]\s*([^\n]+)")), r"(?U)\s*EN\s*$", "")
+    title = F.regexp_replace(strip(first_match(first_page, STATUTE_TITLE)), r"(?U)\s*EN\s*$", "")
     return F.coalesce(title, base_name(path))
 
 
 def related_lines(c: Column) -> Column:
-    """The statute lines of the block between 相關法條 and 全文; an empty array without one."""
-    block = F.coalesce(first_match(c, r"(?Us)相關法條[：:]\s*\n(.*?)\n\s*全\s*文"), first_match(c, r"(?Us)相關法條[：:]\s*\n(.*?)\n\s*全"), F.lit(""))
-    return F.filter(F.transform(F.split(block, "\n"), tidy), lambda x: x != "")
+    """The statute lines between a line that ends in 相關法條： and the next that starts with 全文, or else with 全; none without both."""
+    lines = F.split(F.coalesce(c, F.lit("")), "\n")
+    where = lambda pattern, at: F.array_position(F.transform(at, lambda x: x.rlike(pattern)), True)
+    begin = where(RELATED_START, lines).cast("int")
+    rest = F.slice(lines, begin + 1, F.size(lines))
+    end = F.coalesce(*[F.nullif(where(p, rest), F.lit(0)) for p in (RELATED_END, RELATED_END_SHORT)], F.lit(1)).cast("int")
+    block = F.when(begin > 0, F.slice(rest, F.lit(1), end - 1)).otherwise(F.array().cast("array<string>"))
+    return F.filter(F.transform(block, tidy), lambda x: x != "")
 
 
 def three_sections(c: Column) -> Column:
-    """struct(main_text, facts, reasons): the text behind each heading that stands alone in a line, up to the next one."""
-    heads = {"main_text": "主文", "facts": "事實", "reasons": "理由"}
-    any_head = "|".join(r"\s*".join(h) for h in heads.values())
-    one = lambda h: tidy(F.regexp_extract(c, rf"(?Us)\n\s*{r'\s*'.join(h)}\s*\n(.*?)(?=\n\s*(?:{any_head})\s*\n|\z)", 1))
-    has = lambda h: c.rlike(rf"(?U)\n\s*{r'\s*'.join(h)}\s*\n")
-    return F.struct(*[F.when(has(h), one(h)).alias(k) for k, h in heads.items()])
+    """struct(main_text, facts, reasons): the text behind the first line that is a section's heading, up to the next such first line.
+
+    A heading that comes again is text of the section it stands in.
+    """
+    found = {}
+    for name, head in SECTION_HEADS.items():
+        pattern = rf"(?Us)\A(.*?)(\n\s*{r'\s*'.join(head)}\s*\n)"
+        before, line = F.regexp_extract(c, pattern, 1), F.regexp_extract(c, pattern, 2)
+        found[name] = F.when(line != "", F.struct(F.length(before).alias("start"), (F.length(before) + F.length(line)).alias("end")))
+    starts = F.array_compact(F.array(*[x["start"] for x in found.values()]))
+
+    def section(x: Column) -> Column:
+        stop = F.coalesce(F.array_min(F.filter(starts, lambda s: s > x["start"])), F.length(c))
+        return F.when(x.isNotNull(), tidy(F.substring(c, x["end"] + 1, F.greatest(stop - x["end"], F.lit(0)))))
+
+    return F.struct(*[section(x).alias(name) for name, x in found.items()])
 
 
 def interpretation_fields(text: Column) -> Column:
     """struct(issuing_authority, doc_no, doc_date, summary) of an administrative interpretation."""
-    return F.struct(
-        tidy(first_match(text, r"(?U)(法務部|內政部|行政院[^\s]*|[^\s]+部)")).alias("issuing_authority"),
-        tidy(first_match(text, r"(?U)(法律字第\s*[\d]+\s*號|[一-\u9fff]*字第\s*[\d]+\s*號)")).alias("doc_no"),
-        tidy(first_match(text, r"(?U)(民國\s*\d+\s*年\s*\d+\s*月\s*\d+\s*日)")).alias("doc_date"),
-        tidy(first_match(text, r"(?U)要\s*旨[：:]?\s*\n?\s*([^\n]+)")).alias("summary"),
-    )
+    fields = {"issuing_authority": AUTHORITY, "doc_no": LETTER_NO, "doc_date": LETTER_DATE, "summary": LETTER_SUMMARY}
+    return F.struct(*[tidy(first_match(text, p)).alias(name) for name, p in fields.items()])
 
 
 def precedent_fields(path: Column) -> Column:
     """struct(doc_id, court, case_no, topic) of a ruling, from its file name."""
-    name = F.regexp_replace(F.element_at(F.split(path, "/"), -1), r"\.pdf( 的副本)?\.pdf$", "")
-    return F.struct(
-        name.alias("doc_id"), tidy(first_match(name, r"(?U)(最高行政法院|臺北高等行政法院|高雄高等行政法院|臺灣[^\s]+法院|司法院|釋字)")).alias("court"),
-        tidy(first_match(name, r"(?U)(\d+\s*年度[^\-]*?號|第\s*\d+\s*號解釋)")).alias("case_no"),
-        F.when(name.contains("-"), tidy(F.substring(name, F.instr(name, "-") + 1, F.length(name)))).alias("topic"),
-    )
+    name = base_name(path)
+    topic = F.when(name.contains("-"), tidy(F.substring(name, F.instr(name, "-") + 1, F.length(name))))
+    return F.struct(name.alias("doc_id"), tidy(first_match(name, COURT)).alias("court"), tidy(first_match(name, RULING_NO)).alias("case_no"), topic.alias("topic"))
 
 
 def joined(*parts: Column) -> Column:

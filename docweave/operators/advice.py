@@ -1,6 +1,7 @@
 """Statutes, references and alerts for many appeals at once.
 
-Every function takes and gives tables keyed by query_id, so one job answers all appeals.  An article is (name, num).
+Every function takes and gives tables keyed by query_id, so one job answers all appeals.  An article is (name, num), num being
+its key with its branch, such as 27-1.  Wordings of alerts and drafts are fixed values.
 """
 from __future__ import annotations
 
@@ -36,12 +37,12 @@ def fused(cases: DataFrame, words: DataFrame, parents: DataFrame, procedural: Co
     return sums.select(*KEY, F.round(risen * F.when(procedural, w_procedural).otherwise(1.0), 4).alias("score"))
 
 
-def recommend(scores: DataFrame, known: DataFrame, k: int = 6) -> DataFrame:
+def recommend(scores: DataFrame, known: DataFrame, k: int = 6, place: str = "doc_id") -> DataFrame:
     """The k best articles of each query among those that known(name, num, ...) has, with its other columns and rank from 1.
 
-    What has no source text is dropped before the k are taken; of two sources the last doc_id counts.
+    What has no source text is dropped before the k are taken; of two sources the last by `place` counts.
     """
-    last = known.groupBy("name", "num").agg(F.max_by(F.struct(*[c for c in known.columns if c not in ("name", "num")]), "doc_id").alias("x")).select("name", "num", "x.*")
+    last = known.groupBy("name", "num").agg(F.max_by(F.struct(*[c for c in known.columns if c not in ("name", "num")]), place).alias("x")).select("name", "num", "x.*")
     found = scores.join(last, ["name", "num"]).withColumn("tie", F.struct("name", "num"))
     return top(found, ["query_id"], "score", "tie", k).drop("tie")
 

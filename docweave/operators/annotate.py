@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docweave.functions import rules as R
-from docweave.functions.text import article_key, file_hint, first_match, roc_date, strip
+from docweave.functions.text import CN, article_key, file_hint, first_match, roc_date, strip
 
 from .segment import EXTRACTION, SPAN, bare
 
@@ -17,7 +17,7 @@ FIELDS = {
     "appellant": (r"(?U)訴願人[：\s]+([^\s，,、]+)", 0.6), "original_authority": (r"(?U)原處分機關[：\s]+([^\s，,、]+)", 0.6),
 }
 #: A cited article behind a statute's name, the branch before or behind 條.
-CITED = r"第\s*(?:\d+(?:-\d+)?|[一二三四五六七八九十百千零]+(?:之[一二三四五六七八九十百千零]+)?)\s*條"
+CITED = rf"第\s*(?:\d+(?:-\d+)?|{CN}(?:之{CN})?)\s*條"
 LOW_TEXT = 20
 
 

@@ -3,9 +3,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from docweave.sources.shared import written
+
 TOKEN = r"[^\x20\x09-\x0D]+"
 #: Characters that are tokens in pairs, as nothing parts words there.
 HAN = r"[㐀-䶿一-鿿]"
@@ -35,7 +37,7 @@ def statistics(docs: DataFrame, split=words) -> tuple[DataFrame, DataFrame]:
     """
     # Words are counted without being made, where a pattern tells them.
     length = F.regexp_count("text", F.lit(TOKEN)) if split is words else F.size(split(F.col("text")))
-    ends = docs.agg(F.count("*").alias("n"), (F.coalesce(F.sum(length), F.lit(0)) / F.count("*")).alias("avgdl"))
+    ends = docs.agg(F.count("*").alias("n"), F.try_divide(F.coalesce(F.sum(length), F.lit(0)), F.count("*")).alias("avgdl"))
     terms = docs.select(F.explode(F.array_distinct(split(F.col("text")))).alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     mean = terms.join(F.broadcast(ends), how="cross").agg(F.count("*").alias("n_terms"), F.avg(idf).alias("mean_idf"))
@@ -110,8 +112,8 @@ CHUNK = "ids array<long>, vectors array<array<double>>, hits array<array<struct<
 
 
 def _unit(rows: list, dim: int) -> np.ndarray:
-    """Unit vectors; zeros where a vector is missing."""
-    v = np.array([[0.0] * dim if x is None else x for x in rows], np.float64).reshape(len(rows), dim)
+    """Unit vectors; zeros where a vector is missing or of another length than the queries' longest."""
+    v = np.array([x if x is not None and len(x) == dim else [0.0] * dim for x in rows], np.float64).reshape(len(rows), dim)
     return v / (np.sqrt((v * v).sum(1, keepdims=True)) + 1e-9)
 
 
@@ -189,28 +191,36 @@ def hybrid_top(scores: DataFrame, vectors: DataFrame, asked: DataFrame, k: int,
     return top(j.select("query_id", "doc_id", F.round(h, 6).alias("hybrid")), ["query_id"], "hybrid", "doc_id", k)
 
 
+def word_top(scores: DataFrame, ids: DataFrame, queries: DataFrame, n: int, k: int) -> DataFrame:
+    """(query_id, doc_id, score, rank): the k best documents of each query by words alone, scaled over the whole index.
+
+    scores(query_id, doc_id, score) holds the hits, ids(doc_id) all n documents.  One without a hit has score 0; of those only the
+    smallest ids can be needed, so they are added to queries with fewer than k hits above 0, and no other pair is made.
+    """
+    of = scores.groupBy("query_id").agg(F.count("*").alias("hits"), F.count_if(F.col("score") > 0).alias("good"), F.min("score").alias("least"), F.max("score").alias("most"))
+    per = queries.select("query_id").distinct().join(of, "query_id", "left").fillna(0, ["hits", "good"])
+    poor = per.where(F.col("good") < k).select("query_id", "hits")
+    # Among so many smallest ids, k have no hit of a query that has `hits`.
+    most = poor.agg(F.max("hits")).first()[0]
+    rows = scores.select("query_id", "doc_id", "score")
+    if most is not None:
+        first = ids.select("doc_id").orderBy("doc_id").limit(k + most).agg(F.array_sort(F.collect_list("doc_id")).alias("first"))
+        rest = poor.join(F.broadcast(first)).select("query_id", F.explode("first").alias("doc_id")).join(scores, ["query_id", "doc_id"], "left_anti")
+        rest = top(rest.withColumn("score", F.lit(0.0)), ["query_id"], "score", "doc_id", k).drop("rank")
+        rows = rows.unionByName(rest)
+    all_hit = F.col("hits") == n
+    ends = per.select("query_id", F.when(all_hit, F.col("least")).otherwise(F.least(F.lit(0.0), "least")).alias("sl"), F.when(all_hit, F.col("most")).otherwise(F.greatest(F.lit(0.0), "most")).alias("sh"))
+    made = rows.join(ends, "query_id").select("query_id", "doc_id", F.round(scaled("score", "sl", "sh"), 6).alias("score"))
+    return top(made, ["query_id"], "score", "doc_id", k)
+
+
 def search(docs: DataFrame, queries: DataFrame, k: int, alpha: float = 0.5, split=words, vectors: bool = True) -> DataFrame:
     """(query_id, doc_id, score, rank): docs(doc_id, text[, embedding]) for queries(query_id, text[, q]).
 
-    Without vectors on either side, or with vectors=False, BM25 alone ranks, scaled over the index.
+    Without vectors on either side, or with vectors=False, BM25 alone ranks, scaled over the index.  Hits are written to the
+    shared folder once, as their ends and their ranks both read them.
     """
-    has = vectors and "embedding" in docs.columns and "q" in queries.columns
-    index = docs.select("doc_id", "embedding") if has else docs.select("doc_id", F.lit(None).cast("array<double>").alias("embedding"))
-    asked = queries.select("query_id", "q") if has else queries.select("query_id", F.lit(None).cast("array<double>").alias("q"))
-    return hybrid_top(bm25(docs, queries, split=split), index, asked, k, alpha).withColumnRenamed("hybrid", "score")
-
-
-def save_index(docs: DataFrame, folder: str, split=words) -> None:
-    """Write an index: its documents, and the statistics that searches need of all of them."""
-    terms, totals = statistics(docs, split)
-    for name, df in (("docs", docs), ("terms", terms), ("totals", totals)):
-        df.write.mode("overwrite").parquet(f"{folder}/{name}")
-
-
-def load_index(spark: SparkSession, folder: str) -> tuple[DataFrame, tuple[DataFrame, DataFrame]] | None:
-    """(docs, statistics) of a saved index, or None where there is none."""
-    place = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/totals/_SUCCESS")
-    if not place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
-        return None
-    docs, terms, totals = (spark.read.parquet(f"{folder}/{n}") for n in ("docs", "terms", "totals"))
-    return docs, (terms, totals)
+    hits = written(bm25(docs, queries, split=split), "hits")
+    if not (vectors and "embedding" in docs.columns and "q" in queries.columns):
+        return word_top(hits, docs, queries, docs.count(), k)
+    return hybrid_top(hits, docs.select("doc_id", "embedding"), queries.select("query_id", "q"), k, alpha).withColumnRenamed("hybrid", "score")

@@ -4,14 +4,18 @@ A query takes (spark, sf_dir) and reads whole tables.  Computed columns have one
 """
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from docweave.functions import text as T
 from docweave.operators import advice, annotate, cases, checks, chunks, segment
 from docweave.operators import lines as L
+from docweave.operators import postings as P
 from docweave.operators import retrieval as R
 from docweave.operators import spans as S
+from docweave.sources.shared import folder, written
 
 QUERIES: dict = {}
 ORACLE: dict[str, str] = {}
@@ -159,7 +163,7 @@ def uncovered_lines(t) -> DataFrame:
     return _sections(t).where("section = 0").select("doc_id", "n_lines")
 
 
-@query(f"with {_SECTIONS} select doc_id, cast(section as bigint) as section, count(*) as n_spans, cast(0 as bigint) as bad_spans, true as same from marked group by 1, 2")
+@query(f"with {_SECTIONS}, spans as (select doc_id, section, line_no, 0 as lo, length(line) as hi from marked), quotes as (select doc_id, section, string_agg(line, chr(10) order by line_no) as quote from marked group by 1, 2) select doc_id, cast(section as bigint) as section, count(*) as n_spans, count(*) filter (where not (0 <= lo and lo <= hi and hi <= length(line))) as bad_spans, string_agg(substr(line, lo + 1, hi - lo), chr(10) order by line_no) = any_value(quote) as same from (select s.*, l.line, q.quote from spans s join lines l using (doc_id, line_no) join quotes q using (doc_id, section)) group by 1, 2")
 def quote_rebuild(t) -> DataFrame:
     return S.rebuilt(_sections(t), L.lines(t("documents")))
 
@@ -183,7 +187,11 @@ def first_heading_sections(t) -> DataFrame:
 #: Paragraphs of the test documents start with a capital, their sentences end with these signs.
 PARAGRAPH, SENTENCE_ENDS = "^[A-Z]", ".!?"
 _SAID = "regexp_matches({}, '[^ \\t\\n\\r\\f\\v]')"
-_PIECES = f"""l as (select doc_id, text, string_split(text, chr(10)) as ls from documents where text is not null),
+
+
+def _pieces(docs: str) -> str:
+    """Tables of which `pieces`(doc_id, piece, chunk) are the chunks of docs, SQL that gives doc_id and text."""
+    return f"""l as (select doc_id, text, string_split(text, chr(10)) as ls from {docs} where text is not null),
 c as (select *, list_filter(generate_series(1, len(ls)), lambda i: i = 1 or regexp_matches(ls[i], '^\\s*[A-Z]')) as cuts from l),
 f as (select doc_id, text, list_transform(generate_series(1, len(cuts)), lambda k: array_to_string(ls[cuts[k] : coalesce(cuts[k + 1], len(ls) + 1) - 1], chr(10))) as fs from c),
 s as (select doc_id, text, list_transform(fs, lambda x: {{'open': x, 'done': case when length(x) > 1200 then list_transform(list_filter(regexp_extract_all(x, '[^.!?]*[.!?]|[^.!?]+'), lambda y: {_SAID.format('y')}), lambda y: {{'open': y, 'done': cast([] as varchar[])}}) else [] end}}) as fs from f),
@@ -197,10 +205,25 @@ pieces as (select doc_id, unnest(ps) as piece, unnest(generate_series(1, len(ps)
  (select doc_id, case when length(text) <= 800 then [text] when {_SAID.format('z.open')} then list_append(z.done, z.open) else z.done end as ps from r))"""
 
 
+_PIECES = _pieces("documents")
+
+
 @query(f"with {_PIECES} select doc_id, cast(chunk as bigint) as chunk, cast(length(piece) as bigint) as n_chars, md5(piece) as text_md5 from pieces")
 def chunk_greedy(t) -> DataFrame:
-    rows = t("documents").where("text is not null").select("doc_id", F.posexplode(chunks.pieces(F.col("text"), PARAGRAPH, SENTENCE_ENDS)).alias("chunk", "piece"))
-    return rows.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.length("piece").cast("long").alias("n_chars"), F.md5("piece").alias("text_md5"))
+    rows = chunks.pieces(t("documents").where("text is not null").select("doc_id", "text"), "text", PARAGRAPH, SENTENCE_ENDS)
+    return rows.select("doc_id", F.col("chunk_no").cast("long").alias("chunk"), F.length("piece").cast("long").alias("n_chars"), F.md5("piece").alias("text_md5"))
+
+
+@query(f"with {_PIECES} select doc_id, cast(chunk as bigint) as chunk, cast(length(piece) as bigint) as n_chars, md5(piece) as rebuilt_md5 from pieces")
+def chunk_spans(t) -> DataFrame:
+    """Every chunk put together again from its own spans and the lines that they name."""
+    d = t("documents").where("text is not null").select(F.col("doc_id").cast("string").alias("document_id"), "text")
+    lines = d.select("document_id", F.posexplode(F.split("text", "\n")).alias("line", "text")).withColumn("page", F.lit(1))
+    span = lambda x, i: F.struct(F.col("document_id"), F.lit(segment.EXTRACTION).alias("extraction_version"), F.lit(1).alias("page"), i.alias("line"), F.lit(0).alias("char_start"), F.length(x).alias("char_end"))
+    sections = d.select(F.col("document_id").alias("section_id"), "document_id", F.lit("unsectioned").alias("section_type"), F.col("text").alias("quote_text"), F.transform(F.split("text", "\n"), span).alias("source_spans"))
+    made = written(chunks.make_chunks(sections, PARAGRAPH, SENTENCE_ENDS).select("chunk_id", "document_id", "chunk_no", "char_count", "own_spans"), "chunks")
+    got = made.select("chunk_id", "document_id", "chunk_no", "char_count").join(chunks.rebuilt(made, lines), "chunk_id")
+    return got.select(F.col("document_id").cast("long").alias("doc_id"), F.col("chunk_no").cast("long").alias("chunk"), F.col("char_count").cast("long").alias("n_chars"), F.md5("text").alias("rebuilt_md5"))
 
 
 @query(f"""with {_LINES}, m as (select doc_id, line_no, nullif(regexp_extract(line, '[Ll]icensed under the ([A-Za-z .0-9-]+)', 1), '') as lic, nullif(regexp_extract(line, '([A-Za-z0-9._]+@[a-z0-9.]+)', 1), '') as mail from lines)
@@ -248,6 +271,15 @@ def bm25_topk(t) -> DataFrame:
     return R.top(found, ["query_id"], "score", "doc_id", 10)
 
 
+@query(f"with {_bm25_sql(_ITEMS)} select query_id, doc_id, score, cast(rank as integer) as rank from (select *, row_number() over (partition by query_id order by score desc, doc_id) as rank from sc) where rank <= 10")
+def postings_topk(t) -> DataFrame:
+    """The same from an index on disk, of which only the lists that can matter are read."""
+    docs = t("documents").select("doc_id", "text")
+    place = f"{folder(docs.sparkSession)}/index-{uuid.uuid4().hex[:12]}"
+    P.save(docs, place)
+    return P.search(P.load(docs.sparkSession, place), t("benchmark").select(F.col("item_id").alias("query_id"), "text"), 10)
+
+
 @query(f"with {_index()} select term, df, cf from df join (select term, count(*) as cf from tok group by 1) using (term)")
 def bm25_stats(t) -> DataFrame:
     tf = R.tokens(t("documents"), "doc_id").groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
@@ -416,23 +448,24 @@ def _near(t, k: int) -> DataFrame:
     asked = v.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("embedding").alias("q"))
     none = v.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
     found = R.hybrid_top(none, v, asked, k + 1, alpha=1.0).where("query_id <> doc_id")
-    return R.top(found.select("query_id", "doc_id", F.col("hybrid").alias("score")), ["query_id"], "score", "doc_id", k)
+    return written(R.top(found.select("query_id", "doc_id", F.col("hybrid").alias("score")), ["query_id"], "score", "doc_id", k), "near")
 
 
-def _advice(t) -> DataFrame:
+def _advice(t, near: DataFrame) -> DataFrame:
+    """Recommended words; near is `_near` of 5 or more."""
     d, items = t("documents"), t("benchmark")
     asked = d.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.substring("text", 1, 500).alias("text"))
     known = _cited(items, "item_id").groupBy("name", "num").agg(F.min("item_id").alias("doc_id"))
     cited = _cited(d, "doc_id")
     found = R.search(items.select(F.col("item_id").alias("doc_id"), "text"), asked, 15, vectors=False)
     parents = cited.where("doc_id % 50 = 0").groupBy(F.col("doc_id").alias("query_id")).agg(F.substring(F.min("num"), 1, 2).alias("parent"))
-    scores = advice.fused(advice.case_weights(_near(t, 5), cited), found.join(known, "doc_id").select("query_id", "name", "num", "score"), parents, F.substring("num", 1, 1) == "e")
-    return advice.recommend(scores, known)
+    scores = advice.fused(advice.case_weights(near.where("rank <= 5"), cited), found.join(known, "doc_id").select("query_id", "name", "num", "score"), parents, F.substring("num", 1, 1) == "e")
+    return written(advice.recommend(scores, known), "advice")
 
 
 @query(f"with {_ADVICE} select query_id, name, num, item_id, score, cast(rank as integer) as rank from advice where rank <= 6")
 def statute_recommend(t) -> DataFrame:
-    return _advice(t).select("query_id", "name", "num", F.col("doc_id").alias("item_id"), "score", "rank")
+    return _advice(t, _near(t, 5)).select("query_id", "name", "num", F.col("doc_id").alias("item_id"), "score", "rank")
 
 
 _SIMILAR = f"""{_ADVICE}, qk as (select query_id, num as word from advice where rank <= 6 union select doc_id, word from cited where doc_id % 50 = 0 and doc_id not in (select query_id from advice)),
@@ -446,14 +479,14 @@ sim as (select *, round(0.6 * articles + 0.15 * type + 0.25 * search, 4) as simi
 
 def _similar(t) -> DataFrame:
     d = t("documents")
-    cited = _cited(d, "doc_id")
+    cited, near = written(_cited(d, "doc_id"), "cited"), _near(t, 40)
     procedural = F.substring("key", 1, 1) == "e"
     own = cited.where("doc_id % 50 = 0").select(F.col("doc_id").alias("query_id"), F.col("num").alias("key"))
-    asked = cases.weighted(cases.query_keys(_advice(t).select("query_id", F.col("num").alias("key")), own), procedural)
+    asked = cases.weighted(cases.query_keys(_advice(t, near).select("query_id", F.col("num").alias("key")), own), procedural)
     kind = d.select("doc_id", F.concat_ws(":", "source", "lang").alias("kind"))
     ladder = F.when(F.col("kind_a") == F.col("kind_b"), 1.0).when(F.right("kind_a", F.lit(2)) == F.right("kind_b", F.lit(2)), 0.6).otherwise(0.0)
     queries = kind.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
-    return cases.similar(asked, cases.weighted(cited.select("doc_id", F.col("num").alias("key")), procedural), _near(t, 40), ladder, queries, kind, allowed=F.col("query_id") != F.col("doc_id"))
+    return cases.similar(asked, cases.weighted(cited.select("doc_id", F.col("num").alias("key")), procedural), near, ladder, queries, kind, allowed=F.col("query_id") != F.col("doc_id"))
 
 
 @query(f"with {_SIMILAR} select query_id, doc_id, similarity, round(articles, 3) as articles, round(type, 3) as type, round(search, 3) as search, shared, cast(rank as integer) as rank from similar_docs where rank <= 5")
@@ -565,14 +598,34 @@ def qa_report(t) -> DataFrame:
     return checks.join(F.broadcast(gate))
 
 
-@query(f"""with {_PIECES}, n as (select count(*) as d, (select count(*) from pieces) as c from documents), k as (select count(distinct sha256(text)) as u from documents), ln as (select count(*) as sections from (select doc_id from (select doc_id, unnest(string_split(text, chr(10))) as line from documents) where regexp_matches(line, '[^ \\t\\r]') group by 1))
-select name, passed from (values ('files', true), ('pages', true), ('unique document_id', true), ('unique section_id', true), ('unique chunk_id', true), ('chunk to section', true), ('section to document', true), ('spans legal', true), ('quotes rebuilt', true), ('sub-articles exist', false), ('articles have keys', true), ('uncovered lines reported', true), ('eligibility set', (select d > 0 from n))) v(name, passed)""")
+_RELEASE = f"""{_LINES}, docs as (select doc_id, 1 as page_count, [doc_id] as aliases from documents where text is not null),
+marked as (select *, 0 as lo, length(line) as hi, trim(line) in ('主文', '事實', '理由', '教示') as h from lines), secs as (select doc_id, doc_id || '|' || 1 as section_id, 'decision_header' as kind, cast(null as varchar) as article_key, string_agg(line, chr(10) order by line_no) as quote from marked where not h group by 1),
+{_pieces("(select doc_id, quote as text from secs)")}, chs as (select p.doc_id, s.section_id, s.section_id || '|' || chunk || '|' || sha256(piece) as chunk_id, kind <> 'decision_main_text' as eligible from pieces p left join secs s using (doc_id)),
+built as (select s.doc_id, count(*) filter (where not coalesce(0 <= lo and lo <= hi and hi <= length(line), false)) as bad, coalesce(string_agg(substr(line, lo + 1, hi - lo), chr(10) order by line_no), '') = any_value(quote) as same from secs s left join marked m using (doc_id) group by 1),
+loose as (select count(*) as n from lines l where not exists (select 1 from secs s where s.doc_id = l.doc_id)), expected as (select count(distinct doc_id) as n from documents where text is not null)"""
+
+
+@query(f"""with {_RELEASE}
+select 'files' as name, sum(len(aliases)) = (select n from expected) as passed, 'n=' || sum(len(aliases)) || ' expected=' || (select n from expected) as detail from docs
+union all select 'pages', sum(page_count) = (select n from expected), 'n=' || sum(page_count) || ' expected=' || (select n from expected) from docs
+union all select 'unique document_id', count(*) = count(distinct doc_id), 'n=' || count(*) || ' keys=' || count(distinct doc_id) from docs
+union all select 'unique section_id', count(*) = count(distinct section_id), 'n=' || count(*) || ' keys=' || count(distinct section_id) from secs
+union all select 'unique chunk_id', count(*) = count(distinct chunk_id), 'n=' || count(*) || ' keys=' || count(distinct chunk_id) from chs
+union all select 'chunk to section', count(*) = 0, 'dangling=' || count(*) from chs where section_id is null or section_id not in (select section_id from secs)
+union all select 'section to document', count(*) = 0, 'dangling=' || count(*) from secs where doc_id not in (select doc_id from docs)
+union all select 'spans legal', sum(bad) = 0, 'illegal=' || sum(bad) from built
+union all select 'quotes rebuilt', count(*) filter (where not same) = 0, 'mismatch=' || count(*) filter (where not same) from built
+union all select 'sub-articles exist', count(*) > 0, 'n=' || count(*) from secs where kind = 'statute_article' and contains(article_key, '-')
+union all select 'articles have keys', count(*) = 0, 'without=' || count(*) from secs where kind = 'statute_article' and article_key is null
+union all select 'uncovered lines reported', true, 'n=' || n || ' expected=None' from loose
+union all select 'eligibility set', count(*) = 0, 'unset=' || count(*) from chs where eligible is null""")
 def release_checks(t) -> DataFrame:
     """The documents as a release of one type, without a heading of its grammar: every check but that for sub-articles passes."""
     d = t("documents").where("text is not null").select(F.col("doc_id").cast("string").alias("document_id"), "text")
     lines = L.lines(d.select(F.col("document_id").alias("doc_id"), "text")).select(F.col("doc_id").alias("document_id"), F.lit("decision").alias("document_type"), F.col("line_no").alias("idx"), F.lit(1).alias("page"), F.col("line_no").alias("line"), F.col("line").alias("text"), F.lit(0).alias("char_start"), F.length("line").alias("char_end"))
-    sections = segment.segment(lines)
-    pieces = chunks.make_chunks(sections, PARAGRAPH, SENTENCE_ENDS)
+    sections = written(segment.segment(lines), "sections")
+    pieces = written(chunks.make_chunks(sections, PARAGRAPH, SENTENCE_ENDS), "chunks")
     files = d.select("document_id", F.lit(1).alias("page_count"), F.array("document_id").alias("path_aliases"))
     review = annotate.review_queue(d.select("document_id", F.lit(1).alias("page"), F.col("text").alias("raw_text")), segment.uncovered(lines, sections))
-    return checks.release_checks(files, lines, sections, pieces, review).select("name", "passed")
+    n = d.agg(F.count_distinct("document_id")).first()[0]
+    return checks.release_checks(files, lines, sections, pieces, review, n, n)

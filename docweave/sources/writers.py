@@ -26,9 +26,9 @@ def release(spark: SparkSession, tables: dict[str, DataFrame], folder: str, vers
     return manifest(spark, written, f"{folder}/{version}/manifest", version, status)
 
 
-def manifest(spark: SparkSession, tables: dict[str, DataFrame], path: str, version: str, status: str) -> DataFrame:
-    """Write the row counts of written tables with the release's status as JSON lines."""
-    counts = [(version, name, df.count(), status) for name, df in tables.items()]
+def manifest(spark: SparkSession, tables: dict[str, DataFrame | int], path: str, version: str, status: str) -> DataFrame:
+    """Write the row counts of tables, or counts that are known, with the release's status as JSON lines."""
+    counts = [(version, name, df if isinstance(df, int) else df.count(), status) for name, df in tables.items()]
     made = spark.createDataFrame(counts, "version string, name string, n_rows long, status string")
     made.coalesce(1).write.mode("overwrite").json(path)
     return made
@@ -61,15 +61,37 @@ def report_files(checks: DataFrame, folder: str, version: str, status: str) -> N
     spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/markdown")
 
 
-def moved(spark: SparkSession, source: str, target: str) -> None:
-    """Give a finished folder its name; what had that name before is replaced."""
+def _listed(spark: SparkSession, base: str) -> tuple:
+    """The file system, the folder, and its pointers (number, id) in order."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(base)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [x.getPath().getName() for x in fs.listStatus(place)] if fs.exists(place) else []
+    return fs, place, sorted((int(n), i) for _, n, i in (x.split("-", 2) for x in names if x.startswith("_at-")))
+
+
+def publish(spark: SparkSession, base: str, made: str) -> None:
+    """Make base/made what readers of `base` get: an empty file is created whose name says so, and that is all that readers look at.
+
+    Until then they get the release before, which is not touched.  Two that publish at the same time can't both have one number.
+    """
+    fs, place, known = _listed(spark, base)
+    n = known[-1][0] + 1 if known else 0
+    fs.create(spark._jvm.org.apache.hadoop.fs.Path(place, f"_at-{n:08d}-{made}"), False).close()
+
+
+def current(spark: SparkSession, base: str) -> str | None:
+    """The folder that was published last below `base`, None before the first time."""
+    known = _listed(spark, base)[2]
+    return f"{base}/{known[-1][1]}" if known else None
+
+
+def retire(spark: SparkSession, base: str, keep: int = 1) -> None:
+    """Remove all published folders but the last `keep`, pointers first, so that none points to a folder that is gone."""
+    fs, place, known = _listed(spark, base)
     path = spark._jvm.org.apache.hadoop.fs.Path
-    a, b = path(source), path(target)
-    fs = a.getFileSystem(spark._jsc.hadoopConfiguration())
-    fs.delete(b, True)
-    fs.mkdirs(b.getParent())
-    if not fs.rename(a, b):
-        raise OSError(f"{source} could not be moved to {target}")
+    for n, made in known[: max(0, len(known) - max(1, keep))]:
+        fs.delete(path(place, f"_at-{n:08d}-{made}"), False)
+        fs.delete(path(place, made), True)
 
 
 def escaped(c: Column) -> Column:

@@ -47,7 +47,10 @@ def test_decisions_and_rulings(spark):
 
 
 def pieces(spark, text):
-    return spark.createDataFrame([(text,)], "t string").select(C.pieces(F.col("t")).alias("p")).first().p
+    rows = C.pieces(spark.createDataFrame([(text, 1)], "text string, x int")).orderBy("chunk_no").collect()
+    for r in rows:  # each is what its parts of the lines make
+        assert "".join(("\n" if p.new else "") + text.split("\n")[p.line][p.start : p.end] for p in r.parts) == r.piece
+    return [r.piece for r in rows]
 
 
 def packed_by_hand(frags):
@@ -83,6 +86,14 @@ def test_packing_edges(spark):
     assert [len(p) for p in pieces(spark, "1" * 400 + "\n" + "2" * 400)] == [801]
     blank = "\n".join([" " * 20, "1" + "x" * 1300, "2" + "y" * 30])
     assert pieces(spark, blank) == packed_by_hand([" " * 20, "1" + "x" * 1300, "2" + "y" * 30])
+    odd = "\n".join(["1" + "x" * 1300 + "。", " ", "。" + " " * 9 + "。", "", "2" + "y。 \n z；" * 300])
+    assert pieces(spark, odd) == packed_by_hand(["1" + "x" * 1300 + "。\n \n。" + " " * 9 + "。\n", "2" + "y。 \n z；" * 300])
+    assert C.pieces(spark.createDataFrame([(None,), ("",)], "text string")).select("piece").collect() == [("",)]
+    lines = lines_of(spark, {"d": ("decision", ["甲" * 5, "主文", "駁回。" * 300, " ", "1字" + "。字" * 500]), "s": ("statute", STATUTE)})
+    made = C.make_chunks(S.segment(lines))
+    want = {r.chunk_id: r.quote_text for r in made.collect()}
+    assert len(want) > 4 and {r.chunk_id: r.text for r in C.rebuilt(made, lines).collect()} == want
+    assert {r.text for r in C.rebuilt(made.where("document_id = 's'"), lines.where("line <> 3")).collect()} > {None}
     got = C.make_chunks(S.segment(lines_of(spark, {"d": ("decision", ["甲" * 5, "主文", "駁回。" + "字" * 1300])}))).orderBy("section_id", "chunk_no").collect()
     by = {r.quote_text[:2]: r for r in got}
     assert by["主文"].index_eligible is False and by["主文"].quality_flags[0] == "historical_outcome_excluded" and by["甲甲"].index_eligible

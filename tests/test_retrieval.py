@@ -1,6 +1,10 @@
 """Searches on small tables against brute force."""
 import math
+import random
 
+import pytest
+
+from docweave.operators import postings as P
 from docweave.operators import retrieval as R
 from docweave.plans.catalogue import QUERIES
 
@@ -74,14 +78,54 @@ def test_bm25_is_okapi_with_a_floor(spark):
     assert {(r.query_id, r.doc_id): r.score for r in R.bm25(docs, queries).collect()} == want
 
 
-def test_search_without_vectors_and_saved_index(spark, tmp_path):
+def test_search_without_vectors(spark):
     docs = spark.createDataFrame([(1, "red ring"), (2, "blue bolt"), (3, None)], "doc_id long, text string")
     queries = spark.createDataFrame([(5, "blue"), (6, "green")], "query_id long, text string")
     got = {(r.query_id, r.doc_id): r.score for r in R.search(docs, queries, 2).collect()}
     assert got == {(5, 2): 1.0, (5, 1): 0.0, (6, 1): 0.0, (6, 2): 0.0}
-    assert R.load_index(spark, str(tmp_path / "none")) is None
-    R.save_index(docs, str(tmp_path / "index"))
-    again, known = R.load_index(spark, str(tmp_path / "index"))
-    assert sorted(map(tuple, R.bm25(again, queries, known).collect())) == sorted(map(tuple, R.bm25(docs, queries).collect()))
     row = spark.createDataFrame([("訴願法 第 7 條 Appeal 法",)], "t string").select(R.mixed_words(R.F.col("t")).alias("w")).first()
     assert row.w == ["訴願", "願法", "第", "7", "條", "Appeal", "法"]
+
+
+def test_word_search_fills_up_with_the_smallest_ids(spark):
+    rnd = random.Random(2)
+    ids = rnd.sample(range(100), 40)
+    hits = {(q, d): rnd.choice([-1.0, 0.5, 2.0, 3.0]) for q in range(4) for d in rnd.sample(ids, (0, 2, 15, 40)[q])}
+    got = R.word_top(spark.createDataFrame([(*k, s) for k, s in hits.items()], "query_id long, doc_id long, score double"), spark.createDataFrame([(d,) for d in ids], "doc_id long"), spark.createDataFrame([(q,) for q in range(4)], "query_id long"), 40, 6)
+    want = []
+    for q in range(4):
+        x = scaled([hits.get((q, d), 0.0) for d in ids])
+        want += [(q, d, -s, k + 1) for k, (s, d) in enumerate(sorted((-round(v, 6), d) for d, v in zip(ids, x, strict=True))[:6])]
+    assert sorted(tuple(r) for r in got.select("query_id", "doc_id", "score", "rank").collect()) == sorted(want)
+    plan = R.word_top(*(spark.createDataFrame([], s) for s in ("query_id long, doc_id long, score double", "doc_id long", "query_id long")), 0, 3)
+    assert plan.count() == 0
+
+
+def test_vectors_of_another_length_are_none(spark):
+    docs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0]), (3, None)], "vec_id long, embedding array<double>")
+    got = R.cosine_top(docs, spark.createDataFrame([(9, [1.0, 0.0])], "query_id long, q array<double>"), 3)
+    assert {r.vec_id: r.cos for r in got.collect()} == {1: 1.0, 2: 0.0, 3: 0.0}
+
+
+def test_postings_are_skipped_and_lose_nothing(spark, tmp_path):
+    """Equal to scoring everything; a rare word's good documents make lists of groups without it unread."""
+    rnd = random.Random(3)
+    common = [f"c{i}" for i in range(41)]
+    texts = [(i, " ".join(rnd.choices(common, k=rnd.randint(1, 30)) + (["rare"] * rnd.randint(1, 6) if rnd.random() < 0.012 else []))) for i in range(600)] + [(700, None), (701, "")]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    queries = spark.createDataFrame([(1, "rare c1"), (2, "rare"), (3, "c1 c2 c3 c3"), (4, "nowhere"), (5, "")], "query_id long, text string")
+    assert P.load(spark, str(tmp_path / "none")) is None
+    P.save(docs, str(tmp_path / "index"), group=20)
+    index = P.load(spark, str(tmp_path / "index"))
+    with pytest.raises(ValueError):
+        P.load(spark, str(tmp_path / "index"), R.mixed_words)
+    scored = R.bm25(docs, queries)
+    assert sorted(map(tuple, P.scores(index, queries).collect())) == sorted(map(tuple, scored.collect()))
+    for k in (1, 3, 10, 20):
+        assert sorted(map(tuple, P.search(index, queries, k).collect())) == sorted(map(tuple, R.top(scored, ["query_id"], "score", "doc_id", k).collect()))
+    w = P.weights(index, queries)
+    read = {k: {(r.query_id, r.term): r.n for r in P.read(index, w, k).groupBy("query_id", "term").agg(R.F.sum(R.F.size("docs")).alias("n")).collect()} for k in (None, 3)}
+    assert read[3][1, "c1"] < 0.4 * read[None][1, "c1"] and read[3][1, "rare"] >= 3
+    assert index.postings.where("term = 'c1'").count() > 10  # a frequent word is many rows
+    P.save(docs.limit(0), str(tmp_path / "empty"))
+    assert P.search(P.load(spark, str(tmp_path / "empty")), queries, 3).count() == 0

@@ -74,6 +74,14 @@ def test_bodies(spark):
     assert tuple(values(spark, ["d/最高行政法院100年度判字第1號-爭點.pdf.pdf"], T.precedent_fields)[0]) == ("最高行政法院100年度判字第1號-爭點", "最高行政法院", "100年度判字第1號", "爭點")
 
 
+def test_sections_and_names_of_other_files(spark):
+    again = "頭\n主文\nA\n事實\nB\n理由\nC1\n主文\nC2\n事實\nC3"
+    assert [tuple(r) for r in values(spark, [again, "\n理由\n先\n主 文\n後\n理由\n末", "\n主文\n事實\n𠀋x\n"], T.three_sections)] == [("A", "B", "C1\n主文\nC2\n事實\nC3"), ("後\n理由\n末", None, "先"), ("", "𠀋x", None)]
+    assert [r.result for r in values(spark, ["a/1.112年-違反建築法-79I-駁回.txt", "a/1.112年-x-y-撤銷.html", "第 1.5 條"], T.file_hint)] == ["駁回", "撤銷", None]
+    text = "x\n見相關法條：\n甲法 第 1 條\n\n 全部\n乙"
+    assert values(spark, [text, text.replace("全部", "全 文"), "相關法條：\n甲法 第 1 條", None], T.related_lines) == [["甲法 第 1 條"], ["甲法 第 1 條"], [], []]
+
+
 def test_index_texts(spark):
     row = spark.createDataFrame([("a", "", None, ["x 1", "y 2"], "f" * 900)], "a string, b string, c string, d array<string>, e string")
     got = row.select(T.decision_index_text(F.col("a"), F.col("b"), F.col("d"), F.col("e"), F.col("c")).alias("d"), T.reference_index_text(F.col("a"), F.col("c"), F.col("b"), F.col("e")).alias("r"), T.query_text(F.col("a"), F.col("b"), F.col("c"), F.col("e")).alias("q"), T.statute_index_text(F.col("a"), F.col("c"), F.col("a")).alias("s")).first()
