@@ -41,8 +41,8 @@ WINDOW, GRAM = 50, 16
 class Sizes(NamedTuple):
     """How the work is cut; rows are the same for all values."""
 
-    #: Documents from which on a gram is hot, and documents of a run whose list travels with a gram.
-    hot: int = 1000
+    #: Documents from which on a gram is hot, half of what a bucket holds; documents of a run whose list travels with a gram.
+    hot: int = 25_000
     listed: int = 8
     #: Grams and suffixes of a run.
     run_grams: int = 1 << 19
