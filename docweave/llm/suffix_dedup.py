@@ -1,6 +1,6 @@
 """Byte strings that an earlier document has, by a sparse suffix array sorted over all tasks.
 
-A window is 50 consecutive bytes of one document.  Its anchor is the 16-byte gram of smallest hash in it, so equal windows have equal
+A window is 50 consecutive bytes of one document.  Its anchor is the 20-byte gram of smallest hash in it, so equal windows have equal
 anchors at equal places.  Equal texts are one, of their smallest doc_id.  Only suffixes that start at anchors are sorted, each with the bytes to its left that
 windows may reach.  Four steps:
 
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import BROADCAST_ROWS, U64, _BASE, _INV, empty_text, lean, met, mix, passing, powers, saved, slices, table
 
-WINDOW, GRAM = 50, 16
+WINDOW, GRAM = 50, 20
 
 
 class Sizes(NamedTuple):
