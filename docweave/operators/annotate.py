@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from docweave.functions import rules as R
 from docweave.functions.text import CN, article_key, file_hint, first_match, roc_date, strip
 
+from . import scan
 from .segment import EXTRACTION, SPAN, bare
 
 #: How the fields of decisions are labelled, and how far each is trusted.
@@ -67,10 +68,17 @@ def annotations(documents: DataFrame, lines: DataFrame) -> DataFrame:
     return hints.join(decision_fields(lines), "document_id", "left")
 
 
-def citations(lines: DataFrame, names: list[str] = R.CITED_STATUTES, aliases: dict[str, str] = R.ALIASES) -> DataFrame:
-    """(source_document_id, citation_raw, statute_name, article_key, source_spans): statutes with an article, line by line."""
-    pattern = "(?U)(?:" + "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True)) + ")" + CITED
-    rows = lines.withColumn("span", span()).select("document_id", "span", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))).alias("raw"))
+def citations(lines: DataFrame, names: list[str] | DataFrame = R.CITED_STATUTES, aliases: dict[str, str] = R.ALIASES) -> DataFrame:
+    """(source_document_id, citation_raw, statute_name, article_key, source_spans): statutes with an article, line by line.
+
+    A table of names(name), of which there may be very many, is looked for by an automaton, a short list by a pattern.
+    """
+    rows = lines.withColumn("span", span()).select("document_id", "span", "text")
+    if isinstance(names, DataFrame):
+        rows = scan.followed_names(rows, names, CITED)
+    else:
+        pattern = "(?U)(?:" + "|".join(re.escape(n) for n in sorted(names, key=len, reverse=True)) + ")" + CITED
+        rows = rows.withColumn("raw", F.explode(F.regexp_extract_all("text", F.lit(pattern), F.lit(0))))
     name = first_match(F.col("raw"), "(?U)^(.*?)" + CITED)
     for variant, stands in aliases.items():
         name = F.when(name == variant, F.lit(stands)).otherwise(name)

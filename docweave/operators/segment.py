@@ -114,6 +114,21 @@ def segment(lines: DataFrame, statute_names: DataFrame | None = None) -> DataFra
 
 
 def uncovered(lines: DataFrame, sections: DataFrame) -> DataFrame:
-    """Lines that are not blank and in no section: those that no section's span names."""
-    named = sections.select(F.explode("source_spans").alias("s")).select("s.document_id", "s.page", "s.line")
-    return lines.where(bare(F.col("text")) != "").join(named, ["document_id", "page", "line"], "left_anti")
+    """Lines that are not blank and in no section of sections(document_id, first_idx, end_idx).
+
+    Ends of sections and lines are swept in order, a running sum tells how many sections are open: a row for each section and line,
+    however long and however overlapping the sections are.
+    """
+    (step, after, line) = fresh(lines, "step", "after", "line_of")
+    of = lines.select("document_id", "idx", F.lit(0).alias(step), F.lit(1).alias(after), F.struct(*lines.columns).alias(line))
+    ends = sections.where("first_idx < end_idx").select("document_id", F.explode(F.array(F.struct(F.col("first_idx").alias("i"), F.lit(1).alias("d")), F.struct(F.col("end_idx").alias("i"), F.lit(-1).alias("d")))).alias("e"))
+    ends = ends.select("document_id", F.col("e.i").alias("idx"), F.col("e.d").alias(step), F.lit(0).alias(after), F.lit(None).cast(of.schema[line].dataType).alias(line))
+    run = Window.partitionBy("document_id").orderBy("idx", after).rowsBetween(Window.unboundedPreceding, 0)
+    swept = of.unionByName(ends).withColumn(step, F.sum(step).over(run))
+    return swept.where((F.col(after) == 1) & (F.col(step) == 0)).select(f"{line}.*").where(bare(F.col("text")) != "")
+
+
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """Names that no column of df has."""
+    known = {c.lower() for c in df.columns}
+    return [next(n for n in (name + "_" * k for k in range(len(known) + 1)) if n not in known) for name in names]

@@ -14,7 +14,9 @@ from docweave.operators import advice, annotate, cases, checks, chunks, segment
 from docweave.operators import lines as L
 from docweave.operators import postings as P
 from docweave.operators import retrieval as R
+from docweave.operators import scan
 from docweave.operators import spans as S
+from docweave.sources import lookup
 from docweave.sources.shared import folder, written
 
 QUERIES: dict = {}
@@ -124,6 +126,23 @@ def citation_resolved(t) -> DataFrame:
     return annotate.resolved(d.select("doc_id", raw.alias("raw")).groupBy("doc_id", "raw").agg(F.count("*").alias("n")), known, ("raw",))
 
 
+@query("""with names as (select distinct unnest(regexp_extract_all(lower(text), '[a-zà-ÿ]{9,}')) as name from benchmark)
+select doc_id, name, cast((length(text) - length(replace(text, name, ''))) // length(name) as bigint) as n from documents join names on contains(text, name)""")
+def names_in_texts(t) -> DataFrame:
+    """Every long word of the benchmark as a name, looked for anywhere in every document."""
+    names = t("benchmark").select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-zà-ÿ]{9,}"), F.lit(0))).alias("name"))
+    return scan.names_in(t("documents").select("doc_id", "text"), names)
+
+
+@query("select doc_id, source, md5(text) as text_md5 from documents where doc_id % 50 = 0")
+def point_lookup(t) -> DataFrame:
+    """Documents found by id in a table laid out for it."""
+    d = t("documents")
+    place = f"{folder(d.sparkSession)}/lookup-{uuid.uuid4().hex[:12]}"
+    lookup.save(d.select("doc_id", "source", "text"), "doc_id", place)
+    return lookup.find(d.sparkSession, place, "doc_id", d.where("doc_id % 50 = 0").select("doc_id")).select("doc_id", "source", F.md5("text").alias("text_md5"))
+
+
 @query("""
 select conv_id, turn, case when contains(text, '?') then 'question' when contains(text, '!') then 'exclamation' when contains(text, ',') then 'statement' else 'fragment' end as kind from conversations""")
 def classify_rules(t) -> DataFrame:

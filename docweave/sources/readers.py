@@ -3,7 +3,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StringType, StructField, StructType
 
 PAGE_BREAK = "\f"
 
@@ -55,6 +55,39 @@ def json_lines(spark: SparkSession, path: str, schema: StructType | str) -> Data
     return spark.read.schema(schema).json(path)
 
 
+def _schema(schema: StructType | str) -> StructType:
+    return schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
+
+
+def checked_lines(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
+    """(rows, bad) of files of JSON lines: the lines that fit the schema, and (file, record, reason) of those that do not.
+
+    Empty lines are neither.  A line is read once by each of the two, and a broken one stops nothing.
+    """
+    mark = "_broken"
+    kind = StructType([*_schema(schema).fields, StructField(mark, StringType())])
+    raw = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("record")).where(F.trim("record") != "")
+    read = raw.withColumn("r", F.from_json("record", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": mark}))
+    broken = F.col("r").isNull() | F.col(f"r.{mark}").isNotNull()
+    reason = F.when(F.try_parse_json("record").isNull(), "no JSON").otherwise("not of the schema")
+    return read.where(~broken).select("r.*").drop(mark), read.where(broken).select("file", "record", reason.alias("reason"))
+
+
+def checked_arrays(spark: SparkSession, path: str, schema: StructType | str) -> tuple[DataFrame, DataFrame]:
+    """(rows, bad) of files that hold one JSON array each: items that fit the schema; (file, record, reason) of other items, and of files that are no array."""
+    raw = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("record"))
+    items = F.try_variant_get(F.try_parse_json("record"), "$", "array<variant>")
+    read = raw.withColumn("items", items)
+    no_array = read.where("items is null").select("file", F.substring("record", 1, 1000).alias("record"), F.lit("no JSON array").alias("reason"))
+    mark = "_broken"
+    kind = StructType([*_schema(schema).fields, StructField(mark, StringType())])
+    each = read.where("items is not null").select("file", F.explode("items").alias("item")).select("file", F.to_json("item").alias("record"))
+    each = each.withColumn("r", F.from_json("record", kind, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": mark}))
+    broken = F.col("r").isNull() | F.col(f"r.{mark}").isNotNull()
+    bad = each.where(broken).select("file", "record", F.lit("not of the schema").alias("reason"))
+    return each.where(~broken).select("r.*").drop(mark), bad.unionByName(no_array)
+
+
 def json_array(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Rows of files that hold one JSON array each."""
     return spark.read.schema(schema).option("multiLine", True).json(path)

@@ -1,9 +1,12 @@
 """Segmentation, chunks and annotations of the legal corpus on small fixtures."""
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from docweave.operators import annotate as A
 from docweave.operators import chunks as C
+from docweave.operators import scan
 from docweave.operators import segment as S
 
 STATUTE = ["法規名稱：甲法", "第 一 章 總則", "第 1 條", "本文一。", "第 1-1 條", "（刪除）", "第 二 章 罰則", "第 2 條", "本文二。"]
@@ -123,3 +126,29 @@ def test_review_queue(spark):
     pages = spark.createDataFrame([("u", 1, "甲 乙"), ("u", 2, " \u3000"), ("u", 3, "x" * 20)], "document_id string, page int, raw_text string")
     got = {r.item_id: r.severity for r in A.review_queue(pages, S.uncovered(rows, S.segment(rows))).collect()}
     assert got == {"u-p1-lowtext": "medium", "u-p2-lowtext": "high", "u-line-0-uncovered": "medium"}
+
+
+def test_sweep(spark):
+    """Overlapping, nested, empty and touching ranges, against each line looked at by itself."""
+    rnd = random.Random(4)
+    docs = {f"d{k}": ("unknown", [rnd.choice(["x", " "]) for _ in range(rnd.randint(0, 40))]) for k in range(12)}
+    ranges = [(d, a, a + rnd.randint(0, 12)) for d in docs for a in rnd.sample(range(40), rnd.randint(0, 6))]
+    found = S.uncovered(lines_of(spark, docs), spark.createDataFrame(ranges, "document_id string, first_idx int, end_idx int"))
+    want = {(d, i) for d, (_, ts) in docs.items() for i, t in enumerate(ts) if t.strip() and not any(e == d and a <= i < b for e, a, b in ranges)}
+    assert sorted((r.document_id, r.idx) for r in found.collect()) == sorted(want) and found.columns == lines_of(spark, docs).columns
+
+
+def test_very_many_names(spark):
+    """Ten thousand names that overlap and contain each other: what contains() finds; citations as by the pattern of all names."""
+    rnd = random.Random(5)
+    names = {"".join(rnd.choices("甲乙丙丁法條例", k=rnd.randint(1, 6))) for _ in range(10_000)} | {"訴願法", "願法", "民法"}
+    texts = ["".join(rnd.choices("甲乙丙丁法條例第1第十條 ", k=rnd.randint(0, 80))) for _ in range(200)] + [None, "", "依訴願法第 1 條，民法第15-1條，願法第十五之二條、訴願法 第 3 條"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    table = spark.createDataFrame([(n,) for n in [*names, "", None]], "name string")
+    got = {(r.doc_id, r.name) for r in scan.names_in(docs, table).collect()}
+    assert got == {(i, n) for i, t in enumerate(texts) for n in names if t and n in t}
+    assert scan.names_in(docs, table.limit(0)).count() == 0
+    rows = lines_of(spark, {"d": ("decision", [t or "" for t in texts])})
+    few = sorted(rnd.sample(sorted(names), 300) + ["訴願法", "願法", "民法", "法", "甲法", "甲乙法"])
+    by = lambda given: sorted((r.source_spans[0].line, r.citation_raw, r.statute_name, r.article_key or "") for r in A.citations(rows, given).collect())
+    assert by(spark.createDataFrame([(n,) for n in few], "name string")) == by(few) and len(by(few)) > 8

@@ -1,12 +1,13 @@
 """Readers, writers, intake fields and spans on small fixtures."""
 import json
 
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from docweave.functions import intake
 from docweave.operators import spans
-from docweave.sources import readers, writers
+from docweave.sources import lookup, readers, writers
 
 
 def test_files(spark, tmp_path):
@@ -65,3 +66,29 @@ def test_spans(spark):
     assert [tuple(r)[1:] for r in got] == [(1, 2, 0, True), (2, 2, 2, False), (3, 0, 0, True)]
     key = spark.createDataFrame(rows, kind).select(intake.spans_key(F.col("spans"), ["line_no", "char_end"]).alias("k")).first().k
     assert key == "1:3;2:1"
+
+
+def test_broken_records_are_set_apart(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_text('{"a": 1, "b": "x"}\n\n{"a": 2\n{"a": "no number"}\n{"b": null}\n')
+    good, bad = readers.checked_lines(spark, str(tmp_path / "a.jsonl"), "a long, b string")
+    assert sorted(map(str, good.collect())) == sorted(["Row(a=1, b='x')", "Row(a=None, b=None)"])
+    assert {(r.record, r.reason) for r in bad.collect()} == {('{"a": 2', "no JSON"), ('{"a": "no number"}', "not of the schema")} and all(r.file.endswith("a.jsonl") for r in bad.collect())
+    (tmp_path / "arrays").mkdir()
+    (tmp_path / "arrays/x.json").write_text('[{"a": 1}, {"a": "z"},\n {"a": 3}]')
+    (tmp_path / "arrays/y.json").write_text("[1, 2")
+    good, bad = readers.checked_arrays(spark, str(tmp_path / "arrays"), "a long")
+    assert sorted(r.a for r in good.collect()) == [1, 3]
+    assert {(r.file[-6:], r.reason) for r in bad.collect()} == {("x.json", "not of the schema"), ("y.json", "no JSON array")}
+
+
+def test_lookup_skips_row_groups(spark, tmp_path):
+    place = str(tmp_path / "t")
+    lookup.save(spark.range(10_000).selectExpr("concat('k', id) as k", "id as v").union(spark.sql("select null, -1")).repartition(4), "k", place, rows=500)
+    groups = [pq.ParquetFile(f) for f in (tmp_path / "t").glob("*.parquet")]
+    assert max(f.metadata.row_group(g).num_rows for f in groups for g in range(f.metadata.num_row_groups)) <= 500
+    found = lookup.find(spark, place, "k", ["k77", "k78", "absent", None])
+    assert sorted(r.v for r in found.collect()) == [77, 78]
+    scanned = found._jdf.queryExecution().executedPlan().collectLeaves().head().metrics().apply("numOutputRows").value()
+    assert scanned <= 1000
+    ids = spark.range(3000).selectExpr("concat('k', id) as k")
+    assert lookup.find(spark, place, "k", ids).count() == 3000 and lookup.find(spark, place, "k", ids.limit(5)).count() == 5 and lookup.find(spark, place, "k", []).count() == 0
