@@ -433,7 +433,16 @@ def similar_topk(t) -> DataFrame:
 
 @query(_most_similar_sql("most = 1.0"))
 def similar_orders_topk(t) -> DataFrame:
-    return _most_similar(_pairs(t).where("most = 1.0"))
+    """Orders with a part in common that counts in full, by bounds: no order is paired with all that share a frequent part."""
+    o = t("orders").select(F.col("o_orderkey").alias("doc_id"), F.struct(F.col("o_orderpriority").alias("p"), F.col("o_orderstatus").alias("s")).alias("kind"))
+    parts = o.join(t("lineitem"), F.col("l_orderkey") == F.col("doc_id")).select("doc_id", F.col("l_partkey").alias("key"))
+    parts = cases.weighted(parts, F.col("key") % 5 == 0)
+    asked = parts.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    ladder = F.when(F.expr("kind_a.p = kind_b.p"), 1.0).when(F.expr("kind_a.s = kind_b.s"), 0.6).otherwise(0.0)
+    none = o.sparkSession.createDataFrame([], "query_id long, doc_id long, score double")
+    queries = o.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    found = cases.similar(asked, parts, none, ladder, queries, o, allowed=F.col("query_id") != F.col("doc_id"))
+    return found.select(F.col("query_id").alias("a"), F.col("doc_id").alias("b"), "similarity", "rank")
 
 
 # ------------------------------------------------------------ advice: documents cite long words, which items explain

@@ -1,4 +1,6 @@
 """Recommendations, similar cases, alerts, drafts and checks on small fixtures."""
+import random
+
 from pyspark.sql import functions as F
 
 from docweave.operators import advice as A
@@ -35,6 +37,59 @@ def test_similar(spark):
     assert sorted(map(tuple, C.query_keys(rec, parsed).collect())) == [(1, "a"), (2, "c")]
 
 
+def _nearest(asked, have, pool, kind, k):
+    """Every query against every case."""
+    out = {}
+    for q, mine in asked.items():
+        rows = []
+        for d, yours in have.items():
+            search = pool.get((q, d), 0.0)
+            if q == d or not ({x for x in mine & yours if x % 5} or (q, d) in pool):
+                continue
+            w = lambda s: sum(1.0 if x % 5 else 0.2 for x in s)
+            total = 0.6 * (w(mine & yours) / w(mine | yours) if mine | yours else 0.0) + 0.15 * (kind[q] == kind[d]) + 0.25 * search
+            rows.append((-round(total, 4), d))
+        out[q] = sorted(rows)[:k]
+    return {(q, i + 1): (d, -s) for q, rows in out.items() for i, (s, d) in enumerate(rows)}
+
+
+def test_similar_by_bounds_equals_brute_force(spark):
+    r = random.Random(5)
+    have = {}
+    for d in range(400):
+        keys = {min(int(r.paretovariate(0.7)), 300) for _ in range(r.choice([0, 1, 2, 4, 8]))}
+        have[d] = keys | ({7} if r.random() < 0.5 else set())  # half the cases have key 7
+        if d % 5 == 4:
+            have[d] = set(have[d - 1])
+    asked = {d: have[d] for d in range(0, 400, 8)} | {1000: {299}, 1001: {7}, 1002: set(), 1003: {5, 10, 7}, 1004: {123456}}
+    kind = {d: r.choice("abc") for d in [*have, *asked]}
+    pool = {(q, d): r.randrange(250) * 0.004 for q in list(asked)[::2] for d in r.sample(range(400), 8)}
+    table = lambda rows, names: spark.createDataFrame([(i, x) for i, s in rows.items() for x in s], names)
+    procedural = F.col("key") % 5 == 0
+    a, c = C.weighted(table(asked, "query_id long, key long"), procedural), C.weighted(table(have, "doc_id long, key long"), procedural)
+    p = spark.createDataFrame([(*x, s) for x, s in pool.items()], "query_id long, doc_id long, score double")
+    queries, docs = spark.createDataFrame([(q, kind[q]) for q in asked], "query_id long, kind string"), spark.createDataFrame([(d, kind[d]) for d in have], "doc_id long, kind string")
+    same = F.when(F.col("kind_a") == F.col("kind_b"), 1.0).otherwise(0.0)
+    got = C.similar(a, c, p, same, queries, docs, 5, F.col("query_id") != F.col("doc_id")).collect()
+    assert {(x.query_id, x["rank"]): (x.doc_id, x.similarity) for x in got} == _nearest(asked, have, pool, kind, 5)
+
+
+def test_a_frequent_key_pairs_no_cases(spark):
+    # Key 1 is in all of 500 cases, key 100 + i in two of them.
+    rows = [(d, x) for d in range(500) for x in (1, 100 + d // 2)]
+    cases = C.weighted(spark.createDataFrame(rows, "doc_id long, key long"), F.lit(False))
+    known = cases.groupBy("key").agg(F.count("*").alias("df"))
+    have = C.profiles(cases, "doc_id", known).withColumn("kind_b", F.lit("x"))
+    asked = C.profiles(cases.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id"), "query_id", known).withColumn("kind_a", F.lit("x"))
+    assert {tuple(r.full) for r in asked.where("query_id = 0").collect()} == {(100, 1)}
+    same = F.when(F.col("kind_a") == F.col("kind_b"), 1.0).otherwise(0.0)
+    bounds = lambda b: asked.select("query_id", F.lit(b).alias("bound"))
+    # One key of three in common gives 0.35: a bound above it needs the rare one too, a bound at it does not.
+    assert C.candidates(asked, have, bounds(0.36), same).count() == 20
+    assert C.candidates(asked, have, bounds(0.35), same).count() == 5000
+    assert C.candidates(asked, have, bounds(0.35).where("query_id = 0"), same).where("query_id = 50").count() == 500
+
+
 def test_outcomes(spark):
     found = spark.createDataFrame([(1, "駁回"), (1, "駁回"), (1, "撤銷"), (1, None), (1, ""), (2, None)], "query_id long, result string")
     assert [(r.query_id, r.result, r.ratio, r.total) for r in C.modal(found).collect()] == [(1, "駁回", 0.67, 3)]
