@@ -1,6 +1,8 @@
 """Knowledge base of a corpus, and what it tells about incoming appeals, many at once."""
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from docweave.functions import rules as R
 from docweave.functions import text as T
 from docweave.operators import advice, cases
 from docweave.operators import retrieval as S
+from docweave.operators import segmenter
 from docweave.sources.shared import exists, written
 
 TABLES = ("decisions", "statutes", "refs")
@@ -62,6 +65,12 @@ def load_knowledge(spark: SparkSession, place: str) -> dict[str, DataFrame] | No
     return {name: spark.read.parquet(f"{place}/{name}") for name in TABLES}
 
 
+def learned_split(kb: dict[str, DataFrame]):
+    """A `split` for `analyse` by words that are learned from the index texts of the whole knowledge base."""
+    texts = reduce(DataFrame.union, (kb[name].select(F.col("index_text").alias("text")) for name in TABLES))
+    return segmenter.splitter(written(segmenter.learned(segmenter.strings(texts)), "words"))
+
+
 def incoming(given: DataFrame) -> DataFrame:
     """given(query_id, full_text, ...) with what its text tells wherever no value is given by hand."""
     got = given.withColumn("found", intake.incoming(F.col("full_text")))

@@ -14,7 +14,7 @@ from docweave.operators import advice, annotate, cases, checks, chunks, segment
 from docweave.operators import lines as L
 from docweave.operators import postings as P
 from docweave.operators import retrieval as R
-from docweave.operators import scan
+from docweave.operators import scan, segmenter
 from docweave.operators import spans as S
 from docweave.sources import lookup
 from docweave.sources.shared import folder, written
@@ -134,6 +134,28 @@ def names_in_texts(t) -> DataFrame:
     return scan.names_in(t("documents").select("doc_id", "text"), names)
 
 
+@query("""with r as (select unnest(regexp_extract_all(text, '[a-z]+')) as run from documents), c as (select run, count(*) as n from r group by 1),
+st as (select substr(run, cast(i as integer), m) as word, cast(sum(n) as bigint) as n from c cross join (select unnest([1, 2, 3, 4, 5]) as m) cross join lateral (select unnest(range(1, length(run) - m + 2)) as i) group by 1),
+tot as (select sum(n) :: double as total from st where length(word) = 1), o as (select * from st where n >= 5),
+p as (select word, n, substr(word, 1, cast(i as integer)) as a, substr(word, cast(i as integer) + 1) as b from o cross join lateral (select unnest(range(1, length(word))) as i) where length(word) between 2 and 4),
+h as (select p.word, p.n, min(p.n :: double * total / (x.n :: double * y.n)) as cohesion from p join o x on x.word = a join o y on y.word = b cross join tot group by 1, 2),
+l as (select word, max(n) as n_longer from (select left(word, length(word) - 1) as word, n from o where length(word) > 2 union all select substr(word, 2), n from o where length(word) > 2) group by 1)
+select word, n, round(cohesion, 4) as cohesion from h left join l using (word) where cohesion >= 8 and (n_longer is null or n_longer < 0.9 * n)""")
+def learned_words(t) -> DataFrame:
+    """Strings that act as words inside the runs of small letters, which stand for a script without spaces."""
+    found = segmenter.learned(segmenter.strings(t("documents"), "[a-z]"))
+    return found.where("cohesion is not null").select("word", "n", F.round("cohesion", 4).alias("cohesion"))
+
+
+@query()
+def learned_parts(t) -> DataFrame:
+    """How often each learned word stands on the best paths of all runs of small letters."""
+    d = t("documents")
+    split = segmenter.splitter(written(segmenter.learned(segmenter.strings(d, "[a-z]")), "words"), "[a-z]")
+    runs = d.select(F.explode(F.regexp_extract_all("text", F.lit("[a-z]+"), F.lit(0))).alias("run")).groupBy("run").agg(F.count("*").alias("n"))
+    return runs.select(F.explode(split(F.col("run"))).alias("word"), "n").groupBy("word").agg(F.sum("n").alias("n"))
+
+
 @query("select doc_id, source, md5(text) as text_md5 from documents where doc_id % 50 = 0")
 def point_lookup(t) -> DataFrame:
     """Documents found by id in a table laid out for it."""
