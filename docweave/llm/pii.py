@@ -1,9 +1,11 @@
 """Personal data replaced by keyed surrogates of the same type and format.
 
 An entity has a kind and a canonical value (digits of a number, lower-case address, ...), so
-spellings of one entity share a surrogate wherever they stand.  It is written in the original's format:
-digits stay digits, case, script and separators stay, given names keep the gender that their title
-tells, a number that passed the Luhn or IBAN check passes it again.
+spellings of one entity share a surrogate wherever they stand: a phone number with its country code, run together or
+without the code of North America is one, and a part of a name is one in all texts, whatever it stands behind.  Whether it is a
+given or a family name, and the gender that titles tell, is settled by most of the texts that have it.  It is written in the original's format:
+digits stay digits, case, script and separators stay, a Chinese family name becomes another one, the same for all who
+bear it, a number that passed the Luhn or IBAN check passes it again.
 
 Numbers and addresses of machines come from finite spaces, which a corpus may fill.  A keyed permutation
 without fixed points of each space gives them surrogates that are distinct whatever stands in the corpus; such a
@@ -57,8 +59,16 @@ _PATTERN = re.compile(
     r"|(?P<iban>(?<![0-9A-Za-z])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![0-9A-Za-z]))"
     r"|(?P<card>(?<![\d.+-])(?:\d{4}[ -]){3}\d{1,7}(?![\d-])|(?<![\d.+-])\d{13,19}(?!\d))"
     r"|(?P<ssn>(?<![\d-])\d{3}-\d{2}-\d{4}(?![\d-]))"
-    r"|(?P<phone>(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ -]\d{4}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-]))"
+    r"|(?P<phone>(?<![\d+])\+\d{1,3}[ .-]?\(?\d{2,4}\)?(?:[ .-]?\d{2,4}){2,4}(?!\d)|(?<![\d(])\(\d{3}\) ?\d{3}[ -]\d{4}(?!\d)|(?<![\d.-])\d{3}[-.]\d{3}[-.]\d{4}(?![\d-])|(?<![\d.-])09\d{2}-\d{3}-\d{3}(?![\d-]))"
 )
+#: Country codes of one and two digits; all others have three.
+_COUNTRIES = frozenset("1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98".split())
+_NORTH_AMERICAN = re.compile(r"1?[2-9]\d{2}[2-9]\d{6}")
+_THREE_THREE_FOUR = re.compile(r"\(?\d{3}\)?[ .-]?\d{3}[ .-]\d{4}")
+#: Family names, and characters of male and female given names, that stand for Chinese ones.
+_HAN_FAMILY = "陳林黃張李王吳劉蔡楊許鄭謝洪郭邱曾廖賴徐周葉蘇莊呂江何蕭羅高潘簡朱鍾彭游詹胡施沈余盧梁趙顏柯翁魏孫戴范方宋鄧杜傅侯曹薛丁卓阮馬董溫唐藍石蔣古紀姚連馮歐程湯"
+_HAN_GIVEN = {"m": "志明俊傑建宏家豪文雄國強偉哲宗翰承恩冠廷育誠", "f": "淑芬美玲雅婷怡君佳穎惠如麗華秀英詩涵欣思妤慧貞"}
+_HAN = re.compile(r"[一-鿿]+")
 _IP6 = re.compile(r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:])")
 _TEL = re.compile(r"(?i)(?<!\w)(?:telephone|telefono|teléfono|telefon|téléphone|phone|mobile|mobil|móvil|handy|cell|tel|tél|tfno|fax)(?: ?(?:no|nr|number))?\.?[:\s]{0,3}(\+?\(?\d[\d ()/.\-]{4,22}\d)(?!\d)")
 _TEL_HINTS = ("el", "EL", "él", "ÉL", "hon", "HON", "obil", "OBIL", "óvil", "andy", "fax", "Fax", "FAX", "fno")
@@ -196,7 +206,8 @@ def _finite(key: bytes, kind: str, value: str) -> str:
         return new + str((off - _luhn_sum(new + "0")) % 10)
     if kind == "phone":
         code, digits = value[1:].split(" ") if value[0] == "+" else ("", value)
-        bases = [8 if len(digits) == 10 and k in (0, 3) and digits[k] > "1" else 10 for k in range(len(digits))]
+        # What may start an area or an exchange stays apart from what may not, so no two numbers meet.
+        bases = [(8 if digits[k] > "1" else 2) if len(digits) == 10 and k in (0, 3) else 10 for k in range(len(digits))]
         low = [2 * (b == 8) for b in bases]
         new = _mixed(key, f"phone {code} {bases}", [int(c) - a for c, a in zip(digits, low, strict=True)], bases)
         return (f"+{code} " if code else "") + "".join(str(d + a) for d, a in zip(new, low, strict=True))
@@ -212,12 +223,21 @@ def _finite(key: bytes, kind: str, value: str) -> str:
     return "".join(map(str, _mixed(key, f"{kind} {len(value)}", [int(c) for c in value], [10] * len(value))))
 
 
+def _space(kind: str) -> str:
+    """Where surrogates have to be distinct: all names share one space."""
+    return "name" if kind in _NAMES else kind
+
+
 @lru_cache(1 << 14)
 def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
     """The canonical value that stands for an entity."""
     if kind in FINITE:
         return _finite(key, kind, value)
-    draw = _draw(key, kind, value, attempt)
+    draw = _draw(key, _space(kind), value, attempt)
+    if kind in _NAMES and _HAN.fullmatch(value):
+        family = _draw(key, "family", value[:1], attempt if len(value) == 1 else 0)
+        pool = _HAN_GIVEN.get(kind[-1], _HAN_GIVEN["m"] + _HAN_GIVEN["f"])
+        return _HAN_FAMILY[next(family) % len(_HAN_FAMILY)] + "".join(pool[next(draw) % len(pool)] for _ in range(len(value) - 1 + attempt))
     if kind in _NAMES:
         if not all(ord(c) < 0x500 for c in value):
             return "".join(_like(c, next(draw)) for c in value + value[:1] * attempt)
@@ -247,6 +267,15 @@ def _free(spots: list[tuple[int, int, str, str]], a: int, b: int) -> bool:
     return not k or spots[k - 1][1] <= a
 
 
+def _phone(raw: str) -> str:
+    """One form for the spellings of a number: "+", country code, space, the rest; only its digits where nothing tells the code."""
+    digits = "".join(str(int(c)) for c in raw.replace("(0)", "") if c.isdecimal())
+    if raw[0] == "+":
+        code = next((digits[:n] for n in (1, 2) if digits[:n] in _COUNTRIES), digits[:3])
+        return f"+{code} {digits[len(code) :]}" if len(digits) > len(code) + 4 else digits
+    return f"+1 {digits[-10:]}" if _THREE_THREE_FOUR.fullmatch(raw) or _NORTH_AMERICAN.fullmatch(digits) else digits
+
+
 def _numbers(text: str) -> list[tuple[int, int, str, str]]:
     out = []
     for m in _PATTERN.finditer(text):
@@ -271,8 +300,7 @@ def _numbers(text: str) -> list[tuple[int, int, str, str]]:
         elif kind == "phone":
             if not 8 <= len(digits) <= 15:
                 continue
-            code = re.match(r"\+(\d+)", raw)
-            raw = f"+{code[1]} {digits[len(code[1]) :]}" if code and len(digits) > len(code[1]) + 4 else digits
+            raw = _phone(raw)
         elif kind == "ssn":
             raw = digits
         elif kind == "iban":
@@ -302,7 +330,7 @@ def found(text: str, taught: list[tuple[str, str]] = ()) -> list[tuple[int, int,
         for m in _TEL.finditer(text):
             digits = "".join(c for c in m.group(1) if c.isdecimal())
             if 6 <= len(digits) <= 15 and _free(out, *m.span(1)):
-                out = sorted([*out, (*m.span(1), "phone", digits)])
+                out = sorted([*out, (*m.span(1), "phone", _phone(m.group(1)))])
     # A sign that every labelled secret has is quicker to look for than the words.
     if ("=" in text or ":" in text) and _WORDS.search(text):
         for m in _LABEL.finditer(text):
@@ -405,7 +433,13 @@ def unnamed(text: str) -> set[str]:
 
 def written(original: str, kind: str, new: str) -> str:
     """The surrogate in the original's format."""
-    if kind in ("card", "phone", "ssn", "iban"):
+    if kind == "phone":
+        # A number without its country code takes the digits behind it; a trunk zero in brackets stays.
+        parts = re.split(r"(\(0\))", original)
+        n = sum(c.isdecimal() for x in parts if x != "(0)" for c in x)
+        rest = iter([c for c in new if c.isdecimal()][-n:])
+        return "".join(x if x == "(0)" else "".join(next(rest) if c.isdecimal() else c for c in x) for x in parts)
+    if kind in ("card", "ssn", "iban"):
         rest = iter(new.replace("+", "").replace(" ", ""))
         return "".join(next(rest) if c.isalnum() else c for c in original)
     if kind == "email" or kind in _NAMES:
@@ -413,13 +447,15 @@ def written(original: str, kind: str, new: str) -> str:
     return new
 
 
-def rewrite(text: str, key: bytes, attempts: dict[tuple[str, str], int], taught: list[tuple[str, str]] = ()) -> tuple[str, int]:
+def rewrite(text: str, key: bytes, settled: dict[tuple[str, str], tuple[str, int]], taught: list[tuple[str, str]] = ()) -> tuple[str, int]:
+    """The text with surrogates, and how many; settled[space, value] has the kind and attempt that the corpus tells, if others than these."""
     spots = found(text, taught)
     if not spots:
         return text, 0
     out, at = [], 0
     for a, b, kind, value in spots:
-        out += [text[at:a], written(text[a:b], kind, surrogate(key, kind, value, attempts.get((kind, value), 0)))]
+        kind, attempt = settled.get((_space(kind), value), (kind, 0))
+        out += [text[at:a], written(text[a:b], kind, surrogate(key, kind, value, attempt))]
         at = b
     return "".join([*out, text[at:]]), len(spots)
 
@@ -456,31 +492,43 @@ def mentions(docs: DataFrame) -> DataFrame:
     return saved(sure.withColumn("taught", F.lit(False)).unionByName(taught.withColumn("taught", F.lit(True))), "mentions")
 
 
+_SPACE = f"case when kind in {_NAMES} then 'name' else kind end"
+
+
+def settled(seen: DataFrame) -> DataFrame:
+    """(space, value, kind, mixed) of the entities of `mentions`: for names the kind that most texts give them, and whether texts differ."""
+    rows = seen.groupBy(F.expr(_SPACE).alias("space"), "value", "kind").agg(F.count("*").alias("n"))
+    m, f, g, family = (F.sum(F.when(F.col("kind") == k, F.col("n")).otherwise(0)) for k in _NAMES)
+    kind = F.when(F.col("space") != "name", F.min("kind")).when(family > m + f + g, "family").when(m + f == 0, "given_n").when(m >= f, "given_m").otherwise("given_f")
+    return rows.groupBy("space", "value").agg(kind.alias("kind"), (F.count("*") > 1).alias("mixed"))
+
+
 def attempts(entities: DataFrame, key: bytes) -> DataFrame:
-    """(kind, value, attempt) of the entities(kind, value) whose first surrogate is taken."""
+    """(space, value, kind, attempt) of the entities(space, value, kind, mixed) whose first surrogate is taken or whose kind texts differ on."""
 
     def made(batches):
         for batch in batches:
             rows = batch.to_pylist()
             new = [surrogate(key, r["kind"], r["value"], r["attempt"]) for r in rows]
-            yield pa.RecordBatch.from_arrays([batch.column("kind"), batch.column("value"), pa.array(new, pa.string()), batch.column("attempt")], ["kind", "value", "made", "attempt"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(new, pa.string())], [*columns, "made"])
 
-    schema = "kind string, value string, made string, attempt int"
-    first = entities.select("kind", "value").distinct().withColumn("attempt", F.lit(0))
-    every = saved(first.mapInArrow(made, schema), "entities")
-    real = every.where(~F.col("kind").isin(*FINITE)).select("kind", F.col("value").alias("made")).withColumn("real", F.lit(True))
+    columns = ["space", "value", "kind", "mixed", "attempt"]
+    schema = "space string, value string, kind string, mixed boolean, attempt int, made string"
+    every = saved(entities.withColumn("attempt", F.lit(0)).select(*columns).mapInArrow(made, schema), "entities")
+    real = every.where(~F.col("space").isin(*FINITE)).select("space", F.col("value").alias("made")).withColumn("real", F.lit(True))
+    needed = (F.col("attempt") > 0) | F.col("mixed")
     for n in range(1, LAST + 1):
         # Few entities share a surrogate, so these groups are small; the settled ones come first.
-        turn = F.row_number().over(Window.partitionBy("kind", "made").orderBy("attempt", "value"))
-        rows = every.withColumn("turn", turn).join(real, ["kind", "made"], "left")
-        rows = saved(rows.withColumn("taken", (F.col("turn") > 1) | F.col("real").isNotNull()).select("kind", "value", "made", "attempt", "taken"), "entities")
+        turn = F.row_number().over(Window.partitionBy("space", "made").orderBy("attempt", "value"))
+        rows = every.withColumn("turn", turn).join(real, ["space", "made"], "left")
+        rows = saved(rows.withColumn("taken", (F.col("turn") > 1) | F.col("real").isNotNull()).select(*columns, "made", "taken"), "entities")
         clash = rows.where("taken")
         if clash.isEmpty():
-            return rows.where("attempt > 0").select("kind", "value", "attempt")
-        moved = clash.select("kind", "value", F.lit(n).alias("attempt")).mapInArrow(made, schema)
-        every = rows.where("not taken").select("kind", "value", "made", "attempt").unionByName(moved)
+            return rows.where(needed).select("space", "value", "kind", "attempt")
+        moved = clash.withColumn("attempt", F.lit(n)).select(*columns).mapInArrow(made, schema)
+        every = rows.where("not taken").select(*columns, "made").unionByName(moved)
     # The last attempt draws 16 more syllables or 32 more letters: no check is needed.
-    return every.where("attempt > 0").select("kind", "value", "attempt")
+    return every.where(needed).select("space", "value", "kind", "attempt")
 
 
 def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
@@ -489,13 +537,13 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
     Null texts stay null, empty ones and those without entities stay as they are; very long texts are
     read whole; rows that repeat come out as often, equal texts alike.  An empty table gives an
     empty one.  A column of docs named n_entities is replaced.  What a text has to know of others (later
-    attempts, taught names) meets it by a join on its hash; that table is sent to all tasks if it is counted to
+    attempts, kinds of names that texts differ on, taught names) meets it by a join on its hash; that table is sent to all tasks if it is counted to
     be small.
     """
     seen = mentions(docs)
-    later = saved(attempts(seen, key), "later")
-    tries = seen.join(later, ["kind", "value"], "left").where("taught or attempt is not null")
-    entry = F.struct("kind", "value", F.coalesce("attempt", F.lit(0)).alias("attempt"), "taught")
+    later = saved(attempts(settled(seen), key).withColumnRenamed("kind", "best"), "later")
+    tries = seen.withColumn("space", F.expr(_SPACE)).join(later, ["space", "value"], "left").where("taught or attempt is not null")
+    entry = F.struct("space", "kind", "value", F.coalesce("best", "kind").alias("best"), F.coalesce("attempt", F.lit(0)).alias("attempt"), "taught")
     mine = saved(tries.groupBy("h").agg(F.array_sort(F.collect_set(entry)).alias("names")), "names")
     names = [f.name for f in docs.schema.fields if f.name.lower() != "n_entities"]
     base = docs.select(*names)
@@ -512,7 +560,7 @@ def pseudonymise(docs: DataFrame, key: bytes) -> DataFrame:
             texts, counts = [], []
             for t, more in zip(batch.column(place), own, strict=True):
                 t, more = t.as_py(), more or []
-                tries = {(x["kind"], x["value"]): x["attempt"] for x in more}
+                tries = {(x["space"], x["value"]): (x["best"], x["attempt"]) for x in more}
                 got, n = rewrite(t, key, tries, [(x["kind"], x["value"]) for x in more if x["taught"]]) if t else (t, 0)
                 texts.append(got)
                 counts.append(n)

@@ -483,6 +483,50 @@ def test_pii_names_that_the_corpus_teaches(spark):
     assert got[3:] == texts[3:]  # Ann is taught by one text only, Karl by none
 
 
+def test_pii_phones_have_one_form(spark):
+    """Spellings of a number in different texts take one surrogate, in the spelling's own format; other numbers take others."""
+    same = [["+1 415 555 1234", "+14155551234", "415-555-1234", "(415) 555-1234", "Tel: 415 555 1234", "Tel: 1-415-555-1234"], ["+49301234567", "+49 30 1234567", "+49 (0)30 1234567"], ["+886 912 345 678", "+886912345678"], ["0912-345-678", "Tel. 0912345678"], ["(017) 555-7713", "+1 017 555 7713"]]
+    texts = [(k, f"{'Tel: ' if '(0)' in x else ''}{x}") for k, xs in enumerate(same) for x in xs]
+    got = pseudonyms(spark, [t for _, t in texts])
+    digits = lambda t, n: re.sub(r"\D", "", t.replace("(0)", ""))[-n:]
+    seen = {}
+    for (k, t), u in zip(texts, got, strict=True):
+        assert re.sub(r"\d", "9", u) == re.sub(r"\d", "9", t) and ("(0)" in t) == ("(0)" in u)
+        code = {0: "1", 1: "49", 2: "886", 4: "1"}.get(k, "")
+        assert digits(u, 99).startswith(code) or len(digits(t, 99)) == 10
+        n = len(digits(same[k][0], 99).removeprefix(code)) if "+" in same[k][0] else 10
+        seen.setdefault(k, set()).add(digits(u, n))
+        assert digits(u, n) != digits(t, n)
+    assert all(len(x) == 1 for x in seen.values()) and len(set.union(*seen.values())) == len(same)
+    # The numbers of a space go to different ones, whether an area may start so or not.
+    made = [pii.surrogate(b"k", "phone", f"+1 {a}15{b}550000") for a in range(10) for b in range(10)]
+    assert len(set(made)) == 100
+
+
+def test_pii_names_are_one_in_all_texts(spark):
+    """One surrogate for a name part whatever it stands behind; gender and place in the name are those of most texts."""
+    texts = ["Dr. John Smith came", "Mr. John Smith came", "Mr. John called", "Mr. John Doe came", "Mrs. Kim Doe came", "Dr. Kim Roe came", "Mr. Kim came", "Ms. Kim Poe came"]
+    got = pseudonyms(spark, texts)
+    name = lambda k: got[k].split()[1:-1]
+    assert len({name(k)[0] for k in (0, 1, 2, 3)}) == 1 and name(0) == name(1)
+    assert name(0)[0][-1] == "o" and len({name(k)[0] for k in (4, 5, 6, 7)}) == 1 and name(4)[0][-1] == "a"
+    assert name(3)[1] == name(4)[1] and len({w for k in range(8) for w in name(k)}) == 6
+    assert [t.split()[0] for t in got] == [t.split()[0] for t in texts]
+
+
+def test_pii_chinese_family_names(spark):
+    """Family names and given names apart: those of one family stay one, persons stay distinct."""
+    given = ["大明", "小明", "志強", "美", "建國"]
+    texts = [f"{f}{g}先生" for f in "王李歐" for g in given] + ["王大明先生"]
+    got = [t.removesuffix("先生") for t in pseudonyms(spark, texts)]
+    assert len(set(got)) == 15 and got[0] == got[15] and not set(got) & {t.removesuffix("先生") for t in texts}
+    for k in range(3):
+        assert len({x[0] for x in got[5 * k : 5 * k + 5]}) == 1
+    assert all(x[0] in pii._HAN_FAMILY and set(x[1:]) <= set(pii._HAN_GIVEN["m"]) for x in got)
+    crowd = pseudonyms(spark, [f"王{chr(0x5000 + k)}{chr(0x6000 + k)}女士" for k in range(900)])
+    assert len(set(crowd)) == 900  # more than there are given names of two characters: the later ones are longer
+
+
 def test_pii_of_odd_tables(spark):
     """Clashing columns, nulls, repeated rows, a very long text and no rows."""
     long = "word " * 200_000 + "Mr. John Smith"
