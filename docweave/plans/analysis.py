@@ -107,7 +107,7 @@ def analyse(appeals: DataFrame, kb: dict[str, DataFrame], place: str | None = No
     parsed = appeals.select("query_id", F.explode(T.statute_articles(F.col("full_text"))).alias("x")).select("query_id", F.concat_ws("-", "x.name", F.col("x.num").cast("string")).alias("key"))
     procedural = F.substring_index("key", "-", 1).isin(R.PROCEDURAL_IN_CASES)
     asked = cases.weighted(cases.query_keys(statutes.select("query_id", key.alias("key")), parsed), procedural)
-    have = cases.weighted(cited(False).select("doc_id", key.alias("key")), procedural)
+    have = keep("keys", cases.weighted(cited(False).select("doc_id", key.alias("key")), procedural))
     kind = F.coalesce("case_type", F.lit("")).alias("kind")
     similar = cases.similar(asked, have, pool, None, appeals.select("query_id", kind), kb["decisions"].select("doc_id", kind), k_similar)
     similar = keep("similar", similar.join(kb["decisions"].select("doc_id", "path", "case_type", "result", "year", F.coalesce("summary", F.substring("facts", 1, 120)).alias("summary")), "doc_id"))
