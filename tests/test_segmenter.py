@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from docweave.operators import postings as P
 from docweave.operators import retrieval as R
 from docweave.operators import segmenter as S
+from docweave.plans.catalogue import QUERIES
 
 TERMS = ["廢棄物", "清理法", "訴願", "處分", "撤銷", "駁回", "環保局", "稽查", "罰鍰", "土地"]
 
@@ -72,3 +73,19 @@ def test_search_by_learned_words(spark, tmp_path):
     other = S.splitter(S.learned(S.strings(few)))
     with pytest.raises(ValueError):
         P.load(spark, str(tmp_path / "index"), other)
+
+
+def test_learned_parts_by_brute_force(spark, tmp_path):
+    """The query's counts are those of the best paths of every run, taken one by one."""
+    r = random.Random(6)
+    texts = [(i, " ".join("".join(r.choices(["tion", "ver", "es", "and", "x"], k=r.randint(1, 5))) for _ in range(r.randint(0, 40)))) for i in range(60)] + [(60, None), (61, "A1 B"), (62, "ver" * 3000)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = S.learned(S.strings(docs, "[a-z]")).collect()
+    weight = {x.word: math.log(x.n / x.total) for x in rows}
+    want = Counter()
+    for _, t in texts:
+        for run in S.regex.findall("[a-z]+", t or ""):
+            want.update(S.best_path(run, weight, max(map(len, weight)), math.log(0.5 / rows[0].total)))
+    assert {x.word: x.n for x in QUERIES["learned_parts"](spark, str(tmp_path)).collect()} == want
+    assert want["tion"] > 100
