@@ -135,19 +135,44 @@ def mixed(docs: DataFrame, portion: float = 1.5, limit: float = 2.0, weights: tu
 
     A document comes out as often as the words taken of it make whole texts, halves rounded up; so
     only the document in which a shard's quota ends differs from `mix`, by half its size at most.
-    Documents without words have nothing to take and stay once, as they cost no quota.  Equal rows
-    share what they take.
+    Documents without words have nothing to take and stay once, as they cost no quota.  Rows equal in
+    doc_id, text and source are counted one by one, as `mix` takes them, and come out equally often or once more.
     """
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    size, order, taken, rows, turn = fresh(docs, "size", "order", "taken", "rows", "turn")
+    size, order, origin, base, rest, mark, o, s = fresh(docs, "size", "order", "origin", "base", "rest", "mark", "o", "s")
     work = docs.withColumns({
         size: F.regexp_count(text, F.lit(WORD)).cast("long"),
         order: F.sha2(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(text)), 256),
+        origin: F.col("source").cast("string"),
     })
-    keys = work.select("doc_id", "source", F.col(size).alias("size"), F.col(order).alias("order"))
-    got = apportion(saved(keys, "mix-rows"), portion, limit, weights, block)
-    got = saved(got.groupBy(F.col("order").alias(order)).agg(F.sum("taken").alias(taken), F.count("*").alias(rows)), "mix-taken")
-    whole = F.col(size) * F.col(rows)
-    times = F.when(F.col(size) == 0, F.lit(1)).otherwise(F.floor((2 * F.col(taken) + whole) / (2 * whole))).cast("int")
-    out = work.join(got, order).withColumn(turn, F.explode(F.array_repeat(F.lit(0), times)))
-    return out.select(*docs.columns)
+    keys = work.select("doc_id", F.col(origin).alias("source"), F.col(size).alias("size"), F.col(order).alias("order"))
+    times = F.when(F.col("size") == 0, F.lit(1)).otherwise(F.floor((2 * F.col("taken") + F.col("size")) / (2 * F.col("size"))))
+    got = apportion(saved(keys, "mix-rows"), portion, limit, weights, block).groupBy("order", "source").agg(F.sum(times).alias("times"), F.count("*").alias("n"))
+    got = got.select(F.col("order").alias(o), F.col("source").alias(s), F.expr("cast(times div n as int)").alias(base), F.expr("times % n").alias(rest))
+    got = saved(got.where(f"{base} > 0 or {rest} > 0"), "mix-taken")
+    same = (F.col(order) == F.col(o)) & F.col(origin).eqNullSafe(F.col(s))
+    each = work.join(got, same).withColumn(mark, F.explode(F.array_repeat(F.lit(0), F.col(base)))).select(*docs.columns)
+    odd = got.where(F.col(rest) > 0).select(o, s, rest)
+    if odd.isEmpty():
+        return each
+    # Some of a document's equal rows come out once more than others: as many as `rest` says.
+    rows = saved(work.join(odd, same).drop(o, s).withColumn(mark, F.monotonically_increasing_id()), "mix-repeats")
+    return each.unionByName(_first(rows, [order, origin], mark, rest).select(*docs.columns))
+
+
+#: Rows of one group are numbered in so many parts.
+SPLIT = 64
+
+
+def _first(rows: DataFrame, group: list[str], mark: str, most: str) -> DataFrame:
+    """The first `most` rows of each group, in parts of `mark` and by `mark` in a part; rows have to be saved, as mark is compared."""
+    part, before, nth, *on_right = fresh(rows, "part", "before", "nth", *(f"c{k}" for k in range(len(group) + 1)))
+    rows = rows.withColumn(part, F.pmod(mark, F.lit(SPLIT)))
+    counts = rows.groupBy(*group, part).agg(F.count("*").alias("n"))
+    ahead = Window.partitionBy(*group).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(*(F.col(c).alias(r) for c, r in zip([*group, part], on_right, strict=True)), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias(before))
+    rows = rows.withColumn(nth, F.row_number().over(Window.partitionBy(*group, part).orderBy(mark)))
+    on = F.lit(True)
+    for c, r in zip([*group, part], on_right, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(r))
+    return rows.join(counts, on).where(F.col(nth) + F.col(before) <= F.col(most))

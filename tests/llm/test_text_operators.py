@@ -381,6 +381,35 @@ def test_mix(spark):
     assert mixture.mix(frame(spark, [])).count() == mixture.mixed(frame(spark, [])).count() == 0
 
 
+def test_mix_of_equal_rows(spark):
+    """Copies of a row are taken one by one; whole texts come out as often as each row's taken words make, halves up."""
+    rnd = random.Random(21)
+    rows = [(7, "a b c", "one", k) for k in range(5)] + [(7, "a b c", None, 9), (None, "d e f g h", "one", 1), (None, "d e f g h", "one", 1), (None, None, None, None), (None, None, None, None)]
+    rows += [(rnd.randint(20, 30), " ".join("w" * rnd.randint(1, 9)), rnd.choice(["one", "two", None]), k) for k in range(120)] * 2
+    rows += [(3, "hot " * 4, "two", k) for k in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, S int").repartition(7)
+    for portion in 1.5, 0.4:
+        got = mixture.mix(docs, portion, block=4).toPandas()
+        by = got.groupby("source", dropna=False).agg(target=("target", "first"), taken=("taken", "sum"), n=("source_size", "first"), rows=("size", "sum"))
+        assert (by.n == by.rows).all() and ((by.taken - by.target).abs() <= 16).all() and (got.taken <= 2 * got["size"]).all()
+        # By doc_id, source and number of words, as mix() gives no texts; these have one text of each length.
+        want = Counter()
+        for r in mixture.mix(docs, portion, block=4).collect():
+            want[r.doc_id, r.source, r["size"]] += 1 if r["size"] == 0 else (2 * r.taken + r["size"]) // (2 * r["size"])
+        out = mixture.mixed(docs, portion, block=4)
+        out = out.collect()
+        assert Counter((r.doc_id, r.source, len((r.text or "").split())) for r in out) == Counter({k: n for k, n in want.items() if n})
+        # No row comes out twice more often than one that equals it.
+        times = Counter((r.doc_id, r.source, r.text, r.S) for r in out)
+        had = Counter(rows)
+        same = {}
+        for (i, t, s, mark), n in had.items():
+            same.setdefault((i, s, t), []).append((times[i, s, t, mark], n))
+        for got_of in same.values():
+            low = min(n_out // n for n_out, n in got_of)
+            assert all(low * n <= n_out <= (low + 1) * n for n_out, n in got_of)
+
+
 def test_mix_of_small_sources(spark):
     """Twelve sources of one document of three words: each comes within a word of its target."""
     rows = [(i, "a b c", f"s{i:02}") for i in range(12)]
@@ -639,6 +668,24 @@ def test_pipeline_stages(spark):
     assert {r.doc_id: r.n_tokens for r in c.tokens_stage(spark, docs, None).collect()} == {i: len(tok.encode(t or "", add_special_tokens=False).ids) for i, t in enumerate(texts)}
 
 
+def test_pipeline_stages_on_odd_tables(spark):
+    """Repeated rows, nulls in every column, clashing names and empty tables, as stages of the pipeline get them."""
+    import corpus_pipeline as c
+
+    plain = [(1, "mail to jo.do@example.org now", "one", "jo.do@example.org", "x")] * 3
+    rows = [*plain, (None, None, None, None, None), (None, None, None, None, None), (2, "", None, "jo.do@example.org", "y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, TOKENS string, `size` string")
+    own = c.personal_stage(spark, docs, None)
+    assert own.columns == docs.columns
+    want = Counter((i, pii.rewrite(t, pii.EXAMPLE_KEY, {})[0] if t else t, s, a, b) for i, t, s, a, b in rows)
+    assert Counter(tuple(r) for r in own.collect()) == want and not any("jo.do" in (t or "") for _, t, *_ in want)
+    tok = Tokenizer.from_file(PATH)
+    ids = c.tokens_stage(spark, docs, None).collect()
+    assert Counter((r.doc_id, r.n_tokens) for r in ids) == Counter((i, len(tok.encode(t or "", add_special_tokens=False).ids)) for i, t, *_ in rows)
+    for stage in c.near_copies_stage, c.personal_stage, c.mixture_stage, c.tokens_stage:
+        assert stage(spark, docs.limit(0), None).count() == 0
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
