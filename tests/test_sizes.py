@@ -25,3 +25,37 @@ def test_names_that_overlap_themselves(spark, tmp_path):
     counts = [(d, sum(t.startswith(x, i) for i in range(len(t))), x) for d, t in texts.items() if t for x in names if x in t]
     assert got == want == sorted((d, n, x) if isinstance(got[0][1], int) else (d, x, n) for d, n, x in counts)
     assert max(n for _, n, _ in counts) == 7
+
+
+def test_ties_of_similar_orders_are_exact(spark, tmp_path):
+    """Similarities that lie halfway between two places, which sums of doubles put on either side."""
+    orders, lines = {}, []
+    for q in range(50, 50 * 120, 50):
+        # 5 parts that count 1 and 7 that count 0.2 weigh 6.4; a part of them with an odd number of fifths is a tie.
+        own = [5 * q + i * 1000000 + 1 for i in range(5)] + [5 * q + i * 1000000 for i in range(7)]
+        orders[q] = ("low", "F")
+        lines += [(q, x) for x in own]
+        for b in range(1, 6):
+            full, light = (q // 50 + b) % 6, (q // 50 * 3 + b) % 8
+            light += (full + light + 1) % 2 * (1 if light < 7 else -1)
+            orders[q + b] = (("low", "F"), ("high", "F"), ("high", "O"))[(q // 50 + b) % 3]
+            lines += [(q + b, x) for x in own[:full] + own[5 : 5 + light]]
+    lines = [x for _, x in sorted((hash(x) % 1009, x) for x in lines)]
+    got, want = both(
+        spark, tmp_path, "similar_topk", orders=pa.table({"o_orderkey": list(orders), "o_orderpriority": [p for p, _ in orders.values()], "o_orderstatus": [s for _, s in orders.values()]}),
+        lineitem=pa.table({"l_orderkey": [a for a, _ in lines], "l_partkey": [b for _, b in lines]}),
+    )
+    parts, exact = {}, []
+    for o, x in lines:
+        parts.setdefault(o, set()).add(x)
+    fifths = lambda xs: sum(1 if x % 5 == 0 else 5 for x in xs)
+    for q in range(50, 50 * 120, 50):
+        near = []
+        for b in range(q + 1, q + 6):
+            kind = 1500 if orders[b][0] == "low" else 900 if orders[b][1] == "F" else 0
+            near.append((-((12000 * fifths(parts[b]) + 32) // 64 + kind), b))
+        exact += [(q, b, i + 1, -n / 10000) for i, (n, b) in enumerate(sorted(near))]
+    assert got == want == sorted(exact)
+
+
+def test_pairs_of_orders_move_
\ No newline at end of file
