@@ -3,6 +3,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from docweave.plans import catalogue
 from docweave.plans.catalogue import ORACLE, QUERIES
 
 
@@ -58,4 +59,13 @@ def test_ties_of_similar_orders_are_exact(spark, tmp_path):
     assert got == want == sorted(exact)
 
 
-def test_pairs_of_orders_move_
\ No newline at end of file
+def test_pairs_of_orders_move_once(spark, tmp_path, monkeypatch):
+    """Tasks are made for the number of pairs, and the rows are the same."""
+    orders = pa.table({"o_orderkey": list(range(1, 301)), "o_orderpriority": ["a", "b", None] * 100, "o_orderstatus": ["F", "O"] * 150})
+    lines = pa.table({"l_orderkey": [1 + i * 7 % 300 for i in range(2400)], "l_partkey": [None if i % 97 == 0 else i * i % 211 for i in range(2400)]})
+    monkeypatch.setattr(catalogue, "PAIRS", 100, raising=False)
+    got, want = both(spark, tmp_path, "weighted_jaccard", orders=orders, lineitem=lines)
+    assert got == want and len(got) > 200
+    df = QUERIES["weighted_jaccard"](spark, str(tmp_path))
+    assert df.rdd.getNumPartitions() >= len(got) // 100
+    assert df._jdf.queryExecution().executedPlan().toString().count("Join") == 1
