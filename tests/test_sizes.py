@@ -1,8 +1,11 @@
 """What larger tables showed: rare rows that SQL and query have to agree on, and steps whose memory or shuffle may not grow."""
+import random
+
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from docweave.operators import retrieval as R
 from docweave.plans import catalogue
 from docweave.plans.catalogue import ORACLE, QUERIES
 
@@ -69,3 +72,19 @@ def test_pairs_of_orders_move_once(spark, tmp_path, monkeypatch):
     df = QUERIES["weighted_jaccard"](spark, str(tmp_path))
     assert df.rdd.getNumPartitions() >= len(got) // 100
     assert df._jdf.queryExecution().executedPlan().toString().count("Join") == 1
+
+
+def test_searches_make_no_row_of_a_hit(spark, monkeypatch):
+    """Blocks of queries against chunks of documents give what all hits give, words that most documents have included."""
+    rnd = random.Random(4)
+    words = [f"w{i}" for i in range(30)]
+    pick = lambda n: " ".join(rnd.choices(words, range(30, 0, -1), k=n))
+    docs = spark.createDataFrame([(i * 7 % 401, pick(rnd.randint(0, 12)) if i % 50 else None) for i in range(200)], "doc_id long, text string").repartition(3)
+    queries = spark.createDataFrame([(i, pick(rnd.randint(1, 6))) for i in range(20)] + [(20, "nowhere"), (21, None)], "query_id long, text string")
+    hits = R.bm25(docs, queries)
+    want = {k: sorted(map(tuple, df.select("query_id", "doc_id", "score", "rank").collect())) for k, df in (("hits", R.top(hits, ["query_id"], "score", "doc_id", 4)), ("all", R.word_top(hits, docs, queries, 200, 4)))}
+    monkeypatch.setattr(R, "BLOCK", 6)
+    monkeypatch.setattr(R, "STEP", 16)
+    monkeypatch.delattr(R, "bm25")
+    got = {"hits": R.bm25_top(docs, queries, 4), "all": R.search(docs, queries, 4)}
+    assert {k: sorted(map(tuple, df.select("query_id", "doc_id", "score", "rank").collect())) for k, df in got.items()} == want
