@@ -126,6 +126,8 @@ def own_spans(ranges: list[Range], lengths: list[int]) -> list[tuple[int, int, i
     return out
 
 
+#: Rows cut at once: pieces and their parts are Python objects, many times the size of the text.
+ROWS = 64
 PIECE = "array<struct<piece:string,parts:array<struct<line:int,start:int,end:int,new:boolean>>>>"
 _PART = pa.struct([("line", pa.int32()), ("start", pa.int32()), ("end", pa.int32()), ("new", pa.bool_())])
 _PIECES = pa.list_(pa.struct([("piece", pa.string()), ("parts", pa.list_(_PART))]))
@@ -139,12 +141,13 @@ def pieces(rows: DataFrame, text: str = "text", mark: str = MARK, ends: str = EN
 
     def run(batches):
         pack = Packer(mark, ends)
-        for batch in batches:
-            out = []
-            for t in batch.column(text).to_pylist():
-                lengths = list(map(len, t.split("\n"))) if t is not None else []
-                out.append(None if t is None else [{"piece": "".join(t[a:b] for a, b in r), "parts": [dict(zip(("line", "start", "end", "new"), p, strict=True)) for p in own_spans(r, lengths)]} for r in pack(t)])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _PIECES)], [*batch.schema.names, all_])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch, out = whole.slice(at, ROWS), []
+                for t in batch.column(text).to_pylist():
+                    lengths = list(map(len, t.split("\n"))) if t is not None else []
+                    out.append(None if t is None else [{"piece": "".join(t[a:b] for a, b in r), "parts": [dict(zip(("line", "start", "end", "new"), p, strict=True)) for p in own_spans(r, lengths)]} for r in pack(t)])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, _PIECES)], [*batch.schema.names, all_])
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
     made = rows.mapInArrow(run, f"{schema}, {all_} {PIECE}")

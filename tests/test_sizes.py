@@ -1,10 +1,13 @@
 """What larger tables showed: rare rows that SQL and query have to agree on, and steps whose memory or shuffle may not grow."""
+import inspect
 import random
 
 import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
+from docweave.operators import chunks
+from docweave.operators import postings as P
 from docweave.operators import retrieval as R
 from docweave.plans import catalogue
 from docweave.plans.catalogue import ORACLE, QUERIES
@@ -88,3 +91,22 @@ def test_searches_make_no_row_of_a_hit(spark, monkeypatch):
     monkeypatch.delattr(R, "bm25")
     got = {"hits": R.bm25_top(docs, queries, 4), "all": R.search(docs, queries, 4)}
     assert {k: sorted(map(tuple, df.select("query_id", "doc_id", "score", "rank").collect())) for k, df in got.items()} == want
+
+
+def test_an_index_moves_texts_and_lists_only(spark, tmp_path):
+    """No word of a document is a row of a shuffle: the plan that makes the lists has no explode."""
+    docs = spark.createDataFrame([(i, f"a b{i % 3} a c{i}") for i in range(40)] + [(50, None), (51, " ")], "doc_id long, text string")
+    source = inspect.getsource(P.save)
+    P.save(docs, str(tmp_path / "index"), group=8)
+    index = P.load(spark, str(tmp_path / "index"))
+    assert "explode" not in source
+    assert {(r.term, r.df) for r in index.terms.collect()} == {("a", 40), ("b0", 14), ("b1", 13), ("b2", 13)} | {(f"c{i}", 1) for i in range(40)}
+    for r in index.postings.collect():
+        assert r.docs == sorted(r.docs) and r.best == max(r.high) and r.high == sorted(r.high, reverse=True) and len(r.high) == min(10, len(r.docs))
+        assert r.tfs == [2 if r.term == "a" else 1] * len(r.docs) and r.dls == [4] * len(r.docs)
+
+
+def test_pieces_are_cut_a_few_rows_at_a_time(spark):
+    rows = spark.createDataFrame([(i, f"Line {i}.\nEnd") for i in range(chunks.ROWS * 2 + 5)], "doc_id long, text string").coalesce(1)
+    got = chunks.pieces(rows).select("doc_id", "piece").collect()
+    assert sorted((r.doc_id, r.piece) for r in got) == [(i, f"Line {i}.\nEnd") for i in range(chunks.ROWS * 2 + 5)]
