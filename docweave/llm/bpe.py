@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -23,6 +24,8 @@ from .common import cut, lean, slices, table
 from .pieces import PieceMemory, supported
 
 NONE = 1 << 60
+#: Bytes of text that are encoded at once and leave the task together; ids are many times as large, and more so as Python objects.
+SLICE = 1 << 18
 
 
 def byte_letters() -> dict[int, str]:
@@ -221,6 +224,25 @@ def codec(path: str) -> Codec:
     return Codec(path)
 
 
+def encoded(batches: Iterable[pa.RecordBatch], path: str, with_ids: bool) -> Iterator[pa.RecordBatch]:
+    """The rows that `encode` gives of batches(doc_id, text), those of about SLICE bytes of text at a time."""
+    own = codec(path)
+    sha = hashlib.sha256
+    for batch in batches:
+        for i, j, data, offs in slices(batch.column("text"), SLICE):
+            flat, at = own.memory.encode(data, offs)
+            a, b, ends = [], [], at.tolist()
+            for p, q in zip(ends[:-1], ends[1:], strict=True):
+                ids = flat[p:q].tolist()
+                a.append(sha(str(ids)[1:-1].replace(" ", "").encode()).hexdigest())
+                b.append(sha(own.decode(ids).encode()).hexdigest())
+            cols = [batch.column("doc_id").slice(i, j - i), pa.array(np.diff(at), pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
+            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
+            if with_ids:
+                cols, names = [*cols, pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(flat.astype(np.int32)))], [*names, "ids"]
+            yield pa.RecordBatch.from_arrays(cols, names)
+
+
 def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     """Encode and decode every whole text: doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids).
 
@@ -229,29 +251,8 @@ def encode(docs: DataFrame, path: str, with_ids: bool = False) -> DataFrame:
     empty one; other columns are ignored.  There is no shuffle.
     """
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
-
-    def run(batches):
-        own = codec(path)
-        sha = hashlib.sha256
-        for batch in batches:
-            rows = []
-            for _, _, data, offs in slices(batch.column("text"), 1 << 19):
-                flat, at = own.memory.encode(data, offs)
-                at = at.tolist()
-                for p, q in zip(at[:-1], at[1:], strict=True):
-                    ids = flat[p:q].tolist()
-                    digest = sha(str(ids)[1:-1].replace(" ", "").encode()).hexdigest()
-                    text = own.decode(ids).encode()
-                    rows.append((len(ids), digest, sha(text).hexdigest(), ids if with_ids else None))
-            n, a, b, ids = zip(*rows, strict=True) if rows else ((),) * 4
-            cols = [batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(b, pa.string())]
-            names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
-            if with_ids:
-                cols, names = [*cols, pa.array(ids, pa.list_(pa.int32()))], [*names, "ids"]
-            yield pa.RecordBatch.from_arrays(cols, names)
-
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(lean(run), schema + (", ids array<int>" if with_ids else ""))
+    return rows.mapInArrow(lean(lambda batches: encoded(batches, path, with_ids)), schema + (", ids array<int>" if with_ids else ""))
 
 
 def decode(encoded: DataFrame, path: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 U64 = np.uint64
 #: Texts are handled in slices of about so many bytes, so that work arrays stay small.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def scratch(spark: SparkSession) -> str:
@@ -107,20 +107,29 @@ def met(rows: DataFrame, ids: DataFrame, on: str, how: str = "left_semi") -> Dat
 
 
 def lean(run: Callable) -> Callable:
-    """run(batches) for mapInArrow, after which freed memory goes back to the system.
+    """run(batches) for mapInArrow, after each batch of which freed memory goes back to the system.
 
     Spark uses a Python worker again for later stages, so what it merely keeps adds to their needs.
     """
 
-    def own(batches):
-        for out in run(batches):
-            yield out
-            del out
+    def freed() -> None:
         pa.default_memory_pool().release_unused()
         trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
         if trim:
             trim(0)
 
+    def given(batches):
+        for batch in batches:
+            yield batch
+            del batch
+            freed()
+
+    def own(batches):
+        for out in run(given(batches)):
+            yield out
+            del out
+        freed()
+
     return own
 
 
@@ -142,7 +151,7 @@ def powers(base: int, n: int) -> np.ndarray:
     """base**0 .. base**(n-1) modulo 2**64; grown on demand and kept."""
     have = _tables.get(base)
     if have is None or len(have) < n:
-        run = np.full(max(n, SLICE_BYTES + 1), U64(base))
+        run = np.full(max(1 << n.bit_length(), 1024), U64(base))
         run[0] = 1
         have = _tables[base] = np.multiply.accumulate(run)
     return have[:n]

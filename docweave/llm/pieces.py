@@ -21,7 +21,7 @@ _kinds: list[np.ndarray] = []
 def kinds() -> np.ndarray:
     """For each code point 1 letter, 2 number, 3 white space, 0 other."""
     if not _kinds:
-        every = "".join(map(chr, [*range(0xD800), *range(0xE000, 0x110000)]))
+        every = np.r_[0:0xD800, 0xE000:0x110000].astype("<u4").tobytes().decode("utf-32-le")
         out = np.zeros(0x110000, np.uint8)
         for kind, pattern in ((1, r"\p{L}+"), (2, r"\p{N}+"), (3, r"\s+")):
             for m in regex.finditer(pattern, every):
@@ -78,7 +78,7 @@ def supported(spec: dict) -> None:
 class PieceMemory:
     """ids of texts.  encode_new(bytes, offsets) -> (ids, bounds) is asked for new pieces."""
 
-    def __init__(self, encode_new: Callable, added: dict[str, int], limit: int = 3_000_000):
+    def __init__(self, encode_new: Callable, added: dict[str, int], limit: int = 500_000):
         self.encode_new, self.added, self.limit = encode_new, added, limit
         self.cut = regex.compile("(" + "|".join(regex.escape(t) for t in sorted(added, key=len, reverse=True)) + ")") if added else None
         self._forget()

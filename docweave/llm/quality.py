@@ -248,9 +248,8 @@ def keep_good(docs: DataFrame, model: Model, threshold: float = 0.3) -> DataFram
 
     def run(batches):
         for batch in batches:
-            keep = [model.score(features(data, offs)) >= threshold for _, _, data, offs in slices(batch.column(place))]
-            if keep:
-                yield batch.filter(pa.array(np.concatenate(keep)))
+            for i, j, data, offs in slices(batch.column(place)):
+                yield batch.slice(i, j - i).filter(pa.array(model.score(features(data, offs)) >= threshold))
 
     return docs.mapInArrow(lean(run), docs.schema)
 

@@ -9,6 +9,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -691,3 +692,14 @@ def test_pipeline(spark):
 
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001").toPandas()
     assert len(out) and set(out.columns) >= {"doc_id", "n_tokens"}
+
+
+def test_ids_leave_a_task_before_its_batch_is_done():
+    """The ids of one slice of text are held, not those of a batch, and pieces are forgotten."""
+    rows = pa.RecordBatch.from_pydict({"doc_id": list(range(3000)), "text": [None if i == 7 else f"Row {i} says so. " * 60 for i in range(3000)]})
+    out = list(bpe.encoded([rows], PATH, True))
+    assert max(b.nbytes for b in out) < 4 * bpe.SLICE and len(out) >= rows.column("text").nbytes // bpe.SLICE
+    got = [r for b in out for r in b.to_pylist()]
+    assert [r["doc_id"] for r in got] == list(range(3000)) and got[7]["ids"] == [] and all(r["n_tokens"] == len(r["ids"]) for r in got)
+    own = bpe.codec(PATH)
+    assert got[2999]["ids"] == own.encode("Row 2999 says so. " * 60).tolist() and own.memory.limit * 20 < 1 << 24
