@@ -6,7 +6,7 @@ import duckdb
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from docweave.operators import chunks
+from docweave.operators import cases, chunks
 from docweave.operators import postings as P
 from docweave.operators import retrieval as R
 from docweave.plans import catalogue
@@ -110,3 +110,15 @@ def test_pieces_are_cut_a_few_rows_at_a_time(spark):
     rows = spark.createDataFrame([(i, f"Line {i}.\nEnd") for i in range(chunks.ROWS * 2 + 5)], "doc_id long, text string").coalesce(1)
     got = chunks.pieces(rows).select("doc_id", "piece").collect()
     assert sorted((r.doc_id, r.piece) for r in got) == [(i, f"Line {i}.\nEnd") for i in range(chunks.ROWS * 2 + 5)]
+
+
+def test_similar_orders_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
+    """Tasks are made for the number of lines, and the rows are the same."""
+    orders = pa.table({"o_orderkey": list(range(1, 301)), "o_orderpriority": ["a", "b", "c"] * 100, "o_orderstatus": ["F", "O"] * 150})
+    lines = pa.table({"l_orderkey": [1 + i * 7 % 300 for i in range(2400)], "l_partkey": [i * i % 211 for i in range(2400)]})
+    monkeypatch.setattr(cases, "ROWS", 200, raising=False)
+    made, write = {}, catalogue.written
+    monkeypatch.setattr(catalogue, "written", lambda df, name: made.setdefault(name, df.rdd.getNumPartitions()) and write(df, name))
+    got, want = both(spark, tmp_path, "similar_orders_topk", orders=orders, lineitem=lines)
+    assert got == want and len(got) == 30
+    assert made["parts"] == 12
