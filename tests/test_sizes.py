@@ -3,10 +3,11 @@ import inspect
 import random
 
 import duckdb
+import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from docweave.operators import cases, chunks
+from docweave.operators import blocked, cases, chunks
 from docweave.operators import postings as P
 from docweave.operators import retrieval as R
 from docweave.plans import catalogue
@@ -122,3 +123,37 @@ def test_similar_orders_are_dealt_by_their_number(spark, tmp_path, monkeypatch):
     got, want = both(spark, tmp_path, "similar_orders_topk", orders=orders, lineitem=lines)
     assert got == want and len(got) == 30
     assert made["parts"] == 12
+
+
+def test_a_search_packs_its_documents_once(spark):
+    """Chunks are a table that both passes read: what scores them has no other step of Python below it, and splits no text."""
+    docs = spark.createDataFrame([(i, f"a b{i % 3} c{i}", [float(i % 7), 1.0]) for i in range(60)], "doc_id long, text string, embedding array<float>")
+    asked = spark.createDataFrame([(1, "a b1", [1.0, 0.0]), (2, "c5 c7", None)], "query_id long, text string, q array<float>")
+    for df in (R.search(docs, asked, 3), R.bm25_top(docs, asked, 3)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "xxhash64" not in plan
+        assert df.count() >= 4
+
+
+def test_chunks_hold_a_bounded_number_of_words(monkeypatch):
+    monkeypatch.setattr(blocked, "TOKENS", 10)
+    lens = [3, 3, 3, 3, 0, 25, 1, None, 9, 2, 1, 1, 1, 1, 1]
+    batch = pa.record_batch({"id": pa.array(range(len(lens))), "terms": pa.array([None if n is None else [7] * n for n in lens], pa.list_(pa.int64()))})
+    parts = [p.column("id").to_pylist() for p in blocked._parts(batch, 4)]
+    assert parts == [[0, 1, 2], [3, 4], [5], [6, 7, 8], [9, 10, 11, 12], [13, 14]]
+
+
+def test_sums_are_added_a_slice_at_a_time(monkeypatch):
+    """However many pairs of words a block and a chunk have: slices of any size give what brute force gives."""
+    rnd = random.Random(6)
+    docs = [[rnd.choice([1, 2, 3, 5, 8, 13, 21]) for _ in range(rnd.randint(0, 9))] for _ in range(30)]
+    asked = [{t: rnd.random() + 0.1 for t in rnd.sample([1, 2, 3, 4, 8, 21, 34], 3)} for _ in range(12)]
+    vector = pa.array([None] * 30, pa.list_(pa.float64()))
+    d = dict(zip(blocked.NAMES, blocked._pack(pa.record_batch([pa.array(range(30)), pa.array(docs, pa.list_(pa.int64())), vector], ["id", "terms", "vector"]), False), strict=True))
+    made = blocked._pack(pa.record_batch([pa.array(range(12)), pa.array([list(x) for x in asked], pa.list_(pa.int64())), pa.array([list(x.values()) for x in asked], pa.list_(pa.float64())), vector[:12]], ["query_id", "terms", "ws", "vector"]), True)
+    want = [[sum(w * x.count(t) * 2.5 / (x.count(t) + 1.5 * (0.25 + 0.75 * len(x) / 4.0)) for t, w in q.items()) for x in docs] for q in asked]
+    for dense, added in ((0, 1 << 20), (10**9, 1), (10**9, 7), (40, 3)):
+        monkeypatch.setattr(blocked, "DENSE", dense)
+        monkeypatch.setattr(blocked, "ADDED", added)
+        words = blocked.Words(blocked.Side({f"q_{c}": x for c, x in zip(blocked.NAMES, made, strict=True)}, "q_"), blocked.Side(d), 4.0, 1.5, 0.75)
+        assert np.allclose(np.vstack([words.sums(0, 5), words.sums(5, 12)]), want)
