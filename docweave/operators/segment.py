@@ -77,7 +77,8 @@ def segment(lines: DataFrame, statute_names: DataFrame | None = None) -> DataFra
     statute_name) fills the metadata.
     """
     known = lines.where(F.col("document_type").isin(*FIRST_TYPES))
-    rows = cut(headings(known), "document_id", "idx", F.col("document_type") == "statute")
+    # All windows and the sections of a document are made where its lines are: they move once.
+    rows = cut(headings(known.repartition("document_id")), "document_id", "idx", F.col("document_type") == "statute")
     rows = rows.withColumn("chapter", carried(F.when(is_chapter_title(F.col("text")), strip(F.col("text"))), "document_id", "idx"))
     of = Window.partitionBy("document_id")
     rows = rows.withColumn("parts", F.max("part").over(of)).withColumn("headed", F.max((F.col("part") == 0).cast("int")).over(of))
@@ -117,15 +118,15 @@ def uncovered(lines: DataFrame, sections: DataFrame) -> DataFrame:
     """Lines that are not blank and in no section of sections(document_id, first_idx, end_idx).
 
     Ends of sections and lines are swept in order, a running sum tells how many sections are open: a row for each section and line,
-    however long and however overlapping the sections are.
+    however long and however overlapping the sections are.  Columns of lines that nothing reads afterwards do not move.
     """
-    (step, after, line) = fresh(lines, "step", "after", "line_of")
-    of = lines.select("document_id", "idx", F.lit(0).alias(step), F.lit(1).alias(after), F.struct(*lines.columns).alias(line))
+    step, after = fresh(lines, "step", "after")
+    of = lines.where(bare(F.col("text")) != "").select("*", F.lit(0).alias(step), F.lit(1).alias(after))
     ends = sections.where("first_idx < end_idx").select("document_id", F.explode(F.array(F.struct(F.col("first_idx").alias("i"), F.lit(1).alias("d")), F.struct(F.col("end_idx").alias("i"), F.lit(-1).alias("d")))).alias("e"))
-    ends = ends.select("document_id", F.col("e.i").alias("idx"), F.col("e.d").alias(step), F.lit(0).alias(after), F.lit(None).cast(of.schema[line].dataType).alias(line))
+    ends = ends.select("document_id", F.col("e.i").alias("idx"), F.col("e.d").alias(step), F.lit(0).alias(after))
     run = Window.partitionBy("document_id").orderBy("idx", after).rowsBetween(Window.unboundedPreceding, 0)
-    swept = of.unionByName(ends).withColumn(step, F.sum(step).over(run))
-    return swept.where((F.col(after) == 1) & (F.col(step) == 0)).select(f"{line}.*").where(bare(F.col("text")) != "")
+    swept = of.unionByName(ends, allowMissingColumns=True).withColumn(step, F.sum(step).over(run))
+    return swept.where((F.col(after) == 1) & (F.col(step) == 0)).select(*lines.columns)
 
 
 def fresh(df: DataFrame, *names: str) -> list[str]:

@@ -7,7 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from docweave.operators import blocked, cases, chunks
+from docweave.operators import blocked, cases, chunks, segment
 from docweave.operators import postings as P
 from docweave.operators import retrieval as R
 from docweave.plans import catalogue
@@ -157,3 +157,16 @@ def test_sums_are_added_a_slice_at_a_time(monkeypatch):
         monkeypatch.setattr(blocked, "ADDED", added)
         words = blocked.Words(blocked.Side({f"q_{c}": x for c, x in zip(blocked.NAMES, made, strict=True)}, "q_"), blocked.Side(d), 4.0, 1.5, 0.75)
         assert np.allclose(np.vstack([words.sums(0, 5), words.sums(5, 12)]), want)
+
+
+def test_lines_of_a_release_move_once(spark):
+    """Windows and sections of a document are made after one shuffle of its lines; what nothing reads of uncovered lines does not move."""
+    rows = [(f"d{i % 9}", "decision", i // 9, 1, i // 9, ("主文", "事實", f"Line {i}", " ")[i // 9 % 4], 0, 5) for i in range(180)]
+    lines = spark.createDataFrame(rows, "document_id string, document_type string, idx int, page int, line int, text string, char_start int, char_end int")
+    made = segment.segment(lines)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert made.count() == 9 * 2
+    loose = segment.uncovered(lines, made.withColumn("end_idx", R.F.col("end_idx") - 1))
+    assert loose.columns == lines.columns and [r.text for r in loose.collect()] == ["主文"] * 9
+    counted = loose.agg(R.F.count("*"))._jdf.queryExecution().executedPlan().toString()
+    assert all("text" not in x and "char_start" not in x for x in counted.split("\n") if "hashpartitioning(document_id" in x and "Exchange" in x)
