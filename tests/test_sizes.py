@@ -170,3 +170,16 @@ def test_lines_of_a_release_move_once(spark):
     assert loose.columns == lines.columns and [r.text for r in loose.collect()] == ["主文"] * 9
     counted = loose.agg(R.F.count("*"))._jdf.queryExecution().executedPlan().toString()
     assert all("text" not in x and "char_start" not in x for x in counted.split("\n") if "hashpartitioning(document_id" in x and "Exchange" in x)
+
+
+def test_pairs_deal_their_parts_by_their_number(spark, tmp_path, monkeypatch):
+    """The steps before the pairs have tasks made for the number of lines too, and the rows are the same."""
+    orders = pa.table({"o_orderkey": list(range(1, 301)), "o_orderpriority": ["a", "b", None] * 100, "o_orderstatus": ["F", "O"] * 150})
+    lines = pa.table({"l_orderkey": [1 + i * 7 % 300 for i in range(2400)], "l_partkey": [None if i % 97 == 0 else i * i % 211 for i in range(2400)]})
+    monkeypatch.setattr(cases, "ROWS", 200)
+    made, write = {}, catalogue.written
+    monkeypatch.setattr(catalogue, "written", lambda df, name: made.setdefault(name, df.rdd.getNumPartitions()) and write(df, name))
+    got, want = both(spark, tmp_path, "weighted_jaccard", orders=orders, lineitem=lines)
+    assert got == want and len(got) > 200 and made["cited"] == 12
+    plan = QUERIES["weighted_jaccard"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("hashpartitioning(l_partkey") == 2 and all(", 12)" in x for x in plan.split("\n") if "hashpartitioning(l_partkey" in x)
