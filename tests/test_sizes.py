@@ -183,3 +183,14 @@ def test_pairs_deal_their_parts_by_their_number(spark, tmp_path, monkeypatch):
     assert got == want and len(got) > 200 and made["cited"] == 12
     plan = QUERIES["weighted_jaccard"](spark, str(tmp_path))._jdf.queryExecution().executedPlan().toString()
     assert plan.count("hashpartitioning(l_partkey") == 2 and all(", 12)" in x for x in plan.split("\n") if "hashpartitioning(l_partkey" in x)
+
+
+def test_a_row_group_holds_one_chunk_or_block(spark):
+    """Chunks and blocks take several MB each, and a task holds a whole row group: by default it would be 100 of them or more."""
+    rows = spark.range(0, 40, 1, 1).select("id", R.F.array("id").alias("terms"), R.F.lit(None).cast("array<double>").alias("vector"))
+    packed = blocked.chunks(rows, 4)
+    asked, n = blocked.blocks(R._asked(rows.withColumnRenamed("id", "query_id").withColumn("ws", R.F.array(R.F.lit(1.0)))).coalesce(1), 8)
+    for table, least in ((packed, 10), (asked, 2)):
+        files = [pq.ParquetFile(f.removeprefix("file://")).metadata for f in table.inputFiles()]
+        groups = [m.row_group(i).num_rows for m in files for i in range(m.num_row_groups)]
+        assert set(groups) == {1} and len(groups) == table.count() >= least
